@@ -302,3 +302,200 @@ def q_validate_requests(spark, sf):
     return requests.validate_requests(requests.coerce_requests(R.request_payloads(spark, sf))).select(
         "request_id", "tool", "error_code", "error"
     )
+
+
+# --------------------------------------------------------------------------
+# signature extraction over the generated code corpus (oracle: expected
+# signatures computed from the part columns)
+# --------------------------------------------------------------------------
+
+from skimdex.operators import skeleton as K  # noqa: E402
+from skimdex.operators import symbols as Y  # noqa: E402
+from skimdex.operators import tokens as TK  # noqa: E402
+
+
+def _code(spark, sf):
+    return C.code_corpus(spark, sf)
+
+
+def _extraction(spark, sf):
+    files = _code(spark, sf)
+    return files, Y.extract(TK.code_tokens(Y.source_candidates(files)))
+
+
+_G = f"WITH {S.code_files_cte()}, {S.code_symbols_cte()}"
+_SYM_COLS = "target_dir, path, name, params, return_type, docstring"
+
+
+def _tok_sql() -> str:
+    pat = TK.TOKEN_PATTERN.replace("'", "''")
+    mask = TK.ESCAPE_MASK.replace("'", "''")
+    return (
+        f"m AS (SELECT target_dir, path, regexp_extract_all(regexp_replace(content, '{mask}', '__', 'g'), '{pat}', 2) AS toks FROM files), "
+        "u AS (SELECT target_dir, path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM m), "
+        "d AS (SELECT *, CASE WHEN tok IN ('{', '(', '[') THEN 1 WHEN tok IN ('}', ')', ']') THEN -1 ELSE 0 END AS delta FROM u), "
+        "l AS (SELECT *, sum(delta) OVER (PARTITION BY target_dir, path ORDER BY pos) - CASE WHEN delta = 1 THEN 1 ELSE 0 END AS lvl FROM d)"
+    )
+
+
+@query(
+    "code_tokens",
+    f"WITH {S.code_files_cte()}, {_tok_sql()} SELECT target_dir, path, count(*) AS n_tokens, "
+    "count(*) FILTER (WHERE regexp_matches(tok, '^[A-Za-z_$]')) AS n_words, CAST(max(lvl) AS INT) AS max_depth, "
+    "CAST(sum(delta) AS INT) AS final_depth, sum(delta) = 0 AS balanced FROM l GROUP BY target_dir, path",
+)
+def q_code_tokens(spark, sf):
+    return TK.token_stats(_code(spark, sf))
+
+
+for _kind, _fn in (
+    ("function", Y.export_functions), ("class", Y.export_classes), ("interface", Y.export_interfaces),
+    ("type", Y.export_types), ("enum", Y.export_enums),
+):
+    def _mk_kind(fn):
+        def run(spark, sf):
+            _, x = _extraction(spark, sf)
+            return fn(x).select("target_dir", "path", "name", "params", "return_type", "docstring")
+        return run
+
+    _key = {"class": "export_classes", "type": "export_types"}.get(_kind, f"export_{_kind}s")
+    query(_key, f"{_G} SELECT {_SYM_COLS} FROM expected WHERE kind = '{_kind}'")(_mk_kind(_fn))
+
+
+@query("symbols", f"{_G} SELECT target_dir, path, CAST(ord AS INT) AS ord, kind, name, params, return_type, docstring FROM expected")
+def q_symbols(spark, sf):
+    _, x = _extraction(spark, sf)
+    return Y.symbols_from(x)
+
+
+@query("export_filter", f"{_G} SELECT target_dir, path, kind, name FROM expected")
+def q_export_filter(spark, sf):
+    """Exported declarations only (non-exported helpers, commented-out and
+    string-embedded exports, and ``export const`` are left out)."""
+    _, x = _extraction(spark, sf)
+    return x["declarations"].select("target_dir", "path", "kind", "name")
+
+
+def _skeleton(spark, sf):
+    files, x = _extraction(spark, sf)
+    syms = Y.symbols_from(x)
+    return files, x, syms, K.skeleton_entries(syms, files, C.code_manifests(files))
+
+
+_GK = f"{_G}, {S.code_manifests_cte()}, {S.code_skeleton_ctes()}"
+
+
+@query(
+    "skeleton_entries",
+    f"{_GK} SELECT e.target_dir, e.path, round(f.size_bytes / 1024 * 10) / 10 AS size_kb, p.package_name, "
+    "CAST(count(*) AS INT) AS n_exports, string_agg(e.name, ',' ORDER BY e.ord) AS export_names "
+    "FROM expected e JOIN files_sized f ON e.target_dir = f.target_dir AND e.path = f.path "
+    "JOIN cpkg p ON e.target_dir = p.target_dir AND e.path = p.path GROUP BY e.target_dir, e.path, f.size_bytes, p.package_name",
+)
+def q_skeleton_entries(spark, sf):
+    _, _, _, entries = _skeleton(spark, sf)
+    return entries.select(
+        "target_dir", "path", "size_kb", "package_name", F.size("exports").alias("n_exports"),
+        F.array_join(F.transform("exports", lambda e: e["name"]), ",").alias("export_names"),
+    )
+
+
+@query("skeleton_text", f"{_GK} SELECT target_dir, path, text FROM blk")
+def q_skeleton_text(spark, sf):
+    _, _, _, entries = _skeleton(spark, sf)
+    return K.skeleton_text(entries)
+
+
+@query("skeleton_corpus_text", f"{_GK} SELECT target_dir, files_indexed, skeleton_chars, skeleton_tokens FROM totals")
+def q_skeleton_corpus_text(spark, sf):
+    _, _, _, entries = _skeleton(spark, sf)
+    return K.corpus_totals(K.skeleton_text(entries))
+
+
+@query(
+    "index_summary",
+    f"{_GK}, scanned AS (SELECT target_dir, count(*) AS files_scanned FROM files WHERE {S.indexable()} GROUP BY target_dir) "
+    "SELECT s.target_dir, s.files_scanned, coalesce(t.files_indexed, 0) AS files_indexed, "
+    "CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens FROM scanned s LEFT JOIN totals t ON s.target_dir = t.target_dir",
+)
+def q_index_summary(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    scanned = scope.scan_indexable(files).groupBy("target_dir").agg(F.count("*").alias("files_scanned"))
+    totals = K.corpus_totals(K.skeleton_text(entries))
+    return scanned.join(totals, "target_dir", "left").select(
+        "target_dir", "files_scanned", F.coalesce("files_indexed", F.lit(0)).alias("files_indexed"),
+        F.coalesce("skeleton_tokens", F.lit(0)).cast("bigint").alias("skeleton_tokens"),
+    )
+
+
+def _symbols_only_sql() -> str:
+    prop = (
+        "lambda i: '  p' || CAST(i AS VARCHAR) || CASE WHEN i % 2 = 1 THEN '?' ELSE '' END || ': ' || "
+        "CASE i % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'number' ELSE 'Map<string, number>' END"
+    )
+    return (
+        "so AS (SELECT f.target_dir, f.path, f.p_partkey, f.content, '// symbols-only mode: ' || split_part(f.path, '/', -1) || "
+        "coalesce(chr(10) || 'export function ' || fn.name || '(' || fn.params || '): ' || fn.return_type || chr(10) || "
+        f"'export interface ' || ifc.name || ' {{' || chr(10) || array_to_string(list_transform(range(f.p_size % 11), {prop}), ';' || chr(10)) "
+        "|| chr(10) || '}' || chr(10) || 'export type ' || ty.name || ' = ' || ty.params, '') AS body FROM files f "
+        "LEFT JOIN expected fn ON fn.path = f.path AND fn.target_dir = f.target_dir AND fn.kind = 'function' "
+        "LEFT JOIN expected ifc ON ifc.path = f.path AND ifc.target_dir = f.target_dir AND ifc.kind = 'interface' "
+        "LEFT JOIN expected ty ON ty.path = f.path AND ty.target_dir = f.target_dir AND ty.kind = 'type')"
+    )
+
+
+@query(
+    "read_symbols_only",
+    f"{_G}, {_symbols_only_sql()} SELECT CAST(p_partkey AS BIGINT) AS request_id, target_dir || '/' || path AS path, body AS content, "
+    f"CAST(len(string_split(body, chr(10))) AS INT) AS lines_returned, {S.nlines('content')} AS total_lines, "
+    f"{S.tokens('body')} AS token_estimate, 'symbols-only' AS mode, CAST(NULL AS INT) AS error_code, CAST(NULL AS VARCHAR) AS error FROM so",
+)
+def q_read_symbols_only(spark, sf):
+    files, x = _extraction(spark, sf)
+    syms = Y.symbols_from(x)
+    req = files.select(
+        F.col("p_partkey").alias("request_id"), "path", F.col("target_dir").alias("base_dir"),
+        F.lit(None).cast("int").alias("max_lines"), F.lit(True).alias("symbols_only"),
+        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
+    )
+    return reads.read_requests(req, files, K.symbols_only_text(x, syms)).select(*reads.READ_COLUMNS)
+
+
+_MOCK_SQL = (
+    "idx AS (SELECT DISTINCT target_dir, path FROM expected), "
+    "picked AS (SELECT * FROM (SELECT i.target_dir, i.path, row_number() OVER (PARTITION BY i.target_dir ORDER BY i.path) AS rn "
+    "FROM idx i) WHERE rn <= 2), "
+    "mock AS (SELECT p.target_dir, p.path, array_to_string(list_slice(string_split(f.content, chr(10)), 1, 300), chr(10)) AS content "
+    "FROM picked p JOIN files f ON p.target_dir = f.target_dir AND p.path = f.path)"
+)
+
+
+def _mock_reads(files, entries):
+    indexed = files.join(entries.select("target_dir", "path"), ["target_dir", "path"], "left_semi")
+    return reads.first_lines_preview(indexed)
+
+
+@query("mock_reads", f"{_G}, {_MOCK_SQL} SELECT target_dir, path, content, {S.tokens('content')} AS token_estimate FROM mock")
+def q_mock_reads(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    return _mock_reads(files, entries)
+
+
+@query(
+    "session_budget",
+    f"{_GK}, {_MOCK_SQL}, rd AS (SELECT target_dir, count(*) AS n, sum({S.tokens('content')}) AS t FROM mock GROUP BY target_dir), "
+    f"nv AS (SELECT target_dir, sum({S.tokens('content')}) AS naive FROM files_sized WHERE {S.naive_scope()} GROUP BY target_dir) "
+    "SELECT nv.target_dir, CAST(coalesce(t.files_indexed, 0) AS BIGINT) AS files_indexed, CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens, "
+    "CAST(coalesce(rd.n, 0) AS BIGINT) AS files_read_on_demand, CAST(coalesce(rd.t, 0) AS BIGINT) AS file_tokens, "
+    "CAST(nv.naive AS BIGINT) AS naive_tokens, CAST(coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0) AS BIGINT) AS total_session_tokens, "
+    "CASE WHEN coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0) > 0 THEN round(nv.naive / (coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0)), 2) END AS reduction "
+    "FROM nv LEFT JOIN totals t ON nv.target_dir = t.target_dir LEFT JOIN rd ON nv.target_dir = rd.target_dir",
+)
+def q_session_budget(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    totals = K.corpus_totals(K.skeleton_text(entries))
+    mock = _mock_reads(files, entries)
+    return budget.session_budget(totals, mock, budget.naive_tokens(files))
+
+
+FLAGSHIP = "session_budget"

@@ -97,3 +97,98 @@ def js_slice(lst: str, b: str, e: str) -> str:
 
 def dirname(p: str = "path") -> str:
     return f"array_to_string(list_slice(string_split({p}, '/'), 1, len(string_split({p}, '/')) - 1), '/')"
+
+
+# ---------------------------------------------------------------------------
+# Expected exports of the generated code corpus, computed from part columns
+# (no parsing): the oracle of the extraction queries.
+# ---------------------------------------------------------------------------
+
+def _pascal() -> str:
+    w1, w2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+    return f"(upper(left({w1}, 1)) || substr({w1}, 2) || upper(left({w2}, 1)) || substr({w2}, 2))"
+
+
+def code_symbols_cte() -> str:
+    """``expected(target_dir, path, ord, kind, name, params, return_type, docstring)``."""
+    P, k = _pascal(), "CAST(p_partkey AS VARCHAR)"
+    base = f"SELECT target_dir, path, p_partkey, p_name, p_brand, p_type, p_size, {P} AS pc FROM files WHERE p_size % 10 <> 0"
+    doc = (
+        "CASE WHEN p_size % 3 <> 0 THEN left(trim('Loads ' || p_name || ' parts of ' || p_brand || '.' || "
+        "CASE WHEN p_size > 40 THEN ' ' || repeat('More detail here. ', 8) ELSE '' END), 120) END"
+    )
+    fn = (
+        f"SELECT target_dir, path, 1 AS ord, 'function' AS kind, 'get' || pc || {k} AS name, "
+        "'id: number, label: string, opts: { strict: boolean }' AS params, "
+        f"CASE WHEN p_size % 4 = 1 THEN 'unknown' ELSE 'Promise<' || pc || 'Info' || {k} || '>' END AS return_type, "
+        f"{doc} AS docstring FROM g"
+    )
+    scope = "CASE j % 4 WHEN 1 THEN 'protected' ELSE 'public' END"
+    methods = (
+        f"list_transform(list_slice(list_filter(range(p_size % 8), lambda j: j % 4 <> 2), 1, 5), "
+        f"lambda j: {scope} || ' m' || CAST(j AS VARCHAR) || '(x: number, tag: string): string')"
+    )
+    cls = (
+        f"SELECT target_dir, path, 2, 'class', pc || 'Store' || {k}, "
+        f"array_to_string(CASE WHEN p_size % 2 = 0 THEN list_prepend('constructor(name: string, size: number)', {methods}) "
+        f"ELSE {methods} END, ' | '), '', NULL FROM g"
+    )
+    prop = (
+        "lambda i: 'p' || CAST(i AS VARCHAR) || CASE WHEN i % 2 = 1 THEN '?' ELSE '' END || ': ' || "
+        "CASE i % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'number' ELSE 'Map<string, number>' END"
+    )
+    iface = (
+        f"SELECT target_dir, path, 3, 'interface', pc || 'Info' || {k}, "
+        f"array_to_string(list_transform(range(least(p_size % 11, 8)), {prop}), '; '), '', NULL FROM g"
+    )
+    union = " || ".join(f"' | \"alpha-{i}\"'" for i in range(20))
+    typ = (
+        f"SELECT target_dir, path, 4, 'type', pc || 'Key' || {k}, "
+        "left('\"' || p_brand || '\" | number | Array<{ id: number; tag: \"' || split_part(p_name, ' ', 1) || '\" }>' || "
+        f"CASE WHEN p_size > 45 THEN {union} ELSE '' END, 200), '', NULL FROM g"
+    )
+    enum = (
+        f"SELECT target_dir, path, 5, 'enum', pc || 'Kind' || {k}, "
+        "array_to_string(list_transform(range(p_size % 4 + 1), lambda i: upper(p_type) || '_' || CAST(i AS VARCHAR)), ', '), '', NULL FROM g"
+    )
+    return (
+        f"g AS ({base}), expected AS ({fn} UNION ALL {cls} UNION ALL {iface} UNION ALL {typ} UNION ALL {enum})"
+    )
+
+
+def code_manifests_cte() -> str:
+    return (
+        "ctops AS (SELECT DISTINCT target_dir, split_part(path, '/', 1) AS top FROM files), "
+        "manifests AS (SELECT DISTINCT target_dir, '' AS dir, '{\"name\": \"@parts/' || substr(target_dir, 7) || '\"}' AS content "
+        "FROM ctops WHERE target_dir <> '/repo/promo' "
+        "UNION ALL SELECT target_dir, top, '{\"version\": \"1.0.0\"}' FROM ctops WHERE CAST(substr(top, 6) AS INT) % 5 = 0), "
+        "names AS (SELECT target_dir, dir, CASE WHEN json_valid(content) THEN json_extract_string(content, '$.name') END AS name FROM manifests), "
+        "cpkg AS (SELECT f.target_dir, f.path, CASE WHEN CAST(substr(split_part(f.path, '/', 1), 6) AS INT) % 5 = 0 THEN NULL "
+        "ELSE (SELECT n.name FROM names n WHERE n.target_dir = f.target_dir AND n.dir = '') END AS package_name FROM files f)"
+    )
+
+
+def js_number(x: str) -> str:
+    return f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+
+
+def code_skeleton_ctes() -> str:
+    """Per-file skeleton text blocks of the code corpus, from ``expected``."""
+    line = (
+        "CASE kind WHEN 'function' THEN '  ' || name || '(' || params || '): ' || return_type "
+        "WHEN 'interface' THEN '  interface ' || name || ' { ' || params || ' }' "
+        "WHEN 'class' THEN '  class ' || name || ' — methods: ' || params "
+        "WHEN 'type' THEN '  type ' || name || ' = ' || params "
+        "ELSE '  enum ' || name || ' { ' || params || ' }' END || coalesce('  // ' || docstring, '')"
+    )
+    return (
+        f"sig AS (SELECT target_dir, path, ord, {line} AS line FROM expected), "
+        "blk AS (SELECT s.target_dir, s.path, chr(10) || '\"' || s.path || '\"' || coalesce(' [' || p.package_name || ']', '') || "
+        f"' (' || {js_number('f.kb')} || 'kb)' || chr(10) || string_agg(s.line, chr(10) ORDER BY s.ord) AS text "
+        "FROM sig s JOIN (SELECT target_dir, path, round(size_bytes / 1024 * 10) / 10 AS kb FROM files_sized) f "
+        "ON s.target_dir = f.target_dir AND s.path = f.path "
+        "JOIN cpkg p ON s.target_dir = p.target_dir AND s.path = p.path "
+        "GROUP BY s.target_dir, s.path, p.package_name, f.kb), "
+        "totals AS (SELECT target_dir, count(*) AS files_indexed, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS skeleton_chars, "
+        "CAST(round((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS skeleton_tokens FROM blk GROUP BY target_dir)"
+    )
