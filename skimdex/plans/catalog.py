@@ -499,3 +499,175 @@ def q_session_budget(spark, sf):
 
 
 FLAGSHIP = "session_budget"
+
+
+# --------------------------------------------------------------------------
+# snapshots: ids, fingerprints, diff, hit test, store, refresh, retention
+# --------------------------------------------------------------------------
+
+from skimdex.operators import snapshots as SN  # noqa: E402
+from skimdex.session import scratch_path  # noqa: E402
+
+# Fixed parameters of the registered snapshot queries (explicit for determinism).
+AS_OF = "2024-01-30 23:30:00"
+RETAIN = SN.MEMORY_MAX_ENTRIES
+
+
+def _as_of():
+    return F.to_timestamp(F.lit(AS_OF))
+
+
+@query("snapshot_id", f"WITH {S.docs_files_cte()} SELECT DISTINCT target_dir, left(sha256(target_dir), 16) AS target_id FROM files")
+def q_snapshot_id(spark, sf):
+    return _docs(spark, sf).select("target_dir").distinct().select("target_dir", SN.target_id("target_dir").alias("target_id"))
+
+
+@query(
+    "corpus_fingerprint",
+    f"WITH {S.docs_manifest_v1_cte()}, {S.fingerprint_cte('man1', 'fp')} SELECT target_dir, n_files, fingerprint FROM fp",
+)
+def q_corpus_fingerprint(spark, sf):
+    return SN.fingerprints(SN.file_manifest(_docs(spark, sf)))
+
+
+@query(
+    "snapshot_diff",
+    f"WITH {S.docs_manifest_v1_cte()}, {S.docs_manifest_v2_cte()} "
+    "SELECT coalesce(a.target_dir, b.target_dir) AS target_dir, coalesce(a.path, b.path) AS path, "
+    "CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' "
+    "WHEN a.size_bytes = b.size_bytes AND a.mtime_ms = b.mtime_ms THEN 'unchanged' ELSE 'changed' END AS status "
+    "FROM man1 a FULL OUTER JOIN man2 b ON a.target_dir = b.target_dir AND a.path = b.path",
+)
+def q_snapshot_diff(spark, sf):
+    return SN.diff(SN.file_manifest(_docs(spark, sf)), SN.file_manifest(C.documents_corpus_v2(spark, sf)))
+
+
+@query(
+    "snapshot_hit",
+    f"WITH {S.docs_manifest_v1_cte()}, {S.docs_manifest_v2_cte()}, {S.fingerprint_cte('man1', 'fp1')}, {S.fingerprint_cte('man2', 'fp2')} "
+    "SELECT c.target_dir, left(sha256(c.target_dir), 16) AS target_id, c.fingerprint, coalesce(s.fingerprint = c.fingerprint, false) AS hit, "
+    "CASE WHEN coalesce(s.fingerprint = c.fingerprint, false) THEN 'disk' ELSE 'rebuild' END AS layer "
+    "FROM fp2 c LEFT JOIN fp1 s ON c.target_dir = s.target_dir",
+)
+def q_snapshot_hit(spark, sf):
+    stored = SN.fingerprints(SN.file_manifest(_docs(spark, sf))).withColumn("version", F.lit(SN.INDEX_VERSION))
+    current = SN.fingerprints(SN.file_manifest(C.documents_corpus_v2(spark, sf)))
+    return SN.match_snapshots(current, stored)
+
+
+def _store(spark, name):
+    return SN.SnapshotStore(spark, scratch_path(spark, name))
+
+
+def _extract_fn(files):
+    return Y.extract_symbols(files)
+
+
+def _written_store(spark, sf, name):
+    store = _store(spark, name)
+    store.refresh(_code(spark, sf), _extract_fn, _as_of()).collect()
+    return store
+
+
+_G_FP = f"{S.code_manifest_cte('files_sized', 'cman')}, {S.fingerprint_cte('cman', 'cfp')}"
+
+
+@query(
+    "snapshot_write",
+    f"{_G}, {_G_FP} SELECT left(sha256(target_dir), 16) AS target_id, target_dir, 1 AS version, fingerprint, "
+    "CAST(n_files AS BIGINT) AS stored_files FROM cfp",
+)
+def q_snapshot_write(spark, sf):
+    store = _written_store(spark, sf, "write")
+    files = store.entries().groupBy("target_id").agg(F.countDistinct("path").alias("stored_files"))
+    return store.current().join(files, "target_id", "left").select(
+        "target_id", "target_dir", "version", "fingerprint", F.col("stored_files").cast("bigint")
+    )
+
+
+@query(
+    "snapshot_load",
+    f"{_G} SELECT left(sha256(target_dir), 16) AS target_id, target_dir, path, CAST(ord AS INT) AS ord, kind, name, params, "
+    "return_type, docstring FROM expected",
+)
+def q_snapshot_load(spark, sf):
+    store = _written_store(spark, sf, "load")
+    return store.symbols().select("target_id", *Y.SYMBOL_COLUMNS)
+
+
+@query(
+    "snapshot_stats",
+    f"{_G}, {_G_FP}, asked AS (SELECT DISTINCT target_dir FROM files UNION SELECT DISTINCT '/corpus/' || source FROM documents) "
+    "SELECT a.target_dir, left(sha256(a.target_dir), 16) AS target_id, c.fingerprint IS NOT NULL AS exists, c.fingerprint, "
+    "CAST(coalesce(c.n_files, 0) AS BIGINT) AS stored_files FROM asked a LEFT JOIN cfp c ON a.target_dir = c.target_dir",
+)
+def q_snapshot_stats(spark, sf):
+    store = _written_store(spark, sf, "stats")
+    asked = _code(spark, sf).select("target_dir").unionByName(_docs(spark, sf).select("target_dir"))
+    return store.stats(asked)
+
+
+@query(
+    "snapshot_invalidate",
+    f"{_G}, {_G_FP} SELECT target_dir, n_files % 2 = 0 AS exists FROM cfp",
+)
+def q_snapshot_invalidate(spark, sf):
+    """Snapshots of targets with an odd number of files are invalidated."""
+    store = _written_store(spark, sf, "invalidate")
+    counts = SN.file_manifest(_code(spark, sf)).groupBy("target_dir").agg(F.count("*").alias("n"))
+    store.invalidate(counts.where(F.col("n") % 2 == 1).select("target_dir"), _as_of() + F.expr("INTERVAL 1 SECOND"))
+    return store.stats(counts.select("target_dir")).select("target_dir", "exists")
+
+
+_REFRESH_SQL = (
+    f"WITH {S.code_files_cte('v1')}, {S.code_v2_files_cte('files')}, {S.code_symbols_cte()}, "
+    f"{S.code_manifest_cte('files_sized', 'cman', v2=True)}, {S.fingerprint_cte('cman', 'cfp')}, "
+    "chg AS (SELECT coalesce(a.target_dir, b.target_dir) AS target_dir, "
+    "CASE WHEN b.path IS NULL THEN 'removed' WHEN b.p_size % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS status "
+    "FROM v1 a FULL OUTER JOIN files b ON a.target_dir = b.target_dir AND a.p_partkey = b.p_partkey), "
+    "cnt AS (SELECT target_dir, count(*) FILTER (WHERE status = 'changed') AS ex, count(*) FILTER (WHERE status = 'unchanged') AS re, "
+    "count(*) FILTER (WHERE status = 'removed') AS rm FROM chg GROUP BY target_dir), "
+    "idx AS (SELECT target_dir, count(DISTINCT path) AS n FROM expected GROUP BY target_dir) "
+    "SELECT f.target_dir, left(sha256(f.target_dir), 16) AS target_id, (c.ex + c.rm = 0) AS hit, "
+    "CASE WHEN c.ex + c.rm = 0 THEN 'disk' ELSE 'rebuild' END AS layer, f.fingerprint, CAST(coalesce(i.n, 0) AS BIGINT) AS files_indexed, "
+    "CAST(CASE WHEN c.ex + c.rm = 0 THEN 0 ELSE c.ex END AS BIGINT) AS files_extracted, "
+    "CAST(CASE WHEN c.ex + c.rm = 0 THEN 0 ELSE c.re END AS BIGINT) AS files_reused, "
+    "CAST(CASE WHEN c.ex + c.rm = 0 THEN 0 ELSE c.rm END AS BIGINT) AS files_removed "
+    "FROM cfp f JOIN cnt c ON f.target_dir = c.target_dir LEFT JOIN idx i ON f.target_dir = i.target_dir"
+)
+
+
+@query("snapshot_refresh", _REFRESH_SQL)
+def q_snapshot_refresh(spark, sf):
+    """Index v1 of the code corpus, then refresh against v2: only changed files
+    are extracted, unchanged ones are reused, removed ones drop out."""
+    store = _written_store(spark, sf, "refresh")
+    status = store.refresh(C.code_corpus_v2(spark, sf), _extract_fn, _as_of() + F.expr("INTERVAL 1 SECOND"))
+    rows = status.collect()
+    return spark.createDataFrame(rows, status.schema)
+
+
+@query(
+    "snapshot_retention",
+    "SELECT event_type, user_id, last_access_at, rank FROM (SELECT event_type, user_id, max(ts) AS last_access_at, "
+    "row_number() OVER (PARTITION BY event_type ORDER BY max(ts) DESC, user_id) AS rank FROM events GROUP BY event_type, user_id) "
+    f"WHERE rank <= {RETAIN}",
+)
+def q_snapshot_retention(spark, sf):
+    ev = C.table(spark, sf, "events").select("event_type", "user_id", "ts")
+    return SN.retention(ev, "event_type", "user_id", "ts", RETAIN).select(
+        "event_type", "user_id", "last_access_at", F.col("rank").cast("bigint").alias("rank")
+    )
+
+
+@query(
+    "snapshot_fresh",
+    "SELECT user_id, event_type, set_at, set_at + INTERVAL 15 MINUTE AS expires_at, "
+    f"TIMESTAMP '{AS_OF}' <= set_at + INTERVAL 15 MINUTE AS fresh "
+    "FROM (SELECT user_id, event_type, max(ts) AS set_at FROM events GROUP BY user_id, event_type)",
+)
+def q_snapshot_fresh(spark, sf):
+    ev = C.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("set_at"))
+    return SN.freshness(ev, "set_at", F.lit(AS_OF).cast("timestamp_ntz")).select(
+        "user_id", "event_type", "set_at", "expires_at", "fresh"
+    )

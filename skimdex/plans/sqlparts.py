@@ -192,3 +192,60 @@ def code_skeleton_ctes() -> str:
         "totals AS (SELECT target_dir, count(*) AS files_indexed, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS skeleton_chars, "
         "CAST(round((sum(length(text)) + count(*) - 1) / 4) AS BIGINT) AS skeleton_tokens FROM blk GROUP BY target_dir)"
     )
+
+
+# ---------------------------------------------------------------------------
+# Snapshot oracles
+# ---------------------------------------------------------------------------
+
+BASE_EPOCH = 1704067200
+EDIT_SECONDS = 86400
+
+
+def docs_manifest_v1_cte(name: str = "man1") -> str:
+    return (
+        f"{name} AS (SELECT '/corpus/' || source AS target_dir, {doc_path_sql()} AS path, "
+        f"CAST(strlen(text) AS BIGINT) AS size_bytes, CAST(({BASE_EPOCH} + doc_id * 60) * 1000 AS BIGINT) AS mtime_ms "
+        f"FROM documents WHERE {indexable(doc_path_sql())})"
+    )
+
+
+def docs_manifest_v2_cte(name: str = "man2") -> str:
+    content = f"CASE WHEN quality = 0 THEN text || chr(10) || '// revised' ELSE text END"
+    return (
+        f"d2 AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), "
+        f"{name}_all AS (SELECT '/corpus/' || source AS target_dir, {doc_path_sql()} AS path, "
+        f"CAST(strlen({content}) AS BIGINT) AS size_bytes, "
+        f"CAST(({BASE_EPOCH} + doc_id * 60 + CASE WHEN quality = 0 THEN {EDIT_SECONDS} ELSE 0 END) * 1000 AS BIGINT) AS mtime_ms "
+        f"FROM d2 WHERE coalesce(toxic, 0) = 0 "
+        f"UNION ALL SELECT '/corpus/bench', 'items/item_' || CAST(item_id AS VARCHAR) || '.ts', CAST(strlen(text) AS BIGINT), "
+        f"CAST(({BASE_EPOCH} + {EDIT_SECONDS} + item_id) * 1000 AS BIGINT) FROM benchmark), "
+        f"{name} AS (SELECT * FROM {name}_all WHERE {indexable()})"
+    )
+
+
+def code_v2_files_cte(name: str = "files") -> str:
+    extra = "(chr(10) || 'export function extra' || CAST(p_partkey AS VARCHAR) || '(): void {}' || chr(10))"
+    content = f"CASE WHEN p_size % 10 = 1 THEN {code_content_sql()} || {extra} ELSE {code_content_sql()} END"
+    return (
+        f"{name} AS (SELECT {code_target_sql()} AS target_dir, {code_path_sql()} AS path, {content} AS content, "
+        f"CAST(({BASE_EPOCH} + p_partkey * 60 + CASE WHEN p_size % 10 = 1 THEN {EDIT_SECONDS} ELSE 0 END) * 1000 AS BIGINT) AS mtime_ms, "
+        f"p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_size % 10 <> 9), "
+        f"{name}_sized AS (SELECT *, CAST(strlen(content) AS BIGINT) AS size_bytes FROM {name})"
+    )
+
+
+def code_manifest_cte(src: str, name: str, v2: bool = False) -> str:
+    mt = "mtime_ms" if v2 else f"CAST(({BASE_EPOCH} + p_partkey * 60) * 1000 AS BIGINT)"
+    return f"{name} AS (SELECT target_dir, path, size_bytes, {mt} AS mtime_ms FROM {src} WHERE {indexable()})"
+
+
+def fingerprint_cte(man: str, name: str) -> str:
+    lanes = " || '|' || ".join(
+        f"CAST(sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT) AS VARCHAR)" for i in range(4)
+    )
+    return (
+        f"{name}_h AS (SELECT target_dir, sha256(path || '|' || CAST(size_bytes AS VARCHAR) || '|' || CAST(mtime_ms AS VARCHAR)) AS h FROM {man}), "
+        f"{name} AS (SELECT target_dir, count(*) AS n_files, sha256('v1|' || target_dir || '|' || CAST(count(*) AS VARCHAR) || '|' || {lanes}) AS fingerprint "
+        f"FROM {name}_h GROUP BY target_dir)"
+    )

@@ -246,3 +246,63 @@ def file_measures(files: DataFrame) -> DataFrame:
         T.line_count("content").alias("total_lines"),
         T.token_estimate("content").alias("token_estimate"),
     )
+
+
+# ---------------------------------------------------------------------------
+# A second version of each corpus, derived from the same tables, so that
+# change detection and incremental refresh have real edits to find.
+# ---------------------------------------------------------------------------
+
+REVISION_NOTE = "\n// revised"
+EDIT_SECONDS = 86400
+
+
+def documents_corpus_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents corpus after edits: documents labelled toxic are deleted,
+    those labelled low quality are revised (text appended, mtime +1 day), and
+    every ``benchmark`` item is added as a new file of target ``/corpus/bench``."""
+    v1 = documents_corpus(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = v1.join(labels, "doc_id", "left").where(F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    revised = F.col("quality") == 0
+    content = F.when(revised, F.concat("content", F.lit(REVISION_NOTE))).otherwise(F.col("content"))
+    kept = j.select(
+        "target_dir", "path", content.alias("content"),
+        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        F.when(revised, F.col("mtime") + F.expr(f"INTERVAL {EDIT_SECONDS} SECONDS")).otherwise(F.col("mtime")).alias("mtime"),
+        "doc_id",
+    )
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    added = bench.select(
+        F.lit("/corpus/bench").alias("target_dir"),
+        F.concat(F.lit("items/item_"), F.col("item_id").cast("string"), F.lit(".ts")).alias("path"),
+        F.col("text").alias("content"),
+        F.octet_length("text").cast("bigint").alias("size_bytes"),
+        F.timestamp_seconds(F.lit(BASE_EPOCH + EDIT_SECONDS) + F.col("item_id")).alias("mtime"),
+        (-1 - F.col("item_id")).alias("doc_id"),
+    )
+    return kept.unionByName(added)
+
+
+def extra_function_sql() -> str:
+    return "(chr(10) || 'export function extra' || CAST(p_partkey AS STRING) || '(): void {}' || chr(10))"
+
+
+def code_corpus_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code corpus after edits: parts with ``p_size % 10 = 9`` are deleted,
+    those with ``p_size % 10 = 1`` gain one exported function (mtime +1 day)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = part.where(F.col("p_size") % 10 != 9)
+    edited = F.col("p_size") % 10 == 1
+    content = F.when(edited, F.concat(F.expr(code_content_sql()), F.expr(extra_function_sql()))).otherwise(
+        F.expr(code_content_sql())
+    )
+    return part.select(
+        F.expr(code_target_sql()).alias("target_dir"),
+        F.expr(code_path_sql()).alias("path"),
+        content.alias("content"),
+        F.octet_length(content).cast("bigint").alias("size_bytes"),
+        (F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("p_partkey") * 60)
+         + F.when(edited, F.expr(f"INTERVAL {EDIT_SECONDS} SECONDS")).otherwise(F.expr("INTERVAL 0 SECONDS"))).alias("mtime"),
+        "p_partkey",
+    )
