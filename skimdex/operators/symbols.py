@@ -83,86 +83,67 @@ def rebuilt_text(ws: Column, tok: Column, order: Column) -> Column:
     return F.trim(F.array_join(F.transform(parts, lambda x: F.concat(F.when(x["w"], F.lit(" ")).otherwise(F.lit("")), x["t"])), ""))
 
 
-def jsdoc(trivia: Column) -> Column:
-    """Text of the JSDoc blocks in a declaration's leading trivia, joined by a
-    space (tags and comment stars dropped), cut to 120, blank -> NULL."""
-    blocks = F.regexp_extract_all(trivia, F.lit(r"/\*\*([\s\S]*?)\*/"), 1)
-    cleaned = F.transform(
-        blocks,
-        lambda b: F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(b, r"(?m)^[ \t]*\*?[ \t]?", ""), r"(?s)(^|\n)\s*@.*$", ""),
-            r"^\s+|\s+$",
-            "",
-        ),
-    )
-    return T.blank_to_null(T.cut(F.array_join(cleaned, " "), T.DOCSTRING_CHARS))
-
-
 # ---------------------------------------------------------------------------
 # 1. declarations
 # ---------------------------------------------------------------------------
+# Token positions are consecutive within a file, so "the token after X" is
+# ``pos = X + 1``; each stage below is one ``select`` of window expressions
+# over the same partitioning and order (one Window operator, no re-sort).
 
 def declaration_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of exported declarations with their kind, name and markers."""
     fw = Window.partitionBy(*FILE_KEYS).orderBy("pos")
+    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
     t = tokens.withColumn(
-        "decl",
-        F.sum(((F.col("tok") == "export") & (F.col("lvl") == 0)).cast("int")).over(fw.rowsBetween(*RUNNING)),
+        "decl", F.sum(((tok == "export") & (lvl == 0)).cast("int")).over(fw.rowsBetween(*RUNNING))
     ).where(F.col("decl") > 0)
 
-    dw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
-    da = dw.rowsBetween(*UNBOUNDED)
-    tok, lvl, k = F.col("tok"), F.col("lvl"), F.col("k")
-    t = t.withColumn("k", F.row_number().over(dw))
-    t = t.withColumn("kind_k", _first((k >= 2) & ~tok.isin(DECL_MODIFIERS), "k", da))
-    t = t.withColumn("kind", _at("k", F.col("kind_k"), "tok", da)).withColumn(
-        "star", _at("k", F.col("kind_k") + 1, "tok", da) == "*"
-    )
+    da = Window.partitionBy(*DECL_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
+    t = t.select("*", F.min("pos").over(da).alias("start"),
+                 _first(~tok.isin(DECL_MODIFIERS + ["export"]), "pos", da).alias("kind_pos"))
+    kp = F.col("kind_pos")
+    t = t.select("*", _at("pos", kp, "tok", da).alias("kind"), _at("pos", kp + 1, "tok", da).alias("t1"),
+                 _at("pos", kp + 2, "tok", da).alias("t2"))
     t = t.where(F.col("kind").isin(list(KIND_RANK)))
-    t = t.withColumn("name_k", F.col("kind_k") + 1 + F.col("star").cast("int"))
-    t = t.withColumn("name_tok", _at("k", F.col("name_k"), "tok", da))
-    named = F.col("name_tok").rlike(IDENT_RE)
-    t = t.withColumn("after_k", F.col("name_k") + named.cast("int")).withColumn(
+    star = F.col("t1") == "*"
+    name_tok = F.when(star, F.col("t2")).otherwise(F.col("t1"))
+    named = name_tok.rlike(IDENT_RE)
+    t = t.withColumn("after_pos", kp + 1 + star.cast("int") + named.cast("int")).withColumn(
         "name",
-        F.when(named, F.col("name_tok"))
+        F.when(named, name_tok)
         .when(F.col("kind") == "function", F.lit(ANON_FUNCTION))
         .when(F.col("kind") == "class", F.lit(ANON_CLASS)),
+    ).drop("t1", "t2")
+    after = pos >= F.col("after_pos")
+    t = t.select(
+        "*",
+        _first(after & (lvl == 0) & (tok == "("), "pos", da).alias("lp"),
+        _first(after & (lvl == 0) & (tok == "{"), "pos", da).alias("lb"),
+        _first(after & (lvl == 0) & (tok == "="), "pos", da).alias("eq"),
+        F.max("pos").over(da).alias("last"),
     )
-    after = k >= F.col("after_k")
-    t = (
-        t.withColumn("lp", _first(after & (lvl == 0) & (tok == "("), "k", da))
-        .withColumn("lb", _first(after & (lvl == 0) & (tok == "{"), "k", da))
-        .withColumn("eq", _first(after & (lvl == 0) & (tok == "="), "k", da))
-        .withColumn("k_last", F.max("k").over(da))
+    t = t.select(
+        "*",
+        _first((pos > F.col("lp")) & (lvl == 0) & (tok == ")"), "pos", da).alias("rp"),
+        _first((pos > F.col("lb")) & (lvl == 0) & (tok == "}"), "pos", da).alias("rb"),
+        _first(
+            (pos > F.col("eq") + 1) & (lvl == 0) & ((tok == ";") | (F.col("nl") & tok.isin(STATEMENT_WORDS))), "pos", da
+        ).alias("t_end"),
     )
-    t = (
-        t.withColumn("rp", _first((k > F.col("lp")) & (lvl == 0) & (tok == ")"), "k", da))
-        .withColumn("rb", _first((k > F.col("lb")) & (lvl == 0) & (tok == "}"), "k", da))
-        .withColumn(
-            "t_end",
-            _first(
-                (k > F.col("eq") + 1) & (lvl == 0)
-                & ((tok == ";") | (F.col("nl") & tok.isin(STATEMENT_WORDS))),
-                "k",
-                da,
-            ),
-        )
-    )
-    t = (
-        t.withColumn(
-            "fb", _first((k > F.col("rp")) & (lvl == 0) & (tok == "{") & ~F.coalesce(F.col("prev"), F.lit("")).isin(CONTINUATION), "k", da)
-        )
-        .withColumn("fsemi", _first((k > F.col("rp")) & (lvl == 0) & (tok == ";"), "k", da))
-        .withColumn("has_ret", _at("k", F.col("rp") + 1, "tok", da) == ":")
+    prev = F.coalesce(F.col("prev"), F.lit(""))
+    return t.select(
+        "*",
+        _first((pos > F.col("rp")) & (lvl == 0) & (tok == "{") & ~prev.isin(CONTINUATION), "pos", da).alias("fb"),
+        _first((pos > F.col("rp")) & (lvl == 0) & (tok == ";"), "pos", da).alias("fsemi"),
+        (_at("pos", F.col("rp") + 1, "tok", da) == ":").alias("has_ret"),
     )
-    return t
 
 
 def declarations(decl_tokens: DataFrame) -> DataFrame:
     """One row per exported declaration: kind, name, position, docstring."""
-    return decl_tokens.where(F.col("k") == 1).select(
+    return decl_tokens.where(F.col("pos") == F.col("start")).select(
         *DECL_KEYS, F.col("pos").alias("decl_pos"), "kind", "name",
-        F.when(F.col("kind") == "function", jsdoc(F.col("trivia"))).alias("docstring"),
+        F.when(F.col("kind") == "function", F.col("doc")).alias("docstring"),
     )
 
 
@@ -175,34 +156,30 @@ def parameter_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
     ``base`` = depth of the list's own tokens. Returns ``keys + [params]``
     (``name: type`` joined by ``, ``)."""
     pw = Window.partitionBy(*keys).orderBy("pos")
-    tok, lvl = F.col("tok"), F.col("lvl")
-    r = rows.withColumn("ang", _angle_depth(tok, lvl == F.col("base"), pw))
-    sep = (tok == ",") & (lvl == F.col("base")) & (F.col("ang") == 0)
-    r = r.withColumn("pidx", F.sum(sep.cast("int")).over(pw.rowsBetween(*RUNNING))).where(~sep)
-    qw = Window.partitionBy(*keys, "pidx").orderBy("pos")
-    qa = qw.rowsBetween(*UNBOUNDED)
+    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
     top = lvl == F.col("base")
-    r = r.withColumn("pk", F.row_number().over(qw))
-    pk = F.col("pk")
-    r = (
-        r.withColumn("name_pk", _first(top & ~tok.isin(PARAM_MODIFIERS + ["..."]) & ~F.startswith(tok, F.lit("@")), "pk", qa))
-        .withColumn("colon_pk", _first(top & (tok == ":"), "pk", qa))
-        .withColumn("eq_pk", _first(top & (tok == "="), "pk", qa))
-        .withColumn("q_pk", _first(top & (tok == "?"), "pk", qa))
-        .withColumn("n_pk", F.max("pk").over(qa))
+    r = rows.select("*", _angle_depth(tok, top, pw).alias("p_ang"))
+    sep = (tok == ",") & top & (F.col("p_ang") == 0)
+    r = r.select("*", F.sum(sep.cast("int")).over(pw.rowsBetween(*RUNNING)).alias("pidx")).where(~sep)
+    qa = Window.partitionBy(*keys, "pidx").orderBy("pos").rowsBetween(*UNBOUNDED)
+    r = r.select(
+        "*",
+        _first(top & ~tok.isin(PARAM_MODIFIERS + ["..."]) & ~F.startswith(tok, F.lit("@")), "pos", qa).alias("name_pk"),
+        _first(top & (tok == ":"), "pos", qa).alias("colon_pk"),
+        _first(top & (tok == "="), "pos", qa).alias("eq_pk"),
+        _first(top & (tok == "?"), "pos", qa).alias("q_pk"),
+        F.max("pos").over(qa).alias("p_last"),
     )
-    big = F.col("n_pk") + 1
+    big = F.col("p_last") + 1
     name_end = F.least(F.coalesce("colon_pk", big), F.coalesce("eq_pk", big), F.coalesce("q_pk", big))
-    in_name = (pk >= F.col("name_pk")) & (pk < name_end)
-    in_type = F.col("colon_pk").isNotNull() & (pk > F.col("colon_pk")) & (pk < F.coalesce("eq_pk", big))
-    r = r.withColumn("in_name", in_name).withColumn("in_type", in_type).withColumn(
-        "is_default", F.col("eq_pk").isNotNull() & (pk == F.col("eq_pk") + 1)
-    ).withColumn("n_default", F.col("n_pk") - F.col("eq_pk"))
+    in_name = (pos >= F.col("name_pk")) & (pos < name_end)
+    in_type = F.col("colon_pk").isNotNull() & (pos > F.col("colon_pk")) & (pos < F.coalesce("eq_pk", big))
+    is_default = F.col("eq_pk").isNotNull() & (pos == F.col("eq_pk") + 1)
     per_param = r.groupBy(*keys, "pidx").agg(
-        rebuilt_text(F.col("ws") & ~F.col("in_name"), F.when(F.col("in_name"), tok), F.col("pos")).alias("pname"),
-        rebuilt_text(F.col("ws"), F.when(F.col("in_type"), tok), F.col("pos")).alias("ptype"),
-        F.max(F.when(F.col("is_default"), tok)).alias("dflt"),
-        F.max("n_default").alias("n_default"),
+        rebuilt_text(F.col("ws") & ~in_name, F.when(in_name, tok), pos).alias("pname"),
+        rebuilt_text(F.col("ws"), F.when(in_type, tok), pos).alias("ptype"),
+        F.max(F.when(is_default, tok)).alias("dflt"),
+        F.max(F.col("p_last") - F.col("eq_pk")).alias("n_default"),
         F.max(F.col("colon_pk").isNotNull().cast("int")).alias("typed"),
     )
     d = F.col("dflt")
@@ -225,46 +202,46 @@ def parameter_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def member_tokens(decl_tokens: DataFrame) -> DataFrame:
+    pos = F.col("pos")
     body = decl_tokens.where(
-        F.col("kind").isin("class", "interface", "enum") & (F.col("k") > F.col("lb")) & (F.col("k") < F.col("rb"))
-    ).select(*DECL_KEYS, "kind", "pos", "tok", "lvl", "ws", "nl", "prev", "k", "lb")
+        F.col("kind").isin("class", "interface", "enum") & (pos > F.col("lb")) & (pos < F.col("rb"))
+    ).select(*DECL_KEYS, "kind", "pos", "tok", "lvl", "ws", "nl", "prev", "nxt", "lb")
 
     dw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
     tok, lvl, kind = F.col("tok"), F.col("lvl"), F.col("kind")
-    body = body.withColumn("ang", _angle_depth(tok, lvl == 1, dw))
-    prev_lvl = F.coalesce(F.lag("lvl").over(dw), F.lit(1))
-    prev_ang = F.coalesce(F.lag("ang").over(dw), F.lit(0))
+    body = body.select("*", _angle_depth(tok, lvl == 1, dw).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl"))
+    body = body.select("*", F.lag("ang").over(dw).alias("prev_ang"))
     prev = F.coalesce(F.col("prev"), F.lit(""))
+    prev_lvl = F.coalesce(F.col("prev_lvl"), F.lit(1))
+    prev_ang = F.coalesce(F.col("prev_ang"), F.lit(0))
     # ',' separates enum members, and interface members outside generics.
     comma_sep = (prev == ",") & ((kind == "enum") | ((kind == "interface") & (prev_ang == 0)))
     start = (
         (lvl == 1) & (tok != "{")
         & (
-            (F.col("k") == F.col("lb") + 1)
+            (pos == F.col("lb") + 1)
             | ((prev.isin(";", "}") | comma_sep) & (prev_lvl == 1))
             | (F.col("nl") & ~prev.isin(CONTINUATION) & (kind != "enum"))
         )
     )
-    m = body.withColumn("is_start", start)
-    m = m.withColumn("member", F.sum(F.col("is_start").cast("int")).over(dw.rowsBetween(*RUNNING)))
-    mw = Window.partitionBy(*MEMBER_KEYS).orderBy("pos")
-    ma = mw.rowsBetween(*UNBOUNDED)
-    mk = F.col("mk")
-    m = m.withColumn("mk", F.row_number().over(mw)).withColumn("next_tok", F.lead("tok").over(mw))
-    accessor_kw = tok.isin("get", "set") & F.coalesce(F.col("next_tok"), F.lit("")).rlike(IDENT_RE) & (lvl == 1)
-    modifier = (tok.isin(MEMBER_MODIFIERS) & F.coalesce(F.col("next_tok"), F.lit("")).rlike(r"^[A-Za-z_$\[\"']")) | accessor_kw
-    m = m.withColumn("is_mod", modifier & (lvl == 1))
-    m = m.withColumn("name_mk", _first((lvl == 1) & ~F.col("is_mod"), "mk", ma))
-    before = mk < F.col("name_mk")
-    m = (
-        m.withColumn("scope", F.max(F.when(before & tok.isin(SCOPES), tok)).over(ma))
-        .withColumn("accessor", F.max(F.when(before & accessor_kw, F.lit(1))).over(ma))
-        .withColumn("mname", _at("mk", F.col("name_mk"), "tok", ma))
-        .withColumn("optional", _at("mk", F.col("name_mk") + 1, "tok", ma) == "?")
-        .withColumn("mp_open", _first((lvl == 1) & (tok == "(") & (mk > F.col("name_mk")), "mk", ma))
-        .withColumn("m_colon", _first((lvl == 1) & (tok == ":") & (mk > F.col("name_mk")), "mk", ma))
-        .withColumn("m_eq", _first((lvl == 1) & (tok == "=") & (mk > F.col("name_mk")), "mk", ma))
-        .withColumn("m_last", F.max("mk").over(ma))
+    m = body.select("*", F.sum(start.cast("int")).over(dw.rowsBetween(*RUNNING)).alias("member"))
+    ma = Window.partitionBy(*MEMBER_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
+    nxt = F.coalesce(F.col("nxt"), F.lit(""))
+    accessor_kw = (lvl == 1) & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
+    is_mod = (lvl == 1) & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"']")) | accessor_kw)
+    m = m.select("*", F.min("pos").over(ma).alias("mstart"), _first((lvl == 1) & ~is_mod, "pos", ma).alias("name_pos"))
+    before = pos < F.col("name_pos")
+    after_name = pos > F.col("name_pos")
+    m = m.select(
+        "*",
+        F.max(F.when(before & tok.isin(SCOPES), tok)).over(ma).alias("scope"),
+        F.max(F.when(before & accessor_kw, F.lit(1))).over(ma).alias("accessor"),
+        _at("pos", F.col("name_pos"), "tok", ma).alias("mname"),
+        (_at("pos", F.col("name_pos") + 1, "tok", ma) == "?").alias("optional"),
+        _first((lvl == 1) & (tok == "(") & after_name, "pos", ma).alias("mp_open"),
+        _first((lvl == 1) & (tok == ":") & after_name, "pos", ma).alias("m_colon"),
+        _first((lvl == 1) & (tok == "=") & after_name, "pos", ma).alias("m_eq"),
+        F.max("pos").over(ma).alias("m_last"),
     )
     big = F.col("m_last") + 1
     is_method = (
@@ -272,33 +249,27 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
         & (F.col("mp_open") < F.coalesce("m_colon", big))
         & (F.col("mp_open") < F.coalesce("m_eq", big))
     )
-    m = m.withColumn("is_method", is_method)
-    m = m.withColumn("mp_close", _first((lvl == 1) & (tok == ")") & (mk > F.col("mp_open")), "mk", ma))
-    m = (
-        m.withColumn("m_ret", _at("mk", F.col("mp_close") + 1, "tok", ma) == ":")
-        .withColumn(
-            "m_body",
-            _first((lvl == 1) & (tok == "{") & (mk > F.col("mp_close")) & ~F.coalesce(F.col("prev"), F.lit("")).isin(CONTINUATION), "mk", ma),
-        )
-        .withColumn(
-            "m_stop",
-            _first(
-                (lvl == 1) & ((tok == ";") | ((tok == ",") & (F.col("ang") == 0)))
-                & (mk > F.coalesce("mp_close", "m_colon", F.lit(0))),
-                "mk",
-                ma,
-            ),
-        )
+    m = m.select("*", is_method.alias("is_method"),
+                 _first((lvl == 1) & (tok == ")") & (pos > F.col("mp_open")), "pos", ma).alias("mp_close"))
+    return m.select(
+        "*",
+        (_at("pos", F.col("mp_close") + 1, "tok", ma) == ":").alias("m_ret"),
+        _first((lvl == 1) & (tok == "{") & (pos > F.col("mp_close")) & ~prev.isin(CONTINUATION), "pos", ma).alias("m_body"),
+        _first(
+            (lvl == 1) & ((tok == ";") | ((tok == ",") & (F.col("ang") == 0)))
+            & (pos > F.coalesce("mp_close", "m_colon", F.lit(0))),
+            "pos",
+            ma,
+        ).alias("m_stop"),
     )
-    return m
 
 
 def member_rows(m: DataFrame) -> DataFrame:
     """One row per member: kind-specific fields, before texts are joined in."""
-    return m.where(F.col("mk") == 1).select(
+    return m.where(F.col("pos") == F.col("mstart")).select(
         *MEMBER_KEYS, "kind", F.col("pos").alias("member_pos"), "mname", "scope", "accessor",
         "optional", "is_method", F.col("tok").alias("first_tok"),
-        "name_mk", "m_colon", "m_eq",
+        "name_pos", "m_colon", "m_eq",
     )
 
 
@@ -316,21 +287,21 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
     # the window stages per output (recomputed from lineage if an executor is lost).
     dt = declaration_tokens(tokens).persist(StorageLevel.MEMORY_AND_DISK)
     decls = declarations(dt)
-    k = F.col("k")
+    k = F.col("pos")
 
     fn = dt.where(F.col("kind") == "function")
     fn_params = parameter_texts(
         fn.where((k > F.col("lp")) & (k < F.col("rp"))).withColumn("base", F.lit(1)), DECL_KEYS
     )
-    ret_end = F.least(F.coalesce("fb", F.col("k_last") + 1), F.coalesce("fsemi", F.col("k_last") + 1))
+    ret_end = F.least(F.coalesce("fb", F.col("last") + 1), F.coalesce("fsemi", F.col("last") + 1))
     fn_ret = _texts(fn, DECL_KEYS, F.col("has_ret") & (k > F.col("rp") + 1) & (k < ret_end), "return_type")
 
     ty = dt.where(F.col("kind") == "type")
-    type_text = _texts(ty, DECL_KEYS, (k > F.col("eq")) & (k < F.coalesce("t_end", F.col("k_last") + 1)), "type_text")
+    type_text = _texts(ty, DECL_KEYS, (k > F.col("eq")) & (k < F.coalesce("t_end", F.col("last") + 1)), "type_text")
 
     m = member_tokens(dt).persist(StorageLevel.MEMORY_AND_DISK)
     members = member_rows(m)
-    mk = F.col("mk")
+    mk = F.col("pos")
     meth = m.where(F.col("is_method"))
     m_params = parameter_texts(
         meth.where((mk > F.col("mp_open")) & (mk < F.col("mp_close"))).withColumn("base", F.lit(2)), MEMBER_KEYS
@@ -401,7 +372,7 @@ def interface_properties(x: dict[str, DataFrame]) -> DataFrame:
     """All properties of exported interfaces, numbered in source order."""
     mem = x["members"].where(
         (F.col("kind") == "interface") & ~F.col("is_method") & F.col("mname").rlike(r"^([A-Za-z_$][A-Za-z0-9_$]*|\"[^\"]*\"|'[^']*')$")
-        & F.col("m_colon").isNotNull() & (F.col("m_colon") == F.col("name_mk") + 1 + F.col("optional").cast("int"))
+        & F.col("m_colon").isNotNull() & (F.col("m_colon") == F.col("name_pos") + 1 + F.col("optional").cast("int"))
     )
     mem = mem.join(x["property_types"], MEMBER_KEYS, "left")
     w = Window.partitionBy(*DECL_KEYS).orderBy("member_pos")

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skimdex.functions import text as T
+
 # The lexical grammar (RE2/Java compatible).
 ESCAPE_MASK = '\\\\["\'`\\\\]'
 TRIVIA_RE = r"(\s*(?:(?://[^\n]*|/\*[\s\S]*?\*/)\s*)*)"
@@ -32,6 +34,21 @@ CLOSERS = ["}", ")", "]"]
 FILE_KEYS = ["target_dir", "path"]
 
 
+def jsdoc(trivia: Column) -> Column:
+    """Text of the JSDoc blocks in a declaration's leading trivia, joined by a
+    space (tags and comment stars dropped), cut to 120, blank -> NULL."""
+    blocks = F.regexp_extract_all(trivia, F.lit(r"/\*\*([\s\S]*?)\*/"), 1)
+    cleaned = F.transform(
+        blocks,
+        lambda b: F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(b, r"(?m)^[ \t]*\*?[ \t]?", ""), r"(?s)(^|\n)\s*@.*$", ""),
+            r"^\s+|\s+$",
+            "",
+        ),
+    )
+    return T.blank_to_null(T.cut(F.array_join(cleaned, " "), T.DOCSTRING_CHARS))
+
+
 def masked(content: Column | str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
     return F.regexp_replace(c, F.lit(ESCAPE_MASK), F.lit("__"))
@@ -52,17 +69,25 @@ def explode_tokens(files: DataFrame) -> DataFrame:
         F.col("t.tok").alias("tok"),
         (F.col("t.trivia") != "").alias("ws"),
         F.contains(F.col("t.trivia"), F.lit("\n")).alias("nl"),
-        F.col("t.trivia").alias("trivia"),
+        # Leading comments matter only before ``export`` (JSDoc of the
+        # declaration); the trivia text itself is not carried further.
+        F.when(F.col("t.tok") == "export", jsdoc(F.col("t.trivia"))).alias("doc"),
     )
 
 
 def with_depth(tokens: DataFrame) -> DataFrame:
-    """Adds ``lvl`` (bracket depth of the token) and ``prev`` (previous code token)."""
+    """Adds ``lvl`` (bracket depth of the token), ``prev`` and ``nxt`` (the
+    neighbouring code tokens)."""
     w = Window.partitionBy(*FILE_KEYS).orderBy("pos")
     is_open = F.col("tok").isin(OPENERS).cast("int")
     is_close = F.col("tok").isin(CLOSERS).cast("int")
     running = F.sum(is_open - is_close).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return tokens.withColumn("lvl", (running - is_open).cast("int")).withColumn("prev", F.lag("tok").over(w))
+    return tokens.select(
+        "*",
+        (running - is_open).cast("int").alias("lvl"),
+        F.lag("tok").over(w).alias("prev"),
+        F.lead("tok").over(w).alias("nxt"),
+    )
 
 
 def by_file(files: DataFrame) -> DataFrame:

@@ -481,16 +481,18 @@ def q_mock_reads(spark, sf):
     return _mock_reads(files, entries)
 
 
-@query(
-    "session_budget",
-    f"{_GK}, {_MOCK_SQL}, rd AS (SELECT target_dir, count(*) AS n, sum({S.tokens('content')}) AS t FROM mock GROUP BY target_dir), "
-    f"nv AS (SELECT target_dir, sum({S.tokens('content')}) AS naive FROM files_sized WHERE {S.naive_scope()} GROUP BY target_dir) "
-    "SELECT nv.target_dir, CAST(coalesce(t.files_indexed, 0) AS BIGINT) AS files_indexed, CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens, "
+_SB_CTES = (
+    f"{_MOCK_SQL}, rd AS (SELECT target_dir, count(*) AS n, sum({S.tokens('content')}) AS t FROM mock GROUP BY target_dir), "
+    f"nv AS (SELECT target_dir, sum({S.tokens('content')}) AS naive FROM files_sized WHERE {S.naive_scope()} GROUP BY target_dir), "
+    "sb AS (SELECT nv.target_dir, CAST(coalesce(t.files_indexed, 0) AS BIGINT) AS files_indexed, CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens, "
     "CAST(coalesce(rd.n, 0) AS BIGINT) AS files_read_on_demand, CAST(coalesce(rd.t, 0) AS BIGINT) AS file_tokens, "
     "CAST(nv.naive AS BIGINT) AS naive_tokens, CAST(coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0) AS BIGINT) AS total_session_tokens, "
     "CASE WHEN coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0) > 0 THEN round(nv.naive / (coalesce(t.skeleton_tokens, 0) + coalesce(rd.t, 0)), 2) END AS reduction "
-    "FROM nv LEFT JOIN totals t ON nv.target_dir = t.target_dir LEFT JOIN rd ON nv.target_dir = rd.target_dir",
+    "FROM nv LEFT JOIN totals t ON nv.target_dir = t.target_dir LEFT JOIN rd ON nv.target_dir = rd.target_dir)"
 )
+
+
+@query("session_budget", f"{_GK}, {_SB_CTES} SELECT * FROM sb")
 def q_session_budget(spark, sf):
     files, _, _, entries = _skeleton(spark, sf)
     totals = K.corpus_totals(K.skeleton_text(entries))
@@ -671,3 +673,122 @@ def q_snapshot_fresh(spark, sf):
     return SN.freshness(ev, "set_at", F.lit(AS_OF).cast("timestamp_ntz")).select(
         "user_id", "event_type", "set_at", "expires_at", "fresh"
     )
+
+
+# --------------------------------------------------------------------------
+# budget log (JSON sink and source) and the two streams
+# --------------------------------------------------------------------------
+
+from skimdex.sources import budget_log as BL  # noqa: E402
+from skimdex.streaming import reads as SR  # noqa: E402
+from skimdex.streaming import upkeep as SU  # noqa: E402
+
+
+def _g_budget(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    totals = K.corpus_totals(K.skeleton_text(entries))
+    return files, budget.session_budget(totals, _mock_reads(files, entries), budget.naive_tokens(files))
+
+
+def _g_log_records(spark, sf):
+    files, sb = _g_budget(spark, sf)
+    cache = SN.match_snapshots(SN.fingerprints(SN.file_manifest(files)), spark.createDataFrame([], "target_dir string, version int, fingerprint string"))
+    return BL.log_records(sb, _as_of(), BL.MODE_MOCK, cache=cache)
+
+
+_LOG_COLS = ", ".join(BL.LOG_COLUMNS)
+_G_LOG_SQL = (
+    f"glog AS (SELECT TIMESTAMP '{AS_OF}' AS ts, target_dir, files_indexed, skeleton_tokens, naive_tokens, total_session_tokens, "
+    "files_read_on_demand, file_tokens, true AS index_cache_enabled, false AS index_cache_hit, left(sha256(target_dir), 16) || '.json' AS index_cache_file, "
+    f"'{BL.DEFAULT_QUESTION}' AS question, '{BL.MODE_MOCK}' AS mode FROM sb)"
+)
+
+
+@query("budget_log_append", f"{_GK}, {_SB_CTES}, {_G_LOG_SQL} SELECT {_LOG_COLS} FROM glog")
+def q_budget_log_append(spark, sf):
+    log_dir = scratch_path(spark, "budget-log")
+    BL.append_log(_g_log_records(spark, sf), log_dir)
+    return BL.read_log(spark, log_dir)
+
+
+def _old_log_sql() -> str:
+    return (
+        f"WITH {S.docs_files_cte()} SELECT TIMESTAMP '{AS_OF}' AS ts, target_dir, CAST(0 AS BIGINT) AS files_indexed, "
+        "CAST(0 AS BIGINT) AS skeleton_tokens, CAST(sum(" + S.tokens("content") + ") AS BIGINT) AS naive_tokens, CAST(0 AS BIGINT) AS total_session_tokens, "
+        "CAST(0 AS BIGINT) AS files_read_on_demand, CAST(0 AS BIGINT) AS file_tokens, CAST(NULL AS BOOLEAN) AS index_cache_enabled, "
+        "CAST(NULL AS BOOLEAN) AS index_cache_hit, CAST(NULL AS VARCHAR) AS index_cache_file, "
+        f"'{BL.DEFAULT_QUESTION}' AS question, '{BL.MODE_HANDOFF}' AS mode FROM files WHERE {S.naive_scope()} GROUP BY target_dir"
+    )
+
+
+@query(
+    "budget_log_read",
+    f"SELECT * FROM ({_old_log_sql()}) UNION ALL SELECT * FROM ({_GK}, {_SB_CTES}, {_G_LOG_SQL} SELECT {_LOG_COLS} FROM glog)",
+)
+def q_budget_log_read(spark, sf):
+    """A log holding records of the old shape (no cache fields: handoff runs
+    over the documents corpus) and of the new shape (mock runs over the code
+    corpus), read back with the explicit nullable schema."""
+    log_dir = scratch_path(spark, "budget-log")
+    naive = budget.naive_tokens(_docs(spark, sf))
+    zeros = naive.select(
+        "target_dir", F.lit(0).alias("files_indexed"), F.lit(0).alias("skeleton_tokens"), "naive_tokens",
+        F.lit(0).alias("total_session_tokens"), F.lit(0).alias("files_read_on_demand"), F.lit(0).alias("file_tokens"),
+    )
+    BL.append_log(BL.log_records(zeros, _as_of(), BL.MODE_HANDOFF), log_dir)
+    BL.append_log(_g_log_records(spark, sf), log_dir)
+    return BL.read_log(spark, log_dir)
+
+
+_STREAM_READS_SQL = (
+    f"WITH {S.docs_files_cte()}, {S.payloads_cte()}, {_COERCE_SQL}, {_VALIDATE_SQL}, "
+    "req AS (SELECT request_id, session_id, path, base_dir, max_lines, symbols_only, line_start, line_end FROM validated WHERE error_code IS NULL), "
+    f"{_READS_SQL} SELECT {_READ_COLS}, session_id FROM reads UNION ALL "
+    "SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, CAST(error_code AS INT), error, session_id FROM validated WHERE error_code IS NOT NULL"
+)
+
+
+@query("stream_read_requests", _STREAM_READS_SQL)
+def q_stream_read_requests(spark, sf):
+    """Payloads land as parquet files; a file-source stream (available-now
+    trigger, two files per micro-batch) answers them into a parquet sink."""
+    base = scratch_path(spark, "stream-reads")
+    R.request_payloads(spark, sf).repartition(4).write.parquet(f"{base}/in")
+    q = SR.start(spark, f"{base}/in", _docs(spark, sf), f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*SR.STREAM_COLUMNS)
+
+
+def _v2_expected_sql() -> str:
+    return (
+        f"{_G}, e2 AS (SELECT e.*, g.p_size, g.p_partkey FROM expected e JOIN g ON e.target_dir = g.target_dir AND e.path = g.path), "
+        "v2 AS (SELECT target_dir, path, CAST(CASE WHEN p_size % 10 = 1 AND ord >= 2 THEN ord + 1 ELSE ord END AS INT) AS ord, kind, name, params, "
+        "return_type, docstring FROM e2 WHERE p_size % 10 <> 9 UNION ALL SELECT target_dir, path, 2, 'function', "
+        "'extra' || CAST(p_partkey AS VARCHAR), '', 'void', NULL FROM g WHERE p_size % 10 = 1) "
+    )
+
+
+@query("stream_index_upkeep", _v2_expected_sql() + "SELECT target_dir, path, ord, kind, name, params, return_type, docstring FROM v2")
+def q_stream_index_upkeep(spark, sf):
+    """Index v1 of the code corpus, then stream the v1 -> v2 file changes
+    (edits and deletions, plus stale copies that must be ignored) into it."""
+    store = _written_store(spark, sf, "upkeep")
+    v1, v2 = SN.file_manifest(_code(spark, sf)), C.code_corpus_v2(spark, sf)
+    changed = SN.diff(v1, SN.file_manifest(v2)).where(F.col("status") != "unchanged")
+    edits = v2.join(changed, ["target_dir", "path"], "left_semi").select(
+        "target_dir", "path", "content", "size_bytes", "mtime", F.lit(False).alias("deleted")
+    )
+    gone = _code(spark, sf).join(changed.where(F.col("status") == "removed"), ["target_dir", "path"], "left_semi").select(
+        "target_dir", "path", F.lit(None).cast("string").alias("content"), F.lit(None).cast("bigint").alias("size_bytes"),
+        "mtime", F.lit(True).alias("deleted"),
+    )
+    stale = edits.select(
+        "target_dir", "path", F.lit("export function stale(): void {}").alias("content"), F.lit(33).cast("bigint").alias("size_bytes"),
+        (F.col("mtime") - F.expr(f"INTERVAL {2 * C.EDIT_SECONDS} SECONDS")).alias("mtime"), F.lit(False).alias("deleted"),
+    )
+    base = scratch_path(spark, "stream-upkeep")
+    edits.unionByName(gone).coalesce(1).write.parquet(f"{base}/in/a")
+    stale.coalesce(1).write.mode("append").parquet(f"{base}/in/a")
+    q = SU.start(spark, f"{base}/in/a", store, _extract_fn, f"{base}/chk", _as_of(), max_files_per_trigger=1)
+    q.awaitTermination()
+    return store.symbols().select(*Y.SYMBOL_COLUMNS)
