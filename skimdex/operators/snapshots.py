@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skimdex.functions import paths as P
-from skimdex.session import shared_dir
+from skimdex.session import materialize
 from skimdex.operators.symbols import SYMBOL_COLUMNS
 
 # Fixed values of the reference behaviour.
@@ -219,8 +219,7 @@ class SnapshotStore:
         )
         # Materialise the decision before the store is written: a plan that
         # reads the store would otherwise be re-run against the new files.
-        shared_dir(self.spark)
-        st = st.withColumn("hit", hit).checkpoint()
+        st = materialize(st.withColumn("hit", hit), "refresh-status")
         miss = st.where(~F.col("hit")).select("target_id", "target_dir", "fingerprint")
 
         stored = self.entries(miss) if not force else None
@@ -230,7 +229,7 @@ class SnapshotStore:
             changes = diff(old_man, new_man)
         else:
             changes = new_man.select("target_dir", "path", F.lit("added").alias("status"))
-        changes = changes.checkpoint()
+        changes = materialize(changes, "refresh-changes")
         todo = changes.where(F.col("status").isin("added", "changed")).select("target_dir", "path")
         to_extract = files.join(todo, ["target_dir", "path"], "left_semi")
         # Every file keeps a stat row (symbol columns NULL when it exports

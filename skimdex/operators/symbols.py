@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from skimdex.functions import paths as P
 from skimdex.functions import text as T
-from skimdex.operators.tokens import FILE_KEYS, code_tokens
+from skimdex.operators.tokens import FILE_KEYS, code_tokens, prune_bodies
+from skimdex.session import materialize
 
 # Fixed values of the reference behaviour.
 KIND_RANK = {"function": 1, "class": 2, "interface": 3, "type": 4, "enum": 5}
@@ -91,7 +92,13 @@ def rebuilt_text(ws: Column, tok: Column, order: Column) -> Column:
 # over the same partitioning and order (one Window operator, no re-sort).
 
 def declaration_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens of exported declarations with their kind, name and markers."""
+    """Tokens of exported declarations with their kind, name and markers.
+
+    Three window stages over the declaration: (1) kind and name are the 1st
+    to 3rd tokens after ``export`` that are not modifiers; (2) the first
+    depth-0 ``(``, ``{`` and ``=`` after the name; (3) what follows them --
+    between a ``(`` and its ``)`` every token is deeper, so "the first depth-0
+    X after ``(``" needs no ``)`` marker first."""
     fw = Window.partitionBy(*FILE_KEYS).orderBy("pos")
     tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
     t = tokens.withColumn(
@@ -99,44 +106,44 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
     ).where(F.col("decl") > 0)
 
     da = Window.partitionBy(*DECL_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
-    t = t.select("*", F.min("pos").over(da).alias("start"),
-                 _first(~tok.isin(DECL_MODIFIERS + ["export"]), "pos", da).alias("kind_pos"))
-    kp = F.col("kind_pos")
-    t = t.select("*", _at("pos", kp, "tok", da).alias("kind"), _at("pos", kp + 1, "tok", da).alias("t1"),
-                 _at("pos", kp + 2, "tok", da).alias("t2"))
-    t = t.where(F.col("kind").isin(list(KIND_RANK)))
-    star = F.col("t1") == "*"
-    name_tok = F.when(star, F.col("t2")).otherwise(F.col("t1"))
+    cand = ~tok.isin(DECL_MODIFIERS + ["export"])
+    t = t.select(
+        "*",
+        F.min("pos").over(da).alias("start"),
+        F.max("pos").over(da).alias("last"),
+        *[F.nth_value(F.when(cand, tok), i + 1, True).over(da).alias(f"c{i}") for i in range(3)],
+        F.nth_value(F.when(cand, pos), 1, True).over(da).alias("kind_pos"),
+    )
+    t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(list(KIND_RANK)))
+    star = F.col("c1") == "*"
+    name_tok = F.when(star, F.col("c2")).otherwise(F.col("c1"))
     named = name_tok.rlike(IDENT_RE)
-    t = t.withColumn("after_pos", kp + 1 + star.cast("int") + named.cast("int")).withColumn(
+    t = t.withColumn("after_pos", F.col("kind_pos") + 1 + star.cast("int") + named.cast("int")).withColumn(
         "name",
         F.when(named, name_tok)
         .when(F.col("kind") == "function", F.lit(ANON_FUNCTION))
         .when(F.col("kind") == "class", F.lit(ANON_CLASS)),
-    ).drop("t1", "t2")
+    ).drop("c1", "c2")
     after = pos >= F.col("after_pos")
     t = t.select(
         "*",
         _first(after & (lvl == 0) & (tok == "("), "pos", da).alias("lp"),
         _first(after & (lvl == 0) & (tok == "{"), "pos", da).alias("lb"),
         _first(after & (lvl == 0) & (tok == "="), "pos", da).alias("eq"),
-        F.max("pos").over(da).alias("last"),
     )
-    t = t.select(
+    prev = F.coalesce(F.col("prev"), F.lit(""))
+    past_lp = (pos > F.col("lp")) & (lvl == 0)
+    return t.select(
         "*",
-        _first((pos > F.col("lp")) & (lvl == 0) & (tok == ")"), "pos", da).alias("rp"),
+        _first(past_lp & (tok == ")"), "pos", da).alias("rp"),
+        (F.nth_value(F.when(past_lp, tok), 2, True).over(da) == ":").alias("has_ret"),
+        _first(past_lp & (tok == "{") & ~prev.isin(CONTINUATION), "pos", da).alias("fb"),
+        _first(past_lp & (tok == ";"), "pos", da).alias("fsemi"),
         _first((pos > F.col("lb")) & (lvl == 0) & (tok == "}"), "pos", da).alias("rb"),
         _first(
             (pos > F.col("eq") + 1) & (lvl == 0) & ((tok == ";") | (F.col("nl") & tok.isin(STATEMENT_WORDS))), "pos", da
         ).alias("t_end"),
     )
-    prev = F.coalesce(F.col("prev"), F.lit(""))
-    return t.select(
-        "*",
-        _first((pos > F.col("rp")) & (lvl == 0) & (tok == "{") & ~prev.isin(CONTINUATION), "pos", da).alias("fb"),
-        _first((pos > F.col("rp")) & (lvl == 0) & (tok == ";"), "pos", da).alias("fsemi"),
-        (_at("pos", F.col("rp") + 1, "tok", da) == ":").alias("has_ret"),
-    )
 
 
 def declarations(decl_tokens: DataFrame) -> DataFrame:
@@ -202,6 +209,9 @@ def parameter_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def member_tokens(decl_tokens: DataFrame) -> DataFrame:
+    """Body tokens of classes, interfaces and enums, numbered by member and
+    classified. Two stages over the declaration (generic depth, member
+    number), then two over the member (name and markers; what follows them)."""
     pos = F.col("pos")
     body = decl_tokens.where(
         F.col("kind").isin("class", "interface", "enum") & (pos > F.col("lb")) & (pos < F.col("rb"))
@@ -209,11 +219,13 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
 
     dw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
     tok, lvl, kind = F.col("tok"), F.col("lvl"), F.col("kind")
-    body = body.select("*", _angle_depth(tok, lvl == 1, dw).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl"))
-    body = body.select("*", F.lag("ang").over(dw).alias("prev_ang"))
+    ang_delta = F.when((lvl == 1) & (tok == "<"), 1).when((lvl == 1) & (tok == ">"), -1).otherwise(0)
+    body = body.select(
+        "*", F.sum(ang_delta).over(dw.rowsBetween(*RUNNING)).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl")
+    )
     prev = F.coalesce(F.col("prev"), F.lit(""))
     prev_lvl = F.coalesce(F.col("prev_lvl"), F.lit(1))
-    prev_ang = F.coalesce(F.col("prev_ang"), F.lit(0))
+    prev_ang = F.col("ang") - ang_delta   # generic depth after the previous token
     # ',' separates enum members, and interface members outside generics.
     comma_sep = (prev == ",") & ((kind == "enum") | ((kind == "interface") & (prev_ang == 0)))
     start = (
@@ -227,21 +239,22 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     m = body.select("*", F.sum(start.cast("int")).over(dw.rowsBetween(*RUNNING)).alias("member"))
     ma = Window.partitionBy(*MEMBER_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
     nxt = F.coalesce(F.col("nxt"), F.lit(""))
-    accessor_kw = (lvl == 1) & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
-    is_mod = (lvl == 1) & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"']")) | accessor_kw)
-    m = m.select("*", F.min("pos").over(ma).alias("mstart"), _first((lvl == 1) & ~is_mod, "pos", ma).alias("name_pos"))
-    before = pos < F.col("name_pos")
-    after_name = pos > F.col("name_pos")
+    top = lvl == 1
+    accessor_kw = top & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
+    is_mod = top & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"']")) | accessor_kw)
+    word = top & ~is_mod
     m = m.select(
         "*",
-        F.max(F.when(before & tok.isin(SCOPES), tok)).over(ma).alias("scope"),
-        F.max(F.when(before & accessor_kw, F.lit(1))).over(ma).alias("accessor"),
-        _at("pos", F.col("name_pos"), "tok", ma).alias("mname"),
-        (_at("pos", F.col("name_pos") + 1, "tok", ma) == "?").alias("optional"),
-        _first((lvl == 1) & (tok == "(") & after_name, "pos", ma).alias("mp_open"),
-        _first((lvl == 1) & (tok == ":") & after_name, "pos", ma).alias("m_colon"),
-        _first((lvl == 1) & (tok == "=") & after_name, "pos", ma).alias("m_eq"),
+        F.min("pos").over(ma).alias("mstart"),
         F.max("pos").over(ma).alias("m_last"),
+        F.nth_value(F.when(word, pos), 1, True).over(ma).alias("name_pos"),
+        F.nth_value(F.when(word, tok), 1, True).over(ma).alias("mname"),
+        (F.nth_value(F.when(word, tok), 2, True).over(ma) == "?").alias("optional"),
+        F.max(F.when(is_mod & tok.isin(SCOPES), tok)).over(ma).alias("scope"),
+        F.max(F.when(accessor_kw, F.lit(1))).over(ma).alias("accessor"),
+        _first(word & (tok == "("), "pos", ma).alias("mp_open"),
+        _first(word & (tok == ":"), "pos", ma).alias("m_colon"),
+        _first(word & (tok == "="), "pos", ma).alias("m_eq"),
     )
     big = F.col("m_last") + 1
     is_method = (
@@ -249,15 +262,16 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
         & (F.col("mp_open") < F.coalesce("m_colon", big))
         & (F.col("mp_open") < F.coalesce("m_eq", big))
     )
-    m = m.select("*", is_method.alias("is_method"),
-                 _first((lvl == 1) & (tok == ")") & (pos > F.col("mp_open")), "pos", ma).alias("mp_close"))
+    past = top & (pos > F.col("mp_open"))
     return m.select(
         "*",
-        (_at("pos", F.col("mp_close") + 1, "tok", ma) == ":").alias("m_ret"),
-        _first((lvl == 1) & (tok == "{") & (pos > F.col("mp_close")) & ~prev.isin(CONTINUATION), "pos", ma).alias("m_body"),
+        is_method.alias("is_method"),
+        _first(past & (tok == ")"), "pos", ma).alias("mp_close"),
+        (F.nth_value(F.when(past, tok), 2, True).over(ma) == ":").alias("m_ret"),
+        _first(past & (tok == "{") & ~prev.isin(CONTINUATION), "pos", ma).alias("m_body"),
         _first(
-            (lvl == 1) & ((tok == ";") | ((tok == ",") & (F.col("ang") == 0)))
-            & (pos > F.coalesce("mp_close", "m_colon", F.lit(0))),
+            top & ((tok == ";") | ((tok == ",") & (F.col("ang") == 0)))
+            & (pos > F.coalesce("mp_open", "m_colon", F.lit(0))),
             "pos",
             ma,
         ).alias("m_stop"),
@@ -312,10 +326,30 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
     prop_end = F.coalesce("m_stop", F.col("m_last") + 1)
     p_type = _texts(props, MEMBER_KEYS, F.col("m_colon").isNotNull() & (mk > F.col("m_colon")) & (mk < prop_end), "p_type")
 
+    # One row per declaration and one per member, each written once: every
+    # consumer below reads these two small tables instead of re-expanding the
+    # token-table subtrees (dozens of scans). They are written to the shared
+    # folder (lineage cut, survives executor loss).
+    decl_info = (
+        decls.join(fn_params, DECL_KEYS, "left").join(fn_ret, DECL_KEYS, "left").join(type_text, DECL_KEYS, "left")
+    )
+    decl_info = materialize(decl_info, "decl-info")
+    member_info = (
+        members.join(m_params, MEMBER_KEYS, "left").join(m_ret, MEMBER_KEYS, "left").join(p_type, MEMBER_KEYS, "left")
+    )
+    member_info = materialize(member_info, "member-info")
+    m.unpersist()
+    dt.unpersist()
+    has = lambda c: F.col(c).isNotNull()
     return {
-        "decl_tokens": dt, "declarations": decls, "fn_params": fn_params, "fn_return": fn_ret,
-        "type_text": type_text, "member_tokens": m, "members": members, "method_params": m_params,
-        "method_return": m_ret, "property_types": p_type,
+        "declarations": decl_info.select(*DECL_KEYS, "decl_pos", "kind", "name", "docstring"),
+        "fn_params": decl_info.where(has("params")).select(*DECL_KEYS, "params"),
+        "fn_return": decl_info.where(has("return_type")).select(*DECL_KEYS, "return_type"),
+        "type_text": decl_info.where(has("type_text")).select(*DECL_KEYS, "type_text"),
+        "members": member_info.select(*[c for c in member_info.columns if c not in ("params", "m_return", "p_type")]),
+        "method_params": member_info.where(has("params")).select(*MEMBER_KEYS, "params"),
+        "method_return": member_info.where(has("m_return")).select(*MEMBER_KEYS, "m_return"),
+        "property_types": member_info.where(has("p_type")).select(*MEMBER_KEYS, "p_type"),
     }
 
 
@@ -438,7 +472,12 @@ def source_candidates(files: DataFrame) -> DataFrame:
     return files.where(P.indexable("path") & F.contains("content", F.lit("export")))
 
 
+def signature_tokens(files: DataFrame) -> DataFrame:
+    """Token table of the candidate files, body interiors pruned."""
+    return prune_bodies(code_tokens(files))
+
+
 def extract_symbols(files: DataFrame, indexable_only: bool = True) -> DataFrame:
     """``files(target_dir, path, content)`` -> ``symbols`` (SYMBOL_COLUMNS)."""
     src = source_candidates(files) if indexable_only else files.where(F.contains("content", F.lit("export")))
-    return symbols_from(extract(code_tokens(src)))
+    return symbols_from(extract(signature_tokens(src)))

@@ -90,6 +90,41 @@ def with_depth(tokens: DataFrame) -> DataFrame:
     )
 
 
+# Grammar words that open a top-level declaration (used to tell a function
+# body from a class / interface / enum body) and tokens after which a brace
+# opens a type or object literal rather than a code block.
+DECL_WORDS = ["function", "class", "interface", "enum", "type", "namespace", "module"]
+TYPE_CONTEXT = [":", "|", "&", "<", ",", "(", "[", "=>", "?", "=", ".", "extends", "keyof", "typeof", "new"]
+
+
+def prune_bodies(tokens: DataFrame) -> DataFrame:
+    """Drop the tokens inside function bodies and class-method bodies.
+
+    Signatures never look inside a code block, and on real code bodies hold
+    most tokens, so every later stage gets much smaller. A token is inside a
+    body when the last depth-0 token before it is a function-body brace
+    (depth-0 ``{`` after ``function`` that does not open a type literal), or
+    the last depth-<=1 token is a method-body brace (depth-1 ``{`` that does
+    not open a type literal). Both are running maxima over the file order the
+    depth window already sorted by -- no new sort, no shuffle. The braces
+    themselves stay (they end declarations and members)."""
+    w = Window.partitionBy(*FILE_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
+    t = tokens.select("*", F.last(F.when((lvl == 0) & tok.isin(DECL_WORDS), tok), ignorenulls=True).over(w).alias("_kw"))
+    code_brace = (tok == "{") & ~F.coalesce(F.col("prev"), F.lit("")).isin(TYPE_CONTEXT)
+    fn_body = code_brace & (lvl == 0) & (F.col("_kw") == "function")
+    method_body = code_brace & (lvl == 1)
+    t = t.select(
+        "*",
+        F.max(F.when(fn_body, pos)).over(w).alias("_b0"),
+        F.max(F.when(lvl == 0, pos)).over(w).alias("_l0"),
+        F.max(F.when(method_body, pos)).over(w).alias("_b1"),
+        F.max(F.when(lvl <= 1, pos)).over(w).alias("_l1"),
+    )
+    inside = ((lvl >= 1) & (F.col("_b0") == F.col("_l0"))) | ((lvl >= 2) & (F.col("_b1") == F.col("_l1")))
+    return t.where(~F.coalesce(inside, F.lit(False))).drop("_kw", "_b0", "_l0", "_b1", "_l1")
+
+
 def by_file(files: DataFrame) -> DataFrame:
     """Hash-partition file rows by file key before tokenising.
 

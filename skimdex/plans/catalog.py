@@ -320,7 +320,7 @@ def _code(spark, sf):
 
 def _extraction(spark, sf):
     files = _code(spark, sf)
-    return files, Y.extract(TK.code_tokens(Y.source_candidates(files)))
+    return files, Y.extract(Y.signature_tokens(Y.source_candidates(files)))
 
 
 _G = f"WITH {S.code_files_cte()}, {S.code_symbols_cte()}"

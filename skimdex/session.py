@@ -75,3 +75,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in base:
         os.makedirs(base, exist_ok=True)
     return f"{base}/skimdex-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the input only once
+    (an eager checkpoint runs it for the count and again for the write), and
+    later reads prune columns. The folder survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -194,9 +194,16 @@ def code_content_sql() -> str:
     return f"({head} || (CASE WHEN {has} THEN {exported} ELSE '' END) || {tail})"
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Generating file text is per-row work; spread the (few, small) source
+    rows over the session's shuffle partitions so it runs in parallel."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "p_partkey")
+
+
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated TypeScript files, one per ``part`` row; target ``/repo/<type>``."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     content = F.expr(code_content_sql())
     return part.select(
         F.expr(code_target_sql()).alias("target_dir"),
@@ -291,7 +298,7 @@ def extra_function_sql() -> str:
 def code_corpus_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code corpus after edits: parts with ``p_size % 10 = 9`` are deleted,
     those with ``p_size % 10 = 1`` gain one exported function (mtime +1 day)."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     part = part.where(F.col("p_size") % 10 != 9)
     edited = F.col("p_size") % 10 == 1
     content = F.when(edited, F.concat(F.expr(code_content_sql()), F.expr(extra_function_sql()))).otherwise(

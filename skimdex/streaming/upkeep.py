@@ -23,15 +23,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skimdex.operators import snapshots as SN
 from skimdex.operators.symbols import SYMBOL_COLUMNS
-from skimdex.session import shared_dir
+from skimdex.session import materialize
 
 CHANGE_SCHEMA = "target_dir STRING, path STRING, content STRING, size_bytes BIGINT, mtime TIMESTAMP, deleted BOOLEAN"
 
 
 def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable[[DataFrame], DataFrame], as_of) -> None:
     """Apply one batch of file changes to the store."""
-    spark = store.spark
-    shared_dir(spark)
     w = Window.partitionBy("target_dir", "path").orderBy(F.col("mtime").desc())
     latest = changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     latest = latest.withColumn("mtime_ms", F.unix_millis("mtime")).withColumn("target_id", SN.target_id("target_dir"))
@@ -41,7 +39,7 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
         latest = latest.join(stat, ["target_dir", "path"], "left").where(
             F.col("stored_mtime").isNull() | (F.col("mtime_ms") >= F.col("stored_mtime"))
         ).drop("stored_mtime")
-    latest = latest.checkpoint()
+    latest = materialize(latest, "upkeep-latest")
     touched = latest.select("target_id").distinct()
     live = latest.where(~F.col("deleted"))
     new_rows = live.select("target_dir", "path", "size_bytes", "mtime_ms").join(
@@ -54,9 +52,9 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
         )
         parts.append(kept.select(*SYMBOL_COLUMNS, *SN.ENTRY_STAT_COLUMNS))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.checkpoint()
+    rows = materialize(rows, "upkeep-rows")
     fps = SN.fingerprints(rows.select("target_dir", "path", "size_bytes", "mtime_ms").distinct())
-    fps = fps.withColumn("target_id", SN.target_id("target_dir")).checkpoint()
+    fps = materialize(fps.withColumn("target_id", SN.target_id("target_dir")), "upkeep-fps")
     store.write_entries(rows.join(fps.select("target_dir", "target_id", "fingerprint"), "target_dir"))
     store.append_events(
         fps.select("target_id", "target_dir", F.lit(SN.INDEX_VERSION).alias("version"), "fingerprint",
