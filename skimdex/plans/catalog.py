@@ -792,3 +792,25 @@ def q_stream_index_upkeep(spark, sf):
     q = SU.start(spark, f"{base}/in/a", store, _extract_fn, f"{base}/chk", _as_of(), max_files_per_trigger=1)
     q.awaitTermination()
     return store.symbols().select(*Y.SYMBOL_COLUMNS)
+
+
+# --------------------------------------------------------------------------
+# directory trees (Python Data Source)
+# --------------------------------------------------------------------------
+
+from skimdex.sources import directory as D  # noqa: E402
+
+
+@query(
+    "scan_directory",
+    f"WITH {S.docs_files_cte()} SELECT target_dir, path, size_bytes FROM files WHERE {S.indexable()}",
+)
+def q_scan_directory(spark, sf):
+    """The documents corpus written out as a real tree (one folder per target)
+    and walked back with pruning and scope rules applied during the walk."""
+    root = scratch_path(spark, "tree")
+    D.write_tree(_docs(spark, sf), root)
+    tree = D.directory_corpus(spark, root, scope="indexable", targets="children")
+    return tree.select(
+        F.concat(F.lit("/corpus/"), F.element_at(F.split("target_dir", "/"), -1)).alias("target_dir"), "path", "size_bytes"
+    )

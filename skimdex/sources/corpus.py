@@ -6,7 +6,8 @@ ways to get a corpus:
 * :func:`documents_corpus` -- the ``documents`` table laid out as files;
 * :func:`code_corpus` -- TypeScript source generated from ``part`` rows, with
   exported declarations whose expected signatures follow from the columns;
-* :func:`directory_corpus` -- a real directory tree (Python Data Source).
+* :func:`skimdex.sources.directory.directory_corpus` -- a real directory
+  tree (Python Data Source).
 
 Each corpus also has a manifests table ``(target_dir, dir, content)`` standing
 for the ``package.json`` files of its directories.
