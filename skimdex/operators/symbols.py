@@ -25,7 +25,6 @@ declared ones; a missing return annotation prints ``unknown``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,19 +208,19 @@ def parameter_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def member_tokens(decl_tokens: DataFrame) -> DataFrame:
-    """Body tokens of classes, interfaces and enums, numbered by member and
-    classified. Two stages over the declaration (generic depth, member
-    number), then two over the member (name and markers; what follows them)."""
+    """Adds member columns to the declaration tokens: ``in_body`` marks body
+    tokens of classes, interfaces and enums; for those, ``member`` numbers
+    the members and the remaining columns classify each member. Two stages
+    over the declaration (generic depth, member number; same order as the
+    declaration windows, so no re-sort), then two over the member."""
     pos = F.col("pos")
-    body = decl_tokens.where(
-        F.col("kind").isin("class", "interface", "enum") & (pos > F.col("lb")) & (pos < F.col("rb"))
-    ).select(*DECL_KEYS, "kind", "pos", "tok", "lvl", "ws", "nl", "prev", "nxt", "lb")
-
+    in_body = F.col("kind").isin("class", "interface", "enum") & (pos > F.col("lb")) & (pos < F.col("rb"))
     dw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
     tok, lvl, kind = F.col("tok"), F.col("lvl"), F.col("kind")
-    ang_delta = F.when((lvl == 1) & (tok == "<"), 1).when((lvl == 1) & (tok == ">"), -1).otherwise(0)
-    body = body.select(
-        "*", F.sum(ang_delta).over(dw.rowsBetween(*RUNNING)).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl")
+    ang_delta = F.when(in_body & (lvl == 1) & (tok == "<"), 1).when(in_body & (lvl == 1) & (tok == ">"), -1).otherwise(0)
+    body = decl_tokens.select(
+        "*", F.coalesce(in_body, F.lit(False)).alias("in_body"),
+        F.sum(ang_delta).over(dw.rowsBetween(*RUNNING)).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl"),
     )
     prev = F.coalesce(F.col("prev"), F.lit(""))
     prev_lvl = F.coalesce(F.col("prev_lvl"), F.lit(1))
@@ -229,7 +228,7 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     # ',' separates enum members, and interface members outside generics.
     comma_sep = (prev == ",") & ((kind == "enum") | ((kind == "interface") & (prev_ang == 0)))
     start = (
-        (lvl == 1) & (tok != "{")
+        F.col("in_body") & (lvl == 1) & (tok != "{")
         & (
             (pos == F.col("lb") + 1)
             | ((prev.isin(";", "}") | comma_sep) & (prev_lvl == 1))
@@ -237,7 +236,7 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
         )
     )
     m = body.select("*", F.sum(start.cast("int")).over(dw.rowsBetween(*RUNNING)).alias("member"))
-    ma = Window.partitionBy(*MEMBER_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
+    ma = Window.partitionBy(*MEMBER_KEYS, "in_body").orderBy("pos").rowsBetween(*UNBOUNDED)
     nxt = F.coalesce(F.col("nxt"), F.lit(""))
     top = lvl == 1
     accessor_kw = top & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
@@ -280,7 +279,7 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
 
 def member_rows(m: DataFrame) -> DataFrame:
     """One row per member: kind-specific fields, before texts are joined in."""
-    return m.where(F.col("pos") == F.col("mstart")).select(
+    return m.where(F.col("in_body") & (F.col("pos") == F.col("mstart"))).select(
         *MEMBER_KEYS, "kind", F.col("pos").alias("member_pos"), "mname", "scope", "accessor",
         "optional", "is_method", F.col("tok").alias("first_tok"),
         "name_pos", "m_colon", "m_eq",
@@ -297,9 +296,13 @@ def _texts(rows: DataFrame, keys: list[str], cond: Column, name: str) -> DataFra
 
 def extract(tokens: DataFrame) -> dict[str, DataFrame]:
     """All intermediate tables of the extraction (for the per-kind queries)."""
-    # Both token tables feed several outputs; keep them instead of re-running
-    # the window stages per output (recomputed from lineage if an executor is lost).
-    dt = declaration_tokens(tokens).persist(StorageLevel.MEMORY_AND_DISK)
+    # One pass computes declaration and member columns (every window is
+    # clustered by file, no shuffle after the tokeniser's); the result is
+    # written once to the shared folder and read by every consumer below with
+    # column pruning -- cheaper than an in-memory cache of wide rows, and a
+    # lost executor does not replay the tokeniser.
+    tt = materialize(member_tokens(declaration_tokens(tokens)), "signature-tokens")
+    dt = tt
     decls = declarations(dt)
     k = F.col("pos")
 
@@ -313,7 +316,7 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
     ty = dt.where(F.col("kind") == "type")
     type_text = _texts(ty, DECL_KEYS, (k > F.col("eq")) & (k < F.coalesce("t_end", F.col("last") + 1)), "type_text")
 
-    m = member_tokens(dt).persist(StorageLevel.MEMORY_AND_DISK)
+    m = tt.where(F.col("in_body"))
     members = member_rows(m)
     mk = F.col("pos")
     meth = m.where(F.col("is_method"))
@@ -338,8 +341,6 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
         members.join(m_params, MEMBER_KEYS, "left").join(m_ret, MEMBER_KEYS, "left").join(p_type, MEMBER_KEYS, "left")
     )
     member_info = materialize(member_info, "member-info")
-    m.unpersist()
-    dt.unpersist()
     has = lambda c: F.col(c).isNotNull()
     return {
         "declarations": decl_info.select(*DECL_KEYS, "decl_pos", "kind", "name", "docstring"),
