@@ -63,6 +63,15 @@ def read_requests(requests: DataFrame, files: DataFrame, symbols_text: DataFrame
     corpus = files.select(
         F.concat("target_dir", F.lit("/"), "path").alias("abs_path"), "content"
     )
+    # Semi-join reduction: only files someone asked for travel to the request
+    # join. The distinct path set is the build side of a left-semi join, so
+    # AQE broadcasts it when its measured size allows (the corpus then
+    # streams through without a shuffle) and sort-merges otherwise.
+    # (Batch requests only: a stream cannot be the build side of that join;
+    # a streamed micro-batch is joined to the static corpus directly.)
+    if not requests.isStreaming:
+        wanted = req.where(F.col("in_base")).select(F.col("file_path").alias("abs_path")).distinct()
+        corpus = corpus.join(wanted, "abs_path", "left_semi")
     if symbols_text is not None:
         corpus = corpus.join(symbols_text, "abs_path", "left")
     else:
