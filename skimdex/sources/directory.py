@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -113,6 +114,10 @@ class CorpusDirSource(DataSource):
 
 
 def directory_corpus(spark: SparkSession, root: str, scope: str = "indexable", targets: str = "root") -> DataFrame:
+    # Ship this module's classes by value, so executors need no installed copy.
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(CorpusDirSource)
     return spark.read.format("corpusdir").option("path", root).option("scope", scope).option("targets", targets).load()
 
