@@ -165,7 +165,9 @@ class SnapshotStore:
         entries.write.mode("overwrite").parquet(staging)
         staged = self.spark.read.parquet(staging)
         (
-            staged.repartition("target_id")
+            # Spread by file, not by target: a target holding a third of all
+            # rows is written by many tasks (a few files per partition each).
+            staged.repartition("target_id", "path")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("target_id")
