@@ -105,3 +105,28 @@ def test_skeleton_text_and_symbols_only(spark, syms):
     body = K.symbols_only_text(x, symbols).first().symbols_body
     assert body.splitlines()[0] == "export function sendMessage(room: string): void"
     assert "export interface IRoom {\n  id: string;\n  name: string\n}" in body
+
+
+def test_skeleton_text_sink_and_totals(spark):
+    import glob
+    import os
+
+    from skimdex.session import scratch_path
+
+    files = make_files(spark, [
+        ("b.ts", "export function b(): void {}\n"),
+        ("a.ts", "export interface A { x: string; }\n"),
+        ("none.ts", "const z = 1;\n"),
+    ])
+    symbols = Y.extract_symbols(files)
+    text = K.skeleton_text(K.skeleton_entries(symbols, files))
+    out = scratch_path(spark, "test-skeleton-text")
+    K.write_skeleton_text(text, out)
+    parts = sorted(glob.glob(os.path.join(out, "target_dir=*", "part-*.txt")))
+    written = "".join(open(p, encoding="utf-8").read() for p in parts)
+    assert written.index('"a.ts"') < written.index('"b.ts"') and "none.ts" not in written
+    blocks = [r.text for r in text.orderBy("path").collect()]
+    totals = K.corpus_totals(text).first()
+    assert totals.files_indexed == 2
+    assert totals.skeleton_chars == len("\n".join(blocks))
+    assert totals.skeleton_tokens == int(len("\n".join(blocks)) / 4 + 0.5)   # half up, as in JS
