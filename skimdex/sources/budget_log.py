@@ -31,10 +31,11 @@ BUDGET_LOG_SCHEMA = T.StructType(
 )
 LOG_COLUMNS = BUDGET_LOG_SCHEMA.fieldNames()
 
-# Fixed values of the reference behaviour: the default question and run modes.
+# Fixed value of the reference behaviour: the default question.
 DEFAULT_QUESTION = "What are the main exported functions and interfaces?"
-MODE_MOCK = "mock — skeleton + lazy reader demonstrated without live API call"
-MODE_HANDOFF = "mcp-handoff — use npm run mcp:server with gemini-cli tools/call"
+# Run-mode labels of our records (mock reads included / skeleton handed off).
+MODE_MOCK = "mock"
+MODE_HANDOFF = "handoff"
 
 
 def log_records(budget: DataFrame, ts: Column, mode: str, question: str = DEFAULT_QUESTION,
