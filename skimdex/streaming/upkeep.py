@@ -60,6 +60,9 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
         fps.select("target_id", "target_dir", F.lit(SN.INDEX_VERSION).alias("version"), "fingerprint",
                    F.lit(SN.EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"))
     )
+    # A touched target with no file left has no snapshot any more.
+    emptied = latest.select("target_dir").distinct().join(fps.select("target_dir"), "target_dir", "left_anti")
+    store.invalidate(emptied, as_of)
 
 
 def start(spark: SparkSession, change_dir: str, store: SN.SnapshotStore, extract, checkpoint_dir: str, as_of,

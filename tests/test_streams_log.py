@@ -58,6 +58,10 @@ def test_upkeep_stream(spark):
     stale = spark.createDataFrame([("/t", "a.ts", "export function old(): void {}\n", 31, older, False)], schema)
     SU.apply_changes(store, stale, Y.extract_symbols, as_of + F.expr("INTERVAL 1 HOUR"))
     assert {(r.path, r.name) for r in store.symbols().collect()} == got
+    # deleting every file of the target removes its snapshot
+    gone = spark.createDataFrame([("/t", p, None, None, later + dt.timedelta(days=1), True) for p in ("a.ts", "c.ts")], schema)
+    SU.apply_changes(store, gone, Y.extract_symbols, as_of + F.expr("INTERVAL 2 HOURS"))
+    assert not store.stats(gone.select("target_dir")).first().exists
 
 
 def test_budget_log_shapes(spark):
