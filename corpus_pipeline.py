@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimdex.llm import exact_dedup, mixing, packing, quality_rules
+from skimdex.llm import exact_dedup, minhash_forest, mixing, packing, quality_rules
 from skimdex.llm.common import stage, text_key
 from skimdex.sources.tables import table
 
@@ -35,11 +35,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs.select(*COLUMNS))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id."""
+    kept = minhash_forest.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("k")).hint("shuffle_hash")
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it leaves out go."""
-    copies = mixing.mix(docs).filter(F.col("copies") > 0).select("doc_id", "copies", "size").distinct()
+    copies = mixing.mix(docs).filter(F.col("copies") > 0).select("doc_id", "source", "copies").distinct()
     d, c = docs.alias("d"), copies.alias("c").hint("shuffle_hash")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (mixing.size_of(F.col("d.text")) == F.col("c.size"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
     taken = d.join(c, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies"))))
     return taken.select(*[F.col(f"d.{c}") for c in COLUMNS])
 
@@ -49,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash", near), ("mixing", mix), ("packing", pack)]
 
 #: The robust estimates and near-duplicate links have no SQL; tests/llm holds the
 #: pipeline against a brute-force version.

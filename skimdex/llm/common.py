@@ -17,6 +17,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -57,24 +58,26 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def _freeing_shuffles(spark: SparkSession):
-    """Each staged write is one execution of its own; its shuffle files are of
-    no use once the table stands, so Spark may delete them at its end."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage,
-    survives lost executors and frees the shuffle files it took to make it."""
+def stage(df: DataFrame, name: str, arrow_rows: int = 2_000, codec: str = "snappy") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and
+    survives lost executors. The write is one execution of its own, so Spark may
+    delete its shuffle files at the end. ``arrow_rows`` bounds the batches that
+    Python functions get, for texts or blobs of any length."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _freeing_shuffles(spark):
-        df.write.mode("overwrite").parquet(path)
+    with _settings(spark, {CLEANUP: "true", ARROW_ROWS: str(arrow_rows)}):
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

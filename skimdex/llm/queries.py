@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skimdex.llm import chat_format, exact_dedup, lang_id, line_dedup, mixing, packing, quality_rules, url_filter
+from skimdex.llm import chat_format, exact_dedup, lang_id, line_dedup, minhash_forest, mixing, packing, quality_rules, suffix_dedup, url_filter
 from skimdex.llm.common import documents
 from skimdex.sources.tables import table
 
@@ -50,9 +50,18 @@ def op8_url_filters(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash(spark, sf_dir):
+    out = minhash_forest.near_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters)
+    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters, op9_minhash, op10_suffix_dedup)
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
