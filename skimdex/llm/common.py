@@ -87,6 +87,13 @@ def bounded_broadcast(df: DataFrame, n_rows: int, row_bytes: int, limit: int = 6
     return F.broadcast(df) if n_rows * row_bytes <= limit else df
 
 
+def lookup(df: DataFrame, row_bytes: int, name: str = "lookup") -> DataFrame:
+    """``df`` written once, counted, and broadcast if it is small enough; texts then
+    stay where they are. Beyond the limit Spark shuffles both sides."""
+    kept = stage(df, name)
+    return bounded_broadcast(kept, kept.count(), row_bytes)
+
+
 def ship(module: str) -> None:
     """Functions of ``module`` travel to the workers whole: an executor need not
     have this package installed."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skimdex.llm.common import ascii_lower, hash128, nonnull, partitions, stage, strip_ws, text_key
+from skimdex.llm.common import ascii_lower, bounded_broadcast, hash128, nonnull, partitions, stage, strip_ws, text_key
 
 MIN_DOCS = 10
 
@@ -75,7 +75,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of every row of ``docs``."""
     d = docs.select("doc_id", nonnull("text").alias("text"), text_key().alias("tk")).alias("d")
-    b = bitmaps.alias("b").hint("shuffle_hash")
+    stored = stage(bitmaps, "bitmaps")
+    size = stored.select(F.sum(F.size("drop_words") * 16 + 64)).first()[0] or 0
+    b = bounded_broadcast(stored, 1, size).alias("b")
     dropped = F.flatten(
         F.transform(
             "drop_words",
