@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimdex.llm import exact_dedup, minhash_forest, mixing, packing, quality_rules
-from skimdex.llm.common import stage, text_key
+from skimdex.llm.common import lookup, stage, text_key
 from skimdex.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _matching(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text key) is in ``kept``."""
-    d, k = docs.withColumn("tk", text_key()).alias("d"), kept.select("doc_id", "tk").alias("k").hint("shuffle_hash")
+    d, k = docs.withColumn("tk", text_key()).alias("d"), lookup(kept.select("doc_id", "tk"), 32).alias("k")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tk") == F.col("k.tk"))
     return d.join(k, same, "left_semi").select(*[F.col(f"d.{c}") for c in COLUMNS])
 
@@ -37,14 +37,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id."""
-    kept = minhash_forest.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("k")).hint("shuffle_hash")
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    kept = minhash_forest.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("k"))
+    return docs.select(*COLUMNS).join(lookup(kept, 24), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it leaves out go."""
     copies = mixing.mix(docs).filter(F.col("copies") > 0).select("doc_id", "source", "copies").distinct()
-    d, c = docs.alias("d"), copies.alias("c").hint("shuffle_hash")
+    d, c = docs.alias("d"), lookup(copies, 48).alias("c")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
     taken = d.join(c, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies"))))
     return taken.select(*[F.col(f"d.{c}") for c in COLUMNS])

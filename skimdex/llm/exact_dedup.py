@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skimdex.llm.common import delete_ws, nonnull, ship, stage
+from skimdex.llm.common import delete_ws, lookup, nonnull, ship, stage
 
 ship(__name__)
 SHARD_KEYS = 250_000
@@ -273,4 +273,4 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     text = nonnull("text")
     d = docs.withColumns({"digest": F.sha2(delete_ws(text), 256), "n_cp": F.length(text).cast("long")})
     same = (F.col("digest") == F.col("k_digest")) & (F.col("n_cp") == F.col("k_cp")) & F.col("doc_id").eqNullSafe(F.col("k_doc"))
-    return d.join(keep.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["digest"]).select(*docs.columns)
+    return d.join(lookup(keep, 128), same, "left_semi").dropDuplicates(["digest"]).select(*docs.columns)
