@@ -53,10 +53,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     go, as (word, bits); words without a dropped line are not stored. With
     ``keep_first`` the first occurrence in (doc_id, position) order stays."""
     occ = stage(first_occurrences(line_occurrences(docs)), "lines")
-    frequent = (
+    # Written, so that the join deals both sides itself and Spark can split a hot key.
+    frequent = stage(
         occ.groupBy("h1", "h2")
         .agg(F.sum(F.col("first_in_doc").cast("long")).alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
-        .filter(F.col("n_docs") >= min_docs)
+        .filter(F.col("n_docs") >= min_docs),
+        "frequent",
     )
     gone = occ.join(frequent, ["h1", "h2"])
     if keep_first:
