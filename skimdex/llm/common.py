@@ -58,7 +58,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def _settings(spark: SparkSession, conf: dict[str, str]):
+def settings(spark: SparkSession, conf: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -76,7 +76,7 @@ def stage(df: DataFrame, name: str, arrow_rows: int = 2_000, codec: str = "snapp
     Python functions get, for texts or blobs of any length."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _settings(spark, {CLEANUP: "true", ARROW_ROWS: str(arrow_rows)}):
+    with settings(spark, {CLEANUP: "true", ARROW_ROWS: str(arrow_rows)}):
         df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

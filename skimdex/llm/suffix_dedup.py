@@ -6,7 +6,8 @@ occurs in two documents can repeat, and they can be compared anchor by anchor. T
 windows of one anchor are a run of neighbouring suffixes, 18 on average, kept as one
 context of at most 84 bytes.
 
-1. Texts are packed into chunks. Equal texts are packed once, with their least doc_id.
+1. Texts are packed into chunks, written once as a table bucketed by chunk. Equal texts
+   are packed once, with their least doc_id.
 2. Chunks send the distinct hashes of their anchors to buckets; a bucket answers with
    one bit for each: does another document have it.
 3. Contexts of shared anchors go to their bucket, where the suffixes that start in them
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skimdex.llm.common import bounded_broadcast, nonnull, partitions, ship, stage
+from skimdex.llm.common import ARROW_ROWS, CLEANUP, bounded_broadcast, nonnull, partitions, settings, ship, stage
+from skimdex.session import scratch_path
 
 ship(__name__)
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM + 1  # anchors that fit a window, and windows that share one
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+PART_BYTES = 64 << 20
 BLOCK = 1 << 19
 BUCKET_ANCHORS = 400_000
 HOT = 100_000
@@ -214,11 +217,23 @@ def _find_shared(hot: int):
     return run
 
 
-def _by_chunk(chunks: DataFrame, answers: DataFrame, *cols: str) -> DataFrame:
-    """Chunks with the answers of all buckets as one sorted array."""
-    packed = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("answers"))
-    size = answers.select(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols[1:]), F.lit(32)))).first()[0] or 0
-    return chunks.join(bounded_broadcast(packed, 1, size), "chunk", "left")
+def _stored_chunks(chunks: DataFrame, n_parts: int) -> DataFrame:
+    """Chunks as a table bucketed by their number: what is joined to them later is
+    dealt to their buckets, and the texts are never dealt again."""
+    spark = chunks.sparkSession
+    path = scratch_path(spark, "chunks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with settings(spark, {ARROW_ROWS: "2000", CLEANUP: "true"}):
+        writer = chunks.repartition(n_parts, "chunk").write.bucketBy(n_parts, "chunk")
+        writer.option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _by_chunk(chunks: DataFrame, rows: DataFrame, n_parts: int, **arrays: tuple[str, ...]) -> DataFrame:
+    """Chunks with the answers of all buckets, as the named arrays."""
+    packed = rows.repartition(n_parts, "chunk").groupBy("chunk")
+    packed = packed.agg(*[F.array_sort(F.collect_list(F.when(F.col(c[0]).isNotNull(), F.struct(*c)))).alias(k) for k, c in arrays.items()])
+    return chunks.join(packed.hint("shuffle_hash"), "chunk", "left")
 
 
 def _kinds(c: _Chunk, n_buckets: int, answers) -> np.ndarray:
@@ -470,7 +485,8 @@ def _hot_windows(n_buckets: int):
 
 def _hot_answers(chunks: DataFrame, n_buckets: int) -> DataFrame:
     rows = stage(chunks.mapInArrow(_hot_windows(n_buckets), "chunk long, rec long, place int, doc long, window binary"), "hot", 4)
-    least = rows.groupBy("window").agg(F.min("doc").alias("least"))
+    # Written, so that the join deals both sides itself and Spark can split a hot key.
+    least = stage(rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most"), "least")
     hit = rows.join(least, "window").filter("least < doc")
     return hit.groupBy("chunk", "rec").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
 
@@ -487,8 +503,8 @@ def _cut(batches):
             recs = [np.frombuffer(a["rec"], np.uint32).astype(np.int64) for a in answers or ()]
             masks = [np.frombuffer(a["masks"], np.uint64) for a in answers or ()]
             if hot:
-                recs.append(np.array([x["rec"] for x in hot], np.int64))
-                masks.append(np.array([x["mask"] for x in hot], np.int64).astype(np.uint64))
+                recs.append(np.array([x["hot_rec"] for x in hot], np.int64))
+                masks.append(np.array([x["hot_mask"] for x in hot], np.int64).astype(np.uint64))
             if recs:
                 rec, mask = np.concatenate(recs), np.concatenate(masks)
                 for i in range(SPAN):
@@ -521,20 +537,20 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = stage(rows.join(least, "sha").filter("doc_id <> least").select("doc_id", "sha").distinct(), "copies")
     n_buckets = max(partitions(spark), int(total // 18 // BUCKET_ANCHORS) + 1)
     unlike = d.filter("doc_id is not null").join(bounded_broadcast(copies, copies.count(), 160), ["doc_id", "sha"], "left_anti")
-    chunks = stage(unlike.select("doc_id", "sha", "data").mapInArrow(_pack_chunks, CHUNK), "chunks", codec="zstd")
+    n_parts = max(partitions(spark), int(total // PART_BYTES) + 1)
+    chunks = _stored_chunks(unlike.select("doc_id", "sha", "data").mapInArrow(_pack_chunks, CHUNK), n_parts)
 
     shared = chunks.mapInArrow(_send_keys(n_buckets), "bucket long, chunk long, keys binary, notes binary")
     shared = stage(shared.groupBy("bucket").applyInPandas(_find_shared(hot), "chunk long, bucket long, shared binary, hot binary"), "shared", 4)
-    marked = _by_chunk(chunks, shared, "bucket", "shared", "hot")
+    marked = _by_chunk(chunks, shared, n_parts, answers=("bucket", "shared", "hot"))
     masks = marked.mapInArrow(_send_contexts(n_buckets), CONTEXT).groupBy("bucket").applyInPandas(_sort_bucket, "chunk long, bucket long, rec binary, masks binary")
     masks = stage(masks.filter(F.octet_length("rec") > 0), "masks", 4)
+    none = F.lit(None).cast("long")
+    found = masks.select("chunk", "bucket", "rec", "masks", none.alias("hot_rec"), none.alias("hot_mask"))
     if shared.filter("hot is not null").limit(1).count():
         hot_masks = stage(_hot_answers(marked, n_buckets), "hotmasks", 4)
-        hot_by_chunk = hot_masks.groupBy("chunk").agg(F.collect_list(F.struct("rec", "mask")).alias("hot"))
-        hot_by_chunk = bounded_broadcast(hot_by_chunk, hot_masks.count(), 32)
-        answered = _by_chunk(chunks, masks, "bucket", "rec", "masks").join(hot_by_chunk, "chunk", "left")
-    else:
-        answered = _by_chunk(chunks, masks, "bucket", "rec", "masks").withColumn("hot", F.lit(None).cast("array<struct<rec:bigint,mask:bigint>>"))
+        found = found.unionByName(hot_masks.select("chunk", F.col("rec").alias("hot_rec"), F.col("mask").alias("hot_mask")), allowMissingColumns=True)
+    answered = _by_chunk(chunks, found, n_parts, answers=("bucket", "rec", "masks"), hot=("hot_rec", "hot_mask"))
     cut = stage(answered.mapInArrow(_cut, RESULT), "cut", 4).withColumnRenamed("doc_id", "source").dropDuplicates(["sha"])
 
     whole = (F.col("doc_id") > F.col("source")) & (F.col("n_bytes") >= WINDOW)  # a copy of a smaller document
