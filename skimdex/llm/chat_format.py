@@ -107,6 +107,10 @@ def _turn(i: Column, role: Column, text: Column) -> Column:
     return F.struct(i.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
 
 
+def _list_turns(items: Column, role: str, text: str, order: str | None) -> Column:
+    return F.transform(items, lambda x, i: _turn(x[order] if order else i, _renamed(x[role].cast("string")), x[text].cast("string")))
+
+
 def canonical_turns(df: DataFrame) -> DataFrame:
     """Canonical turns of a typed frame with a `conv_id`, by its fingerprint."""
     layout = layout_of(df)
@@ -114,9 +118,7 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         raise ValueError(f"no mapping for the layout {sorted(field_paths(df.schema))}")
     if layout.items:
         name, role, text, order = layout.items
-        turns = F.transform(
-            name, lambda x, i: _turn(x[order] if order else i, _renamed(x[role].cast("string")), x[text].cast("string"))
-        )
+        turns = _list_turns(F.col(name), role, text, order)
     elif layout.turns:
         turns = F.array(
             *[_turn(F.lit(i), F.lit(role), _joined([F.col(f).cast("string") for f in fields])) for i, (role, fields) in enumerate(layout.turns)]
@@ -145,10 +147,7 @@ def canonical_turns_json(df: DataFrame, json_col: str = "record") -> DataFrame:
         if x.items:
             name, role, text, order = x.items
             fields = f"array<struct<`{role}`:string,`{text}`:string" + (f",`{order}`:bigint>>" if order else ">>")
-            turns = F.transform(
-                F.try_variant_get(v, f"$.{name}", fields),
-                lambda m, i, role=role, text=text, order=order: _turn(m[order] if order else i, _renamed(m[role]), m[text]),
-            )
+            turns = _list_turns(F.try_variant_get(v, f"$.{name}", fields), role, text, order)
         elif x.turns:
             turns = F.array(
                 *[_turn(F.lit(i), F.lit(r), _joined([F.try_variant_get(v, f"$.{f}", "string") for f in fields])) for i, (r, fields) in enumerate(x.turns)]

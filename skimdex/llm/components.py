@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with pointer jumping."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
@@ -10,20 +10,28 @@ from skimdex.llm.common import stage
 MAX_ROUNDS = 60
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node
-    that can be reached. A round takes the least label among the neighbours and
-    then the label of that label; each is written to the shared folder. Labels
-    are gathered by map-side combined minima, and a label that many nodes hold
-    meets only its one row in the join, which Spark splits when it is skewed."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    """(node, root) for every node of ``edges`` (a, b) with a neighbour: root is the
+    least node that can be reached. In each round a node with a smaller neighbour
+    moves into the least of them and takes its edges along; edges that become loops
+    or equal vanish, so the table shrinks from round to round. Each round is written
+    to the shared folder. Minima are combined on the map side, and a root that many
+    nodes hold meets one row in the join, which Spark splits when it is skewed."""
+    e, labels = stage(_ordered(edges), "edges"), None
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("up"))
-        jump = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        new = stage(lower.join(jump, "up", "left").select("node", "old", F.least("up", "top").alias("root")), "labels")
-        labels = new.select("node", "root")
-        if not new.filter("old <> root").limit(1).count():
+        up = stage(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "up")
+        if labels is None:
+            nodes = e.select(F.col("a").alias("root")).union(e.select("b")).distinct().withColumn("start", F.col("root"))
+        else:
+            nodes = labels.select("root", F.col("node").alias("start"))
+        moved = nodes.join(up.withColumnRenamed("node", "root"), "root", "left")
+        labels = stage(moved.select(F.col("start").alias("node"), F.coalesce("up", "root").alias("root")), "labels")
+        low, high = up.select(F.col("node").alias("a"), F.col("up").alias("up_a")), up.select(F.col("node").alias("b"), F.col("up").alias("up_b"))
+        e = stage(_ordered(e.join(high, "b").join(low, "a", "left").select(F.coalesce("up_a", "a").alias("a"), F.col("up_b").alias("b"))), "edges")
+        if not e.limit(1).count():
             return labels
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
