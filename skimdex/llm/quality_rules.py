@@ -31,7 +31,7 @@ SUPPORT = 0.75
 STEPS = 4
 MIN_GROUP = 50
 #: Least standard deviation of each statistic: what clean texts differ by anyway.
-FLOORS = {"x0": 1.0, "x1": 0.08, "x2": 0.3, "x3": 0.6, "x4": 0.6}
+FLOORS = {"x0": 1.0, "x1": 0.12, "x2": 0.3, "x3": 0.6, "x4": 0.6}
 CUTOFF = 22.0
 X = tuple(FLOORS)
 DIST_BINS = 64
