@@ -20,7 +20,10 @@ MSG_PARSE = "Parse error"
 MSG_NO_TOOL = "Missing tool name"
 MSG_READ_ARGS = "read_file requires path and baseDir"
 MSG_UNKNOWN_TOOL = "Unknown tool: "
+MSG_NEEDS_TARGET = " requires targetDir"
 TOOL_READ = "read_file"
+TARGET_TOOLS = ("repo_index", "index_cache_invalidate", "index_cache_stats")
+MAX_INT = 2**31 - 1
 
 _NUMERIC = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
 
@@ -38,7 +41,9 @@ def _as_string(v: Column, path: str) -> Column:
 
 
 def _as_int(v: Column, path: str) -> Column:
-    return F.when(_type(v, path).rlike(_NUMERIC), F.try_variant_get(v, path, "int"))
+    """A number of any size, clamped to what a line count can be."""
+    number = F.least(F.greatest(F.try_variant_get(v, path, "double"), F.lit(float(-MAX_INT - 1))), F.lit(float(MAX_INT)))
+    return F.when(_type(v, path).rlike(_NUMERIC), number.cast("int"))
 
 
 def _as_bool(v: Column, path: str) -> Column:
@@ -66,8 +71,11 @@ def coerce_requests(payloads: DataFrame) -> DataFrame:
         _as_string(v, "$.arguments.baseDir").alias("base_dir"),
         _as_int(v, "$.arguments.maxLines").alias("max_lines"),
         _as_bool(v, "$.arguments.symbolsOnly").alias("symbols_only"),
-        F.when(pair_ok, F.try_variant_get(v, rng + "[0]", "int")).alias("line_start"),
-        F.when(pair_ok, F.try_variant_get(v, rng + "[1]", "int")).alias("line_end"),
+        F.when(pair_ok, _as_int(v, rng + "[0]")).alias("line_start"),
+        F.when(pair_ok, _as_int(v, rng + "[1]")).alias("line_end"),
+        _as_string(v, "$.arguments.targetDir").alias("target_dir"),
+        _as_bool(v, "$.arguments.forceRefresh").alias("force_refresh"),
+        _as_bool(v, "$.arguments.clearReadFileCache").alias("clear_read_file_cache"),
     )
 
 
@@ -75,16 +83,19 @@ def validate_requests(coerced: DataFrame) -> DataFrame:
     """Adds ``error_code`` / ``error`` for calls that never reach the reader."""
     tool = F.col("tool")
     missing = lambda c: F.col(c).isNull() | (F.col(c) == "")  # noqa: E731  JS falsy string
+    read_args = (tool == TOOL_READ) & (missing("path") | missing("base_dir"))
+    target_args = tool.isin(*TARGET_TOOLS) & missing("target_dir")
     code = (
         F.when(~F.col("valid_json"), F.lit(PARSE_ERROR))
         .when(missing("tool"), F.lit(INVALID_PARAMS))
-        .when(tool != TOOL_READ, F.lit(METHOD_NOT_FOUND))
-        .when(missing("path") | missing("base_dir"), F.lit(INVALID_PARAMS))
+        .when(~tool.isin(TOOL_READ, *TARGET_TOOLS), F.lit(METHOD_NOT_FOUND))
+        .when(read_args | target_args, F.lit(INVALID_PARAMS))
     )
     msg = (
         F.when(~F.col("valid_json"), F.lit(MSG_PARSE))
         .when(missing("tool"), F.lit(MSG_NO_TOOL))
-        .when(tool != TOOL_READ, F.concat(F.lit(MSG_UNKNOWN_TOOL), tool))
-        .when(missing("path") | missing("base_dir"), F.lit(MSG_READ_ARGS))
+        .when(~tool.isin(TOOL_READ, *TARGET_TOOLS), F.concat(F.lit(MSG_UNKNOWN_TOOL), tool))
+        .when(read_args, F.lit(MSG_READ_ARGS))
+        .when(target_args, F.concat(tool, F.lit(MSG_NEEDS_TARGET)))
     )
     return coerced.withColumn("error_code", code.cast("int")).withColumn("error", msg)

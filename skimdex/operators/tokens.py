@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from skimdex.functions import text as T
 
-# The lexical grammar (RE2/Java compatible).
-ESCAPE_MASK = '\\\\["\'`\\\\]'
-TRIVIA_RE = r"(\s*(?:(?://[^\n]*|/\*[\s\S]*?\*/)\s*)*)"
+# The lexical grammar (Java).
+ESCAPE_MASK = '\\\\["\'`\\\\/]'
+# Possessive, so Java matches any number of comments in a loop: a plain repeated
+# group recurses for each and overflows the stack on a thousand comment lines.
+TRIVIA_RE = r"(\s*+(?:(?://[^\n]*+|/\*[\s\S]*?\*/)\s*+)*+)"
+# A slash opens a regex literal after an operator, a bracket, `return` or at the
+# start of a line; brackets and quotes in it are no tokens.
+REGEX_RE = r"(?<=(?:\A|[=(,:\[!&|?{};\n]|\breturn)[ \t]{0,8})/(?![/*])(?:\[[^\]\n]*+\]|[^/\n\[])++/[a-z]*"
 TOKEN_RE = (
-    r"(\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*"
-    r"|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$])"
+    r"(" + REGEX_RE + r"|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*"
+    r"|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$]|\z)"
 )
 TOKEN_PATTERN = TRIVIA_RE + TOKEN_RE
 OPENERS = ["{", "(", "["]
@@ -62,7 +67,8 @@ def explode_tokens(files: DataFrame) -> DataFrame:
         F.regexp_extract_all(m, pattern, 1).alias("trivia"),
         F.regexp_extract_all(m, pattern, 2).alias("tok"),
     )
-    rows = files.select(*FILE_KEYS, F.posexplode(zipped).alias("pos", "t"))
+    # Comments at the end of the file come with an empty token.
+    rows = files.select(*FILE_KEYS, F.posexplode(zipped).alias("pos", "t")).where(F.col("t.tok") != "")
     return rows.select(
         *FILE_KEYS,
         F.col("pos").cast("int").alias("pos"),

@@ -19,9 +19,6 @@ from skimdex.plans import sqlparts as S
 from skimdex.sources import corpus as C
 from skimdex.sources import requests as R
 
-# Query run by ``__spark_entry__.entry``.
-FLAGSHIP = "naive_tokens"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -267,16 +264,19 @@ _COERCE_SQL = (
     "CASE WHEN ok AND json_type(payload, '$.name') = 'VARCHAR' THEN json_extract_string(payload, '$.name') END AS tool, "
     "CASE WHEN ok AND json_type(payload, '$.arguments.path') = 'VARCHAR' THEN json_extract_string(payload, '$.arguments.path') END AS path, "
     "CASE WHEN ok AND json_type(payload, '$.arguments.baseDir') = 'VARCHAR' THEN json_extract_string(payload, '$.arguments.baseDir') END AS base_dir, "
-    f"CASE WHEN ok AND json_type(payload, '$.arguments.maxLines') IN {_NUM} THEN CAST(json_extract(payload, '$.arguments.maxLines') AS INT) END AS max_lines, "
+    f"CASE WHEN ok AND json_type(payload, '$.arguments.maxLines') IN {_NUM} THEN CAST(trunc(least(greatest(CAST(json_extract(payload, '$.arguments.maxLines') AS DOUBLE), -2147483648), 2147483647)) AS INT) END AS max_lines, "
     "CASE WHEN ok AND json_type(payload, '$.arguments.symbolsOnly') = 'BOOLEAN' THEN CAST(json_extract(payload, '$.arguments.symbolsOnly') AS BOOLEAN) END AS symbols_only, "
+    "CASE WHEN ok AND json_type(payload, '$.arguments.targetDir') = 'VARCHAR' THEN json_extract_string(payload, '$.arguments.targetDir') END AS target_dir, "
+    "CASE WHEN ok AND json_type(payload, '$.arguments.forceRefresh') = 'BOOLEAN' THEN CAST(json_extract(payload, '$.arguments.forceRefresh') AS BOOLEAN) END AS force_refresh, "
+    "CASE WHEN ok AND json_type(payload, '$.arguments.clearReadFileCache') = 'BOOLEAN' THEN CAST(json_extract(payload, '$.arguments.clearReadFileCache') AS BOOLEAN) END AS clear_read_file_cache, "
     f"CASE WHEN ok AND json_type(payload, '$.arguments.lineRange') = 'ARRAY' AND json_array_length(payload, '$.arguments.lineRange') = 2 "
     f"AND json_type(payload, '$.arguments.lineRange[0]') IN {_NUM} AND json_type(payload, '$.arguments.lineRange[1]') IN {_NUM} "
-    "THEN CAST(json_extract(payload, '$.arguments.lineRange[0]') AS INT) END AS line_start, "
+    "THEN CAST(trunc(least(greatest(CAST(json_extract(payload, '$.arguments.lineRange[0]') AS DOUBLE), -2147483648), 2147483647)) AS INT) END AS line_start, "
     f"CASE WHEN ok AND json_type(payload, '$.arguments.lineRange') = 'ARRAY' AND json_array_length(payload, '$.arguments.lineRange') = 2 "
     f"AND json_type(payload, '$.arguments.lineRange[0]') IN {_NUM} AND json_type(payload, '$.arguments.lineRange[1]') IN {_NUM} "
-    "THEN CAST(json_extract(payload, '$.arguments.lineRange[1]') AS INT) END AS line_end FROM c0)"
+    "THEN CAST(trunc(least(greatest(CAST(json_extract(payload, '$.arguments.lineRange[1]') AS DOUBLE), -2147483648), 2147483647)) AS INT) END AS line_end FROM c0)"
 )
-_COERCE_COLS = "request_id, session_id, valid_json, tool, path, base_dir, max_lines, symbols_only, line_start, line_end"
+_COERCE_COLS = "request_id, session_id, valid_json, tool, path, base_dir, max_lines, symbols_only, line_start, line_end, target_dir, force_refresh, clear_read_file_cache"
 
 
 @query("coerce_requests", f"WITH {S.payloads_cte()}, {_COERCE_SQL} SELECT {_COERCE_COLS} FROM coerced")
@@ -286,11 +286,14 @@ def q_coerce_requests(spark, sf):
 
 _VALIDATE_SQL = (
     "validated AS (SELECT *, "
-    "CASE WHEN NOT valid_json THEN -32700 WHEN coalesce(tool, '') = '' THEN -32602 WHEN tool <> 'read_file' THEN -32601 "
-    "WHEN coalesce(path, '') = '' OR coalesce(base_dir, '') = '' THEN -32602 END AS error_code, "
+    "CASE WHEN NOT valid_json THEN -32700 WHEN coalesce(tool, '') = '' THEN -32602 "
+    "WHEN tool NOT IN ('read_file', 'repo_index', 'index_cache_invalidate', 'index_cache_stats') THEN -32601 "
+    "WHEN tool = 'read_file' AND (coalesce(path, '') = '' OR coalesce(base_dir, '') = '') THEN -32602 "
+    "WHEN tool <> 'read_file' AND coalesce(target_dir, '') = '' THEN -32602 END AS error_code, "
     "CASE WHEN NOT valid_json THEN 'Parse error' WHEN coalesce(tool, '') = '' THEN 'Missing tool name' "
-    "WHEN tool <> 'read_file' THEN 'Unknown tool: ' || tool "
-    "WHEN coalesce(path, '') = '' OR coalesce(base_dir, '') = '' THEN 'read_file requires path and baseDir' END AS error FROM coerced)"
+    "WHEN tool NOT IN ('read_file', 'repo_index', 'index_cache_invalidate', 'index_cache_stats') THEN 'Unknown tool: ' || tool "
+    "WHEN tool = 'read_file' AND (coalesce(path, '') = '' OR coalesce(base_dir, '') = '') THEN 'read_file requires path and baseDir' "
+    "WHEN tool <> 'read_file' AND coalesce(target_dir, '') = '' THEN tool || ' requires targetDir' END AS error FROM coerced)"
 )
 
 
@@ -328,10 +331,14 @@ _SYM_COLS = "target_dir, path, name, params, return_type, docstring"
 
 
 def _tok_sql() -> str:
-    pat = TK.TOKEN_PATTERN.replace("'", "''")
+    # A flat pattern of its own: every comment, run of blanks, string, word and
+    # sign is a piece; what isn't blank or comment is a token.
+    pat = (r"//[^\n]*|/\*[\s\S]*?\*/|\s+|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*"
+           r"|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$]").replace("'", "''")
     mask = TK.ESCAPE_MASK.replace("'", "''")
     return (
-        f"m AS (SELECT target_dir, path, regexp_extract_all(regexp_replace(content, '{mask}', '__', 'g'), '{pat}', 2) AS toks FROM files), "
+        f"m AS (SELECT target_dir, path, list_filter(regexp_extract_all(regexp_replace(content, '{mask}', '__', 'g'), '{pat}'), "
+        r"lambda x: NOT regexp_matches(x, '^(\s|//|/\*)')) AS toks FROM files), "
         "u AS (SELECT target_dir, path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM m), "
         "d AS (SELECT *, CASE WHEN tok IN ('{', '(', '[') THEN 1 WHEN tok IN ('}', ')', ']') THEN -1 ELSE 0 END AS delta FROM u), "
         "l AS (SELECT *, sum(delta) OVER (PARTITION BY target_dir, path ORDER BY pos) - CASE WHEN delta = 1 THEN 1 ELSE 0 END AS lvl FROM d)"
@@ -500,6 +507,7 @@ def q_session_budget(spark, sf):
     return budget.session_budget(totals, mock, budget.naive_tokens(files))
 
 
+# Query run by ``__spark_entry__.entry``.
 FLAGSHIP = "session_budget"
 
 
@@ -742,7 +750,7 @@ def q_budget_log_read(spark, sf):
 
 _STREAM_READS_SQL = (
     f"WITH {S.docs_files_cte()}, {S.payloads_cte()}, {_COERCE_SQL}, {_VALIDATE_SQL}, "
-    "req AS (SELECT request_id, session_id, path, base_dir, max_lines, symbols_only, line_start, line_end FROM validated WHERE error_code IS NULL), "
+    "req AS (SELECT request_id, session_id, path, base_dir, max_lines, symbols_only, line_start, line_end FROM validated WHERE error_code IS NULL AND tool = 'read_file'), "
     f"{_READS_SQL} SELECT {_READ_COLS}, session_id FROM reads UNION ALL "
     "SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, CAST(error_code AS INT), error, session_id FROM validated WHERE error_code IS NOT NULL"
 )

@@ -50,8 +50,8 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a private folder is created and registered as checkpoint dir.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a local session, whose
+    executors share the driver's disk, may do without: it gets a private folder.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
@@ -63,8 +63,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = tempfile.mkdtemp(prefix="skimdex-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

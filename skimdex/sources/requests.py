@@ -92,7 +92,7 @@ def payload_sql() -> str:
     day, month = e["day"], e["month"]
     pri = "left(o.o_orderpriority, 1)"
     q = lambda x: "'\"' || " + x + " || '\"'"  # noqa: E731  JSON string (paths hold no quotes)
-    max_lines = f"(CASE WHEN {month} = 2 THEN {q('CAST(' + e['max_lines'] + ' AS STRING)')} ELSE CAST({e['max_lines']} AS STRING) END)"
+    max_lines = f"(CASE WHEN {month} = 2 THEN {q('CAST(' + e['max_lines'] + ' AS STRING)')} WHEN {month} = 4 THEN '9007199254740991' ELSE CAST({e['max_lines']} AS STRING) END)"
     line_range = (
         f"(CASE WHEN {month} = 2 THEN '[' || CAST({e['line_start']} AS STRING) || ']' "
         f"ELSE '[' || CAST({e['line_start']} AS STRING) || ', ' || CAST({e['line_end']} AS STRING) || ']' END)"
@@ -105,10 +105,18 @@ def payload_sql() -> str:
         f"WHEN '5' THEN ', \"maxLines\": ' || {max_lines} ELSE '' END)"
     )
     base = f"(CASE WHEN {day} = 29 THEN '' ELSE ', \"baseDir\": \"{BASE_DIR}\"' END)"
-    tool = f"(CASE WHEN {day} = 30 THEN 'write_file' ELSE 'read_file' END)"
+    tool = (
+        f"(CASE {day} WHEN 30 THEN 'write_file' WHEN 26 THEN 'repo_index' WHEN 27 THEN 'index_cache_invalidate' "
+        "WHEN 28 THEN 'index_cache_stats' ELSE 'read_file' END)"
+    )
+    flag = f"(CASE WHEN {month} = 2 THEN '\"true\"' ELSE 'true' END)"
+    target = (
+        f"(CASE WHEN {day} NOT IN (26, 27, 28) OR {month} = 3 THEN '' ELSE ', \"targetDir\": \"{BASE_DIR}\"' END)"
+        f" || (CASE {day} WHEN 26 THEN ', \"forceRefresh\": ' || {flag} WHEN 27 THEN ', \"clearReadFileCache\": ' || {flag} ELSE '' END)"
+    )
     body = (
         "'{\"name\": \"' || " + tool + " || '\", \"arguments\": {\"path\": ' || " + q(e["path"]) +
-        " || " + base + " || " + extras + " || '}}'"
+        " || " + base + " || " + target + " || " + extras + " || '}}'"
     )
     return f"(CASE WHEN {day} = 31 THEN '{{\"name\": \"read_file\", \"arguments\": {{bad' ELSE {body} END)"
 

@@ -22,7 +22,8 @@ STREAM_COLUMNS = reads.READ_COLUMNS + ["session_id"]
 def answer(payloads: DataFrame, files: DataFrame, symbols_text: DataFrame | None = None) -> DataFrame:
     """Batch or streaming ``(request_id, session_id, payload)`` -> read rows."""
     checked = requests.validate_requests(requests.coerce_requests(payloads))
-    ok = checked.where(F.col("error_code").isNull()).select(
+    # Calls of the index tools are valid, but nothing is read for them.
+    ok = checked.where(F.col("error_code").isNull() & (F.col("tool") == requests.TOOL_READ)).select(
         "request_id", "session_id", "path", "base_dir", "max_lines", "symbols_only", "line_start", "line_end"
     )
     answered = reads.read_requests(ok, files, symbols_text).select(*STREAM_COLUMNS)
