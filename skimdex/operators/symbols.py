@@ -48,8 +48,10 @@ MEMBER_MODIFIERS = ["public", "private", "protected", "static", "readonly", "asy
 SCOPES = ["public", "private", "protected"]
 PARAM_MODIFIERS = ["public", "private", "protected", "readonly", "override"]
 CONTINUATION = [":", "|", "&", "<", ",", "(", "[", "=>", "?", "=", ".", "extends", "keyof", "typeof", "new"]
-STATEMENT_WORDS = ["export", "import", "const", "let", "var", "function", "class", "interface", "type", "enum",
-                   "declare", "namespace", "module", "abstract", "async"]
+# A line or token that starts with one of these goes on with what stands before it.
+LEADING = ["|", "&", ".", "?", ":", "=", "=>", ">", ")", "]", "}", ";", ",", "extends", "is"]
+# Words that open a statement which may declare a name exported elsewhere in the file.
+LOCAL_STARTS = list(KIND_RANK) + ["abstract", "async", "declare", "const"]
 IDENT_RE = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 
 DECL_KEYS = FILE_KEYS + ["decl"]
@@ -93,15 +95,21 @@ def rebuilt_text(ws: Column, tok: Column, order: Column) -> Column:
 def declaration_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of exported declarations with their kind, name and markers.
 
-    Three window stages over the declaration: (1) kind and name are the 1st
+    A declaration is exported by its own ``export`` or by a list or default
+    export of its name in the same file (``export { a as b }``, ``export
+    default X``); it keeps its local name. Window stages: the file's exported
+    names, then three over the declaration: (1) kind and name are the 1st
     to 3rd tokens after ``export`` that are not modifiers; (2) the first
     depth-0 ``(``, ``{`` and ``=`` after the name; (3) what follows them --
     between a ``(`` and its ``)`` every token is deeper, so "the first depth-0
     X after ``(``" needs no ``)`` marker first."""
     fw = Window.partitionBy(*FILE_KEYS).orderBy("pos")
     tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
+    prev = F.coalesce(F.col("prev"), F.lit(""))
+    fresh = F.col("nl") | F.col("prev").isNull() | prev.isin(";", "}")
+    local = tok.isin(LOCAL_STARTS) & fresh & ~prev.isin(DECL_MODIFIERS + ["export"])
     t = tokens.withColumn(
-        "decl", F.sum(((tok == "export") & (lvl == 0)).cast("int")).over(fw.rowsBetween(*RUNNING))
+        "decl", F.sum(((lvl == 0) & ((tok == "export") | local)).cast("int")).over(fw.rowsBetween(*RUNNING))
     ).where(F.col("decl") > 0)
 
     da = Window.partitionBy(*DECL_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
@@ -112,25 +120,40 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
         F.max("pos").over(da).alias("last"),
         *[F.nth_value(F.when(cand, tok), i + 1, True).over(da).alias(f"c{i}") for i in range(3)],
         F.nth_value(F.when(cand, pos), 1, True).over(da).alias("kind_pos"),
+        F.first("tok").over(da).alias("opener"),
+        F.max((lvl == 0) & (tok == "from")).over(da).alias("reexport"),
     )
+    # Names a list or default export of this file gives out; a list that ends in
+    # `from` names another file's declarations.
+    list_open = F.when((F.col("c0") == "{") | ((F.col("c0") == "type") & (F.col("c1") == "{")), True)
+    listed = list_open & ~F.col("reexport") & (lvl == 1) & (prev.isin("{", ",") | ((prev == "type") & (F.col("nxt") != "as")))
+    by_default = (prev == "default") & (lvl == 0) & ~tok.isin(LOCAL_STARTS)
+    given = (F.col("opener") == "export") & tok.rlike(IDENT_RE) & (F.coalesce(listed, F.lit(False)) | by_default)
+    whole_file = Window.partitionBy(*FILE_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
+    t = t.withColumn("given", F.collect_set(F.when(given, tok)).over(whole_file))
     t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(list(KIND_RANK)))
     star = F.col("c1") == "*"
     name_tok = F.when(star, F.col("c2")).otherwise(F.col("c1"))
-    named = name_tok.rlike(IDENT_RE)
+    named = name_tok.rlike(IDENT_RE) & ~name_tok.isin("extends", "implements")
     t = t.withColumn("after_pos", F.col("kind_pos") + 1 + star.cast("int") + named.cast("int")).withColumn(
         "name",
         F.when(named, name_tok)
         .when(F.col("kind") == "function", F.lit(ANON_FUNCTION))
         .when(F.col("kind") == "class", F.lit(ANON_CLASS)),
-    ).drop("c1", "c2")
-    after = pos >= F.col("after_pos")
+    ).drop("c1", "c2", "reexport")
+    # No name: `export type { A } from`, `export const type = 1` declare nothing here.
+    t = t.where(F.col("name").isNotNull() & ((F.col("opener") == "export") | F.array_contains("given", F.col("name"))))
+    t = t.drop("given", "opener")
+    # Brackets and `=` inside the generics after the name are not the markers.
+    gw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
+    t = t.withColumn("gen", _angle_depth(tok, (lvl == 0) & (pos >= F.col("after_pos")), gw))
+    after = (pos >= F.col("after_pos")) & (F.col("gen") == 0)
     t = t.select(
         "*",
         _first(after & (lvl == 0) & (tok == "("), "pos", da).alias("lp"),
         _first(after & (lvl == 0) & (tok == "{"), "pos", da).alias("lb"),
         _first(after & (lvl == 0) & (tok == "="), "pos", da).alias("eq"),
-    )
-    prev = F.coalesce(F.col("prev"), F.lit(""))
+    ).drop("gen")
     past_lp = (pos > F.col("lp")) & (lvl == 0)
     return t.select(
         "*",
@@ -140,7 +163,9 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
         _first(past_lp & (tok == ";"), "pos", da).alias("fsemi"),
         _first((pos > F.col("lb")) & (lvl == 0) & (tok == "}"), "pos", da).alias("rb"),
         _first(
-            (pos > F.col("eq") + 1) & (lvl == 0) & ((tok == ";") | (F.col("nl") & tok.isin(STATEMENT_WORDS))), "pos", da
+            (pos > F.col("eq") + 1) & (lvl == 0)
+            & ((tok == ";") | (F.col("nl") & ~prev.isin(CONTINUATION) & ~tok.isin(LEADING))),
+            "pos", da,
         ).alias("t_end"),
     )
 
@@ -150,6 +175,7 @@ def declarations(decl_tokens: DataFrame) -> DataFrame:
     return decl_tokens.where(F.col("pos") == F.col("start")).select(
         *DECL_KEYS, F.col("pos").alias("decl_pos"), "kind", "name",
         F.when(F.col("kind") == "function", F.col("doc")).alias("docstring"),
+        (F.col("fb").isNotNull() & (F.col("fb") < F.coalesce("fsemi", F.col("last") + 1))).alias("has_body"),
     )
 
 
@@ -228,10 +254,10 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     # ',' separates enum members, and interface members outside generics.
     comma_sep = (prev == ",") & ((kind == "enum") | ((kind == "interface") & (prev_ang == 0)))
     start = (
-        F.col("in_body") & (lvl == 1) & (tok != "{")
+        F.col("in_body") & (lvl == 1) & (tok != "{") & ~tok.isin(LEADING)
         & (
             (pos == F.col("lb") + 1)
-            | ((prev.isin(";", "}") | comma_sep) & (prev_lvl == 1))
+            | (((prev == ";") | ((prev == "}") & (F.col("nl") | (tok != "["))) | comma_sep) & (prev_lvl == 1))
             | (F.col("nl") & ~prev.isin(CONTINUATION) & (kind != "enum"))
         )
     )
@@ -240,11 +266,18 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     nxt = F.coalesce(F.col("nxt"), F.lit(""))
     top = lvl == 1
     accessor_kw = top & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
-    is_mod = top & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"']")) | accessor_kw)
-    word = top & ~is_mod
+    is_mod = top & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"'*#]")) | accessor_kw | (tok == "*"))
+    # A decorator (`@a.b(...)`) before a member is no part of it.
+    bare = top & ~prev.isin("@", ".") & ~tok.isin("@", ".", "(", ")")
     m = m.select(
         "*",
         F.min("pos").over(ma).alias("mstart"),
+        F.when(F.first("tok").over(ma) == "@", _first(bare, "pos", ma)).otherwise(F.min("pos").over(ma)).alias("mreal"),
+    )
+    top = top & (pos >= F.col("mreal"))
+    word = top & ~is_mod
+    m = m.select(
+        "*",
         F.max("pos").over(ma).alias("m_last"),
         F.nth_value(F.when(word, pos), 1, True).over(ma).alias("name_pos"),
         F.nth_value(F.when(word, tok), 1, True).over(ma).alias("mname"),
@@ -254,7 +287,10 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
         _first(word & (tok == "("), "pos", ma).alias("mp_open"),
         _first(word & (tok == ":"), "pos", ma).alias("m_colon"),
         _first(word & (tok == "="), "pos", ma).alias("m_eq"),
+        _first(word & (tok == "]"), "pos", ma).alias("m_sq"),
     )
+    computed = (F.col("mname") == "[") & (pos >= F.col("name_pos")) & (pos <= F.col("m_sq"))
+    private_name = (F.col("mname") == "#") & (pos >= F.col("name_pos")) & (pos <= F.col("name_pos") + 1)
     big = F.col("m_last") + 1
     is_method = (
         F.col("mp_open").isNotNull()
@@ -265,6 +301,7 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     return m.select(
         "*",
         is_method.alias("is_method"),
+        F.array_join(F.collect_list(F.when(computed | private_name, tok)).over(ma), "").alias("long_name"),
         _first(past & (tok == ")"), "pos", ma).alias("mp_close"),
         (F.nth_value(F.when(past, tok), 2, True).over(ma) == ":").alias("m_ret"),
         _first(past & (tok == "{") & ~prev.isin(CONTINUATION), "pos", ma).alias("m_body"),
@@ -280,7 +317,8 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
 def member_rows(m: DataFrame) -> DataFrame:
     """One row per member: kind-specific fields, before texts are joined in."""
     return m.where(F.col("in_body") & (F.col("pos") == F.col("mstart"))).select(
-        *MEMBER_KEYS, "kind", F.col("pos").alias("member_pos"), "mname", "scope", "accessor",
+        *MEMBER_KEYS, "kind", F.col("pos").alias("member_pos"),
+        F.coalesce(F.nullif("long_name", F.lit("")), F.col("mname")).alias("mname"), "scope", "accessor",
         "optional", "is_method", F.col("tok").alias("first_tok"),
         "name_pos", "m_colon", "m_eq",
     )
@@ -343,7 +381,7 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
     member_info = materialize(member_info, "member-info")
     has = lambda c: F.col(c).isNotNull()
     return {
-        "declarations": decl_info.select(*DECL_KEYS, "decl_pos", "kind", "name", "docstring"),
+        "declarations": decl_info.select(*DECL_KEYS, "decl_pos", "kind", "name", "docstring", "has_body"),
         "fn_params": decl_info.where(has("params")).select(*DECL_KEYS, "params"),
         "fn_return": decl_info.where(has("return_type")).select(*DECL_KEYS, "return_type"),
         "type_text": decl_info.where(has("type_text")).select(*DECL_KEYS, "type_text"),
@@ -355,7 +393,10 @@ def extract(tokens: DataFrame) -> dict[str, DataFrame]:
 
 
 def export_functions(x: dict[str, DataFrame]) -> DataFrame:
+    """Exported functions; of overloads only the one with the body."""
+    ow = Window.partitionBy(*FILE_KEYS, "name")
     d = x["declarations"].where(F.col("kind") == "function")
+    d = d.withColumn("any_body", F.max("has_body").over(ow)).where(F.col("has_body") | ~F.col("any_body"))
     return (
         d.join(x["fn_params"], DECL_KEYS, "left")
         .join(x["fn_return"], DECL_KEYS, "left")

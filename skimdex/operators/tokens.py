@@ -75,9 +75,12 @@ def explode_tokens(files: DataFrame) -> DataFrame:
         F.col("t.tok").alias("tok"),
         (F.col("t.trivia") != "").alias("ws"),
         F.contains(F.col("t.trivia"), F.lit("\n")).alias("nl"),
-        # Leading comments matter only before ``export`` (JSDoc of the
-        # declaration); the trivia text itself is not carried further.
-        F.when(F.col("t.tok") == "export", jsdoc(F.col("t.trivia"))).alias("doc"),
+        # Leading comments matter only before a word that can open a
+        # declaration (its JSDoc); the trivia text itself is not carried further.
+        F.when(
+            F.col("t.tok").isin(["export", "async", "declare"] + DECL_WORDS) & F.contains(F.col("t.trivia"), F.lit("/**")),
+            jsdoc(F.col("t.trivia")),
+        ).alias("doc"),
     )
 
 

@@ -142,3 +142,88 @@ def test_lexer_survives_many_comment_lines_and_regex_literals(spark):
     src = "// note\n" * 6000 + "const re = /[({]/;\nexport function pick(a: string): string { return a.replace(/https?:\\/\\//g, '{'); }\n// the end {"
     rows = Y.export_functions(Y.extract(Y.signature_tokens(Y.source_candidates(make_files(spark, [("/t/src/a.ts", src)]))))).collect()
     assert [r.name for r in rows] == ["pick"]
+
+
+SHAPES = '''import { z } from './z';
+export type { Foo } from './x';
+export const type = 5;
+export function fits<T extends (x: any) => void>(a: T, b: number): T { return a; }
+export default class extends Base { run(): void {} }
+export type Either = A
+  | B
+process.on('x', () => {})
+export type Boxed<T = string> = { value: T
+}
+export interface Event {
+  kind:
+    | "open"
+    | "shut"
+  at: { x: number
+  }
+  tags: { a: string }[]
+}
+export class Panel {
+  @Input('n') size: number = 1;
+  @Listen('click', ['$event'])
+  onClick(e: Event): void {}
+  chain = build()
+    .first()
+    .last();
+  *walk(): Iter { yield 1; }
+  [Symbol.iterator](): Iter { return this.walk(); }
+  wide(
+    a: string,
+    b: number
+  ): void {}
+  #hidden(): void {}
+}
+'''
+
+LISTS = '''function inner(a: string): void {}
+/** Listed. */
+function listed(b: number): string { return ''; }
+class Late {}
+enum Own { A }
+interface Same { x: number }
+export { listed, inner as outer };
+export { Same } from './same';
+export default Late;
+export function over(a: string): void;
+export function over(a: number): void;
+export function over(a: any): void { if (a) {} }
+'''
+
+
+@pytest.fixture(scope="module")
+def shapes(spark):
+    files = make_files(spark, [("shapes.ts", SHAPES), ("lists.ts", LISTS)])
+    out = {}
+    for r in sorted(Y.extract_symbols(files).collect(), key=lambda r: (r.path, r.ord)):
+        out.setdefault(r.path, []).append(r)
+    return out
+
+
+def test_declaration_shapes(shapes):
+    got = {(r.kind, r.name): (r.params, r.return_type) for r in shapes["shapes.ts"]}
+    assert set(got) == {("function", "fits"), ("class", "AnonymousClass"), ("class", "Panel"),
+                        ("interface", "Event"), ("type", "Either"), ("type", "Boxed")}
+    assert got["function", "fits"] == ("a: T, b: number", "T")
+    assert got["type", "Either"][0] == "A | B"
+    assert got["type", "Boxed"][0] == "{ value: T }"
+
+
+def test_member_shapes(shapes):
+    got = {r.name: r.params for r in shapes["shapes.ts"]}
+    assert got["Event"] == 'kind: | "open" | "shut"; at: { x: number }; tags: { a: string }[]'
+    assert got["Panel"].split(" | ") == [
+        "public onClick(e: Event): void", "public walk(): Iter", "public [Symbol.iterator](): Iter",
+        "public wide(a: string, b: number): void", "public #hidden(): void",
+    ]
+
+
+def test_export_lists_defaults_and_overloads(shapes):
+    got = [(r.kind, r.name, r.params, r.docstring) for r in shapes["lists.ts"]]
+    assert got == [
+        ("function", "inner", "a: string", None), ("function", "listed", "b: number", "Listed."),
+        ("function", "over", "a: any", None), ("class", "Late", "", None),
+    ]
