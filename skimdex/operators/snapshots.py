@@ -3,13 +3,16 @@
 Store layout under one root folder on shared storage:
 
 * ``events/``  -- append-only parquet log, one row per write or invalidation:
-  ``(target_id, target_dir, version, fingerprint, event, generated_at)``.
-  The current state of a target is its latest event (``max_by``), so nothing
-  is ever read and overwritten in the same job.
+  ``(target_id, target_dir, version, fingerprint, event, generated_at, seq)``.
+  The current state of a target is its event with the highest ``seq``, so
+  nothing is ever read and overwritten in the same job.
 * ``entries/`` -- the index rows (symbols plus the file stat they were built
-  from), partitioned by ``target_id``; a refresh replaces only the partitions
-  of the targets it rebuilt (dynamic partition overwrite), after staging the
-  new rows in a separate folder.
+  from), partitioned by ``(target_id, fingerprint)``. A refresh writes the new
+  fingerprint's partition beside the old one; the event appended after it is
+  what switches readers over, so a failure in between leaves the old snapshot
+  in place. Partitions of earlier fingerprints are not removed.
+* ``tombstones/`` -- ``(target_dir, path, deleted_ms)`` of streamed deletes, so
+  an older edit that arrives later does not bring the file back.
 
 The fingerprint is a multiset digest: per file ``sha2(path|size|mtime)``,
 summed in four 60-bit lanes per target. Sums are algebraic, so a target with
@@ -46,8 +49,14 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("fingerprint", T.StringType()),
         T.StructField("event", T.StringType()),
         T.StructField("generated_at", T.TimestampType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
+ENTRY_SCHEMA = (
+    "target_dir string, path string, ord int, kind string, name string, params string, return_type string, "
+    "docstring string, size_bytes bigint, mtime_ms bigint, target_id string, fingerprint string"
+)
+TOMBSTONE_SCHEMA = "target_dir string, path string, deleted_ms bigint"
 ENTRY_STAT_COLUMNS = ["size_bytes", "mtime_ms"]
 
 
@@ -106,9 +115,10 @@ class SnapshotStore:
         self.root = root.rstrip("/")
         self.events_dir = f"{self.root}/events"
         self.entries_dir = f"{self.root}/entries"
+        self.tombstones_dir = f"{self.root}/tombstones"
 
     # -- reads ---------------------------------------------------------------
-    def _read(self, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    def _read(self, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
         try:
             reader = self.spark.read
             if schema is not None:
@@ -126,13 +136,13 @@ class SnapshotStore:
     def current(self) -> DataFrame:
         """Latest event per target; only targets whose latest event is a write."""
         latest = self.events().groupBy("target_id").agg(
-            F.max_by(F.struct(*[c for c in EVENT_SCHEMA.fieldNames() if c != "target_id"]), "generated_at").alias("e")
+            F.max_by(F.struct(*[c for c in EVENT_SCHEMA.fieldNames() if c != "target_id"]), "seq").alias("e")
         )
-        return latest.select("target_id", "e.*").where(F.col("event") == EVENT_WRITE).drop("event")
+        return latest.select("target_id", "e.*").where(F.col("event") == EVENT_WRITE).drop("event", "seq")
 
     def entries(self, target_ids: DataFrame | None = None) -> DataFrame | None:
         """Stored index rows of the current snapshots (optionally of some targets)."""
-        df = self._read(self.entries_dir)
+        df = self._read(self.entries_dir, ENTRY_SCHEMA)
         if df is None:
             return None
         cur = self.current().select("target_id", "fingerprint")
@@ -145,35 +155,42 @@ class SnapshotStore:
         """Current index rows with a symbol (stat-only rows left out)."""
         ent = self.entries(target_ids)
         if ent is None:
-            schema = ", ".join(
-                ["target_id string", "target_dir string", "path string", "ord int", "kind string", "name string",
-                 "params string", "return_type string", "docstring string", "size_bytes bigint", "mtime_ms bigint"]
-            )
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], ENTRY_SCHEMA)
         return ent.where(F.col("kind").isNotNull())
 
+    def tombstones(self) -> DataFrame:
+        """Latest streamed delete per file."""
+        df = self._read(self.tombstones_dir, TOMBSTONE_SCHEMA)
+        if df is None:
+            df = self.spark.createDataFrame([], TOMBSTONE_SCHEMA)
+        return df.groupBy("target_dir", "path").agg(F.max("deleted_ms").alias("deleted_ms"))
+
     # -- writes --------------------------------------------------------------
     def append_events(self, rows: DataFrame) -> None:
+        """Append one event per target, each after the target's last one."""
+        last = self.events().groupBy("target_id").agg(F.max("seq").alias("last_seq"))
+        rows = rows.join(last, "target_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + 1)
         rows.select(*EVENT_SCHEMA.fieldNames()).write.mode("append").parquet(self.events_dir)
 
     def write_entries(self, entries: DataFrame) -> None:
-        """Replace the partitions of the targets present in ``entries``.
+        """Write the ``(target_id, fingerprint)`` partitions in ``entries``.
 
-        Rows are first written to a staging folder and read back from there,
-        so the job that overwrites ``entries/`` never reads ``entries/``."""
-        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
-        entries.write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.parquet(staging)
+        Readers see them once their event is appended. A repeated write of the
+        same fingerprint (a retried batch) replaces the partition with equal rows."""
         (
             # Spread by file, not by target: a target holding a third of all
             # rows is written by many tasks (a few files per partition each).
-            staged.repartition("target_id", "path")
+            entries.repartition("target_id", "path")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("target_id")
+            .partitionBy("target_id", "fingerprint")
             .parquet(self.entries_dir)
         )
 
+    def append_tombstones(self, deletes: DataFrame) -> None:
+        """Record streamed deletes (``target_dir, path, deleted_ms``)."""
+        deletes.select("target_dir", "path", "deleted_ms").write.mode("append").parquet(self.tombstones_dir)
+
     def invalidate(self, targets: DataFrame, as_of: Column) -> None:
         """Mark targets' snapshots as gone (``targets``: ``target_dir``)."""
         self.append_events(
@@ -201,9 +218,12 @@ class SnapshotStore:
         )
 
     # -- refresh ---------------------------------------------------------------
-    def refresh(self, files: DataFrame, extract, as_of: Column, force: bool = False) -> DataFrame:
+    def refresh(self, files: DataFrame, extract, as_of: Column, force: bool = False, targets: DataFrame | None = None) -> DataFrame:
         """Bring the snapshots of every target in ``files`` up to date.
 
+        ``targets`` (``target_dir``) names targets to bring up to date whether
+        or not they still have files: one without any loses its snapshot.
+
         ``extract(files) -> symbols`` is the extraction job. A target whose
         fingerprint matches its stored one is a hit and is not touched; for the
         others only added or changed files are extracted, unchanged files keep
@@ -214,20 +234,31 @@ class SnapshotStore:
         manifest = file_manifest(files)
         fps = fingerprints(manifest).withColumn("target_id", target_id("target_dir"))
         cur = self.current().select("target_id", F.col("fingerprint").alias("stored_fp"), F.col("version").alias("stored_version"))
+        if targets is not None:
+            asked = targets.select("target_dir").distinct().withColumn("target_id", target_id("target_dir"))
+            fps = fps.join(asked, ["target_id", "target_dir"], "full")
         st = fps.join(cur, "target_id", "left")
-        hit = (
-            F.lit(not force) & F.col("stored_fp").isNotNull()
-            & (F.col("stored_fp") == F.col("fingerprint")) & (F.col("stored_version") == INDEX_VERSION)
+        hit = F.coalesce(
+            F.lit(not force) & (F.col("stored_fp") == F.col("fingerprint")) & (F.col("stored_version") == INDEX_VERSION),
+            F.lit(False),
         )
         # Materialise the decision before the store is written: a plan that
         # reads the store would otherwise be re-run against the new files.
         st = materialize(st.withColumn("hit", hit), "refresh-status")
-        miss = st.where(~F.col("hit")).select("target_id", "target_dir", "fingerprint")
-
-        stored = self.entries(miss) if not force else None
+        changed = st.where(~F.col("hit"))
+        miss = changed.where(F.col("fingerprint").isNotNull()).select("target_id", "target_dir", "fingerprint")
+        emptied = changed.where(F.col("fingerprint").isNull() & F.col("stored_fp").isNotNull())
+        if changed.isEmpty():
+            return self._refresh_status(st, self.spark.createDataFrame([], "target_dir string, path string, status string"))
+
+        stored = self.entries(changed)
+        old = stored
+        if force:
+            # Everything is extracted anew; only targets left without files have an old side.
+            old = stored.join(emptied.select("target_id"), "target_id", "left_semi") if stored is not None else None
         new_man = manifest.join(miss.select("target_dir"), "target_dir", "left_semi")
-        if stored is not None:
-            old_man = stored.select("target_dir", "path", *ENTRY_STAT_COLUMNS).distinct()
+        if old is not None:
+            old_man = old.select("target_dir", "path", *ENTRY_STAT_COLUMNS).distinct()
             changes = diff(old_man, new_man)
         else:
             changes = new_man.select("target_dir", "path", F.lit("added").alias("status"))
@@ -240,7 +271,7 @@ class SnapshotStore:
             extract(to_extract), ["target_dir", "path"], "left"
         )
         parts = [fresh.select(*SYMBOL_COLUMNS, *ENTRY_STAT_COLUMNS)]
-        if stored is not None:
+        if stored is not None and not force:
             keep = changes.where(F.col("status") == "unchanged").select("target_dir", "path")
             parts.append(stored.join(keep, ["target_dir", "path"], "left_semi").select(*SYMBOL_COLUMNS, *ENTRY_STAT_COLUMNS))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -252,12 +283,17 @@ class SnapshotStore:
                 F.lit(EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"),
             )
         )
+        self.invalidate(emptied.select("target_dir"), as_of)
+        return self._refresh_status(st, changes)
+
+    def _refresh_status(self, st: DataFrame, changes: DataFrame) -> DataFrame:
+        """One written status row per target, after the store is up to date."""
         counts = changes.groupBy("target_dir").agg(
             F.count_if(F.col("status").isin("added", "changed")).alias("files_extracted"),
             F.count_if(F.col("status") == "unchanged").alias("files_reused"),
             F.count_if(F.col("status") == "removed").alias("files_removed"),
         )
-        indexed = self.symbols().groupBy("target_id").agg(F.countDistinct("path").alias("files_indexed"))
+        indexed = self.symbols(st).groupBy("target_id").agg(F.countDistinct("path").alias("files_indexed"))
         out = st.join(counts, "target_dir", "left").join(indexed, "target_id", "left").select(
             "target_dir", "target_id", "hit",
             F.when(F.col("hit"), F.lit("disk")).otherwise(F.lit("rebuild")).alias("layer"),
@@ -267,7 +303,8 @@ class SnapshotStore:
             F.coalesce("files_reused", F.lit(0)).cast("bigint").alias("files_reused"),
             F.coalesce("files_removed", F.lit(0)).cast("bigint").alias("files_removed"),
         )
-        return out
+        # Written, not left as a plan: a later refresh must not change this answer.
+        return materialize(out, "refresh-result")
 
 
 # ---------------------------------------------------------------------------

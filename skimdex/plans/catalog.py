@@ -575,7 +575,7 @@ def _extract_fn(files):
 
 def _written_store(spark, sf, name):
     store = _store(spark, name)
-    store.refresh(_code(spark, sf), _extract_fn, _as_of()).collect()
+    store.refresh(_code(spark, sf), _extract_fn, _as_of())
     return store
 
 
@@ -652,9 +652,7 @@ def q_snapshot_refresh(spark, sf):
     """Index v1 of the code corpus, then refresh against v2: only changed files
     are extracted, unchanged ones are reused, removed ones drop out."""
     store = _written_store(spark, sf, "refresh")
-    status = store.refresh(C.code_corpus_v2(spark, sf), _extract_fn, _as_of() + F.expr("INTERVAL 1 SECOND"))
-    rows = status.collect()
-    return spark.createDataFrame(rows, status.schema)
+    return store.refresh(C.code_corpus_v2(spark, sf), _extract_fn, _as_of() + F.expr("INTERVAL 1 SECOND"))
 
 
 @query(
@@ -759,10 +757,10 @@ _STREAM_READS_SQL = (
 @query("stream_read_requests", _STREAM_READS_SQL)
 def q_stream_read_requests(spark, sf):
     """Payloads land as parquet files; a file-source stream (available-now
-    trigger, two files per micro-batch) answers them into a parquet sink."""
+    trigger) answers them into a parquet sink."""
     base = scratch_path(spark, "stream-reads")
-    R.request_payloads(spark, sf).repartition(4).write.parquet(f"{base}/in")
-    q = SR.start(spark, f"{base}/in", _docs(spark, sf), f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    R.request_payloads(spark, sf).write.parquet(f"{base}/in")
+    q = SR.start(spark, f"{base}/in", _docs(spark, sf), f"{base}/out", f"{base}/chk")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(*SR.STREAM_COLUMNS)
 
@@ -778,8 +776,9 @@ def _v2_expected_sql() -> str:
 
 @query("stream_index_upkeep", _v2_expected_sql() + "SELECT target_dir, path, ord, kind, name, params, return_type, docstring FROM v2")
 def q_stream_index_upkeep(spark, sf):
-    """Index v1 of the code corpus, then stream the v1 -> v2 file changes
-    (edits and deletions, plus stale copies that must be ignored) into it."""
+    """Index v1 of the code corpus, then stream the v1 -> v2 file changes into
+    it (edits and deletions), then older copies of the edited and the deleted
+    files, which must be ignored."""
     store = _written_store(spark, sf, "upkeep")
     v1, v2 = SN.file_manifest(_code(spark, sf)), C.code_corpus_v2(spark, sf)
     changed = SN.diff(v1, SN.file_manifest(v2)).where(F.col("status") != "unchanged")
@@ -790,15 +789,14 @@ def q_stream_index_upkeep(spark, sf):
         "target_dir", "path", F.lit(None).cast("string").alias("content"), F.lit(None).cast("bigint").alias("size_bytes"),
         "mtime", F.lit(True).alias("deleted"),
     )
-    stale = edits.select(
+    stale = edits.unionByName(gone).select(
         "target_dir", "path", F.lit("export function stale(): void {}").alias("content"), F.lit(33).cast("bigint").alias("size_bytes"),
         (F.col("mtime") - F.expr(f"INTERVAL {2 * C.EDIT_SECONDS} SECONDS")).alias("mtime"), F.lit(False).alias("deleted"),
     )
     base = scratch_path(spark, "stream-upkeep")
-    edits.unionByName(gone).coalesce(1).write.parquet(f"{base}/in/a")
-    stale.coalesce(1).write.mode("append").parquet(f"{base}/in/a")
-    q = SU.start(spark, f"{base}/in/a", store, _extract_fn, f"{base}/chk", _as_of(), max_files_per_trigger=1)
-    q.awaitTermination()
+    for rows in (edits.unionByName(gone), stale):
+        rows.write.mode("append").parquet(f"{base}/in")
+        SU.start(spark, f"{base}/in", store, _extract_fn, f"{base}/chk", _as_of(), max_files_per_trigger=None).awaitTermination()
     return store.symbols().select(*Y.SYMBOL_COLUMNS)
 
 

@@ -3,14 +3,15 @@
 Input rows: ``(target_dir, path, content, size_bytes, mtime, deleted)``. Each
 micro-batch (``foreachBatch``):
 
-1. keeps the latest change per file (``row_number`` by mtime, descending);
-2. drops late changes: a row older than the stat already stored for that file
-   is ignored;
+1. keeps the latest change per file (``row_number`` by mtime, descending; on
+   equal times a delete wins, then the greater content);
+2. drops late changes: a row older than the stat stored for that file, or an
+   edit not newer than the file's last delete (its tombstone), is ignored;
 3. extracts symbols of the changed files only;
-4. rewrites the snapshot partitions of the touched targets: stored rows of
-   untouched files + new rows, with the new fingerprint, through the store's
-   staged partition overwrite (idempotent: replaying a batch gives the same
-   partitions, so a retried batch after a failure is harmless).
+4. writes the touched targets' new snapshots: stored rows of untouched files +
+   new rows, under the new fingerprint. Readers switch with the event appended
+   last. Replaying a batch writes the same partitions again, so a retried batch
+   after a failure is harmless.
 """
 
 from __future__ import annotations
@@ -30,10 +31,17 @@ CHANGE_SCHEMA = "target_dir STRING, path STRING, content STRING, size_bytes BIGI
 
 def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable[[DataFrame], DataFrame], as_of) -> None:
     """Apply one batch of file changes to the store."""
-    w = Window.partitionBy("target_dir", "path").orderBy(F.col("mtime").desc())
+    w = Window.partitionBy("target_dir", "path").orderBy(
+        F.col("mtime").desc(), F.col("deleted").desc(), F.col("content").desc_nulls_last()
+    )
     latest = changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     latest = latest.withColumn("mtime_ms", F.unix_millis("mtime")).withColumn("target_id", SN.target_id("target_dir"))
-    stored = store.entries()
+    grave = store.tombstones()
+    latest = latest.join(grave, ["target_dir", "path"], "left").where(
+        F.col("deleted_ms").isNull() | (F.col("mtime_ms") > F.col("deleted_ms"))
+        | (F.col("deleted") & (F.col("mtime_ms") == F.col("deleted_ms")))
+    ).drop("deleted_ms")
+    stored = store.entries(latest)
     if stored is not None:
         stat = stored.select("target_dir", "path", F.col("mtime_ms").alias("stored_mtime")).distinct()
         latest = latest.join(stat, ["target_dir", "path"], "left").where(
@@ -41,6 +49,7 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
         ).drop("stored_mtime")
     latest = materialize(latest, "upkeep-latest")
     touched = latest.select("target_id").distinct()
+    store.append_tombstones(latest.where("deleted").select("target_dir", "path", F.col("mtime_ms").alias("deleted_ms")))
     live = latest.where(~F.col("deleted"))
     new_rows = live.select("target_dir", "path", "size_bytes", "mtime_ms").join(
         extract(live.select("target_dir", "path", "content")), ["target_dir", "path"], "left"

@@ -47,3 +47,28 @@ def test_diff_and_fingerprint(spark):
     f_old, f_new = SN.fingerprints(old).first(), SN.fingerprints(old.orderBy(F.desc("path"))).first()
     assert f_old.fingerprint == f_new.fingerprint          # order-independent
     assert SN.fingerprints(new).first().fingerprint != f_old.fingerprint
+
+
+def test_emptied_target_and_late_edit(spark):
+    from skimdex.streaming import upkeep as SU
+
+    store = SN.SnapshotStore(spark, scratch_path(spark, "test-emptied"))
+    as_of = F.lit(dt.datetime(2024, 2, 1))
+    one = make_files(spark, [("a.ts", "export function a(): void {}\n"), ("b.ts", "export type B = string;\n")], "/t")
+    two = make_files(spark, [("u.ts", "export function u(): void {}\n")], "/u")
+    both = one.unionByName(two)
+    asked = both.select("target_dir")
+    store.refresh(both, Y.extract_symbols, as_of, targets=asked)
+    status = {r.target_dir: r for r in store.refresh(one, Y.extract_symbols, as_of, targets=asked).collect()}
+    assert status["/t"].hit and not status["/u"].hit and status["/u"].files_removed == 1
+    assert {r.name for r in store.symbols().collect()} == {"a", "B"}
+
+    schema = "target_dir string, path string, content string, size_bytes bigint, mtime timestamp, deleted boolean"
+    day = lambda d: dt.datetime(2024, 1, d)
+    SU.apply_changes(store, spark.createDataFrame([("/t", "a.ts", None, None, day(5), True)], schema), Y.extract_symbols, as_of)
+    late = ("/t", "a.ts", "export function late(): void {}\n", 32, day(4), False)
+    SU.apply_changes(store, spark.createDataFrame([late], schema), Y.extract_symbols, as_of)
+    assert {r.name for r in store.symbols().collect()} == {"B"}
+    again = ("/t", "a.ts", "export function again(): void {}\n", 33, day(6), False)
+    SU.apply_changes(store, spark.createDataFrame([again], schema), Y.extract_symbols, as_of)
+    assert {r.name for r in store.symbols().collect()} == {"again", "B"}
