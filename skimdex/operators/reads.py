@@ -52,6 +52,12 @@ def resolve(requests: DataFrame) -> DataFrame:
     )
 
 
+def symbols_wanted(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of ``files`` that a symbols-only request asks for: only these are parsed."""
+    wanted = resolve(requests).where(F.col("in_base") & F.col("symbols_only")).select("file_path").distinct()
+    return files.join(wanted, F.concat("target_dir", F.lit("/"), "path") == F.col("file_path"), "left_semi")
+
+
 def read_requests(requests: DataFrame, files: DataFrame, symbols_text: DataFrame | None = None) -> DataFrame:
     """Answer every request; returns ``READ_COLUMNS``.
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from skimdex.functions import text as T
 from skimdex.operators.packages import nearest_package
-from skimdex.operators.symbols import DECL_KEYS, FILE_KEYS, SYMBOL_COLUMNS, interface_properties
+from skimdex.operators.symbols import (
+    DECL_KEYS, FILE_KEYS, SYMBOL_COLUMNS, extract, interface_properties, signature_tokens, symbols_from,
+)
 
 # Fixed values of the reference's prompt format.
 CLASS_LABEL = " — methods: "
@@ -87,6 +89,12 @@ def write_skeleton_text(text_rows: DataFrame, out_dir: str) -> None:
     )
 
 
+def symbols_bodies(files: DataFrame) -> DataFrame:
+    """:func:`symbols_only_text` of ``files``, in or out of the index scope."""
+    x = extract(signature_tokens(files.where(F.contains("content", F.lit("export")))))
+    return symbols_only_text(x, symbols_from(x))
+
+
 def symbols_only_text(x: dict[str, DataFrame], symbols: DataFrame) -> DataFrame:
     """Per file: the lines a symbols-only read returns after its header --
     exported functions, then interfaces with all their properties, then type

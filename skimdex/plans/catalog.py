@@ -451,12 +451,14 @@ def _symbols_only_sql() -> str:
     )
 
 
-@query(
-    "read_symbols_only",
+_READ_SYMBOLS_SQL = (
     f"{_G}, {_symbols_only_sql()} SELECT CAST(p_partkey AS BIGINT) AS request_id, target_dir || '/' || path AS path, body AS content, "
     f"CAST(len(string_split(body, chr(10))) AS INT) AS lines_returned, {S.nlines('content')} AS total_lines, "
-    f"{S.tokens('body')} AS token_estimate, 'symbols-only' AS mode, CAST(NULL AS INT) AS error_code, CAST(NULL AS VARCHAR) AS error FROM so",
+    f"{S.tokens('body')} AS token_estimate, 'symbols-only' AS mode, CAST(NULL AS INT) AS error_code, CAST(NULL AS VARCHAR) AS error FROM so"
 )
+
+
+@query("read_symbols_only", _READ_SYMBOLS_SQL)
 def q_read_symbols_only(spark, sf):
     files, x = _extraction(spark, sf)
     syms = Y.symbols_from(x)
@@ -765,6 +767,21 @@ def q_stream_read_requests(spark, sf):
     return spark.read.parquet(f"{base}/out").select(*SR.STREAM_COLUMNS)
 
 
+@query("stream_read_symbols", _READ_SYMBOLS_SQL)
+def q_stream_read_symbols(spark, sf):
+    """A symbols-only call for every file of the code corpus, as a stream of
+    payloads; each micro-batch parses the files it asks for."""
+    base = scratch_path(spark, "stream-symbols")
+    files = _code(spark, sf)
+    args = F.struct("path", F.col("target_dir").alias("baseDir"), F.lit(True).alias("symbolsOnly"))
+    payload = F.to_json(F.struct(F.lit("read_file").alias("name"), args.alias("arguments")))
+    files.select(
+        F.col("p_partkey").cast("bigint").alias("request_id"), F.lit(0).cast("bigint").alias("session_id"), payload.alias("payload")
+    ).write.parquet(f"{base}/in")
+    SR.start(spark, f"{base}/in", files, f"{base}/out", f"{base}/chk", symbols_for=K.symbols_bodies).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*reads.READ_COLUMNS)
+
+
 def _v2_expected_sql() -> str:
     return (
         f"{_G}, e2 AS (SELECT e.*, g.p_size, g.p_partkey FROM expected e JOIN g ON e.target_dir = g.target_dir AND e.path = g.path), "

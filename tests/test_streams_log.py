@@ -78,3 +78,20 @@ def test_budget_log_shapes(spark):
     got = sorted(BL.read_log(spark, log).collect(), key=lambda r: r.index_cache_hit is None)
     assert got[0].index_cache_hit is True and got[0].index_cache_file == "abc.json"
     assert got[1].index_cache_enabled is None and got[1].naive_tokens == 3986
+
+
+def test_read_stream_parses_requested_files(spark):
+    from skimdex.operators import skeleton as K
+
+    files = make_files(spark, [("a.ts", "export function f(n: number): void {}\n"), ("b.ts", "export function g(): void {}\n")])
+    call = '{"name": "read_file", "arguments": {"path": "%s", "baseDir": "/t"%s}}'
+    payloads = spark.createDataFrame(
+        [(1, 7, call % ("a.ts", ', "symbolsOnly": true')), (2, 7, call % ("b.ts", "")), (3, 7, call % ("../x.ts", ', "symbolsOnly": true'))],
+        "request_id bigint, session_id bigint, payload string",
+    )
+    base = scratch_path(spark, "test-stream-symbols")
+    payloads.write.parquet(f"{base}/in")
+    SR.start(spark, f"{base}/in", files, f"{base}/out", f"{base}/chk", symbols_for=K.symbols_bodies).awaitTermination()
+    got = {r.request_id: r for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got[1].content == "// symbols-only mode: a.ts\nexport function f(n: number): void"
+    assert got[2].mode == "full" and got[3].error.startswith("Path escapes baseDir")
