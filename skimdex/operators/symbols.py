@@ -56,6 +56,7 @@ IDENT_RE = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 
 DECL_KEYS = FILE_KEYS + ["decl"]
 MEMBER_KEYS = DECL_KEYS + ["member"]
+UNIT_KEYS = MEMBER_KEYS + ["in_body"]
 UNBOUNDED = (Window.unboundedPreceding, Window.unboundedFollowing)
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
@@ -79,12 +80,6 @@ def _angle_depth(tok: Column, at_level: Column, w) -> Column:
     return F.sum(delta).over(w.rowsBetween(*RUNNING))
 
 
-def rebuilt_text(ws: Column, tok: Column, order: Column) -> Column:
-    """Aggregate: tokens in ``order``, one space where the source had trivia."""
-    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), ws.alias("w"), tok.alias("t"))))
-    return F.trim(F.array_join(F.transform(parts, lambda x: F.concat(F.when(x["w"], F.lit(" ")).otherwise(F.lit("")), x["t"])), ""))
-
-
 # ---------------------------------------------------------------------------
 # 1. declarations
 # ---------------------------------------------------------------------------
@@ -129,7 +124,8 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
     listed = list_open & ~F.col("reexport") & (lvl == 1) & (prev.isin("{", ",") | ((prev == "type") & (F.col("nxt") != "as")))
     by_default = (prev == "default") & (lvl == 0) & ~tok.isin(LOCAL_STARTS)
     given = (F.col("opener") == "export") & tok.rlike(IDENT_RE) & (F.coalesce(listed, F.lit(False)) | by_default)
-    whole_file = Window.partitionBy(*FILE_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
+    # Same order as the declaration windows, so no sort in between.
+    whole_file = Window.partitionBy(*FILE_KEYS).orderBy("decl", "pos").rowsBetween(*UNBOUNDED)
     t = t.withColumn("given", F.collect_set(F.when(given, tok)).over(whole_file))
     t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(list(KIND_RANK)))
     star = F.col("c1") == "*"
@@ -170,63 +166,55 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
     )
 
 
-def declarations(decl_tokens: DataFrame) -> DataFrame:
-    """One row per exported declaration: kind, name, position, docstring."""
-    return decl_tokens.where(F.col("pos") == F.col("start")).select(
-        *DECL_KEYS, F.col("pos").alias("decl_pos"), "kind", "name",
-        F.when(F.col("kind") == "function", F.col("doc")).alias("docstring"),
-        (F.col("fb").isNotNull() & (F.col("fb") < F.coalesce("fsemi", F.col("last") + 1))).alias("has_body"),
-    )
-
-
 # ---------------------------------------------------------------------------
 # 3. parameter lists (used by functions, constructors and methods)
 # ---------------------------------------------------------------------------
 
-def parameter_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows``: tokens strictly inside one parameter list per ``keys``, with
-    ``base`` = depth of the list's own tokens. Returns ``keys + [params]``
-    (``name: type`` joined by ``, ``)."""
-    pw = Window.partitionBy(*keys).orderBy("pos")
-    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
-    top = lvl == F.col("base")
-    r = rows.select("*", _angle_depth(tok, top, pw).alias("p_ang"))
-    sep = (tok == ",") & top & (F.col("p_ang") == 0)
-    r = r.select("*", F.sum(sep.cast("int")).over(pw.rowsBetween(*RUNNING)).alias("pidx")).where(~sep)
-    qa = Window.partitionBy(*keys, "pidx").orderBy("pos").rowsBetween(*UNBOUNDED)
-    r = r.select(
-        "*",
-        _first(top & ~tok.isin(PARAM_MODIFIERS + ["..."]) & ~F.startswith(tok, F.lit("@")), "pos", qa).alias("name_pk"),
-        _first(top & (tok == ":"), "pos", qa).alias("colon_pk"),
-        _first(top & (tok == "="), "pos", qa).alias("eq_pk"),
-        _first(top & (tok == "?"), "pos", qa).alias("q_pk"),
-        F.max("pos").over(qa).alias("p_last"),
+def parameter_tokens(t: DataFrame) -> DataFrame:
+    """Adds ``in_params`` (the token stands inside the parameter list of its
+    function, constructor or method), ``seg`` (number of the parameter, -1
+    elsewhere) and ``top`` (the token is at the list's own depth). Commas
+    between parameters belong to none."""
+    pw = Window.partitionBy(*UNIT_KEYS).orderBy("pos")
+    tok, pos = F.col("tok"), F.col("pos")
+    of_function = (F.col("kind") == "function") & (pos > F.col("lp")) & (pos < F.col("rp"))
+    of_method = F.col("in_body") & F.col("is_method") & (pos > F.col("mp_open")) & (pos < F.col("mp_close"))
+    inside = F.coalesce(of_function | of_method, F.lit(False))
+    t = t.withColumn("inside", inside)
+    t = t.withColumn("top", F.col("inside") & (F.col("lvl") == 1 + F.col("in_body").cast("int")))
+    t = t.withColumn("p_ang", _angle_depth(tok, F.col("top"), pw))
+    sep = F.col("top") & (tok == ",") & (F.col("p_ang") == 0)
+    t = t.withColumns({"sep": sep, "pidx": F.sum(sep.cast("int")).over(pw.rowsBetween(*RUNNING))})
+    in_params = F.col("inside") & ~F.col("sep")
+    return t.withColumns({"in_params": in_params, "seg": F.when(in_params, F.col("pidx")).otherwise(-1)}).drop(
+        "inside", "p_ang", "sep", "pidx"
     )
-    big = F.col("p_last") + 1
-    name_end = F.least(F.coalesce("colon_pk", big), F.coalesce("eq_pk", big), F.coalesce("q_pk", big))
-    in_name = (pos >= F.col("name_pk")) & (pos < name_end)
-    in_type = F.col("colon_pk").isNotNull() & (pos > F.col("colon_pk")) & (pos < F.coalesce("eq_pk", big))
-    is_default = F.col("eq_pk").isNotNull() & (pos == F.col("eq_pk") + 1)
-    per_param = r.groupBy(*keys, "pidx").agg(
-        rebuilt_text(F.col("ws") & ~in_name, F.when(in_name, tok), pos).alias("pname"),
-        rebuilt_text(F.col("ws"), F.when(in_type, tok), pos).alias("ptype"),
-        F.max(F.when(is_default, tok)).alias("dflt"),
-        F.max(F.col("p_last") - F.col("eq_pk")).alias("n_default"),
-        F.max(F.col("colon_pk").isNotNull().cast("int")).alias("typed"),
-    )
-    d = F.col("dflt")
+
+
+def _joined(toks: Column, cond=None, spaces: bool = True) -> Column:
+    """Text of ordered tokens, one space where the source had trivia."""
+    picked = F.filter(toks, cond) if cond is not None else toks
+    piece = lambda x: F.concat(F.when(x["ws"], F.lit(" ")).otherwise(F.lit("")), x["tok"])
+    return F.trim(F.array_join(F.transform(picked, piece if spaces else (lambda x: x["tok"])), ""))
+
+
+def parameter_text() -> Column:
+    """``name: type`` of one parameter, from its tokens and first markers."""
+    toks, big = F.col("toks"), F.col("p_last") + 1
+    eq, colon = F.col("eq_pk"), F.col("colon_pk")
+    name_end = F.least(F.coalesce(colon, big), F.coalesce(eq, big), F.coalesce("q_pk", big))
+    pname = _joined(toks, lambda x: (x["pos"] >= F.col("name_pk")) & (x["pos"] < name_end), spaces=False)
+    typed = _joined(toks, lambda x: (x["pos"] > colon) & (x["pos"] < F.coalesce(eq, big)))
+    d = F.get(F.filter(toks, lambda x: x["pos"] == eq + 1), F.lit(0))["tok"]
     inferred = (
-        F.when(F.col("n_default") != 1, F.lit(UNTYPED_PARAM))
+        F.when(F.col("p_last") - eq != 1, F.lit(UNTYPED_PARAM))
         .when(d.rlike("^[\"'`]"), F.lit("string"))
         .when(d.rlike("^[0-9]"), F.lit("number"))
         .when(d.isin("true", "false"), F.lit("boolean"))
         .otherwise(F.lit(UNTYPED_PARAM))
     )
-    ptype = F.when(F.col("typed") == 1, F.col("ptype")).otherwise(inferred)
-    per_param = per_param.where(F.col("pname") != "").withColumn("ptext", F.concat(F.col("pname"), F.lit(": "), ptype))
-    return per_param.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pidx", "ptext"))), lambda x: x["ptext"]), ", ").alias("params")
-    )
+    ptype = F.when(colon.isNotNull(), typed).otherwise(inferred)
+    return F.when(pname != "", F.concat(pname, F.lit(": "), ptype))
 
 
 # ---------------------------------------------------------------------------
@@ -262,7 +250,7 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
         )
     )
     m = body.select("*", F.sum(start.cast("int")).over(dw.rowsBetween(*RUNNING)).alias("member"))
-    ma = Window.partitionBy(*MEMBER_KEYS, "in_body").orderBy("pos").rowsBetween(*UNBOUNDED)
+    ma = Window.partitionBy(*UNIT_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
     nxt = F.coalesce(F.col("nxt"), F.lit(""))
     top = lvl == 1
     accessor_kw = top & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
@@ -314,81 +302,78 @@ def member_tokens(decl_tokens: DataFrame) -> DataFrame:
     )
 
 
-def member_rows(m: DataFrame) -> DataFrame:
-    """One row per member: kind-specific fields, before texts are joined in."""
-    return m.where(F.col("in_body") & (F.col("pos") == F.col("mstart"))).select(
-        *MEMBER_KEYS, "kind", F.col("pos").alias("member_pos"),
-        F.coalesce(F.nullif("long_name", F.lit("")), F.col("mname")).alias("mname"), "scope", "accessor",
-        "optional", "is_method", F.col("tok").alias("first_tok"),
-        "name_pos", "m_colon", "m_eq",
-    )
-
-
 # ---------------------------------------------------------------------------
 # 4. assembly
 # ---------------------------------------------------------------------------
 
-def _texts(rows: DataFrame, keys: list[str], cond: Column, name: str) -> DataFrame:
-    return rows.where(cond).groupBy(*keys).agg(rebuilt_text(F.col("ws"), F.col("tok"), F.col("pos")).alias(name))
-
-
-def extract(tokens: DataFrame) -> dict[str, DataFrame]:
-    """All intermediate tables of the extraction (for the per-kind queries)."""
-    # One pass computes declaration and member columns (every window is
-    # clustered by file, no shuffle after the tokeniser's); the result is
-    # written once to the shared folder and read by every consumer below with
-    # column pruning -- cheaper than an in-memory cache of wide rows, and a
-    # lost executor does not replay the tokeniser.
-    tt = materialize(member_tokens(declaration_tokens(tokens)), "signature-tokens")
-    dt = tt
-    decls = declarations(dt)
-    k = F.col("pos")
-
-    fn = dt.where(F.col("kind") == "function")
-    fn_params = parameter_texts(
-        fn.where((k > F.col("lp")) & (k < F.col("rp"))).withColumn("base", F.lit(1)), DECL_KEYS
+def units(t: DataFrame) -> DataFrame:
+    """One row per declaration and per member: its fields, its parameters and
+    the text of its type (a function's or method's return type, a property's
+    type, an alias's right side). Two groupings over the windows' partitioning:
+    parameters first, then the declaration or member they belong to."""
+    pos, tok, kind, last = F.col("pos"), F.col("tok"), F.col("kind"), F.col("last") + 1
+    m_last = F.col("m_last") + 1
+    fn_end = F.least(F.coalesce("fb", last), F.coalesce("fsemi", last))
+    method_end = F.least(F.coalesce("m_body", m_last), F.coalesce("m_stop", m_last))
+    of_member = (
+        F.when(F.col("is_method"), F.col("m_ret") & (pos > F.col("mp_close") + 1) & (pos < method_end))
+        .otherwise((kind == "interface") & (pos > F.col("m_colon")) & (pos < F.coalesce("m_stop", m_last)))
     )
-    ret_end = F.least(F.coalesce("fb", F.col("last") + 1), F.coalesce("fsemi", F.col("last") + 1))
-    fn_ret = _texts(fn, DECL_KEYS, F.col("has_ret") & (k > F.col("rp") + 1) & (k < ret_end), "return_type")
-
-    ty = dt.where(F.col("kind") == "type")
-    type_text = _texts(ty, DECL_KEYS, (k > F.col("eq")) & (k < F.coalesce("t_end", F.col("last") + 1)), "type_text")
-
-    m = tt.where(F.col("in_body"))
-    members = member_rows(m)
-    mk = F.col("pos")
-    meth = m.where(F.col("is_method"))
-    m_params = parameter_texts(
-        meth.where((mk > F.col("mp_open")) & (mk < F.col("mp_close"))).withColumn("base", F.lit(2)), MEMBER_KEYS
+    in_text = F.coalesce(
+        F.when(F.col("in_body"), of_member)
+        .when(kind == "function", F.col("has_ret") & (pos > F.col("rp") + 1) & (pos < fn_end))
+        .when(kind == "type", (pos > F.col("eq")) & (pos < F.coalesce("t_end", last))),
+        F.lit(False),
     )
-    m_ret_end = F.least(F.coalesce("m_body", F.col("m_last") + 1), F.coalesce("m_stop", F.col("m_last") + 1))
-    m_ret = _texts(meth, MEMBER_KEYS, F.col("m_ret") & (mk > F.col("mp_close") + 1) & (mk < m_ret_end), "m_return")
-    props = m.where(~F.col("is_method") & (F.col("kind") == "interface"))
-    prop_end = F.coalesce("m_stop", F.col("m_last") + 1)
-    p_type = _texts(props, MEMBER_KEYS, F.col("m_colon").isNotNull() & (mk > F.col("m_colon")) & (mk < prop_end), "p_type")
-
-    # One row per declaration and one per member, each written once: every
-    # consumer below reads these two small tables instead of re-expanding the
-    # token-table subtrees (dozens of scans). They are written to the shared
-    # folder (lineage cut, survives executor loss).
-    decl_info = (
-        decls.join(fn_params, DECL_KEYS, "left").join(fn_ret, DECL_KEYS, "left").join(type_text, DECL_KEYS, "left")
+    decl_head = pos == F.col("start")
+    member_head = F.col("in_body") & (pos == F.col("mstart"))
+    top = F.col("in_params") & F.col("top")
+    rows = parameter_tokens(t).withColumn("in_text", in_text).where(
+        F.col("in_params") | F.col("in_text") | decl_head | member_head
     )
-    decl_info = materialize(decl_info, "decl-info")
-    member_info = (
-        members.join(m_params, MEMBER_KEYS, "left").join(m_ret, MEMBER_KEYS, "left").join(p_type, MEMBER_KEYS, "left")
+    first = lambda cond: F.min(F.when(top & cond, pos))
+    has_body = F.col("fb").isNotNull() & (F.col("fb") < F.coalesce("fsemi", last))
+    by_param = rows.groupBy(*UNIT_KEYS, "kind", "seg").agg(
+        F.array_sort(F.collect_list(F.when(F.col("in_params") | F.col("in_text"), F.struct("pos", "ws", "tok")))).alias("toks"),
+        first(~tok.isin(PARAM_MODIFIERS + ["..."]) & ~F.startswith(tok, F.lit("@"))).alias("name_pk"),
+        first(tok == ":").alias("colon_pk"),
+        first(tok == "=").alias("eq_pk"),
+        first(tok == "?").alias("q_pk"),
+        F.max("pos").alias("p_last"),
+        F.max(F.when(decl_head, F.struct(
+            pos.alias("decl_pos"), "name", F.when(kind == "function", F.col("doc")).alias("docstring"), has_body.alias("has_body"),
+        ))).alias("d"),
+        F.max(F.when(member_head, F.struct(
+            pos.alias("member_pos"), F.coalesce(F.nullif("long_name", F.lit("")), F.col("mname")).alias("mname"), "scope",
+            "accessor", "optional", "is_method", tok.alias("first_tok"), "name_pos", "m_colon",
+        ))).alias("m"),
     )
-    member_info = materialize(member_info, "member-info")
-    has = lambda c: F.col(c).isNotNull()
+    named = by_param.select(
+        *UNIT_KEYS, "kind", "seg", "d", "m",
+        F.when(F.col("seg") >= 0, parameter_text()).alias("ptext"),
+        F.when(F.col("seg") < 0, F.nullif(_joined(F.col("toks")), F.lit(""))).alias("text"),
+    )
+    params = F.array_sort(F.collect_list(F.when(F.col("ptext").isNotNull(), F.struct("seg", "ptext"))))
+    one = named.groupBy(*UNIT_KEYS, "kind").agg(
+        F.max("d").alias("d"), F.max("m").alias("m"), F.max("text").alias("text"),
+        F.array_join(F.transform(params, lambda x: x["ptext"]), ", ").alias("params"),
+    )
+    return one.where(F.col("d").isNotNull() | F.col("m").isNotNull()).select(*UNIT_KEYS, "kind", "d.*", "m.*", "text", "params")
+
+
+def extract(tokens: DataFrame) -> dict[str, DataFrame]:
+    """``declarations`` and ``members`` of the exported declarations.
+
+    Every window and grouping up to here is clustered by file, so the
+    tokeniser's exchange is the only one. The result holds no tokens, is written
+    once to the shared folder and read with column pruning by every consumer; a
+    lost executor does not replay the tokeniser."""
+    u = materialize(units(member_tokens(declaration_tokens(tokens))), "signature-units")
+    decl_columns = [*DECL_KEYS, "decl_pos", "kind", "name", "docstring", "has_body", "params", "text"]
     return {
-        "declarations": decl_info.select(*DECL_KEYS, "decl_pos", "kind", "name", "docstring", "has_body"),
-        "fn_params": decl_info.where(has("params")).select(*DECL_KEYS, "params"),
-        "fn_return": decl_info.where(has("return_type")).select(*DECL_KEYS, "return_type"),
-        "type_text": decl_info.where(has("type_text")).select(*DECL_KEYS, "type_text"),
-        "members": member_info.select(*[c for c in member_info.columns if c not in ("params", "m_return", "p_type")]),
-        "method_params": member_info.where(has("params")).select(*MEMBER_KEYS, "params"),
-        "method_return": member_info.where(has("m_return")).select(*MEMBER_KEYS, "m_return"),
-        "property_types": member_info.where(has("p_type")).select(*MEMBER_KEYS, "p_type"),
+        "units": u,
+        "declarations": u.where(F.col("decl_pos").isNotNull()).select(*decl_columns),
+        "members": u.where(F.col("member_pos").isNotNull()).drop("decl_pos", "name", "docstring", "has_body"),
     }
 
 
@@ -397,28 +382,21 @@ def export_functions(x: dict[str, DataFrame]) -> DataFrame:
     ow = Window.partitionBy(*FILE_KEYS, "name")
     d = x["declarations"].where(F.col("kind") == "function")
     d = d.withColumn("any_body", F.max("has_body").over(ow)).where(F.col("has_body") | ~F.col("any_body"))
-    return (
-        d.join(x["fn_params"], DECL_KEYS, "left")
-        .join(x["fn_return"], DECL_KEYS, "left")
-        .select(
-            *DECL_KEYS, "decl_pos", "kind", "name",
-            F.coalesce("params", F.lit("")).alias("params"),
-            F.coalesce("return_type", F.lit(MISSING_RETURN)).alias("return_type"),
-            "docstring",
-        )
+    return d.select(
+        *DECL_KEYS, "decl_pos", "kind", "name", "params",
+        F.coalesce("text", F.lit(MISSING_RETURN)).alias("return_type"), "docstring",
     )
 
 
 def class_members(x: dict[str, DataFrame]) -> DataFrame:
     """Constructors and methods of exported classes, with their text."""
     mem = x["members"].where((F.col("kind") == "class") & F.col("is_method") & F.col("accessor").isNull())
-    mem = mem.join(x["method_params"], MEMBER_KEYS, "left").join(x["method_return"], MEMBER_KEYS, "left")
     ctor = F.col("mname") == "constructor"
-    params = F.coalesce("params", F.lit(""))
+    params = F.col("params")
     text = F.when(ctor, F.concat(F.lit("constructor("), params, F.lit(")"))).otherwise(
         F.concat(
             F.coalesce("scope", F.lit("public")), F.lit(" "), F.col("mname"), F.lit("("), params, F.lit("): "),
-            F.coalesce("m_return", F.lit(MISSING_RETURN)),
+            F.coalesce("text", F.lit(MISSING_RETURN)),
         )
     )
     return mem.select(*MEMBER_KEYS, "member_pos", "mname", "scope", ctor.alias("is_ctor"), text.alias("text"))
@@ -438,7 +416,7 @@ def export_classes(x: dict[str, DataFrame]) -> DataFrame:
         ).alias("params")
     )
     d = x["declarations"].where(F.col("kind") == "class")
-    return d.join(joined, DECL_KEYS, "left").select(
+    return d.drop("params").join(joined, DECL_KEYS, "left").select(
         *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
         F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
     )
@@ -450,11 +428,10 @@ def interface_properties(x: dict[str, DataFrame]) -> DataFrame:
         (F.col("kind") == "interface") & ~F.col("is_method") & F.col("mname").rlike(r"^([A-Za-z_$][A-Za-z0-9_$]*|\"[^\"]*\"|'[^']*')$")
         & F.col("m_colon").isNotNull() & (F.col("m_colon") == F.col("name_pos") + 1 + F.col("optional").cast("int"))
     )
-    mem = mem.join(x["property_types"], MEMBER_KEYS, "left")
     w = Window.partitionBy(*DECL_KEYS).orderBy("member_pos")
     return mem.select(
         *MEMBER_KEYS, "member_pos",
-        F.concat(F.col("mname"), F.when(F.col("optional"), F.lit("?")).otherwise(F.lit("")), F.lit(": "), F.coalesce("p_type", F.lit(""))).alias("text"),
+        F.concat(F.col("mname"), F.when(F.col("optional"), F.lit("?")).otherwise(F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("text"),
     ).withColumn("prop_no", F.row_number().over(w))
 
 
@@ -470,7 +447,7 @@ def export_interfaces(x: dict[str, DataFrame], cap: int | None = MAX_INTERFACE_P
         props = props.where(F.col("prop_no") <= cap)
     joined = _ordered_join(props, DECL_KEYS, "prop_no", "text", "; ", "params")
     d = x["declarations"].where(F.col("kind") == "interface")
-    return d.join(joined, DECL_KEYS, "left").select(
+    return d.drop("params").join(joined, DECL_KEYS, "left").select(
         *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
         F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
     )
@@ -478,9 +455,9 @@ def export_interfaces(x: dict[str, DataFrame], cap: int | None = MAX_INTERFACE_P
 
 def export_types(x: dict[str, DataFrame]) -> DataFrame:
     d = x["declarations"].where(F.col("kind") == "type")
-    return d.join(x["type_text"], DECL_KEYS, "left").select(
+    return d.select(
         *DECL_KEYS, "decl_pos", "kind", "name",
-        T.cut(F.coalesce("type_text", F.lit("")), T.TYPE_TEXT_CHARS).alias("params"),
+        T.cut(F.coalesce("text", F.lit("")), T.TYPE_TEXT_CHARS).alias("params"),
         F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
     )
 
@@ -489,7 +466,7 @@ def export_enums(x: dict[str, DataFrame]) -> DataFrame:
     mem = x["members"].where((F.col("kind") == "enum") & ~F.col("first_tok").isin(",", ";"))
     names = _ordered_join(mem.withColumnRenamed("first_tok", "mtext"), DECL_KEYS, "member_pos", "mtext", ", ", "params")
     d = x["declarations"].where(F.col("kind") == "enum")
-    return d.join(names, DECL_KEYS, "left").select(
+    return d.drop("params").join(names, DECL_KEYS, "left").select(
         *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
         F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
     )

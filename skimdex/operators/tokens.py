@@ -61,25 +61,29 @@ def masked(content: Column | str) -> Column:
 
 def explode_tokens(files: DataFrame) -> DataFrame:
     """``files(target_dir, path, content)`` -> one row per code token, without depth."""
-    m = masked("content")
-    pattern = F.lit(TOKEN_PATTERN)
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(m, pattern, 1).alias("trivia"),
-        F.regexp_extract_all(m, pattern, 2).alias("tok"),
+    whole = F.regexp_extract_all(masked("content"), F.lit(TOKEN_PATTERN), F.lit(0))
+    t = files.select(*FILE_KEYS, F.posexplode(whole).alias("pos", "whole"))
+    # The text is scanned once; each match is then cut into trivia and token. Only
+    # a match with a comment (or a slash token) needs the trivia pattern again.
+    bare = F.ltrim(F.col("whole"), F.lit(" \t\n\x0b\f\r"))
+    trivia_length = F.when(
+        F.startswith(bare, F.lit("/")), F.length(F.regexp_extract("whole", "^" + TRIVIA_RE, 1))
+    ).otherwise(F.length("whole") - F.length(bare))
+    t = t.withColumn("n", trivia_length)
+    t = t.select(
+        *FILE_KEYS, F.col("pos").cast("int").alias("pos"), F.expr("substring(whole, n + 1)").alias("tok"),
+        F.when(F.col("n") > 0, F.expr("left(whole, n)")).otherwise(F.lit("")).alias("trivia"),
     )
     # Comments at the end of the file come with an empty token.
-    rows = files.select(*FILE_KEYS, F.posexplode(zipped).alias("pos", "t")).where(F.col("t.tok") != "")
-    return rows.select(
-        *FILE_KEYS,
-        F.col("pos").cast("int").alias("pos"),
-        F.col("t.tok").alias("tok"),
-        (F.col("t.trivia") != "").alias("ws"),
-        F.contains(F.col("t.trivia"), F.lit("\n")).alias("nl"),
+    return t.where(F.col("tok") != "").select(
+        *FILE_KEYS, "pos", "tok",
+        (F.col("trivia") != "").alias("ws"),
+        F.contains(F.col("trivia"), F.lit("\n")).alias("nl"),
         # Leading comments matter only before a word that can open a
         # declaration (its JSDoc); the trivia text itself is not carried further.
         F.when(
-            F.col("t.tok").isin(["export", "async", "declare"] + DECL_WORDS) & F.contains(F.col("t.trivia"), F.lit("/**")),
-            jsdoc(F.col("t.trivia")),
+            F.col("tok").isin(["export", "async", "declare"] + DECL_WORDS) & F.contains(F.col("trivia"), F.lit("/**")),
+            jsdoc(F.col("trivia")),
         ).alias("doc"),
     )
 
