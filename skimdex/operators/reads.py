@@ -152,7 +152,9 @@ def first_lines_preview(files: DataFrame, n_files: int = 2, n_lines: int = T.PRE
     from pyspark.sql import Window
 
     w = Window.partitionBy("target_dir").orderBy("path")
-    picked = files.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_files)
+    # Ranked by path alone; only the winners' texts are joined back.
+    first = files.select("target_dir", "path").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_files)
+    picked = files.join(first, ["target_dir", "path"], "left_semi")
     text = F.array_join(F.slice(T.lines("content"), 1, n_lines), "\n")
     return picked.select(
         "target_dir", "path", text.alias("content"), T.token_estimate(text).alias("token_estimate")

@@ -91,7 +91,7 @@ def write_skeleton_text(text_rows: DataFrame, out_dir: str) -> None:
 
 def symbols_bodies(files: DataFrame) -> DataFrame:
     """:func:`symbols_only_text` of ``files``, in or out of the index scope."""
-    x = extract(signature_tokens(files.where(F.contains("content", F.lit("export")))))
+    x = extract(signature_tokens(files.where(F.contains("content", F.lit("export")))), ["function", "interface", "type"])
     return symbols_only_text(x, symbols_from(x))
 
 

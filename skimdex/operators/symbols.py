@@ -87,8 +87,9 @@ def _angle_depth(tok: Column, at_level: Column, w) -> Column:
 # ``pos = X + 1``; each stage below is one ``select`` of window expressions
 # over the same partitioning and order (one Window operator, no re-sort).
 
-def declaration_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens of exported declarations with their kind, name and markers.
+def declaration_tokens(tokens: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Tokens of exported declarations (of ``kinds``, else of all) with their
+    kind, name and markers.
 
     A declaration is exported by its own ``export`` or by a list or default
     export of its name in the same file (``export { a as b }``, ``export
@@ -127,7 +128,7 @@ def declaration_tokens(tokens: DataFrame) -> DataFrame:
     # Same order as the declaration windows, so no sort in between.
     whole_file = Window.partitionBy(*FILE_KEYS).orderBy("decl", "pos").rowsBetween(*UNBOUNDED)
     t = t.withColumn("given", F.collect_set(F.when(given, tok)).over(whole_file))
-    t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(list(KIND_RANK)))
+    t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(kinds or list(KIND_RANK)))
     star = F.col("c1") == "*"
     name_tok = F.when(star, F.col("c2")).otherwise(F.col("c1"))
     named = name_tok.rlike(IDENT_RE) & ~name_tok.isin("extends", "implements")
@@ -361,14 +362,21 @@ def units(t: DataFrame) -> DataFrame:
     return one.where(F.col("d").isNotNull() | F.col("m").isNotNull()).select(*UNIT_KEYS, "kind", "d.*", "m.*", "text", "params")
 
 
-def extract(tokens: DataFrame) -> dict[str, DataFrame]:
-    """``declarations`` and ``members`` of the exported declarations.
+def exported_declarations(tokens: DataFrame) -> DataFrame:
+    """``(target_dir, path, kind, name)`` of exported declarations, without
+    their members, parameters and types."""
+    return declaration_tokens(tokens).where(F.col("pos") == F.col("start")).select(*FILE_KEYS, "kind", "name")
+
+
+def extract(tokens: DataFrame, kinds: list[str] | None = None) -> dict[str, DataFrame]:
+    """``declarations`` and ``members`` of the exported declarations of ``kinds``
+    (all by default); others are dropped before the member windows.
 
     Every window and grouping up to here is clustered by file, so the
     tokeniser's exchange is the only one. The result holds no tokens, is written
     once to the shared folder and read with column pruning by every consumer; a
     lost executor does not replay the tokeniser."""
-    u = materialize(units(member_tokens(declaration_tokens(tokens))), "signature-units")
+    u = materialize(units(member_tokens(declaration_tokens(tokens, kinds))), "signature-units")
     decl_columns = [*DECL_KEYS, "decl_pos", "kind", "name", "docstring", "has_body", "params", "text"]
     return {
         "units": u,

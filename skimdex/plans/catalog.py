@@ -321,9 +321,13 @@ def _code(spark, sf):
     return C.code_corpus(spark, sf)
 
 
-def _extraction(spark, sf):
+def _extraction(spark, sf, kinds=None):
     files = _code(spark, sf)
-    return files, Y.extract(Y.signature_tokens(Y.source_candidates(files)))
+    return files, Y.extract(Y.signature_tokens(Y.source_candidates(files)), kinds)
+
+
+def _declared(files):
+    return Y.exported_declarations(Y.signature_tokens(Y.source_candidates(files)))
 
 
 _G = f"WITH {S.code_files_cte()}, {S.code_symbols_cte()}"
@@ -359,14 +363,14 @@ for _kind, _fn in (
     ("function", Y.export_functions), ("class", Y.export_classes), ("interface", Y.export_interfaces),
     ("type", Y.export_types), ("enum", Y.export_enums),
 ):
-    def _mk_kind(fn):
+    def _mk_kind(fn, kind):
         def run(spark, sf):
-            _, x = _extraction(spark, sf)
+            _, x = _extraction(spark, sf, [kind])
             return fn(x).select("target_dir", "path", "name", "params", "return_type", "docstring")
         return run
 
     _key = {"class": "export_classes", "type": "export_types"}.get(_kind, f"export_{_kind}s")
-    query(_key, f"{_G} SELECT {_SYM_COLS} FROM expected WHERE kind = '{_kind}'")(_mk_kind(_fn))
+    query(_key, f"{_G} SELECT {_SYM_COLS} FROM expected WHERE kind = '{_kind}'")(_mk_kind(_fn, _kind))
 
 
 @query("symbols", f"{_G} SELECT target_dir, path, CAST(ord AS INT) AS ord, kind, name, params, return_type, docstring FROM expected")
@@ -379,8 +383,7 @@ def q_symbols(spark, sf):
 def q_export_filter(spark, sf):
     """Exported declarations only (non-exported helpers, commented-out and
     string-embedded exports, and ``export const`` are left out)."""
-    _, x = _extraction(spark, sf)
-    return x["declarations"].select("target_dir", "path", "kind", "name")
+    return _declared(_code(spark, sf))
 
 
 def _skeleton(spark, sf):
@@ -470,6 +473,29 @@ def q_read_symbols_only(spark, sf):
     return reads.read_requests(req, files, K.symbols_only_text(x, syms)).select(*reads.READ_COLUMNS)
 
 
+@query(
+    "read_requests_mixed",
+    f"SELECT * FROM (WITH {S.docs_files_cte()}, {S.requests_cte()}, {_READS_SQL} SELECT {_READ_COLS} FROM reads) "
+    f"UNION ALL SELECT {_READ_COLS} FROM ({_READ_SYMBOLS_SQL})",
+)
+def q_read_requests_mixed(spark, sf):
+    """The requests of ``read_requests`` and a symbols-only one for every file of
+    the code corpus, answered from both corpora together: only files that a
+    symbols-only request names are parsed."""
+    code = _code(spark, sf)
+    asked = R.read_requests_table(spark, sf)
+    more = code.select(
+        F.col("p_partkey").alias("request_id"), F.lit(0).alias("session_id"), "path", F.col("target_dir").alias("base_dir"),
+        F.lit(None).cast("int").alias("max_lines"), F.lit(True).alias("symbols_only"),
+        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
+    )
+    cols = ["target_dir", "path", "content"]
+    files = _docs(spark, sf).select(*cols).unionByName(code.select(*cols))
+    asked = asked.unionByName(more)
+    bodies = K.symbols_bodies(reads.symbols_wanted(asked, files))
+    return reads.read_requests(asked, files, bodies).select(*reads.READ_COLUMNS)
+
+
 _MOCK_SQL = (
     "idx AS (SELECT DISTINCT target_dir, path FROM expected), "
     "picked AS (SELECT * FROM (SELECT i.target_dir, i.path, row_number() OVER (PARTITION BY i.target_dir ORDER BY i.path) AS rn "
@@ -479,15 +505,16 @@ _MOCK_SQL = (
 )
 
 
-def _mock_reads(files, entries):
-    indexed = files.join(entries.select("target_dir", "path"), ["target_dir", "path"], "left_semi")
+def _mock_reads(files, declared):
+    """``declared``: files with an exported declaration, in any columns more."""
+    indexed = files.join(declared.select("target_dir", "path").distinct(), ["target_dir", "path"], "left_semi")
     return reads.first_lines_preview(indexed)
 
 
 @query("mock_reads", f"{_G}, {_MOCK_SQL} SELECT target_dir, path, content, {S.tokens('content')} AS token_estimate FROM mock")
 def q_mock_reads(spark, sf):
-    files, _, _, entries = _skeleton(spark, sf)
-    return _mock_reads(files, entries)
+    files = _code(spark, sf)
+    return _mock_reads(files, _declared(files))
 
 
 _SB_CTES = (
