@@ -40,3 +40,21 @@ def test_scan_reads_only_needed_columns(spark):
     plan = QUERIES["naive_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: (struct<[^>]*>)", plan).group(1)
     assert "n_chars" not in schema and "text" in schema
+
+
+def test_extraction_groups_without_join_or_second_exchange(spark):
+    files = C.code_corpus(spark, SF)
+    tokens = Y.signature_tokens(Y.source_candidates(files))
+    plan = _plan(Y.units(Y.member_tokens(Y.declaration_tokens(tokens))))
+    assert "Join" not in plan
+    # The file rows' exchange, and the one that spreads the synthetic source.
+    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["p_partkey", "target_dir"]
+
+
+def test_kinds_are_chosen_before_the_members(spark):
+    files = C.code_corpus(spark, SF)
+    tokens = Y.signature_tokens(Y.source_candidates(files))
+    only = Y.extract(tokens, ["enum"])
+    assert {r.kind for r in only["declarations"].select("kind").distinct().collect()} == {"enum"}
+    named = Y.exported_declarations(tokens).where("kind = 'enum'")
+    assert named.count() == only["declarations"].count() > 0
