@@ -70,6 +70,12 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_of_a_long_ascending_path(spark):
+    path = spark.range(3000).selectExpr("id a", "id + 1 b")
+    got = components.components(path).collect()
+    assert len(got) == 3001 and {x.root for x in got} == {0}
+
+
 @pytest.mark.parametrize("hot", [100_000, 4])
 def test_suffix_dedup(spark, hot):
     data = rows(50)
