@@ -1,21 +1,28 @@
 """MinHash near-dedup by an LSH forest.
 
 A document's set is its distinct 5-word shingles (64-bit hashes). `TREES` sorted
-orders of the documents are made, each by its own `DEPTH` minhash values; documents
-that stand beside each other and share a prefix of at least `LEAST_PREFIX` values are
-candidates, so a crowded region is compared at the depth where its members part and a
-sparse one at a shallow depth. A 2-bit sketch of all values drops pairs that are far
-from similar.
-
-Candidates join into classes. Documents of a class are sorted next to each other and
-each block of `BLOCK` is checked pair by pair on whole sets, skipping pairs that are
-already connected; what then still crosses blocks is checked pair by pair too. Links
-are exact: only recall is a matter of chance. A pair at similarity 0.75 shares two
-values in a given tree with probability 0.56 and in none of 16 with 2e-6.
+orders of the documents are made, each by its own `DEPTH` minhash values. A 2-bit
+sketch of all values drops pairs that are far from similar.
+
+First, documents that stand beside each other and share a prefix of at least
+`LEAST_PREFIX` values are candidates and join into classes. Documents of a class are
+sorted next to each other and each block of `BLOCK` is checked pair by pair on whole
+sets, skipping pairs that are already connected; what then still crosses blocks is
+checked pair by pair too. This connects most of what is linked at little cost.
+
+Then whole runs are compared: all documents that share a prefix of `LEAST_PREFIX`
+values in a tree, except pairs that are connected by now. A run is dealt into chunks
+and each pair of chunks is one row, so a long run costs the square of its chunks, and
+that only while its members stay apart. Pairs whose sketches are close name two
+groups of documents, and all pairs of those groups are checked on whole sets.
+
+Links are exact: only recall is a matter of chance. A pair at similarity 0.75 shares
+two values in a given tree with probability 0.56 and in none of 16 with 2e-6, however
+crowded the region is.
 
 Equal sets are one class from the start, so exact copies cost one row. No group is
-gathered: orders are range-partitioned, blocks are bounded by rows and by shingles,
-components are labels in a table.
+gathered: orders are range-partitioned, blocks, chunks and groups are bounded by rows
+and by shingles, components are labels in a table.
 
 Defined cases: null text or no word gives an empty set, linked with nothing
 (component_id is its doc_id); fewer than five words are one shingle; rows with null
@@ -45,6 +52,11 @@ NEIGHBOURS = 2
 LEAST_EQUAL = 0.64
 BLOCK = 128
 BLOCK_SHINGLES = 2_000_000
+#: Rows of a chunk of a run; rows and shingles of a group that is checked whole. Rows
+#: are dealt by hash, so these are means. A document longer than that is a group.
+CHUNK = 512
+GROUP, GROUP_SHINGLES = 256, 128_000
+COLUMNS = 4096
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,11 +136,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(sk: DataFrame) -> DataFrame:
-    """(set_key, rep, sig, bits): one row per set; rep is its least doc_id."""
+    """(set_key, rep, n_shingles, sig, bits): one row per set; rep is its least doc_id."""
     return (
         sk.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     )
 
 
@@ -288,9 +300,9 @@ def _checked_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(both, ["a", "b"]).select("a", "b", "text_a", "text_b").mapInArrow(_check_pairs, "a long, b long")
 
 
-def verified_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) between linked sets that connect what ``pairs`` suggest."""
-    classes = components(pairs)
+def verified_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between linked sets that connect what ``pairs`` suggest;
+    ``classes`` are the components of ``pairs``."""
     members = sets.select("set_key", "rep", F.substring("sig", 1, 16).alias("place")).join(classes.withColumnRenamed("node", "rep"), "rep")
     texts = _texts_of(docs, stage(members, "members"), "rep")
     rows = texts.repartitionByRange("root", "place", "rep").sortWithinPartitions("root", "place", "rep").select("root", "rep", "set_key", "text")
@@ -314,13 +326,186 @@ def verified_links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
     return links.union(stage(_checked_pairs(docs, apart), "links")) if apart.limit(1).count() else links
 
 
+def _apart(xc: np.ndarray, xb: np.ndarray, yc: np.ndarray, yb: np.ndarray):
+    """Index pairs of rows of x and y with different components and close sketches."""
+    odd = np.uint64(0x5555555555555555)
+    order = np.argsort(xc, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(xc[order])) + 1):
+        others = np.flatnonzero(yc != xc[rows[0]])
+        for k in range(0, len(rows) if len(others) else 0, 64):
+            i = rows[k : k + 64]
+            differ = xb[i][:, None, :] ^ yb[others][None, :, :]
+            differ = (differ | (differ >> np.uint64(1))) & odd
+            equal = VALUES - np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
+            at, to = np.nonzero(equal >= LEAST_EQUAL * VALUES)
+            yield i[at], others[to]
+
+
+def _short_runs(batches):
+    """Rows (held), list of (comp, grp, bits) of a whole run: the same pairs, for all
+    runs of a batch at once."""
+    odd = np.uint64(0x5555555555555555)
+    for batch in batches:
+        lists = batch.column(0)
+        rows, left = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        left = np.repeat(np.cumsum(left), left) - np.arange(len(rows))  # to the run's end
+        comp, grp = rows.field("comp").to_numpy(), rows.field("grp").to_numpy()
+        bits = _fixed(rows.field("bits"), VALUES // 4).view(np.uint64)
+        out, i, k = set(), np.arange(len(rows)), 0
+        while len(i := i[left[i] > (k := k + 1)]):
+            a = i[comp[i] != comp[i + k]]
+            differ = bits[a] ^ bits[a + k]
+            differ = (differ | (differ >> np.uint64(1))) & odd
+            a = a[VALUES - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) >= LEAST_EQUAL * VALUES]
+            out.update(zip(np.minimum(grp[a], grp[a + k]).tolist(), np.maximum(grp[a], grp[a + k]).tolist()))
+        x, y = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def _group_pairs(batches):
+    """Rows (x, y), lists of (comp, grp, bits) of two chunks of a run: the pairs of
+    groups that hold a candidate."""
+    for batch in batches:
+        out = set()
+        for sides in zip(batch.column(0), batch.column(1)):
+            (xc, xg, xb), (yc, yg, yb) = (
+                (v.field("comp").to_numpy(), v.field("grp").to_numpy(), _fixed(v.field("bits"), VALUES // 4).view(np.uint64)) for v in (side.values for side in sides)
+            )
+            for i, j in _apart(xc, xb, yc, yb):
+                g, h = np.minimum(xg[i], yg[j]), np.maximum(xg[i], yg[j])
+                out.update(zip(g.tolist(), h.tolist()))
+        x, y = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def run_pairs(sets: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y), x <= y, of groups that hold a candidate of a whole run.
+    ``sets`` has sig, bits, comp and grp."""
+    prefix = F.expr(f"substring(sig, tree * {DEPTH * 4} + 1, {LEAST_PREFIX * 4})")
+    rows = sets.select("rep", "comp", "grp", "bits", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("tree", prefix.alias("prefix"), "rep", "comp", "grp", "bits")
+    runs = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    runs = stage(runs.filter("least <> most").select("tree", "prefix", F.ceil(F.col("n") / CHUNK).alias("chunks")), "runs")
+    members = rows.join(bounded_broadcast(runs, runs.count(), 60), ["tree", "prefix"])
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    chunks = stage(
+        members.groupBy("tree", "prefix", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("comp", "grp", "bits")).alias("held")), "chunks"
+    )
+    pairs = "x long, y long"
+    short = stage(chunks.filter("chunks = 1").select("held").mapInArrow(_short_runs, pairs).distinct(), "short_runs")
+    many = chunks.filter("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    many = many.groupBy("tree", "prefix", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).agg(
+        F.min_by("held", "chunk").alias("x"), F.max_by("held", "chunk").alias("y")
+    )
+    long = stage(many.select("x", "y").mapInArrow(_group_pairs, pairs).distinct(), "long_runs", 16)
+    return short.union(long).distinct()
+
+
+def _packed(batches):
+    """(grp, rep, comp, set_key, text) to (grp, rep, comp, set)."""
+    import xxhash
+
+    words = _Words()
+    for batch in batches:
+        out = []
+        for grp, rep, comp, key, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            s = shingles(text, words)
+            if xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another row of this doc_id
+                out.append((grp, rep, comp, s.tobytes()))
+        cols = list(zip(*out)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["grp", "rep", "comp", "set"])
+
+
+def _all_links(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the linked sets of xs and ys, by counting for all pairs at once
+    the hashes that both sides have."""
+
+    def rows(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (xh, xr), (yh, yr) = rows(xs), rows(ys)
+    common = np.intersect1d(xh, yh)
+    both = np.zeros((len(xs), len(ys)), np.int64)
+
+    def ordered(h, r):
+        at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+        keep = common[at] == h if len(common) else np.zeros(len(h), bool)
+        order = np.argsort(at[keep], kind="stable")
+        return at[keep][order], r[keep][order]
+
+    (xa, xr), (ya, yr) = ordered(xh, xr), ordered(yh, yr)
+    for k in range(0, len(common), COLUMNS):
+        n = min(COLUMNS, len(common) - k)
+        sides = []
+        for at, r, size in ((xa, xr, len(xs)), (ya, yr, len(ys))):
+            lo, hi = np.searchsorted(at, (k, k + n))
+            m = np.zeros((size, n), np.float32)
+            m[r[lo:hi], at[lo:hi] - k] = 1
+            sides.append(m)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    sizes = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None, :]
+    return np.nonzero(100 * both >= PERCENT * (sizes - both))
+
+
+def _check_groups(batches):
+    """Rows (x, y), lists of (rep, comp, set) of two groups: edges that connect what
+    is linked between them, without those that close a ring."""
+    for batch in batches:
+        a, b = [], []
+        for sides in zip(batch.column(0), batch.column(1)):
+            (xr, xc, xs), (yr, yc, ys) = (
+                (v.field("rep").to_numpy(), v.field("comp").to_pylist(), [np.frombuffer(s, np.uint64) for s in v.field("set").to_pylist()]) for v in (side.values for side in sides)
+            )
+            root = {c: c for c in (*xc, *yc)}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i, j in zip(*_all_links(xs, ys)):
+                p, q = find(xc[i]), find(yc[j])
+                if p != q:
+                    root[p] = q
+                    a.append(int(xr[i])), b.append(int(yr[j]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def run_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (a, b) between linked sets that whole runs hold and ``links`` leave
+    apart. Members of a class fall to the same groups as far as they fit."""
+    classes = classes.select(F.col("node").alias("rep"), F.col("root").alias("cls"))
+    comps = components(links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    placed = sets.join(classes, "rep", "left").join(comps, "rep", "left")
+    placed = stage(placed.select("set_key", "rep", "n_shingles", "sig", "bits", F.coalesce("cls", "rep").alias("cls"), F.coalesce("comp", "rep").alias("comp")), "placed")
+    sizes = placed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).filter("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / GROUP, F.col("size") / GROUP_SHINGLES))
+    sizes = stage(sizes.select("cls", parts.alias("parts")).filter("parts > 1"), "parts")
+    grp = F.xxhash64("cls", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1).cast("long"))))
+    placed = stage(placed.join(bounded_broadcast(sizes, sizes.count(), 24), "cls", "left").select("set_key", "rep", "sig", "bits", "comp", grp.alias("grp")), "grouped")
+    pairs = stage(run_pairs(placed), "group_pairs")
+    if not pairs.limit(1).count():
+        return links.limit(0)
+    asked = stage(pairs.select(F.col("x").alias("grp")).union(pairs.select("y")).distinct(), "asked")
+    members = stage(placed.join(bounded_broadcast(asked, asked.count(), 16), "grp").select("grp", "rep", "comp", "set_key"), "asked_members")
+    texts = _texts_of(docs, members, "rep").select("grp", "rep", "comp", "set_key", "text")
+    packed = stage(texts.mapInArrow(_packed, "grp long, rep long, comp long, set binary"), "packed")
+    groups = stage(packed.groupBy("grp").agg(F.collect_list(F.struct("rep", "comp", "set")).alias("held")), "groups")
+    x, y = groups.select(F.col("grp").alias("x"), F.col("held").alias("xs")), groups.select(F.col("grp").alias("y"), F.col("held").alias("ys"))
+    both = pairs.join(x, "x").join(y, "y").select("xs", "ys")
+    return stage(both.mapInArrow(_check_groups, "a long, b long"), "run_links", 16)
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key, component_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = stage(sketches(docs), "sketches")
     sets = stage(distinct_sets(sk), "sets")
     pairs = stage(candidates(sets), "candidates")
-    roots = components(verified_links(docs, sets, pairs)).withColumnRenamed("node", "rep")
+    classes = components(pairs)
+    links = stage(verified_links(docs, sets, pairs, classes), "links")
+    roots = components(links.union(run_links(docs, sets, classes, links))).withColumnRenamed("node", "rep")
     of_set = sets.select("set_key", "rep").join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     return sk.select("doc_id", "n_shingles", "set_key").join(stage(of_set, "classes"), "set_key", "left").select(
         "doc_id",

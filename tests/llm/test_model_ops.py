@@ -53,6 +53,25 @@ def test_near_dedup(spark, monkeypatch):
     assert len({find(200 + i) for i in range(25)}) == 1
 
 
+def test_near_dedup_links_a_star_of_copies(spark):
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(500)]
+    data, at = [(0, " ".join(base), "en", "a")], range(20, 480, 42)
+    for i in range(1, 2001):
+        w = list(base)
+        for k in at:
+            w[k + r.randrange(36)] = f"n{i}_{k}"
+        data.append((i, " ".join(w), "en", "a"))
+    sets = dict(_sets(data))
+
+    def near(s, t):
+        return 100 * len(s & t) >= 75 * len(s | t)
+
+    assert all(near(sets[0], sets[i]) for i in range(1, 2001))
+    assert sum(near(sets[i], sets[i + 1]) for i in range(1, 2000)) < 20
+    assert {x.component_id for x in minhash_forest.near_dedup(frame(spark, data)).collect()} == {0}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
