@@ -3,8 +3,10 @@
 Counts of each whole text are transformed to a vector of five statistics. For
 every language and source a minimum-covariance-determinant estimate (location and
 scatter of the `SUPPORT` share of documents that lie closest together) is found by
-concentration steps over all documents; a document whose squared Mahalanobis
-distance exceeds `CUTOFF` is rejected. Groups below `MIN_GROUP` documents are
+concentration steps over all documents from `STARTS` starts, of which the one with
+the least determinant stays; scatter is scaled to be consistent for a normal
+distribution, and a document whose squared Mahalanobis distance exceeds `CUTOFF`, a
+chi-square quantile, is rejected. Groups below `MIN_GROUP` documents are
 pooled by language, then all together; pools below it aren't judged.
 
 Statistics are whole multiples of 1/`SCALE` and their sums are exact decimals, so
@@ -18,6 +20,8 @@ no order; no rows in, no rows out; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +34,39 @@ SCALE = 1024
 SUPPORT = 0.75
 STEPS = 4
 MIN_GROUP = 50
-#: Least standard deviation of each statistic: what clean texts differ by anyway.
-FLOORS = {"x0": 1.0, "x1": 0.12, "x2": 0.3, "x3": 0.6, "x4": 0.6}
-CUTOFF = 22.0
+#: Starts of the estimate: all documents, and single documents chosen by hash.
+STARTS = 4
+#: Standard deviation that counting alone gives, which each statistic has at least:
+#: a quarter of the length; the mean of 50 words; one symbol in 50 words; one
+#: duplicate line in 30; one repeated window in 150 words.
+FLOORS = {"x0": 0.25, "x1": 0.06, "x2": 0.18, "x3": 0.3, "x4": 0.33}
 X = tuple(FLOORS)
+
+
+def _chi2_cdf(x: float, df: int) -> float:
+    """Of an odd number of degrees of freedom."""
+    term, total = 1.0, 0.0
+    for k in range(1, df, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total
+
+
+def _chi2_quantile(p: float, df: int) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _chi2_cdf(mid, df) < p else (lo, mid)
+    return lo
+
+
+def _consistency(support: float) -> float:
+    """What scatter of the closest ``support`` share is multiplied by."""
+    return support / _chi2_cdf(_chi2_quantile(support, len(X)), len(X) + 2) if support < 1 else 1.0
+
+
+#: One clean document in a thousand lies beyond it.
+CUTOFF = _chi2_quantile(0.999, len(X))
 DIST_BINS = 64
 
 
@@ -133,9 +166,9 @@ def with_groups(v: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return v.join(bounded_broadcast(groups, groups.count(), 200), ["lang", "source"])
 
 
-def _params(rows: DataFrame) -> DataFrame:
-    """Location m_i and the lower Cholesky factor l_i_j of the scatter of each
-    group, over ``rows``; one row per group."""
+def _params(rows: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Location m_i and the lower Cholesky factor l_i_j of ``factor`` times the
+    scatter of each group, over ``rows``; one row per group."""
     dec = "decimal(20,0)"
     pairs = [(i, j) for i in range(len(X)) for j in range(i + 1)]
     p = rows.groupBy("g").agg(
@@ -146,7 +179,7 @@ def _params(rows: DataFrame) -> DataFrame:
     p = p.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(len(X))})
     cov = {}
     for i, j in pairs:
-        c = F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+        c = (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
         cov[f"c{i}_{j}"] = F.greatest(c, F.lit(0.0)) + (FLOORS[X[i]] * SCALE) ** 2 if i == j else c
     p = p.withColumns(cov)
     for i, j in pairs:
@@ -188,17 +221,34 @@ def _bin(d2: str) -> Column:
     return F.floor(F.log(F.greatest(F.col(d2), F.lit(1e-9))) * DIST_BINS).cast("int")
 
 
-def robust_estimates(v: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Concentration steps: estimate, keep the closest share, estimate again.
-    ``v`` has g and x0..x4 of the documents that count."""
-    n_groups = v.select("g").distinct().count()
+def _single(v: DataFrame, start: int) -> DataFrame:
+    """Parameters as of `_params` around one document of each group, chosen by hash,
+    with the floors as scatter."""
+    one = v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(*X, F.lit(start)).alias("h"), *X)).alias("d"))
+    m = [F.col(f"d.{x}").cast("double").alias(f"m{i}") for i, x in enumerate(X)]
+    return one.select("g", "n", *m, *[F.lit(FLOORS[X[i]] * SCALE if i == j else 0.0).alias(f"l{i}_{j}") for i in range(len(X)) for j in range(i + 1)])
+
+
+def robust_estimates(v: DataFrame, support: float = SUPPORT, steps: int = STEPS, starts: int = STARTS) -> DataFrame:
+    """Concentration steps: estimate, keep the closest share, estimate again, from
+    each start; of each group the estimate with the least determinant. ``v`` has g
+    and x0..x4 of the documents that count."""
+    n_groups = v.select("g").distinct().count() * starts
     small = lambda df: bounded_broadcast(df, n_groups, 300)
-    params = stage(_params(v), "mcd")
+    named = lambda df, k: df.withColumn("g", F.concat(F.chr(F.lit(65) + k), "g"))
+    params = named(_params(v), F.lit(0))
+    for k in range(1, starts):
+        params = params.unionByName(named(_single(v, k), F.lit(k)))
+    params = stage(params, "mcd")
+    each = named(v.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))), F.col("start")).drop("start")
     for _ in range(steps):
-        dist = with_distance(v, small(params)).drop("n")
+        dist = with_distance(each, small(params)).drop("n")
         near = dist.join(small(_closest(dist, support)), "g").filter(_bin("d2") <= F.col("last"))
-        params = stage(_params(near), "mcd")
-    return params
+        params = stage(_params(near, _consistency(support)), "mcd")
+    size = sum((F.log(F.col(f"l{i}_{i}")) for i in range(1, len(X))), F.log("l0_0"))
+    values = [c for c in params.columns if c != "g"]
+    best = params.groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.min(F.struct(size.alias("size"), F.col("g").alias("start"), *values)).alias("p"))
+    return stage(best.select("g", *[f"p.{c}" for c in values]), "mcd")
 
 
 def quality_rules(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:

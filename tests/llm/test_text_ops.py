@@ -107,6 +107,23 @@ def test_quality_rules_reject_symbol_texts(spark):
     assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(9))
 
 
+def test_quality_rules_reject_outliers_in_one_statistic(spark):
+    r = random.Random(2)
+    word = lambda: f"word{r.randrange(100_000, 999_999)}"
+    text = lambda n: "\n".join(" ".join(word() for _ in range(10)) for _ in range(n))
+    good = [(i, text(r.randrange(15, 30)), "en", "a") for i in range(150)]
+    symbols = "\n".join(" ".join(word() + ("#" if k < 3 else "") for k in range(10)) for _ in range(20))
+    many = text(19) + "\n" + "\n".join([word()] * 20)  # short lines: half of them duplicate
+    once = [word() for _ in range(48)]
+    repeated = text(10) + "\n" + " ".join(once) + " " + word() + " " + " ".join(once)  # 96 of 197 words
+    bad = [(1000, text(2200), "en", "a"), (1001, symbols, "en", "a"), (1002, many, "en", "a"), (1003, repeated, "en", "a")]
+    bad += [(1004, " ".join("x" * 30 + word() for _ in range(200)), "en", "a")]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, good + bad)).collect()}
+    assert sum(got[i].kept for i in range(150)) >= 149
+    assert [got[d].base_failed for d, *_ in bad] == [False] * 5
+    assert [got[d].kept for d, *_ in bad] == [False] * 5
+
+
 def test_mixing(spark):
     data = rows(300, 9)
     got = mixing.mix(frame(spark, data)).collect()
