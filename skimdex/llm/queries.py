@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from skimdex.llm import chat_format, exact_dedup, lang_id, line_dedup, minhash_forest, mixing, packing, quality_rules, suffix_dedup, token_align, url_filter
+from skimdex.llm import chat_format, exact_dedup, fingerprint, lang_id, line_dedup, minhash_forest, mixing, packing, quality_rules, suffix_dedup, token_align, url_filter
 from skimdex.llm.common import documents
 from skimdex.sources.tables import table
 
@@ -69,9 +69,13 @@ def op11_token_align(spark, sf_dir, tokenizers=TOKENIZERS):
     return token_align.token_align(documents(spark, sf_dir), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
 
 
+def op12_fingerprint(spark, sf_dir):
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters, op9_minhash, op10_suffix_dedup, op11_token_align)
+    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters, op9_minhash, op10_suffix_dedup, op11_token_align, op12_fingerprint)
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
