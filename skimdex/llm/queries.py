@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from skimdex.llm import chat_format, exact_dedup, fingerprint, lang_id, line_dedup, minhash_forest, mixing, packing, quality_rules, suffix_dedup, token_align, url_filter
+from skimdex.llm import chat_format, exact_dedup, fingerprint, lang_id, lexical, line_dedup, minhash_forest, mixing, packing, quality_rules, suffix_dedup, token_align, url_filter
 from skimdex.llm.common import documents
 from skimdex.sources.tables import table
 
@@ -73,9 +73,13 @@ def op12_fingerprint(spark, sf_dir):
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters, op9_minhash, op10_suffix_dedup, op11_token_align, op12_fingerprint)
+    for f in (op1_packing, op2_line_dedup, op3_chat_format, op4_language_id, op5_mixing, op6_exact_dedup, op7_quality_rules, op8_url_filters, op9_minhash, op10_suffix_dedup, op11_token_align, op12_fingerprint, op13_lexical_search)
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
@@ -83,4 +87,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filters": url_filter.oracle(),
+    "op13_lexical_search": lexical.ORACLE,
 }
