@@ -56,8 +56,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool = True) -> dict:
-    from skimdex.plans.catalog import ORACLES, QUERIES
+    import __spark_entry__
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     con = duck(sf_dir)
     out = {}
     for name in names or list(QUERIES):
