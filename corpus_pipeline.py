@@ -1,9 +1,11 @@
 """Training-corpus pipeline over `documents`: five stages, each written as Parquet
 and read again as the next one's input.
 
-Every stage works on all rows its predecessor kept. Rows are matched to verdicts by
-doc_id and 64 bits of the text, null-safe, so rows that share a doc_id are judged by
-their own text. Other columns than those of `documents` are dropped at the start.
+Every stage works on all rows its predecessor kept. Rows that share a doc_id, or have
+none, are judged by their own text: they are known by doc_id and 64 bits of the text,
+null-safe. Nulls are empty texts; ties go by doc_id, null last; texts of any length stay
+in one row; an empty table gives no rows. Other columns than those of `documents` are
+dropped at the start.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skimdex.llm import exact_dedup, minhash_forest, mixing, packing, quality_rules
-from skimdex.llm.common import lookup, stage, text_key
+from skimdex.llm.common import lookup, nonnull, stage, text_key
 from skimdex.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,9 +38,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id."""
-    kept = minhash_forest.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("k"))
-    return docs.select(*COLUMNS).join(lookup(kept, 24), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    """Of each group of near copies the row with the least doc_id (null last). A row is
+    known by its doc_id; rows that share one, or have none, by doc_id and text, so each
+    is judged by its own text, and of equal rows one stays."""
+    d = docs.select(*COLUMNS)
+    shared = d.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    shared = lookup(shared.select(F.col("doc_id").alias("k"), F.lit(True).alias("shared")), 16)
+    own = F.coalesce("shared", F.lit(False))
+    d = d.join(shared, F.col("doc_id").eqNullSafe(F.col("k")), "left").select(
+        *COLUMNS, own.alias("shared"), F.when(own, F.xxhash64("doc_id", nonnull("text"))).otherwise(F.col("doc_id")).alias("node")
+    )
+    groups = minhash_forest.near_dedup(d.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    named = groups.distinct().join(d.select("node", "doc_id").distinct(), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.node").alias("k"))
+    rows = d.join(lookup(kept, 24), F.col("node") == F.col("k"), "left_semi")
+    return rows.filter("not shared").unionByName(rows.filter("shared").dropDuplicates(["node"])).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +72,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash", near), ("mixing", mix), ("packing", pack)]
 
-#: The robust estimates and near-duplicate links have no SQL; tests/llm holds the
-#: pipeline against a brute-force version.
+#: The robust estimates and near-duplicate links have no SQL; tests/llm holds each
+#: stage against expected rows.
 ORACLE_SQL = None
 
 
