@@ -174,11 +174,11 @@ def _send_keys(n_buckets: int):
         for batch in batches:
             for number, c, _ in _chunks(batch):
                 keys, place = _distinct(c)
-                low, high = np.full(len(keys), len(c.ids)), np.zeros(len(keys), np.int64)
-                np.minimum.at(low, place, c.doc)
-                np.maximum.at(high, place, c.doc)
+                low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+                np.minimum.at(low, place, c.ids[c.doc])
+                np.maximum.at(high, place, c.ids[c.doc])
                 many = np.ceil(np.log2(np.bincount(place, minlength=len(keys)) + 1)).astype(np.uint8)
-                note = many | np.where(c.ids[np.minimum(low, len(c.ids) - 1)] != c.ids[high], 128, 0).astype(np.uint8)
+                note = many | np.where(low != high, 128, 0).astype(np.uint8)
                 end = _bucket_ends(keys, n_buckets)
                 start = np.append(0, end[:-1])
                 some = np.flatnonzero(end > start)
@@ -551,7 +551,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
         hot_masks = stage(_hot_answers(marked, n_buckets), "hotmasks", 4)
         found = found.unionByName(hot_masks.select("chunk", F.col("rec").alias("hot_rec"), F.col("mask").alias("hot_mask")), allowMissingColumns=True)
     answered = _by_chunk(chunks, found, n_parts, answers=("bucket", "rec", "masks"), hot=("hot_rec", "hot_mask"))
-    cut = stage(answered.mapInArrow(_cut, RESULT), "cut", 4).withColumnRenamed("doc_id", "source").dropDuplicates(["sha"])
+    cut = stage(answered.mapInArrow(_cut, RESULT).withColumnRenamed("doc_id", "source").dropDuplicates(["sha"]), "cut", 4)
 
     whole = (F.col("doc_id") > F.col("source")) & (F.col("n_bytes") >= WINDOW)  # a copy of a smaller document
     same = F.col("doc_id") == F.col("source")
