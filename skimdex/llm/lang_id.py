@@ -22,7 +22,6 @@ repeated rows count and are answered each; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +39,22 @@ ENTROPY_SD = 6.0
 MARGIN_BINS, BINS_PER_NAT = 64, 40
 CHUNK = 1 << 20
 SPACE = 32
-PLANES = 0x30000
+#: Letters are in the planes below.
+PLANES = 0x40000
+_TABLE: list[np.ndarray] = []
 
 
-@lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
-    """Code point to its lower-case letter, or to a space."""
-    table = np.full(PLANES + 1, SPACE, np.int64)
-    for i in range(PLANES):
-        c = chr(i)
-        if c.isalpha():
-            low = c.lower()
-            table[i] = ord(low) if len(low) == 1 else i
-    return table
+    """Code point to its lower-case letter, or to a space; made once in a task."""
+    if not _TABLE:
+        table = np.full(PLANES + 1, SPACE, np.int64)
+        for i in range(PLANES):
+            c = chr(i)
+            if c.isalpha():
+                low = c.lower()
+                table[i] = ord(low) if len(low) == 1 else i
+        _TABLE.append(table)
+    return _TABLE[0]
 
 
 def letters(text: str) -> np.ndarray:
@@ -67,7 +69,8 @@ def trigrams(cp: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and any(c.isalpha() for c in text)
+    """By the rule that folds letters, so a text with a letter has a trigram."""
+    return text is not None and any(c.isalpha() and ord(c) < PLANES for c in text)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
