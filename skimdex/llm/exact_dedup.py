@@ -2,11 +2,12 @@
 
 A text's key is the SHA-256 of the text without white space. Keys are dealt to
 shards by their first bits. Each shard has a cuckoo filter (16-bit fingerprints,
-four to a bucket) and, beside it, the stored keys bucketed the same way. A lookup
-that misses the filter is new for certain; a hit is checked against the stored
-keys, so false positives cost a comparison and change nothing. Insertion that finds
-no free place doubles the filter and fills it from the stored keys; deletion takes
-the fingerprint of a live key out.
+four to a bucket) and, beside it, the stored keys. The filter decides: a lookup that
+misses it is new for certain and no stored key is looked at; a hit is checked against
+the stored keys, so false positives cost a comparison and change nothing. Insertion
+that finds no free place doubles the filter and fills it from the stored keys; deletion
+takes the fingerprint of a live key out. Where the row that represents a key is deleted
+and other copies live, the best of those represents it from then on.
 
 Copies are combined before they are dealt: rows are grouped by key and a salt of
 their document, so one key reaches its shard as `SALTS` rows at most, whatever its
@@ -136,31 +137,29 @@ class _Shard:
         doc, n_cp, row_no, _ = row
         return (n_cp, not pd.isna(doc), 0 if pd.isna(doc) else -doc, -row_no)
 
-    def _merge(self, digest: str, row: list) -> None:
-        mine = self.rows[digest]
-        copies = mine[3] + row[3]
-        self.rows[digest] = [*max(mine, row, key=self._rank)[:3], copies]
+    def _best(self, mine: list, row: list) -> list:
+        return [*max(mine, row, key=self._rank)[:3], mine[3] + row[3]]
 
     def insert(self, rows: list[tuple]) -> None:
         for k in range(0, len(rows), LOOKUP_BLOCK):
-            block = rows[k : k + LOOKUP_BLOCK]
-            hits = self.filter.contains(_keys64([r[0] for r in block]))
-            fresh, again = [], []
-            for r, hit in zip(block, hits):
-                if not hit and r[0] not in self.rows:
-                    self.rows[r[0]] = list(r[1:])
-                    fresh.append(r[0])
+            block: dict[str, list] = {}
+            for digest, *row in rows[k : k + LOOKUP_BLOCK]:  # the keys of a block are distinct
+                mine = block.get(digest)
+                block[digest] = row if mine is None else self._best(mine, row)
+            hits = self.filter.contains(_keys64(block)) if block else ()
+            fresh = []
+            for (digest, row), hit in zip(block.items(), hits):
+                if hit and digest in self.rows:  # checked against the stored keys
+                    self.rows[digest] = self._best(self.rows[digest], row)
                 else:
-                    again.append(r)
-            self._add(fresh)
-            false_hits = []
-            for r in again:  # checked against the stored keys
-                if r[0] in self.rows:
-                    self._merge(r[0], list(r[1:]))
-                else:
-                    self.rows[r[0]] = list(r[1:])
-                    false_hits.append(r[0])
-            self._add(false_hits)
+                    fresh.append((digest, row))
+            self.rows.update(fresh)
+            self._add([digest for digest, _ in fresh])
+
+    def represent(self, rows: list[tuple]) -> None:
+        """Other representatives of live keys."""
+        for digest, *row in rows:
+            self.rows[digest][:3] = row[:3]
 
     def delete(self, rows: list[tuple]) -> None:
         for r in rows:
@@ -183,6 +182,7 @@ def _change(key: tuple, stored: pd.DataFrame, changes: pd.DataFrame) -> pd.DataF
     rows = list(changes[["digest", "doc_id", "n_cp", "row_no", "copies"]].itertuples(index=False, name=None))
     shard.insert([r for r in rows if r[4] > 0])
     shard.delete([r for r in rows if r[4] < 0])
+    shard.represent([r for r in rows if r[4] == 0])
     return shard.frame(int(key[0]))
 
 
@@ -226,9 +226,17 @@ def insert(index: DataFrame, d: DataFrame, n_shards: int) -> DataFrame:
     return _changed(index, _combined(d), n_shards)
 
 
-def delete(index: DataFrame, d: DataFrame, n_shards: int) -> DataFrame:
-    """The index without the rows of ``d``; a key goes with its last copy."""
-    return _changed(index, _combined(d).withColumn("copies", -F.col("copies")), n_shards)
+def delete(index: DataFrame, d: DataFrame, live: DataFrame, n_shards: int) -> DataFrame:
+    """The index without the rows of ``d``; a key goes with its last copy. ``live`` are
+    the rows (see ``digests``) that stay: keys whose representative goes take the best of
+    theirs."""
+    less = _combined(d).withColumn("copies", -F.col("copies"))
+    left = stage(_changed(index, less, n_shards), "index")
+    lost = keys(left).join(d.select("digest", "row_no"), ["digest", "row_no"], "left_semi").select("digest")
+    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("doc"), (-F.col("row_no")).alias("row"))).alias("best")
+    other = _combined(live.join(lost, "digest", "left_semi")).groupBy("digest").agg(best)
+    again = other.select("digest", (-F.col("best.doc")).alias("doc_id"), F.col("best.n_cp").alias("n_cp"), (-F.col("best.row")).alias("row_no"), F.lit(0).cast("long").alias("copies"))
+    return _changed(left, again, n_shards)
 
 
 def keys(index: DataFrame) -> DataFrame:

@@ -151,6 +151,24 @@ def test_language_id(spark):
     assert lang_id.language_id(empty(spark)).count() == 0
 
 
+def test_language_id_letters_of_all_planes():
+    assert not any(chr(i).isalpha() for i in range(lang_id.PLANES, 0x110000))
+    for c in ("\U00030000", "\U000323AF", "ſ", "İ"):
+        assert lang_id.has_letter(c) == c.isalpha() == bool(len(lang_id.trigrams(lang_id.letters(c))))
+
+
+def test_language_id_functions_travel_whole(tmp_path):
+    """A task must not need the package: its functions run where it is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((lang_id.letters, lang_id.has_letter, lang_id.trigrams)))
+    code = "import pickle; a, b, c = pickle.load(open('f', 'rb')); assert len(c(a('abc'))) == 3 and b('x')"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={})
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
@@ -216,6 +234,24 @@ def test_layouts(spark):
     assert [x.role for x in chat_format.canonical_turns(typed).orderBy("turn").collect()] == ["user", "assistant"]
 
 
+def test_suffix_dedup_repeated_rows_around_a_copy(spark):
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(160))
+    data = [(5, passage, "en", "a"), (9, "before " + passage + " after", "en", "a"), (5, passage, "en", "a")]
+    got = {(x.doc_id, x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(frame(spark, data).coalesce(1)).collect()}
+    assert got == {(5, 0, 0), (9, 160, 1)}
+
+
+def test_pipeline_near_stage_tells_rows_of_a_doc_id_apart(spark):
+    r = random.Random(13)
+    words = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(90))
+    t, u, v = words(), words(), words()
+    data = [(3, t, "en", "a"), (5, t + " tail", "en", "a"), (5, u, "en", "a"), (None, v, "en", "a"), (None, v + " end", "en", "a"), (7, u + " more", "en", "a"), (8, "", "en", "a"), (8, "", "en", "a")]
+    got = corpus_pipeline.near(spark, frame(spark, data), "").collect()
+    assert sorted((x.doc_id or 0, x.text) for x in got if x.doc_id is not None) == [(3, t), (5, u), (8, "")]
+    assert len([x for x in got if x.doc_id is None]) == 1
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(8)
     data = [(i, " ".join(f"v{r.randrange(3000)}" for _ in range(r.randrange(60, 200))), "en", r.choice("ab")) for i in range(120)]

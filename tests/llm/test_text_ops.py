@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from skimdex.llm import exact_dedup, line_dedup, mixing, packing, quality_rules
@@ -69,8 +70,25 @@ def test_index_insert_and_delete(spark):
     index = exact_dedup.insert(exact_dedup.empty_index(spark), dig.filter("doc_id < 8"), 3)
     index = exact_dedup.insert(index, dig.filter("doc_id >= 8"), 3)
     assert sorted((r.doc_id, r.copies) for r in exact_dedup.keys(index).collect()) == [(i, 2) for i in range(6)]
-    index = exact_dedup.delete(index, dig.filter("doc_id in (0, 6, 1)"), 3)
-    assert sorted((r.doc_id, r.copies) for r in exact_dedup.keys(index).collect()) == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 2)]
+    gone = "doc_id in (0, 6, 1)"
+    index = exact_dedup.delete(index, dig.filter(gone), dig.filter(f"not {gone}"), 3)
+    assert sorted((r.doc_id, r.copies) for r in exact_dedup.keys(index).collect()) == [(2, 2), (3, 2), (4, 2), (5, 2), (7, 1)]
+    index = exact_dedup.insert(index, dig.filter("doc_id = 0"), 3)
+    assert sorted((r.doc_id, r.copies) for r in exact_dedup.keys(index).collect()) == [(0, 1), (2, 2), (3, 2), (4, 2), (5, 2), (7, 1)]
+
+
+def test_index_trusts_the_filter():
+    """A miss is new without a look at the stored keys, a hit is compared with them."""
+    shard = exact_dedup._Shard(pd.DataFrame(columns=["shard", "digest", "doc_id", "n_cp", "row_no", "copies", "filter"]))
+    a, b = sha("a"), sha("b")
+    shard.insert([(a, 1, 1, 1, 1), (a, 2, 1, 2, 1), (b, 3, 1, 3, 1)])
+    assert {k: r[3] for k, r in shard.rows.items()} == {a: 2, b: 1}
+    shard.filter.delete(exact_dedup._keys64([a]))
+    shard.insert([(a, 9, 1, 9, 1)])
+    assert shard.rows[a] == [9, 1, 9, 1]  # the filter alone said that it is new
+    shard.filter.contains = lambda keys: np.ones(len(keys), bool)  # false positives only
+    shard.insert([(sha("c"), 4, 1, 4, 1), (b, 5, 1, 5, 1)])
+    assert {k: r[3] for k, r in shard.rows.items()} == {a: 1, b: 2, sha("c"): 1}
 
 
 def _counts(t):
