@@ -9,14 +9,12 @@ with a range-partitioned sort -- never one giant value in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skimdex.functions import text as T
 from skimdex.operators.packages import nearest_package
-from skimdex.operators.symbols import (
-    DECL_KEYS, FILE_KEYS, SYMBOL_COLUMNS, extract, interface_properties, signature_tokens, symbols_from,
-)
+from skimdex.operators.symbols import FILE_KEYS, KIND_RANK, SYMBOL_COLUMNS, declarations, statements, without_overloads
 
 # Fixed values of the reference's prompt format.
 CLASS_LABEL = " — methods: "
@@ -29,19 +27,24 @@ def js_number(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
-def skeleton_entries(symbols: DataFrame, files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """``(target_dir, path, size_kb, exports ARRAY<STRUCT>, package_name)``,
-    one row per file with at least one exported signature."""
+def skeleton_entries(symbols: DataFrame, files: DataFrame | None = None, manifests: DataFrame | None = None) -> DataFrame:
+    """``(target_dir, path, size_kb, exports ARRAY<STRUCT>, package_name, suspect)``,
+    one row per file with at least one exported signature. Symbols that carry
+    ``size_bytes`` need no ``files``."""
+    have = symbols.columns
+    marked = F.max("suspect") if "suspect" in have else F.lit(False)
     exports = symbols.groupBy(*FILE_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in SYMBOL_COLUMNS if c not in FILE_KEYS]))).alias("exports")
+        F.array_sort(F.collect_list(F.struct(*[c for c in SYMBOL_COLUMNS if c not in FILE_KEYS]))).alias("exports"),
+        marked.alias("suspect"), *([F.max("size_bytes").alias("size_bytes")] if "size_bytes" in have else []),
     )
-    sized = files.select(*FILE_KEYS, T.size_kb("size_bytes").alias("size_kb"))
-    entries = exports.join(sized, FILE_KEYS, "inner")
+    if "size_bytes" not in have:
+        exports = exports.join(files.select(*FILE_KEYS, "size_bytes"), FILE_KEYS, "inner")
+    entries = exports.withColumn("size_kb", T.size_kb("size_bytes"))
     if manifests is not None:
         entries = nearest_package(entries, manifests)
     else:
         entries = entries.withColumn("package_name", F.lit(None).cast("string"))
-    return entries.select(*FILE_KEYS, "size_kb", "exports", "package_name")
+    return entries.select(*FILE_KEYS, "size_kb", "exports", "package_name", "suspect")
 
 
 def signature_line(e: Column) -> Column:
@@ -91,36 +94,24 @@ def write_skeleton_text(text_rows: DataFrame, out_dir: str) -> None:
 
 def symbols_bodies(files: DataFrame) -> DataFrame:
     """:func:`symbols_only_text` of ``files``, in or out of the index scope."""
-    x = extract(signature_tokens(files.where(F.contains("content", F.lit("export")))), ["function", "interface", "type"])
-    return symbols_only_text(x, symbols_from(x))
+    pieces = statements(files.where(F.contains("content", F.lit("export"))))
+    return symbols_only_text(declarations(pieces, ["function", "interface", "type"]))
 
 
-def symbols_only_text(x: dict[str, DataFrame], symbols: DataFrame) -> DataFrame:
+def symbols_only_text(decls: DataFrame) -> DataFrame:
     """Per file: the lines a symbols-only read returns after its header --
     exported functions, then interfaces with all their properties, then type
     aliases; no classes, no enums. Returns ``(abs_path, symbols_body)``."""
-    fn = symbols.where(F.col("kind") == "function").select(
-        *FILE_KEYS, F.lit(1).alias("grp"), "ord",
-        F.concat(F.lit("export function "), "name", F.lit("("), "params", F.lit("): "), "return_type").alias("line"),
-    )
-    ty = symbols.where(F.col("kind") == "type").select(
-        *FILE_KEYS, F.lit(3).alias("grp"), "ord",
-        F.concat(F.lit("export type "), "name", F.lit(" = "), "params").alias("line"),
-    )
-    props = interface_properties(x)
-    prop_text = props.groupBy(*DECL_KEYS).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("prop_no", "text"))), lambda s: F.concat(F.lit(INDENT), s["text"])),
-            ";\n",
-        ).alias("props")
+    d = without_overloads(decls.where(F.col("kind").isin("function", "interface", "type")))
+    kind, name, params = F.col("kind"), F.col("name"), F.col("params")
+    props = F.array_join(F.transform("props", lambda p: F.concat(F.lit(INDENT), p)), ";\n")
+    line = (
+        F.when(kind == "function", F.concat(F.lit("export function "), name, F.lit("("), params, F.lit("): "), "return_type"))
+        .when(kind == "interface", F.concat(F.lit("export interface "), name, F.lit(" {\n"), props, F.lit("\n}")))
+        .otherwise(F.concat(F.lit("export type "), name, F.lit(" = "), params))
     )
-    decl = x["declarations"].where(F.col("kind") == "interface").join(prop_text, DECL_KEYS, "left")
-    w = Window.partitionBy(*FILE_KEYS).orderBy("decl_pos")
-    iface = decl.select(
-        *FILE_KEYS, F.lit(2).alias("grp"), F.row_number().over(w).alias("ord"),
-        F.concat(F.lit("export interface "), "name", F.lit(" {\n"), F.coalesce("props", F.lit("")), F.lit("\n}")).alias("line"),
+    grp = F.when(kind == "function", KIND_RANK["function"]).when(kind == "interface", KIND_RANK["interface"]).otherwise(KIND_RANK["type"])
+    lines = F.array_sort(F.collect_list(F.struct(grp.alias("grp"), "pos", line.alias("line"))))
+    return d.groupBy(*FILE_KEYS).agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("symbols_body")).select(
+        F.concat("target_dir", F.lit("/"), "path").alias("abs_path"), "symbols_body"
     )
-    lines = fn.unionByName(iface).unionByName(ty)
-    return lines.groupBy(*FILE_KEYS).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "ord", "line"))), lambda s: s["line"]), "\n").alias("symbols_body")
-    ).select(F.concat("target_dir", F.lit("/"), "path").alias("abs_path"), "symbols_body")

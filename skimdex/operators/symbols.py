@@ -1,26 +1,24 @@
-"""Exported-signature extraction as Spark jobs over the token table.
-
-Stages (all clustered by file, so the token shuffle of
-:mod:`skimdex.operators.tokens` is the only exchange until the final
-per-file grouping):
-
-1. *declarations*: a depth-0 ``export`` token opens a declaration; window
-   aggregates over the declaration find its kind, name and the structural
-   markers (parameter parens, body braces, ``=``, ``;``);
-2. *members* of class / interface / enum bodies: a running count of member
-   starts (after ``;`` ``,`` or a closed body at depth 1, or a new line that
-   does not continue an expression) numbers the members; window aggregates
-   over a member classify it (constructor, method, property, accessor, index
-   signature) and locate its parameter list and types;
-3. *parameters*: a running count of depth-``base`` commas numbers the
-   parameters of any list; each becomes ``name: type`` (declared type, else
-   a type read from a literal default, else ``any``);
-4. assembly: ordered ``collect_list`` per declaration / file, bounded by the
-   declaration or file size.
-
-Text of types is rebuilt from tokens with one space where the source had any
-whitespace (``Map<string, number>`` stays as written). Types are the
-declared ones; a missing return annotation prints ``unknown``.
+"""Exported signatures, one packed row for each declaration.
+
+The masked texts of :mod:`skimdex.operators.lexer` (equal in length to the source, with
+everything below a depth blanked) make declarations, members and parameters findable by
+pattern: at its own depth a body is ``{____}``. All texts that are returned are cut from
+the source by their spans. Steps, all within the row of a file:
+
+1. the depth-0 text is cut at statement heads (``export``, or a word that opens a
+   declaration at the start of a statement); each piece, with the same span of the other
+   texts, is a declaration with its kind and name;
+2. class, interface and enum bodies are cut into members in the depth-1 text: at ``;``,
+   at ``,`` (interfaces and enums), after a closed body, or at a line end that does not
+   continue;
+3. parameter lists are cut at their commas; each becomes ``name: type`` (declared type,
+   else a type read from a literal default, else ``any``).
+
+``<`` opens type arguments only if its ``>`` comes before a token that can't stand in a
+type (``&&``, ``=``, ``;``, arithmetic ...), so comparisons in defaults split nothing.
+Nothing is shuffled or joined up to the declarations; numbering and overloads need one
+exchange of the narrow result. Types are the declared ones, with one space where the
+source had any white space; a missing return annotation prints ``unknown``.
 """
 
 from __future__ import annotations
@@ -30,7 +28,9 @@ from pyspark.sql import functions as F
 
 from skimdex.functions import paths as P
 from skimdex.functions import text as T
-from skimdex.operators.tokens import FILE_KEYS, code_tokens, prune_bodies
+from skimdex.operators import lexer as L
+from skimdex.operators.lexer import let
+from skimdex.operators.tokens import FILE_KEYS
 from skimdex.session import materialize
 
 # Fixed values of the reference behaviour.
@@ -43,455 +43,352 @@ MISSING_RETURN = "unknown"   # no checker: an unannotated return type
 UNTYPED_PARAM = "any"
 
 # Grammar words used to read declarations.
-DECL_MODIFIERS = ["default", "declare", "async", "abstract", "const"]
+DECL_MODIFIERS = ["export", "default", "declare", "async", "abstract", "const"]
 MEMBER_MODIFIERS = ["public", "private", "protected", "static", "readonly", "async", "abstract", "override", "declare", "accessor"]
-SCOPES = ["public", "private", "protected"]
 PARAM_MODIFIERS = ["public", "private", "protected", "readonly", "override"]
-CONTINUATION = [":", "|", "&", "<", ",", "(", "[", "=>", "?", "=", ".", "extends", "keyof", "typeof", "new"]
-# A line or token that starts with one of these goes on with what stands before it.
-LEADING = ["|", "&", ".", "?", ":", "=", "=>", ">", ")", "]", "}", ";", ",", "extends", "is"]
 # Words that open a statement which may declare a name exported elsewhere in the file.
 LOCAL_STARTS = list(KIND_RANK) + ["abstract", "async", "declare", "const"]
-IDENT_RE = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
-
-DECL_KEYS = FILE_KEYS + ["decl"]
-MEMBER_KEYS = DECL_KEYS + ["member"]
-UNIT_KEYS = MEMBER_KEYS + ["in_body"]
-UNBOUNDED = (Window.unboundedPreceding, Window.unboundedFollowing)
-RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
+DECL_KEYS = FILE_KEYS + ["pos"]
+#: Columns of a file that its symbols keep, if it has them.
+CARRIED = ["size_bytes"]
 SYMBOL_COLUMNS = ["target_dir", "path", "ord", "kind", "name", "params", "return_type", "docstring"]
 
+# --- patterns over masked text -------------------------------------------------------
 
-def _first(cond: Column, value: Column | str, w) -> Column:
-    """Value of the first row (by order key) where ``cond`` holds, over ``w``."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.min(F.when(cond, v)).over(w)
-
-
-def _at(idx_col: str, target: Column, value: str, w) -> Column:
-    return F.max(F.when(F.col(idx_col) == target, F.col(value))).over(w)
-
-
-def _angle_depth(tok: Column, at_level: Column, w) -> Column:
-    """Running ``<`` minus ``>`` count at one bracket level: generic arguments
-    are not brackets of the depth column, so their commas need this."""
-    delta = F.when(at_level & (tok == "<"), 1).when(at_level & (tok == ">"), -1).otherwise(0)
-    return F.sum(delta).over(w.rowsBetween(*RUNNING))
-
-
-# ---------------------------------------------------------------------------
-# 1. declarations
-# ---------------------------------------------------------------------------
-# Token positions are consecutive within a file, so "the token after X" is
-# ``pos = X + 1``; each stage below is one ``select`` of window expressions
-# over the same partitioning and order (one Window operator, no re-sort).
-
-def declaration_tokens(tokens: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Tokens of exported declarations (of ``kinds``, else of all) with their
-    kind, name and markers.
-
-    A declaration is exported by its own ``export`` or by a list or default
-    export of its name in the same file (``export { a as b }``, ``export
-    default X``); it keeps its local name. Window stages: the file's exported
-    names, then three over the declaration: (1) kind and name are the 1st
-    to 3rd tokens after ``export`` that are not modifiers; (2) the first
-    depth-0 ``(``, ``{`` and ``=`` after the name; (3) what follows them --
-    between a ``(`` and its ``)`` every token is deeper, so "the first depth-0
-    X after ``(``" needs no ``)`` marker first."""
-    fw = Window.partitionBy(*FILE_KEYS).orderBy("pos")
-    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
-    prev = F.coalesce(F.col("prev"), F.lit(""))
-    fresh = F.col("nl") | F.col("prev").isNull() | prev.isin(";", "}")
-    local = tok.isin(LOCAL_STARTS) & fresh & ~prev.isin(DECL_MODIFIERS + ["export"])
-    t = tokens.withColumn(
-        "decl", F.sum(((lvl == 0) & ((tok == "export") | local)).cast("int")).over(fw.rowsBetween(*RUNNING))
-    ).where(F.col("decl") > 0)
-
-    da = Window.partitionBy(*DECL_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
-    cand = ~tok.isin(DECL_MODIFIERS + ["export"])
-    t = t.select(
-        "*",
-        F.min("pos").over(da).alias("start"),
-        F.max("pos").over(da).alias("last"),
-        *[F.nth_value(F.when(cand, tok), i + 1, True).over(da).alias(f"c{i}") for i in range(3)],
-        F.nth_value(F.when(cand, pos), 1, True).over(da).alias("kind_pos"),
-        F.first("tok").over(da).alias("opener"),
-        F.max((lvl == 0) & (tok == "from")).over(da).alias("reexport"),
-    )
-    # Names a list or default export of this file gives out; a list that ends in
-    # `from` names another file's declarations.
-    list_open = F.when((F.col("c0") == "{") | ((F.col("c0") == "type") & (F.col("c1") == "{")), True)
-    listed = list_open & ~F.col("reexport") & (lvl == 1) & (prev.isin("{", ",") | ((prev == "type") & (F.col("nxt") != "as")))
-    by_default = (prev == "default") & (lvl == 0) & ~tok.isin(LOCAL_STARTS)
-    given = (F.col("opener") == "export") & tok.rlike(IDENT_RE) & (F.coalesce(listed, F.lit(False)) | by_default)
-    # Same order as the declaration windows, so no sort in between.
-    whole_file = Window.partitionBy(*FILE_KEYS).orderBy("decl", "pos").rowsBetween(*UNBOUNDED)
-    t = t.withColumn("given", F.collect_set(F.when(given, tok)).over(whole_file))
-    t = t.withColumnRenamed("c0", "kind").where(F.col("kind").isin(kinds or list(KIND_RANK)))
-    star = F.col("c1") == "*"
-    name_tok = F.when(star, F.col("c2")).otherwise(F.col("c1"))
-    named = name_tok.rlike(IDENT_RE) & ~name_tok.isin("extends", "implements")
-    t = t.withColumn("after_pos", F.col("kind_pos") + 1 + star.cast("int") + named.cast("int")).withColumn(
-        "name",
-        F.when(named, name_tok)
-        .when(F.col("kind") == "function", F.lit(ANON_FUNCTION))
-        .when(F.col("kind") == "class", F.lit(ANON_CLASS)),
-    ).drop("c1", "c2", "reexport")
-    # No name: `export type { A } from`, `export const type = 1` declare nothing here.
-    t = t.where(F.col("name").isNotNull() & ((F.col("opener") == "export") | F.array_contains("given", F.col("name"))))
-    t = t.drop("given", "opener")
-    # Brackets and `=` inside the generics after the name are not the markers.
-    gw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
-    t = t.withColumn("gen", _angle_depth(tok, (lvl == 0) & (pos >= F.col("after_pos")), gw))
-    after = (pos >= F.col("after_pos")) & (F.col("gen") == 0)
-    t = t.select(
-        "*",
-        _first(after & (lvl == 0) & (tok == "("), "pos", da).alias("lp"),
-        _first(after & (lvl == 0) & (tok == "{"), "pos", da).alias("lb"),
-        _first(after & (lvl == 0) & (tok == "="), "pos", da).alias("eq"),
-    ).drop("gen")
-    past_lp = (pos > F.col("lp")) & (lvl == 0)
-    return t.select(
-        "*",
-        _first(past_lp & (tok == ")"), "pos", da).alias("rp"),
-        (F.nth_value(F.when(past_lp, tok), 2, True).over(da) == ":").alias("has_ret"),
-        _first(past_lp & (tok == "{") & ~prev.isin(CONTINUATION), "pos", da).alias("fb"),
-        _first(past_lp & (tok == ";"), "pos", da).alias("fsemi"),
-        _first((pos > F.col("lb")) & (lvl == 0) & (tok == "}"), "pos", da).alias("rb"),
-        _first(
-            (pos > F.col("eq") + 1) & (lvl == 0)
-            & ((tok == ";") | (F.col("nl") & ~prev.isin(CONTINUATION) & ~tok.isin(LEADING))),
-            "pos", da,
-        ).alias("t_end"),
-    )
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
-# ---------------------------------------------------------------------------
-# 3. parameter lists (used by functions, constructors and methods)
-# ---------------------------------------------------------------------------
-
-def parameter_tokens(t: DataFrame) -> DataFrame:
-    """Adds ``in_params`` (the token stands inside the parameter list of its
-    function, constructor or method), ``seg`` (number of the parameter, -1
-    elsewhere) and ``top`` (the token is at the list's own depth). Commas
-    between parameters belong to none."""
-    pw = Window.partitionBy(*UNIT_KEYS).orderBy("pos")
-    tok, pos = F.col("tok"), F.col("pos")
-    of_function = (F.col("kind") == "function") & (pos > F.col("lp")) & (pos < F.col("rp"))
-    of_method = F.col("in_body") & F.col("is_method") & (pos > F.col("mp_open")) & (pos < F.col("mp_close"))
-    inside = F.coalesce(of_function | of_method, F.lit(False))
-    t = t.withColumn("inside", inside)
-    t = t.withColumn("top", F.col("inside") & (F.col("lvl") == 1 + F.col("in_body").cast("int")))
-    t = t.withColumn("p_ang", _angle_depth(tok, F.col("top"), pw))
-    sep = F.col("top") & (tok == ",") & (F.col("p_ang") == 0)
-    t = t.withColumns({"sep": sep, "pidx": F.sum(sep.cast("int")).over(pw.rowsBetween(*RUNNING))})
-    in_params = F.col("inside") & ~F.col("sep")
-    return t.withColumns({"in_params": in_params, "seg": F.when(in_params, F.col("pidx")).otherwise(-1)}).drop(
-        "inside", "p_ang", "sep", "pidx"
-    )
+LETTER = r"[A-Za-z_$]|[^\x00-\x7F]"
+WORD_END = r"(?![\w$]|[^\x00-\x7F])"
+IDENT = rf"(?:{LETTER})(?:[\w$]|[^\x00-\x7F])*+"
+NAME_START = r"(?=[\w$\[\"'*#]|[^\x00-\x7F])"
+_TYPE_CHARS = r"=>|&(?!&)|\|(?!\|)|[\w$\s,.:?()\[\]{}\"'`#@-]|[^\x00-\x7F]"
+#: Generic arguments nested deeper than this are read as comparisons.
+ANGLE_DEPTH = 8
 
 
-def _joined(toks: Column, cond=None, spaces: bool = True) -> Column:
-    """Text of ordered tokens, one space where the source had trivia."""
-    picked = F.filter(toks, cond) if cond is not None else toks
-    piece = lambda x: F.concat(F.when(x["ws"], F.lit(" ")).otherwise(F.lit("")), x["tok"])
-    return F.trim(F.array_join(F.transform(picked, piece if spaces else (lambda x: x["tok"])), ""))
-
-
-def parameter_text() -> Column:
-    """``name: type`` of one parameter, from its tokens and first markers."""
-    toks, big = F.col("toks"), F.col("p_last") + 1
-    eq, colon = F.col("eq_pk"), F.col("colon_pk")
-    name_end = F.least(F.coalesce(colon, big), F.coalesce(eq, big), F.coalesce("q_pk", big))
-    pname = _joined(toks, lambda x: (x["pos"] >= F.col("name_pk")) & (x["pos"] < name_end), spaces=False)
-    typed = _joined(toks, lambda x: (x["pos"] > colon) & (x["pos"] < F.coalesce(eq, big)))
-    d = F.get(F.filter(toks, lambda x: x["pos"] == eq + 1), F.lit(0))["tok"]
-    inferred = (
-        F.when(F.col("p_last") - eq != 1, F.lit(UNTYPED_PARAM))
-        .when(d.rlike("^[\"'`]"), F.lit("string"))
-        .when(d.rlike("^[0-9]"), F.lit("number"))
-        .when(d.isin("true", "false"), F.lit("boolean"))
-        .otherwise(F.lit(UNTYPED_PARAM))
-    )
-    ptype = F.when(colon.isNotNull(), typed).otherwise(inferred)
-    return F.when(pname != "", F.concat(pname, F.lit(": "), ptype))
-
-
-# ---------------------------------------------------------------------------
-# 2. members of class / interface / enum bodies
-# ---------------------------------------------------------------------------
-
-def member_tokens(decl_tokens: DataFrame) -> DataFrame:
-    """Adds member columns to the declaration tokens: ``in_body`` marks body
-    tokens of classes, interfaces and enums; for those, ``member`` numbers
-    the members and the remaining columns classify each member. Two stages
-    over the declaration (generic depth, member number; same order as the
-    declaration windows, so no re-sort), then two over the member."""
-    pos = F.col("pos")
-    in_body = F.col("kind").isin("class", "interface", "enum") & (pos > F.col("lb")) & (pos < F.col("rb"))
-    dw = Window.partitionBy(*DECL_KEYS).orderBy("pos")
-    tok, lvl, kind = F.col("tok"), F.col("lvl"), F.col("kind")
-    ang_delta = F.when(in_body & (lvl == 1) & (tok == "<"), 1).when(in_body & (lvl == 1) & (tok == ">"), -1).otherwise(0)
-    body = decl_tokens.select(
-        "*", F.coalesce(in_body, F.lit(False)).alias("in_body"),
-        F.sum(ang_delta).over(dw.rowsBetween(*RUNNING)).alias("ang"), F.lag("lvl").over(dw).alias("prev_lvl"),
-    )
-    prev = F.coalesce(F.col("prev"), F.lit(""))
-    prev_lvl = F.coalesce(F.col("prev_lvl"), F.lit(1))
-    prev_ang = F.col("ang") - ang_delta   # generic depth after the previous token
-    # ',' separates enum members, and interface members outside generics.
-    comma_sep = (prev == ",") & ((kind == "enum") | ((kind == "interface") & (prev_ang == 0)))
-    start = (
-        F.col("in_body") & (lvl == 1) & (tok != "{") & ~tok.isin(LEADING)
-        & (
-            (pos == F.col("lb") + 1)
-            | (((prev == ";") | ((prev == "}") & (F.col("nl") | (tok != "["))) | comma_sep) & (prev_lvl == 1))
-            | (F.col("nl") & ~prev.isin(CONTINUATION) & (kind != "enum"))
-        )
-    )
-    m = body.select("*", F.sum(start.cast("int")).over(dw.rowsBetween(*RUNNING)).alias("member"))
-    ma = Window.partitionBy(*UNIT_KEYS).orderBy("pos").rowsBetween(*UNBOUNDED)
-    nxt = F.coalesce(F.col("nxt"), F.lit(""))
-    top = lvl == 1
-    accessor_kw = top & tok.isin("get", "set") & nxt.rlike(IDENT_RE)
-    is_mod = top & ((tok.isin(MEMBER_MODIFIERS) & nxt.rlike(r"^[A-Za-z_$\[\"'*#]")) | accessor_kw | (tok == "*"))
-    # A decorator (`@a.b(...)`) before a member is no part of it.
-    bare = top & ~prev.isin("@", ".") & ~tok.isin("@", ".", "(", ")")
-    m = m.select(
-        "*",
-        F.min("pos").over(ma).alias("mstart"),
-        F.when(F.first("tok").over(ma) == "@", _first(bare, "pos", ma)).otherwise(F.min("pos").over(ma)).alias("mreal"),
-    )
-    top = top & (pos >= F.col("mreal"))
-    word = top & ~is_mod
-    m = m.select(
-        "*",
-        F.max("pos").over(ma).alias("m_last"),
-        F.nth_value(F.when(word, pos), 1, True).over(ma).alias("name_pos"),
-        F.nth_value(F.when(word, tok), 1, True).over(ma).alias("mname"),
-        (F.nth_value(F.when(word, tok), 2, True).over(ma) == "?").alias("optional"),
-        F.max(F.when(is_mod & tok.isin(SCOPES), tok)).over(ma).alias("scope"),
-        F.max(F.when(accessor_kw, F.lit(1))).over(ma).alias("accessor"),
-        _first(word & (tok == "("), "pos", ma).alias("mp_open"),
-        _first(word & (tok == ":"), "pos", ma).alias("m_colon"),
-        _first(word & (tok == "="), "pos", ma).alias("m_eq"),
-        _first(word & (tok == "]"), "pos", ma).alias("m_sq"),
-    )
-    computed = (F.col("mname") == "[") & (pos >= F.col("name_pos")) & (pos <= F.col("m_sq"))
-    private_name = (F.col("mname") == "#") & (pos >= F.col("name_pos")) & (pos <= F.col("name_pos") + 1)
-    big = F.col("m_last") + 1
-    is_method = (
-        F.col("mp_open").isNotNull()
-        & (F.col("mp_open") < F.coalesce("m_colon", big))
-        & (F.col("mp_open") < F.coalesce("m_eq", big))
-    )
-    past = top & (pos > F.col("mp_open"))
-    return m.select(
-        "*",
-        is_method.alias("is_method"),
-        F.array_join(F.collect_list(F.when(computed | private_name, tok)).over(ma), "").alias("long_name"),
-        _first(past & (tok == ")"), "pos", ma).alias("mp_close"),
-        (F.nth_value(F.when(past, tok), 2, True).over(ma) == ":").alias("m_ret"),
-        _first(past & (tok == "{") & ~prev.isin(CONTINUATION), "pos", ma).alias("m_body"),
-        _first(
-            top & ((tok == ";") | ((tok == ",") & (F.col("ang") == 0)))
-            & (pos > F.coalesce("mp_open", "m_colon", F.lit(0))),
-            "pos",
-            ma,
-        ).alias("m_stop"),
-    )
+def _angles(chars: str) -> str:
+    p = rf"<(?:{chars})*+>"
+    for _ in range(ANGLE_DEPTH - 1):
+        p = rf"<(?:{chars}|{p})*+>"
+    return p
 
 
-# ---------------------------------------------------------------------------
-# 4. assembly
-# ---------------------------------------------------------------------------
-
-def units(t: DataFrame) -> DataFrame:
-    """One row per declaration and per member: its fields, its parameters and
-    the text of its type (a function's or method's return type, a property's
-    type, an alias's right side). Two groupings over the windows' partitioning:
-    parameters first, then the declaration or member they belong to."""
-    pos, tok, kind, last = F.col("pos"), F.col("tok"), F.col("kind"), F.col("last") + 1
-    m_last = F.col("m_last") + 1
-    fn_end = F.least(F.coalesce("fb", last), F.coalesce("fsemi", last))
-    method_end = F.least(F.coalesce("m_body", m_last), F.coalesce("m_stop", m_last))
-    of_member = (
-        F.when(F.col("is_method"), F.col("m_ret") & (pos > F.col("mp_close") + 1) & (pos < method_end))
-        .otherwise((kind == "interface") & (pos > F.col("m_colon")) & (pos < F.coalesce("m_stop", m_last)))
-    )
-    in_text = F.coalesce(
-        F.when(F.col("in_body"), of_member)
-        .when(kind == "function", F.col("has_ret") & (pos > F.col("rp") + 1) & (pos < fn_end))
-        .when(kind == "type", (pos > F.col("eq")) & (pos < F.coalesce("t_end", last))),
-        F.lit(False),
-    )
-    decl_head = pos == F.col("start")
-    member_head = F.col("in_body") & (pos == F.col("mstart"))
-    top = F.col("in_params") & F.col("top")
-    rows = parameter_tokens(t).withColumn("in_text", in_text).where(
-        F.col("in_params") | F.col("in_text") | decl_head | member_head
-    )
-    first = lambda cond: F.min(F.when(top & cond, pos))
-    has_body = F.col("fb").isNotNull() & (F.col("fb") < F.coalesce("fsemi", last))
-    by_param = rows.groupBy(*UNIT_KEYS, "kind", "seg").agg(
-        F.array_sort(F.collect_list(F.when(F.col("in_params") | F.col("in_text"), F.struct("pos", "ws", "tok")))).alias("toks"),
-        first(~tok.isin(PARAM_MODIFIERS + ["..."]) & ~F.startswith(tok, F.lit("@"))).alias("name_pk"),
-        first(tok == ":").alias("colon_pk"),
-        first(tok == "=").alias("eq_pk"),
-        first(tok == "?").alias("q_pk"),
-        F.max("pos").alias("p_last"),
-        F.max(F.when(decl_head, F.struct(
-            pos.alias("decl_pos"), "name", F.when(kind == "function", F.col("doc")).alias("docstring"), has_body.alias("has_body"),
-        ))).alias("d"),
-        F.max(F.when(member_head, F.struct(
-            pos.alias("member_pos"), F.coalesce(F.nullif("long_name", F.lit("")), F.col("mname")).alias("mname"), "scope",
-            "accessor", "optional", "is_method", tok.alias("first_tok"), "name_pos", "m_colon",
-        ))).alias("m"),
-    )
-    named = by_param.select(
-        *UNIT_KEYS, "kind", "seg", "d", "m",
-        F.when(F.col("seg") >= 0, parameter_text()).alias("ptext"),
-        F.when(F.col("seg") < 0, F.nullif(_joined(F.col("toks")), F.lit(""))).alias("text"),
-    )
-    params = F.array_sort(F.collect_list(F.when(F.col("ptext").isNotNull(), F.struct("seg", "ptext"))))
-    one = named.groupBy(*UNIT_KEYS, "kind").agg(
-        F.max("d").alias("d"), F.max("m").alias("m"), F.max("text").alias("text"),
-        F.array_join(F.transform(params, lambda x: x["ptext"]), ", ").alias("params"),
-    )
-    return one.where(F.col("d").isNotNull() | F.col("m").isNotNull()).select(*UNIT_KEYS, "kind", "d.*", "m.*", "text", "params")
+ARGUMENTS = _angles(_TYPE_CHARS)
+#: A declaration's own type parameters may have defaults.
+PARAMETERS = _angles(_TYPE_CHARS + r"|=(?!=)")
 
+# Before a line end or a brace these go on with what follows; at the start of a line the
+# others go on with what stands before.
+OPEN_CHARS, OPEN_WORDS = r"[:|&<,(\[?=.]", ["extends", "keyof", "typeof", "new"]
+GOES_ON = rf"(?:{OPEN_CHARS}|=>|(?<![\w$]){_any(OPEN_WORDS)})"
+LEADING = rf"(?:[|&.?:=>)\]}};,]|(?:extends|is){WORD_END})"
+LINE_END = rf"(?<=\S)(?<!{GOES_ON})[^\S\n]*\n(?=\s*(?!{LEADING}|\{{)\S)"
+#: A brace that opens a code block, not an object type.
+BLOCK = rf"(?=\{{)(?<!{GOES_ON}\s{{0,200}})\{{"
 
-def exported_declarations(tokens: DataFrame) -> DataFrame:
-    """``(target_dir, path, kind, name)`` of exported declarations, without
-    their members, parameters and types."""
-    return declaration_tokens(tokens).where(F.col("pos") == F.col("start")).select(*FILE_KEYS, "kind", "name")
-
-
-def extract(tokens: DataFrame, kinds: list[str] | None = None) -> dict[str, DataFrame]:
-    """``declarations`` and ``members`` of the exported declarations of ``kinds``
-    (all by default); others are dropped before the member windows.
-
-    Every window and grouping up to here is clustered by file, so the
-    tokeniser's exchange is the only one. The result holds no tokens, is written
-    once to the shared folder and read with column pruning by every consumer; a
-    lost executor does not replay the tokeniser."""
-    u = materialize(units(member_tokens(declaration_tokens(tokens, kinds))), "signature-units")
-    decl_columns = [*DECL_KEYS, "decl_pos", "kind", "name", "docstring", "has_body", "params", "text"]
-    return {
-        "units": u,
-        "declarations": u.where(F.col("decl_pos").isNotNull()).select(*decl_columns),
-        "members": u.where(F.col("member_pos").isNotNull()).drop("decl_pos", "name", "docstring", "has_body"),
-    }
-
-
-def export_functions(x: dict[str, DataFrame]) -> DataFrame:
-    """Exported functions; of overloads only the one with the body."""
-    ow = Window.partitionBy(*FILE_KEYS, "name")
-    d = x["declarations"].where(F.col("kind") == "function")
-    d = d.withColumn("any_body", F.max("has_body").over(ow)).where(F.col("has_body") | ~F.col("any_body"))
-    return d.select(
-        *DECL_KEYS, "decl_pos", "kind", "name", "params",
-        F.coalesce("text", F.lit(MISSING_RETURN)).alias("return_type"), "docstring",
-    )
+HEAD = (
+    rf"(?=export{WORD_END})(?<![\w$.#@])"
+    rf"|(?={_any(LOCAL_STARTS)}{WORD_END})(?<=(?:\A|[\n;}}])[^\S\n]{{0,400}})(?<!{_any(DECL_MODIFIERS)}\s{{1,100}})"
+)
+DECLARATION = (
+    rf"^((?:{_any(DECL_MODIFIERS)}\s+)*+)({_any(list(KIND_RANK))}){WORD_END}\s*(?:\*\s*)?"
+    rf"(?!(?:extends|implements){WORD_END})({IDENT})?"
+)
+RETURN = rf"(?s)^\s*:(.*?)(?:{BLOCK}|;|\z)"
+ENDS_BY = rf"(?s)^.*?({BLOCK}|;|\z)"
+ALIAS = rf"(?s)^(.*?)(?:;|\z|{LINE_END})"
+BODY = rf"(?s)^(?:{ARGUMENTS}|[^{{])*+\{{"
+LIST_NAMES = rf"(?:^|,)\s*(?:type\s+(?!as{WORD_END}))?({IDENT})"
 
+DECORATORS = r"^\s*(?:@[\w$.]+(?:\(_*\))?\s*)*+"
+PARAMETER = rf"(?s)(?:{ARGUMENTS}|[^,])*+(?:,|\z)"
+PARAM_PREFIX = DECORATORS + rf"(?:{_any(PARAM_MODIFIERS)}\s+{NAME_START}|{_any(PARAM_MODIFIERS)}\s+(?=\{{))*+(?:\.\.\.\s*)?"
+PARAM_TYPE = rf"(?s)^\??\s*:((?:{ARGUMENTS}|=>|[^=])*+)"
+AFTER_BRACE = rf"\}}(?=[^\S\n]*\n\s*(?!{LEADING}|\{{)\S|[^\S\n]*(?!{LEADING}|\{{|\[|\n)\S)"
+MEMBER_NAME = rf"\[_*\]|#?{IDENT}|\"_*\"|'_*'|[0-9][\w.]*"
+MODIFIERS = rf"((?:{_any(MEMBER_MODIFIERS)}\s+{NAME_START})*+)"
+METHOD = rf"(?s)^{MODIFIERS}((?:get|set)\s+(?={IDENT}))?(?:\*\s*)?({MEMBER_NAME})\s*[?!]?\s*(?:{PARAMETERS}\s*)?\("
+PROPERTY = rf"(?s)^{MODIFIERS}({IDENT}|\"_*\"|'_*')\s*(\??)\s*:"
 
-def class_members(x: dict[str, DataFrame]) -> DataFrame:
-    """Constructors and methods of exported classes, with their text."""
-    mem = x["members"].where((F.col("kind") == "class") & F.col("is_method") & F.col("accessor").isNull())
-    ctor = F.col("mname") == "constructor"
-    params = F.col("params")
-    text = F.when(ctor, F.concat(F.lit("constructor("), params, F.lit(")"))).otherwise(
-        F.concat(
-            F.coalesce("scope", F.lit("public")), F.lit(" "), F.col("mname"), F.lit("("), params, F.lit("): "),
-            F.coalesce("text", F.lit(MISSING_RETURN)),
-        )
-    )
-    return mem.select(*MEMBER_KEYS, "member_pos", "mname", "scope", ctor.alias("is_ctor"), text.alias("text"))
 
+def _members(ends: str) -> str:
+    return rf"(?s)(?:[\w$]++|{ARGUMENTS}|(?!{ends}).)*+(?:{ends}|\z)"
 
-def export_classes(x: dict[str, DataFrame]) -> DataFrame:
-    cm = class_members(x)
-    w = Window.partitionBy(*DECL_KEYS).orderBy("member_pos")
-    methods = cm.where(~F.col("is_ctor") & (F.coalesce("scope", F.lit("public")) != "private"))
-    methods = methods.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MAX_CLASS_METHODS)
-    parts = cm.where(F.col("is_ctor")).select(*DECL_KEYS, F.lit(0).alias("grp"), "member_pos", "text").unionByName(
-        methods.select(*DECL_KEYS, F.lit(1).alias("grp"), "member_pos", "text")
-    )
-    joined = parts.groupBy(*DECL_KEYS).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("grp", "member_pos", "text"))), lambda s: s["text"]), " | "
-        ).alias("params")
-    )
-    d = x["declarations"].where(F.col("kind") == "class")
-    return d.drop("params").join(joined, DECL_KEYS, "left").select(
-        *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
-        F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
-    )
 
+MEMBER = {
+    "class": _members(rf";|{AFTER_BRACE}|{LINE_END}"),
+    "interface": _members(rf"[;,]|{AFTER_BRACE}|{LINE_END}"),
+    "enum": _members(","),
+}
 
-def interface_properties(x: dict[str, DataFrame]) -> DataFrame:
-    """All properties of exported interfaces, numbered in source order."""
-    mem = x["members"].where(
-        (F.col("kind") == "interface") & ~F.col("is_method") & F.col("mname").rlike(r"^([A-Za-z_$][A-Za-z0-9_$]*|\"[^\"]*\"|'[^']*')$")
-        & F.col("m_colon").isNotNull() & (F.col("m_colon") == F.col("name_pos") + 1 + F.col("optional").cast("int"))
-    )
-    w = Window.partitionBy(*DECL_KEYS).orderBy("member_pos")
-    return mem.select(
-        *MEMBER_KEYS, "member_pos",
-        F.concat(F.col("mname"), F.when(F.col("optional"), F.lit("?")).otherwise(F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("text"),
-    ).withColumn("prop_no", F.row_number().over(w))
 
+# --- spans ---------------------------------------------------------------------------
 
-def _ordered_join(df: DataFrame, keys: list[str], order: str, text: str, sep: str, alias: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), sep).alias(alias)
-    )
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def export_interfaces(x: dict[str, DataFrame], cap: int | None = MAX_INTERFACE_PROPS) -> DataFrame:
-    props = interface_properties(x)
-    if cap is not None:
-        props = props.where(F.col("prop_no") <= cap)
-    joined = _ordered_join(props, DECL_KEYS, "prop_no", "text", "; ", "params")
-    d = x["declarations"].where(F.col("kind") == "interface")
-    return d.drop("params").join(joined, DECL_KEYS, "left").select(
-        *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
-        F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
-    )
+def _from(text: Column, start: Column, size: Column | None = None) -> Column:
+    """``size`` characters from the 0-based ``start`` on, or all of them."""
+    return F.substring(text, start + 1, F.greatest(size, F.lit(0)) if size is not None else F.length(text))
 
 
-def export_types(x: dict[str, DataFrame]) -> DataFrame:
-    d = x["declarations"].where(F.col("kind") == "type")
-    return d.select(
-        *DECL_KEYS, "decl_pos", "kind", "name",
-        T.cut(F.coalesce("text", F.lit("")), T.TYPE_TEXT_CHARS).alias("params"),
-        F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
-    )
+def _matched(text: Column, pattern: str) -> Column:
+    """Length of the match of an anchored pattern, 0 if there is none."""
+    return F.length(F.regexp_extract(text, pattern, 0))
+
+
+def _find(text: Column, char: str, start: Column) -> Column:
+    """0-based place of the first ``char`` from ``start`` on, or the text's end."""
+    at = F.call_function("locate", F.lit(char), text, start + 1)
+    return F.when(at > 0, at - 1).otherwise(F.length(text))
+
 
+#: Sums of this many lengths are taken at a time.
+RUN = 64
 
-def export_enums(x: dict[str, DataFrame]) -> DataFrame:
-    mem = x["members"].where((F.col("kind") == "enum") & ~F.col("first_tok").isin(",", ";"))
-    names = _ordered_join(mem.withColumnRenamed("first_tok", "mtext"), DECL_KEYS, "member_pos", "mtext", ", ", "params")
-    d = x["declarations"].where(F.col("kind") == "enum")
-    return d.drop("params").join(names, DECL_KEYS, "left").select(
-        *DECL_KEYS, "decl_pos", "kind", "name", F.coalesce("params", F.lit("")).alias("params"),
-        F.lit("").alias("return_type"), F.lit(None).cast("string").alias("docstring"),
+
+def starts_of(pieces: Column) -> Column:
+    """Where each piece of a text starts. Sums go run by run, so the work does not grow
+    with the square of the number of pieces."""
+    empty = F.array().cast("array<int>")
+    acc = lambda total, out: F.struct(total.alias("total"), out.alias("out"))
+    one = lambda s, x: acc(s["total"] + F.length(x), F.concat(s["out"], F.array(s["total"])))
+
+    def run(s: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(pieces, i, RUN), acc(s["total"], empty), one)
+        return let(inner, lambda r: acc(r["total"], F.concat(s["out"], r["out"])))
+
+    n = F.size(pieces)
+    runs = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(RUN))).otherwise(empty)
+    return F.aggregate(runs, acc(F.lit(0), empty), run)["out"]
+
+
+def clean(text: Column) -> Column:
+    """A span of the source: one space for any white space, literals as they are."""
+    return L.restored(F.btrim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def tight(text: Column) -> Column:
+    return L.restored(F.regexp_replace(text, r"\s+", ""))
+
+
+def jsdoc(trivia: Column) -> Column:
+    """Text of the JSDoc blocks in a declaration's leading trivia, joined by a
+    space (tags and comment stars dropped), cut to 120, blank -> NULL."""
+    blocks = F.regexp_extract_all(trivia, F.lit(r"/\*\*([\s\S]*?)\*/"), 1)
+    cleaned = F.transform(
+        blocks,
+        lambda b: F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(b, r"(?m)^[ \t]*\*?[ \t]?", ""), r"(?s)(^|\n)\s*@.*$", ""),
+            r"^\s+|\s+$",
+            "",
+        ),
     )
+    return T.blank_to_null(T.cut(F.array_join(cleaned, " "), T.DOCSTRING_CHARS))
+
+
+# --- 3. parameters ---------------------------------------------------------------------
+
+def parameter(b: Column, src: Column) -> Column:
+    """``name: type`` of one parameter (masked, source), NULL if it has no name."""
+    def named(pre: Column) -> Column:
+        rest = _from(b, pre)
+        return let(F.length(F.regexp_extract(rest, r"(?s)^[^:=?]*+", 0)), lambda n: typed(pre, n, _from(rest, n)))
+
+    def typed(pre: Column, n: Column, rest: Column) -> Column:
+        name = tight(_from(src, pre, n))
+        colon = _matched(rest, r"^\??\s*:")
+        declared = clean(_from(src, pre + n + colon, F.length(F.regexp_extract(rest, PARAM_TYPE, 1))))
+        default = F.btrim(F.regexp_replace(F.regexp_extract(rest, r"(?s)^\??\s*=(.*)$", 1), r",\s*$|\s+", " "))
+        inferred = (
+            F.when(default.rlike("^(?:\"_*\"|'_*'|`_*`)$"), F.lit("string"))
+            .when(default.rlike(r"^[0-9][0-9A-Za-z_.]*$"), F.lit("number"))
+            .when(default.isin("true", "false"), F.lit("boolean"))
+            .otherwise(F.lit(UNTYPED_PARAM))
+        )
+        return F.when(name != "", F.concat(name, F.lit(": "), F.when(colon > 0, declared).otherwise(inferred)))
+
+    return let(_matched(b, PARAM_PREFIX), named)
+
+
+def parameters(b: Column, src: Column) -> Column:
+    """Text of a parameter list from its masked text, at its own depth, and its source."""
+    def one(piece: Column, start: Column) -> Column:
+        bare = F.regexp_replace(piece, r",$", "")
+        return let(bare, lambda p: parameter(p, _from(src, start, F.length(p))))
+
+    def all_of(pieces: Column) -> Column:
+        return F.array_join(F.filter(F.zip_with(pieces, starts_of(pieces), one), lambda x: x.isNotNull()), ", ")
+
+    return let(_all(b, PARAMETER), all_of)
+
+
+# --- 2. members -------------------------------------------------------------------------
+
+def _class_member(b: Column, deep: Column, src: Column) -> Column:
+    """Constructor (grp 0), method that isn't private (grp 1) or NULL."""
+    def method(pre: Column) -> Column:
+        own = _from(b, pre)
+        parts = F.struct(*[F.regexp_extract(own, METHOD, g).alias(k) for g, k in enumerate(("all", "mods", "accessor", "name"))])
+        return let(parts, lambda m: F.when((m["all"] != "") & (m["accessor"] == ""), let(pre + F.length(m["all"]), lambda lp: listed(m, lp))))
 
+    def listed(m: Column, lp: Column) -> Column:
+        return let(_find(b, ")", lp), lambda rp: signature(m, lp, rp))
 
-def symbols_from(x: dict[str, DataFrame]) -> DataFrame:
-    """Union of the five kinds, numbered per file in kind order then source order."""
-    allk = (
-        export_functions(x)
-        .unionByName(export_classes(x))
-        .unionByName(export_interfaces(x))
-        .unionByName(export_types(x))
-        .unionByName(export_enums(x))
+    def signature(m: Column, lp: Column, rp: Column) -> Column:
+        params = parameters(_from(deep, lp, rp - lp), _from(src, lp, rp - lp))
+        # The name ends where the parenthesis, type parameters and blanks before it begin.
+        before = F.length(F.regexp_extract(_from(b, F.lit(0), lp), rf"(?s)\s*[?!]?\s*(?:{PARAMETERS}\s*)?\($", 0))
+        name = tight(_from(src, lp - before - F.length(m["name"]), F.length(m["name"])))
+        tail = _from(b, rp + 1)
+        has = _matched(tail, r"^\s*:")
+        returned = clean(_from(src, rp + 1 + has, F.length(F.regexp_extract(tail, RETURN, 1))))
+        scope = F.regexp_extract(m["mods"], r"(public|private|protected)", 1)
+        text = F.concat(
+            F.when(scope == "", F.lit("public")).otherwise(scope), F.lit(" "), name, F.lit("("), params, F.lit("): "),
+            F.when((has > 0) & (returned != ""), returned).otherwise(F.lit(MISSING_RETURN)),
+        )
+        made = lambda grp, t: F.struct(F.lit(grp).alias("grp"), t.alias("text"))
+        return F.when(name == "constructor", made(0, F.concat(F.lit("constructor("), params, F.lit(")")))).when(scope != "private", made(1, text))
+
+    return let(_matched(b, DECORATORS), method)
+
+
+def _property(b: Column, src: Column) -> Column:
+    """``name[?]: type`` of an interface property, else NULL."""
+    def read(pre: Column) -> Column:
+        own = _from(b, pre)
+        parts = F.struct(*[F.regexp_extract(own, PROPERTY, g).alias(k) for g, k in enumerate(("all", "mods", "name", "optional"))])
+        return let(parts, lambda m: F.when(m["all"] != "", text(pre, m)))
+
+    def text(pre: Column, m: Column) -> Column:
+        name = L.restored(_from(src, pre + F.length(m["mods"]), F.length(m["name"])))
+        start = pre + F.length(m["all"])
+        end = F.length(F.regexp_replace(b, r"[;,]\s*$", ""))
+        return F.concat(name, m["optional"], F.lit(": "), clean(_from(src, start, end - start)))
+
+    return let(_matched(b, DECORATORS), read)
+
+
+def _enum_member(src: Column) -> Column:
+    name = F.regexp_extract(src, rf"^\s*(\"[^\"]*\"|'[^']*'|{IDENT})", 1)
+    return F.when(name != "", L.restored(name))
+
+
+def _body_members(kind: str, lb: Column, rb: Column) -> Column:
+    """Members of the body between ``lb`` and ``rb``, in order."""
+    size = rb - lb
+    b, deep, src = (_from(F.col(c), lb, size) for c in ("d1", "d2", "src"))
+
+    def one(piece: Column, start: Column) -> Column:
+        n = F.length(piece)
+        if kind == "class":
+            return _class_member(piece, _from(deep, start, n), _from(src, start, n))
+        return _property(piece, _from(src, start, n)) if kind == "interface" else _enum_member(_from(src, start, n))
+
+    return let(_all(b, MEMBER[kind]), lambda p: F.filter(F.zip_with(p, starts_of(p), one), lambda x: x.isNotNull()))
+
+
+# --- 1. declarations ---------------------------------------------------------------------
+
+def statements(files: DataFrame) -> DataFrame:
+    """Pieces of every file that may declare something: ``(target_dir, path, pos, opener,
+    d0, d1, d2, src, trivia, given, suspect)``, one row each; ``given`` are the names that
+    a list or default export of the file gives out. A file without such a piece has a
+    row of NULLs, which carries ``suspect``."""
+    keys = FILE_KEYS + [c for c in CARRIED if c in files.columns]
+    x = files.select(*keys, "content", L.lexed(F.col("content"), L.is_jsx(F.col("path"))).alias("x"))
+    x = x.select(*keys, "content", F.col("x.src").alias("src"), *[F.col(f"x.d{k}").alias(f"d{k}") for k in range(3)], F.col("x.suspect").alias("suspect"))
+    x = x.withColumn("pieces", F.split("d0", HEAD, -1)).withColumn("starts", starts_of(F.col("pieces")))
+
+    def piece(d0: Column, i: Column) -> Column:
+        start, n = F.get("starts", i), F.length(d0)
+        last = F.get("pieces", i - 1)
+        gap = F.coalesce(F.length(last) - F.length(F.rtrim(last, F.lit(L.SPACES))), F.lit(0))
+        cut = lambda c: _from(F.col(c), start, n)
+        return F.struct(
+            start.alias("pos"), F.regexp_extract(d0, r"^\w+", 0).alias("opener"), d0.alias("d0"), cut("d1").alias("d1"), cut("d2").alias("d2"),
+            cut("src").alias("src"), _from(F.col("content"), start - gap, gap).alias("trivia"),
+        )
+
+    opens = lambda d0: d0.rlike(DECLARATION) | d0.rlike(r"^export\s")
+    numbered = F.transform("pieces", lambda d0, i: F.when(opens(d0), piece(d0, i)))
+    x = x.select(*keys, "suspect", F.filter(numbered, lambda p: p.isNotNull()).alias("all"))
+    x = x.withColumn("given", F.flatten(F.transform("all", lambda p: _given(p["d0"], p["d1"]))))
+    x = x.withColumn("all", F.filter("all", lambda p: p["d0"].rlike(DECLARATION)))
+    return x.select(*keys, "suspect", "given", F.explode_outer("all").alias("p")).select(*keys, "p.*", "given", "suspect")
+
+
+def _given(d0: Column, d1: Column) -> Column:
+    """Names that an export statement gives out; a list that ends in ``from`` names
+    another file's declarations."""
+    listed = d0.rlike(r"^export\s+(?:type\s*)?\{_*\}(?!\s*from" + WORD_END + ")")
+    inner = F.regexp_extract(d1, r"(?s)\{([^}]*)\}", 1)
+    own = F.regexp_extract(d0, rf"^export\s+default\s+(?!{_any(list(KIND_RANK) + DECL_MODIFIERS)}{WORD_END})({IDENT})\s*(?:;|\n|\z)", 1)
+    return F.when(listed, F.regexp_extract_all(inner, F.lit(LIST_NAMES), F.lit(1))).when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))
+
+
+def named_declarations(pieces: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Exported declarations of ``kinds``: kind, name and where the head ends.
+
+    A declaration is exported by its own ``export`` or by a list or default export of its
+    name in the same file; it keeps its local name."""
+    d0 = F.col("d0")
+    t = pieces.withColumns({"kind": F.regexp_extract(d0, DECLARATION, 2), "own": F.regexp_extract(d0, DECLARATION, 3), "head": _matched(d0, DECLARATION)})
+    t = t.where(F.col("kind").isin(kinds or list(KIND_RANK)))
+    anonymous = F.when(F.col("kind") == "function", F.lit(ANON_FUNCTION)).when(F.col("kind") == "class", F.lit(ANON_CLASS))
+    # No name: `export type { A } from`, `export const type = 1` declare nothing here.
+    t = t.withColumn("name", F.when(F.col("own") != "", F.col("own")).otherwise(anonymous)).where(F.col("name").isNotNull())
+    return t.where((F.col("opener") == "export") | F.array_contains("given", F.col("own")))
+
+
+def declarations(pieces: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """One row for each exported declaration: DECL_KEYS, kind, name, params, return_type,
+    docstring, has_body, props (all properties of an interface), suspect."""
+    d0, src = F.col("d0"), F.col("src")
+    t = named_declarations(pieces, kinds)
+    # What follows the name and its type parameters.
+    t = t.withColumn("after", F.col("head") + _matched(_from(d0, F.col("head")), rf"^\s*{PARAMETERS}"))
+    t = t.withColumn("tail", _from(d0, F.col("after")))
+    kind = F.col("kind")
+    fn = kind == "function"
+    t = t.withColumn("lp", F.when(fn, F.col("after") + _matched(F.col("tail"), r"^\s*\(")))
+    t = t.withColumn("rp", F.when(fn, _find(d0, ")", F.col("lp")))).withColumn("past", F.when(fn, _from(d0, F.col("rp") + 1)))
+    t = t.withColumn("lb", F.when(kind.isin("class", "interface", "enum"), F.col("after") + _matched(F.col("tail"), BODY)))
+    t = t.withColumn("rb", F.when(F.col("lb") > F.col("after"), _find(d0, "}", F.col("lb"))).otherwise(F.col("lb")))
+
+    returned = F.col("rp") + 1 + _matched(F.col("past"), r"^\s*:")
+    return_type = clean(_from(src, returned, F.length(F.regexp_extract("past", RETURN, 1))))
+    is_return = _matched(F.col("past"), r"^\s*:") > 0
+    eq = _matched(F.col("tail"), r"^\s*=(?![=>])")
+    alias = clean(_from(src, F.col("after") + eq, F.length(F.regexp_extract(_from(d0, F.col("after") + eq), ALIAS, 1))))
+    params = parameters(_from(F.col("d1"), F.col("lp"), F.col("rp") - F.col("lp")), _from(src, F.col("lp"), F.col("rp") - F.col("lp")))
+    members = lambda k: _body_members(k, F.col("lb"), F.col("rb"))
+    t = t.withColumns({
+        "made": F.when(kind == "class", members("class")),
+        "props": F.when(kind == "interface", members("interface")),
+        "items": F.when(kind == "enum", members("enum")),
+    })
+    of_class = F.concat(
+        F.filter("made", lambda m: m["grp"] == 0), F.slice(F.filter("made", lambda m: m["grp"] == 1), 1, MAX_CLASS_METHODS)
+    )
+    text = (
+        F.when(fn, params)
+        .when(kind == "class", F.array_join(F.transform(of_class, lambda m: m["text"]), " | "))
+        .when(kind == "interface", F.array_join(F.slice("props", 1, MAX_INTERFACE_PROPS), "; "))
+        .when(kind == "type", T.cut(F.when(eq > 0, alias).otherwise(F.lit("")), T.TYPE_TEXT_CHARS))
+        .otherwise(F.array_join("items", ", "))
+    )
+    return t.select(
+        *DECL_KEYS, "kind", "name", text.alias("params"),
+        F.when(~fn, F.lit("")).when(is_return & (return_type != ""), return_type).otherwise(F.lit(MISSING_RETURN)).alias("return_type"),
+        F.when(fn, jsdoc(F.col("trivia"))).alias("docstring"),
+        F.when(fn, F.regexp_extract("past", ENDS_BY, 1) == "{").alias("has_body"), "props", "suspect", *[c for c in CARRIED if c in pieces.columns],
     )
-    rank = F.create_map(*[v for kv in KIND_RANK.items() for v in (F.lit(kv[0]), F.lit(kv[1]))])[F.col("kind")]
-    w = Window.partitionBy(*FILE_KEYS).orderBy(rank, F.col("decl_pos"))
-    return allk.withColumn("ord", F.row_number().over(w).cast("int")).select(*SYMBOL_COLUMNS)
 
 
 def source_candidates(files: DataFrame) -> DataFrame:
@@ -499,12 +396,49 @@ def source_candidates(files: DataFrame) -> DataFrame:
     return files.where(P.indexable("path") & F.contains("content", F.lit("export")))
 
 
-def signature_tokens(files: DataFrame) -> DataFrame:
-    """Token table of the candidate files, body interiors pruned."""
-    return prune_bodies(code_tokens(files))
+def exported_declarations(files: DataFrame) -> DataFrame:
+    """``(target_dir, path, kind, name)`` of exported declarations, without
+    their members, parameters and types."""
+    return named_declarations(statements(files)).select(*FILE_KEYS, "kind", "name")
+
+
+def extract(files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """:func:`declarations` of ``files``, written once to the shared folder and read with
+    column pruning by every consumer; a lost executor does not replay the lexer."""
+    return materialize(declarations(statements(files), kinds), "declarations")
+
+
+def suspects(files: DataFrame) -> DataFrame:
+    """``(target_dir, path)`` of the files whose brackets or literals don't match: their
+    exports may be missing or wrong."""
+    marked = L.lexed(F.col("content"), L.is_jsx(F.col("path")), depths=0)["suspect"]
+    return files.where(marked).select(*FILE_KEYS)
+
+
+def without_overloads(decls: DataFrame) -> DataFrame:
+    """Of a function's overloads only the one with the body. The window's partitioning by
+    file serves the numbering too."""
+    named = Window.partitionBy(*FILE_KEYS).orderBy("kind", "name").rangeBetween(Window.currentRow, Window.currentRow)
+    any_body = F.max("has_body").over(named)
+    return decls.withColumn("any_body", any_body).where(F.col("has_body").isNull() | F.col("has_body") | ~F.col("any_body")).drop("any_body")
+
+
+def export_kind(decls: DataFrame, kind: str) -> DataFrame:
+    d = decls.where(F.col("kind") == kind)
+    d = without_overloads(d) if kind == "function" else d
+    return d.select(*DECL_KEYS, "kind", "name", "params", "return_type", "docstring", "suspect")
+
+
+def symbols_from(decls: DataFrame) -> DataFrame:
+    """All kinds, numbered per file in kind order then source order, with ``suspect`` and
+    what the files carried. One exchange, by file."""
+    rank = F.create_map(*[F.lit(v) for kv in KIND_RANK.items() for v in kv])[F.col("kind")]
+    w = Window.partitionBy(*FILE_KEYS).orderBy(rank, F.col("pos"))
+    d = without_overloads(decls).withColumn("ord", F.row_number().over(w).cast("int"))
+    return d.select(*SYMBOL_COLUMNS, "suspect", *[c for c in CARRIED if c in decls.columns])
 
 
 def extract_symbols(files: DataFrame, indexable_only: bool = True) -> DataFrame:
     """``files(target_dir, path, content)`` -> ``symbols`` (SYMBOL_COLUMNS)."""
     src = source_candidates(files) if indexable_only else files.where(F.contains("content", F.lit("export")))
-    return symbols_from(extract(signature_tokens(src)))
+    return symbols_from(declarations(statements(src))).select(*SYMBOL_COLUMNS)

@@ -1,170 +1,51 @@
-"""Lexical token table of TypeScript sources, with bracket depth.
-
-One row per code token: ``(target_dir, path, pos, tok, ws, nl, trivia, lvl)``.
-
-* Escapes inside strings are masked first (same length), so one regex pass
-  splits the text into *trivia* (whitespace and comments) followed by a code
-  token; a brace inside a string or comment is never a brace.
-* ``lvl`` is the bracket depth a token lives at: a running sum over the file,
-  ``sum(open - close) OVER (PARTITION BY file ORDER BY pos)``, minus the
-  token's own opening. The window is the one shuffle of the extraction: rows
-  are hash-partitioned by file once, and every later window / grouping (per
-  declaration, member, parameter) is clustered on a superset of that key, so
-  it reuses the partitioning and only sorts locally.
-"""
+"""Code tokens of TypeScript sources, from the text that :mod:`skimdex.operators.lexer`
+masks: inside literals there are only ``_``, comments are blanks, so one pattern finds
+the tokens and every bracket is one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skimdex.functions import text as T
+from skimdex.operators import lexer as L
 
-# The lexical grammar (Java).
-ESCAPE_MASK = '\\\\["\'`\\\\/]'
-# Possessive, so Java matches any number of comments in a loop: a plain repeated
-# group recurses for each and overflows the stack on a thousand comment lines.
-TRIVIA_RE = r"(\s*+(?:(?://[^\n]*+|/\*[\s\S]*?\*/)\s*+)*+)"
-# A slash opens a regex literal after an operator, a bracket, `return` or at the
-# start of a line; brackets and quotes in it are no tokens.
-REGEX_RE = r"(?<=(?:\A|[=(,:\[!&|?{};\n]|\breturn)[ \t]{0,8})/(?![/*])(?:\[[^\]\n]*+\]|[^/\n\[])++/[a-z]*"
-TOKEN_RE = (
-    r"(" + REGEX_RE + r"|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*"
-    r"|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$]|\z)"
-)
-TOKEN_PATTERN = TRIVIA_RE + TOKEN_RE
+FILE_KEYS = ["target_dir", "path"]
+TOKEN_RE = r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$]"
 OPENERS = ["{", "(", "["]
 CLOSERS = ["}", ")", "]"]
 
-FILE_KEYS = ["target_dir", "path"]
-
-
-def jsdoc(trivia: Column) -> Column:
-    """Text of the JSDoc blocks in a declaration's leading trivia, joined by a
-    space (tags and comment stars dropped), cut to 120, blank -> NULL."""
-    blocks = F.regexp_extract_all(trivia, F.lit(r"/\*\*([\s\S]*?)\*/"), 1)
-    cleaned = F.transform(
-        blocks,
-        lambda b: F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(b, r"(?m)^[ \t]*\*?[ \t]?", ""), r"(?s)(^|\n)\s*@.*$", ""),
-            r"^\s+|\s+$",
-            "",
-        ),
-    )
-    return T.blank_to_null(T.cut(F.array_join(cleaned, " "), T.DOCSTRING_CHARS))
-
-
-def masked(content: Column | str) -> Column:
-    c = F.col(content) if isinstance(content, str) else content
-    return F.regexp_replace(c, F.lit(ESCAPE_MASK), F.lit("__"))
-
-
-def explode_tokens(files: DataFrame) -> DataFrame:
-    """``files(target_dir, path, content)`` -> one row per code token, without depth."""
-    whole = F.regexp_extract_all(masked("content"), F.lit(TOKEN_PATTERN), F.lit(0))
-    t = files.select(*FILE_KEYS, F.posexplode(whole).alias("pos", "whole"))
-    # The text is scanned once; each match is then cut into trivia and token. Only
-    # a match with a comment (or a slash token) needs the trivia pattern again.
-    bare = F.ltrim(F.col("whole"), F.lit(" \t\n\x0b\f\r"))
-    trivia_length = F.when(
-        F.startswith(bare, F.lit("/")), F.length(F.regexp_extract("whole", "^" + TRIVIA_RE, 1))
-    ).otherwise(F.length("whole") - F.length(bare))
-    t = t.withColumn("n", trivia_length)
-    t = t.select(
-        *FILE_KEYS, F.col("pos").cast("int").alias("pos"), F.expr("substring(whole, n + 1)").alias("tok"),
-        F.when(F.col("n") > 0, F.expr("left(whole, n)")).otherwise(F.lit("")).alias("trivia"),
-    )
-    # Comments at the end of the file come with an empty token.
-    return t.where(F.col("tok") != "").select(
-        *FILE_KEYS, "pos", "tok",
-        (F.col("trivia") != "").alias("ws"),
-        F.contains(F.col("trivia"), F.lit("\n")).alias("nl"),
-        # Leading comments matter only before a word that can open a
-        # declaration (its JSDoc); the trivia text itself is not carried further.
-        F.when(
-            F.col("tok").isin(["export", "async", "declare"] + DECL_WORDS) & F.contains(F.col("trivia"), F.lit("/**")),
-            jsdoc(F.col("trivia")),
-        ).alias("doc"),
-    )
-
-
-def with_depth(tokens: DataFrame) -> DataFrame:
-    """Adds ``lvl`` (bracket depth of the token), ``prev`` and ``nxt`` (the
-    neighbouring code tokens)."""
-    w = Window.partitionBy(*FILE_KEYS).orderBy("pos")
-    is_open = F.col("tok").isin(OPENERS).cast("int")
-    is_close = F.col("tok").isin(CLOSERS).cast("int")
-    running = F.sum(is_open - is_close).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return tokens.select(
-        "*",
-        (running - is_open).cast("int").alias("lvl"),
-        F.lag("tok").over(w).alias("prev"),
-        F.lead("tok").over(w).alias("nxt"),
-    )
-
-
-# Grammar words that open a top-level declaration (used to tell a function
-# body from a class / interface / enum body) and tokens after which a brace
-# opens a type or object literal rather than a code block.
-DECL_WORDS = ["function", "class", "interface", "enum", "type", "namespace", "module"]
-TYPE_CONTEXT = [":", "|", "&", "<", ",", "(", "[", "=>", "?", "=", ".", "extends", "keyof", "typeof", "new"]
-
-
-def prune_bodies(tokens: DataFrame) -> DataFrame:
-    """Drop the tokens inside function bodies and class-method bodies.
-
-    Signatures never look inside a code block, and on real code bodies hold
-    most tokens, so every later stage gets much smaller. A token is inside a
-    body when the last depth-0 token before it is a function-body brace
-    (depth-0 ``{`` after ``function`` that does not open a type literal), or
-    the last depth-<=1 token is a method-body brace (depth-1 ``{`` that does
-    not open a type literal). Both are running maxima over the file order the
-    depth window already sorted by -- no new sort, no shuffle. The braces
-    themselves stay (they end declarations and members)."""
-    w = Window.partitionBy(*FILE_KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok, lvl, pos = F.col("tok"), F.col("lvl"), F.col("pos")
-    t = tokens.select("*", F.last(F.when((lvl == 0) & tok.isin(DECL_WORDS), tok), ignorenulls=True).over(w).alias("_kw"))
-    code_brace = (tok == "{") & ~F.coalesce(F.col("prev"), F.lit("")).isin(TYPE_CONTEXT)
-    fn_body = code_brace & (lvl == 0) & (F.col("_kw") == "function")
-    method_body = code_brace & (lvl == 1)
-    t = t.select(
-        "*",
-        F.max(F.when(fn_body, pos)).over(w).alias("_b0"),
-        F.max(F.when(lvl == 0, pos)).over(w).alias("_l0"),
-        F.max(F.when(method_body, pos)).over(w).alias("_b1"),
-        F.max(F.when(lvl <= 1, pos)).over(w).alias("_l1"),
-    )
-    inside = ((lvl >= 1) & (F.col("_b0") == F.col("_l0"))) | ((lvl >= 2) & (F.col("_b1") == F.col("_l1")))
-    return t.where(~F.coalesce(inside, F.lit(False))).drop("_kw", "_b0", "_l0", "_b1", "_l1")
 
+def code_tokens(files: DataFrame) -> DataFrame:
+    """``(target_dir, path, pos, tok)``: the masked code tokens of every file, in order."""
+    code = L.lexed(F.col("content"), L.is_jsx(F.col("path")), depths=L.DEPTHS)[f"d{L.DEPTHS - 1}"]
+    tokens = F.regexp_extract_all(code, F.lit(TOKEN_RE), F.lit(0))
+    return files.select(*FILE_KEYS, F.posexplode(tokens).alias("pos", "tok"))
 
-def by_file(files: DataFrame) -> DataFrame:
-    """Hash-partition file rows by file key before tokenising.
 
-    Moving the raw text is far cheaper than moving token rows, the regex runs
-    in parallel across the partitions, and the depth window (and every later
-    per-declaration window) finds its required distribution already in place.
-    The partition count is the session's ``spark.sql.shuffle.partitions``
-    (sized by the cluster for the corpus), not left to AQE's byte-based
-    coalescing: a partition's raw text expands about tenfold into token rows
-    and window work after this exchange, so sizing by shuffled bytes would
-    starve the CPU-heavy stages (measured: 2x slower at sf0.1)."""
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, *FILE_KEYS)
+def _depths(tokens: Column) -> Column:
+    """Greatest depth of a token and depth at the end, over a file's tokens in order."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(s: Column, t: Column) -> Column:
+        now = s["now"] + F.when(t.isin(OPENERS), 1).when(t.isin(CLOSERS), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], F.least(now, s["now"])).alias("most"))
 
-def code_tokens(files: DataFrame) -> DataFrame:
-    """Token table with depth for every file."""
-    return with_depth(explode_tokens(by_file(files.select(*FILE_KEYS, "content"))))
+    return F.aggregate(tokens, start, step)
 
 
 def token_stats(files: DataFrame) -> DataFrame:
-    """Per file: token count, maximum depth, final depth and ``balanced``."""
-    t = code_tokens(files)
-    delta = F.when(F.col("tok").isin(OPENERS), 1).when(F.col("tok").isin(CLOSERS), -1).otherwise(0)
-    return t.groupBy(*FILE_KEYS).agg(
-        F.count("*").alias("n_tokens"),
-        F.count_if(F.col("tok").rlike("^[A-Za-z_$]")).alias("n_words"),
-        F.max("lvl").alias("max_depth"),
-        F.sum(delta).cast("int").alias("final_depth"),
-    ).withColumn("balanced", F.col("final_depth") == 0)
+    """Per file: token count, words, greatest and final depth, ``balanced`` and
+    ``suspect``. Rows stay where they are: nothing is shuffled."""
+    lexed = L.lexed(F.col("content"), L.is_jsx(F.col("path")), depths=L.DEPTHS)
+    t = files.select(*FILE_KEYS, lexed.alias("x"))
+    t = t.select(*FILE_KEYS, F.regexp_extract_all(F.col(f"x.d{L.DEPTHS - 1}"), F.lit(TOKEN_RE), F.lit(0)).alias("toks"), F.col("x.suspect").alias("suspect"))
+    t = t.withColumn("d", _depths(F.col("toks"))).filter(F.size("toks") > 0)
+    return t.select(
+        *FILE_KEYS,
+        F.size("toks").cast("bigint").alias("n_tokens"),
+        F.size(F.filter("toks", lambda t: t.rlike("^[A-Za-z_$]"))).cast("bigint").alias("n_words"),
+        F.col("d.most").alias("max_depth"),
+        F.col("d.now").alias("final_depth"),
+        (F.col("d.now") == 0).alias("balanced"),
+        "suspect",
+    )

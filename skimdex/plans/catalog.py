@@ -323,11 +323,11 @@ def _code(spark, sf):
 
 def _extraction(spark, sf, kinds=None):
     files = _code(spark, sf)
-    return files, Y.extract(Y.signature_tokens(Y.source_candidates(files)), kinds)
+    return files, Y.extract(Y.source_candidates(files), kinds)
 
 
 def _declared(files):
-    return Y.exported_declarations(Y.signature_tokens(Y.source_candidates(files)))
+    return Y.exported_declarations(Y.source_candidates(files))
 
 
 _G = f"WITH {S.code_files_cte()}, {S.code_symbols_cte()}"
@@ -339,11 +339,15 @@ def _tok_sql() -> str:
     # sign is a piece; what isn't blank or comment is a token.
     pat = (r"//[^\n]*|/\*[\s\S]*?\*/|\s+|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|=>|\.\.\.|[A-Za-z_$][A-Za-z0-9_$]*"
            r"|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$]").replace("'", "''")
-    mask = TK.ESCAPE_MASK.replace("'", "''")
+    mask = '\\\\["\'`\\\\/]'.replace("'", "''")
+    # The generator's literals that need modes, as the one token that each is.
+    plain = "content"
+    for shape, token in ((C.TEMPLATE, "`t`"), (C.REGEX, "re"), (C.JSX, "jsx")):
+        plain = f"replace({plain}, {C.quoted(shape)}, '{token}')"
     return (
-        f"m AS (SELECT target_dir, path, list_filter(regexp_extract_all(regexp_replace(content, '{mask}', '__', 'g'), '{pat}'), "
+        f"m AS (SELECT target_dir, path, p_size, list_filter(regexp_extract_all(regexp_replace({plain}, '{mask}', '__', 'g'), '{pat}'), "
         r"lambda x: NOT regexp_matches(x, '^(\s|//|/\*)')) AS toks FROM files), "
-        "u AS (SELECT target_dir, path, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM m), "
+        "u AS (SELECT target_dir, path, p_size, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM m), "
         "d AS (SELECT *, CASE WHEN tok IN ('{', '(', '[') THEN 1 WHEN tok IN ('}', ')', ']') THEN -1 ELSE 0 END AS delta FROM u), "
         "l AS (SELECT *, sum(delta) OVER (PARTITION BY target_dir, path ORDER BY pos) - CASE WHEN delta = 1 THEN 1 ELSE 0 END AS lvl FROM d)"
     )
@@ -353,30 +357,31 @@ def _tok_sql() -> str:
     "code_tokens",
     f"WITH {S.code_files_cte()}, {_tok_sql()} SELECT target_dir, path, count(*) AS n_tokens, "
     "count(*) FILTER (WHERE regexp_matches(tok, '^[A-Za-z_$]')) AS n_words, CAST(max(lvl) AS INT) AS max_depth, "
-    "CAST(sum(delta) AS INT) AS final_depth, sum(delta) = 0 AS balanced FROM l GROUP BY target_dir, path",
+    f"CAST(sum(delta) AS INT) AS final_depth, sum(delta) = 0 AS balanced, {C.SUSPECT} AS suspect FROM l GROUP BY target_dir, path, p_size",
 )
 def q_code_tokens(spark, sf):
     return TK.token_stats(_code(spark, sf))
 
 
-for _kind, _fn in (
-    ("function", Y.export_functions), ("class", Y.export_classes), ("interface", Y.export_interfaces),
-    ("type", Y.export_types), ("enum", Y.export_enums),
-):
-    def _mk_kind(fn, kind):
+for _kind in Y.KIND_RANK:
+    def _mk_kind(kind):
         def run(spark, sf):
             _, x = _extraction(spark, sf, [kind])
-            return fn(x).select("target_dir", "path", "name", "params", "return_type", "docstring")
+            return Y.export_kind(x, kind).select("target_dir", "path", "name", "params", "return_type", "docstring")
         return run
 
     _key = {"class": "export_classes", "type": "export_types"}.get(_kind, f"export_{_kind}s")
-    query(_key, f"{_G} SELECT {_SYM_COLS} FROM expected WHERE kind = '{_kind}'")(_mk_kind(_fn, _kind))
+    query(_key, f"{_G} SELECT {_SYM_COLS} FROM expected WHERE kind = '{_kind}'")(_mk_kind(_kind))
 
 
-@query("symbols", f"{_G} SELECT target_dir, path, CAST(ord AS INT) AS ord, kind, name, params, return_type, docstring FROM expected")
+@query(
+    "symbols",
+    f"{_G} SELECT e.target_dir, e.path, CAST(ord AS INT) AS ord, kind, name, params, return_type, docstring, "
+    f"{C.SUSPECT} AS suspect FROM expected e JOIN files f ON e.target_dir = f.target_dir AND e.path = f.path",
+)
 def q_symbols(spark, sf):
-    _, x = _extraction(spark, sf)
-    return Y.symbols_from(x)
+    x = Y.declarations(Y.statements(Y.source_candidates(_code(spark, sf))))
+    return Y.symbols_from(x).select(*Y.SYMBOL_COLUMNS, "suspect")
 
 
 @query("export_filter", f"{_G} SELECT target_dir, path, kind, name FROM expected")
@@ -389,7 +394,7 @@ def q_export_filter(spark, sf):
 def _skeleton(spark, sf):
     files, x = _extraction(spark, sf)
     syms = Y.symbols_from(x)
-    return files, x, syms, K.skeleton_entries(syms, files, C.code_manifests(files))
+    return files, x, syms, K.skeleton_entries(syms, manifests=C.code_manifests(files))
 
 
 _GK = f"{_G}, {S.code_manifests_cte()}, {S.code_skeleton_ctes()}"
@@ -398,7 +403,7 @@ _GK = f"{_G}, {S.code_manifests_cte()}, {S.code_skeleton_ctes()}"
 @query(
     "skeleton_entries",
     f"{_GK} SELECT e.target_dir, e.path, round(f.size_bytes / 1024 * 10) / 10 AS size_kb, p.package_name, "
-    "CAST(count(*) AS INT) AS n_exports, string_agg(e.name, ',' ORDER BY e.ord) AS export_names "
+    f"CAST(count(*) AS INT) AS n_exports, string_agg(e.name, ',' ORDER BY e.ord) AS export_names, bool_or({C.SUSPECT}) AS suspect "
     "FROM expected e JOIN files_sized f ON e.target_dir = f.target_dir AND e.path = f.path "
     "JOIN cpkg p ON e.target_dir = p.target_dir AND e.path = p.path GROUP BY e.target_dir, e.path, f.size_bytes, p.package_name",
 )
@@ -406,7 +411,7 @@ def q_skeleton_entries(spark, sf):
     _, _, _, entries = _skeleton(spark, sf)
     return entries.select(
         "target_dir", "path", "size_kb", "package_name", F.size("exports").alias("n_exports"),
-        F.array_join(F.transform("exports", lambda e: e["name"]), ",").alias("export_names"),
+        F.array_join(F.transform("exports", lambda e: e["name"]), ",").alias("export_names"), "suspect",
     )
 
 
@@ -424,17 +429,21 @@ def q_skeleton_corpus_text(spark, sf):
 
 @query(
     "index_summary",
-    f"{_GK}, scanned AS (SELECT target_dir, count(*) AS files_scanned FROM files WHERE {S.indexable()} GROUP BY target_dir) "
+    f"{_GK}, scanned AS (SELECT target_dir, count(*) AS files_scanned, count(*) FILTER (WHERE {C.SUSPECT} AND contains(content, 'export')) AS suspect_files "
+    f"FROM files WHERE {S.indexable()} GROUP BY target_dir) "
     "SELECT s.target_dir, s.files_scanned, coalesce(t.files_indexed, 0) AS files_indexed, "
-    "CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens FROM scanned s LEFT JOIN totals t ON s.target_dir = t.target_dir",
+    "CAST(coalesce(t.skeleton_tokens, 0) AS BIGINT) AS skeleton_tokens, s.suspect_files FROM scanned s LEFT JOIN totals t ON s.target_dir = t.target_dir",
 )
 def q_index_summary(spark, sf):
+    """Counts of the index, and of the files whose brackets don't match: their exports
+    may be missing, so a summary that has some is not whole."""
     files, _, _, entries = _skeleton(spark, sf)
     scanned = scope.scan_indexable(files).groupBy("target_dir").agg(F.count("*").alias("files_scanned"))
     totals = K.corpus_totals(K.skeleton_text(entries))
-    return scanned.join(totals, "target_dir", "left").select(
-        "target_dir", "files_scanned", F.coalesce("files_indexed", F.lit(0)).alias("files_indexed"),
-        F.coalesce("skeleton_tokens", F.lit(0)).cast("bigint").alias("skeleton_tokens"),
+    marked = Y.suspects(Y.source_candidates(files)).groupBy("target_dir").agg(F.count("*").alias("suspect_files"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return scanned.join(totals, "target_dir", "left").join(marked, "target_dir", "left").select(
+        "target_dir", "files_scanned", zero("files_indexed"), zero("skeleton_tokens"), zero("suspect_files")
     )
 
 
@@ -463,14 +472,13 @@ _READ_SYMBOLS_SQL = (
 
 @query("read_symbols_only", _READ_SYMBOLS_SQL)
 def q_read_symbols_only(spark, sf):
-    files, x = _extraction(spark, sf)
-    syms = Y.symbols_from(x)
+    files, x = _extraction(spark, sf, ["function", "interface", "type"])
     req = files.select(
         F.col("p_partkey").alias("request_id"), "path", F.col("target_dir").alias("base_dir"),
         F.lit(None).cast("int").alias("max_lines"), F.lit(True).alias("symbols_only"),
         F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
     )
-    return reads.read_requests(req, files, K.symbols_only_text(x, syms)).select(*reads.READ_COLUMNS)
+    return reads.read_requests(req, files, K.symbols_only_text(x)).select(*reads.READ_COLUMNS)
 
 
 @query(

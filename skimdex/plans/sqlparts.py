@@ -9,6 +9,10 @@ input definitions, not results.
 from __future__ import annotations
 
 from skimdex.sources.corpus import (
+    COMPARED,
+    DECORATED,
+    ESCAPED,
+    LISTED_CLASS,
     code_content_sql,
     code_path_sql,
     code_target_sql,
@@ -119,15 +123,19 @@ def code_symbols_cte() -> str:
     )
     fn = (
         f"SELECT target_dir, path, 1 AS ord, 'function' AS kind, 'get' || pc || {k} AS name, "
-        "'id: number, label: string, opts: { strict: boolean }' AS params, "
+        "'id: number, label: string, opts: { strict: boolean }' || "
+        f"CASE WHEN {COMPARED} THEN ', low: any, high: number' ELSE '' END AS params, "
         f"CASE WHEN p_size % 4 = 1 THEN 'unknown' ELSE 'Promise<' || pc || 'Info' || {k} || '>' END AS return_type, "
         f"{doc} AS docstring FROM g"
     )
     scope = "CASE j % 4 WHEN 1 THEN 'protected' ELSE 'public' END"
     methods = (
-        f"list_transform(list_slice(list_filter(range(p_size % 8), lambda j: j % 4 <> 2), 1, 5), "
-        f"lambda j: {scope} || ' m' || CAST(j AS VARCHAR) || '(x: number, tag: string): string')"
+        f"list_slice(list_concat(CASE WHEN {DECORATED} THEN ['public onEvent(e: Event): void'] ELSE [] END, "
+        f"list_transform(list_filter(range(p_size % 8), lambda j: j % 4 <> 2), "
+        f"lambda j: {scope} || ' m' || CAST(j AS VARCHAR) || '(x: number, tag: string): string')), 1, 5)"
     )
+    late = f"SELECT target_dir, path, 3, 'class', 'Late' || {k}, '', '', NULL FROM g WHERE {LISTED_CLASS}"
+    after = f"CASE WHEN {LISTED_CLASS} THEN 1 ELSE 0 END"
     cls = (
         f"SELECT target_dir, path, 2, 'class', pc || 'Store' || {k}, "
         f"array_to_string(CASE WHEN p_size % 2 = 0 THEN list_prepend('constructor(name: string, size: number)', {methods}) "
@@ -138,21 +146,22 @@ def code_symbols_cte() -> str:
         "CASE i % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'number' ELSE 'Map<string, number>' END"
     )
     iface = (
-        f"SELECT target_dir, path, 3, 'interface', pc || 'Info' || {k}, "
+        f"SELECT target_dir, path, 3 + {after}, 'interface', pc || 'Info' || {k}, "
         f"array_to_string(list_transform(range(least(p_size % 11, 8)), {prop}), '; '), '', NULL FROM g"
     )
     union = " || ".join(f"' | \"alpha-{i}\"'" for i in range(20))
     typ = (
-        f"SELECT target_dir, path, 4, 'type', pc || 'Key' || {k}, "
+        f"SELECT target_dir, path, 4 + {after}, 'type', pc || 'Key' || {k}, "
         "left('\"' || p_brand || '\" | number | Array<{ id: number; tag: \"' || split_part(p_name, ' ', 1) || '\" }>' || "
+        f"CASE WHEN {ESCAPED} THEN ' | \"q' || chr(92) || '\"t\"' ELSE '' END || "
         f"CASE WHEN p_size > 45 THEN {union} ELSE '' END, 200), '', NULL FROM g"
     )
     enum = (
-        f"SELECT target_dir, path, 5, 'enum', pc || 'Kind' || {k}, "
+        f"SELECT target_dir, path, 5 + {after}, 'enum', pc || 'Kind' || {k}, "
         "array_to_string(list_transform(range(p_size % 4 + 1), lambda i: upper(p_type) || '_' || CAST(i AS VARCHAR)), ', '), '', NULL FROM g"
     )
     return (
-        f"g AS ({base}), expected AS ({fn} UNION ALL {cls} UNION ALL {iface} UNION ALL {typ} UNION ALL {enum})"
+        f"g AS ({base}), expected AS ({fn} UNION ALL {cls} UNION ALL {late} UNION ALL {iface} UNION ALL {typ} UNION ALL {enum})"
     )
 
 

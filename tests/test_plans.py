@@ -18,17 +18,6 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_token_table_has_one_exchange(spark):
-    files = C.code_corpus(spark, SF)
-    tokens = Y.declaration_tokens(Y.signature_tokens(Y.source_candidates(files)))
-    plan = _plan(tokens)
-    exchanges = re.findall(r"Exchange (hashpartitioning|RoundRobin|SinglePartition|rangepartitioning)[^\n]*", plan)
-    # one shuffle of file rows for the tokeniser (plus the one spreading the
-    # synthetic source's generation); every window after it is local
-    assert len(re.findall(r"Exchange hashpartitioning\(target_dir", plan)) == 1, exchanges
-    assert "Generate posexplode" in plan and plan.count("Window [") >= 4
-
-
 def test_partial_aggregation_and_group_limit(spark):
     naive = _plan(QUERIES["naive_tokens"](spark, SF))
     assert "partial_sum" in naive
@@ -42,19 +31,30 @@ def test_scan_reads_only_needed_columns(spark):
     assert "n_chars" not in schema and "text" in schema
 
 
-def test_extraction_groups_without_join_or_second_exchange(spark):
+def test_extraction_stays_in_its_rows(spark):
+    """Up to the declarations nothing is shuffled, joined or windowed; numbering them
+    takes one exchange, by file. (The other one spreads the synthetic source.)"""
     files = C.code_corpus(spark, SF)
-    tokens = Y.signature_tokens(Y.source_candidates(files))
-    plan = _plan(Y.units(Y.member_tokens(Y.declaration_tokens(tokens))))
-    assert "Join" not in plan
-    # The file rows' exchange, and the one that spreads the synthetic source.
+    decls = Y.declarations(Y.statements(Y.source_candidates(files)))
+    plan = _plan(decls)
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["p_partkey"]
+    assert "Join" not in plan and "Window" not in plan and "Python" not in plan
+    plan = _plan(Y.symbols_from(decls))
     assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["p_partkey", "target_dir"]
 
 
-def test_kinds_are_chosen_before_the_members(spark):
+def test_sizes_come_with_the_symbols(spark):
+    """The skeleton's sizes need no second scan of the corpus."""
+    from skimdex.operators import skeleton as K
+
     files = C.code_corpus(spark, SF)
-    tokens = Y.signature_tokens(Y.source_candidates(files))
-    only = Y.extract(tokens, ["enum"])
-    assert {r.kind for r in only["declarations"].select("kind").distinct().collect()} == {"enum"}
-    named = Y.exported_declarations(tokens).where("kind = 'enum'")
-    assert named.count() == only["declarations"].count() > 0
+    plan = _plan(K.skeleton_entries(Y.symbols_from(Y.declarations(Y.statements(Y.source_candidates(files))))))
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+def test_kinds_are_chosen_before_the_members(spark):
+    files = Y.source_candidates(C.code_corpus(spark, SF))
+    only = Y.extract(files, ["enum"])
+    assert {r.kind for r in only.select("kind").distinct().collect()} == {"enum"}
+    named = Y.exported_declarations(files).where("kind = 'enum'")
+    assert named.count() == only.count() > 0

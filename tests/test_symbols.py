@@ -99,13 +99,13 @@ def test_tricky_lexing(syms):
 
 def test_skeleton_text_and_symbols_only(spark, syms):
     files = make_files(spark, [("sample.ts", "export interface Span { from: number; to?: number; }\nexport function widen(span: Span): void {}\n")])
-    x = Y.extract(Y.signature_tokens(Y.source_candidates(files)))
+    x = Y.extract(Y.source_candidates(files))
     symbols = Y.symbols_from(x)
     entries = K.skeleton_entries(symbols, files)
     text = K.skeleton_text(entries).first().text
     assert text.startswith('\n"sample.ts" (0.1kb)\n')
     assert "  interface Span { from: number; to?: number }" in text
-    body = K.symbols_only_text(x, symbols).first().symbols_body
+    body = K.symbols_only_text(x).first().symbols_body
     assert body.splitlines()[0] == "export function widen(span: Span): void"
     assert "export interface Span {\n  from: number;\n  to?: number\n}" in body
 
@@ -140,7 +140,7 @@ def test_lexer_survives_many_comment_lines_and_regex_literals(spark):
     from skimdex.operators import symbols as Y
 
     src = "// note\n" * 6000 + "const re = /[({]/;\nexport function pick(a: string): string { return a.replace(/https?:\\/\\//g, '{'); }\n// the end {"
-    rows = Y.export_functions(Y.extract(Y.signature_tokens(Y.source_candidates(make_files(spark, [("/t/src/a.ts", src)]))))).collect()
+    rows = Y.export_kind(Y.extract(Y.source_candidates(make_files(spark, [("/t/src/a.ts", src)]))), "function").collect()
     assert [r.name for r in rows] == ["pick"]
 
 
