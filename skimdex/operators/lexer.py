@@ -51,13 +51,15 @@ MODES = 11
 #: Kinds of moves; those that test something stay in their mode where the test fails.
 STAY, PUSH, POP, POP_PAREN, POP_SQUARE, POP_BRACE, PUSH_REGEX, PUSH_JSX, SWITCH = range(9)
 #: Whether an operand may follow: no, yes, and after a condition word.
-NO, YES, ASKED, KEEP = 0, 1, 2, 3
+#: ``UNKNOWN``, at the start of a text whose beginning isn't there, passes for YES.
+NO, YES, ASKED, KEEP, UNKNOWN = 0, 1, 2, 3, 4
 #: Mode and operand state after the symbol is popped.
 AFTER = {
     "(": (CODE, NO), "c": (CODE, YES), "[": (CODE, NO), "{": (CODE, YES), "h": (TEMPLATE, NO), "A": (IN_TAG, NO), "H": (TEXT, NO),
     "q": (CODE, NO), "Q": (IN_TAG, NO), "k": (CODE, KEEP), "K": (IN_TAG, KEEP), "p": (CODE, NO), "e": (CODE, NO), "E": (TEXT, NO),
 }
 LITERALS = "qQkKpeE"
+CLOSER = {RP: 1, RB: 2, RC: 3}
 #: (mode, class) -> (kind, next mode, pushed symbol, operand state).
 TABLE = {
     **{(CODE, c): (STAY, CODE, "", KEEP) for c in (WS, NL, ESC, ESC_NL, STEP)},
@@ -87,7 +89,11 @@ CODES = "0123abcdstuv"
 DEPTHS = 4
 FILL = "_"
 SPACES, PRIVATE = " \t\n\r\x0b\x0c", "\ue000\ue001\ue002\ue003\ue004\ue005"
-START = {"mode": 0, "stack": "", "operand": YES, "lit": -1, "bad": False}
+#: The automaton's state. For a text that begins inside a file (``inner``): ``under`` are
+#: the brackets it closes that were opened before it, and ``relied`` says whether a move
+#: depended on the unknown operand state.
+START = {"mode": 0, "stack": "", "operand": YES, "lit": -1, "bad": False, "inner": False, "under": "", "relied": False}
+STATE = list(START)
 
 
 def _ints(values) -> Column:
@@ -139,10 +145,13 @@ def _step(jsx: Column):
             (kind == POP) | ((kind == POP_PAREN) & among(symbol, "(c")) | ((kind == POP_SQUARE) & among(symbol, "["))
             | ((kind == POP_BRACE) & among(symbol, "{hAH"))
         )
-        wrong = kind.between(POP_PAREN, POP_BRACE) & (~leave | (k["stack"] != s["stack"]))
+        closes = kind.between(POP_PAREN, POP_BRACE)
+        under = closes & s["inner"] & (symbol == 0)
+        wrong = closes & ((~leave & ~under) | (k["stack"] != s["stack"]))
+        relied = (s["operand"] == UNKNOWN) & (kind.isin(PUSH_REGEX, PUSH_JSX) | (cls == LP))
         pushed = F.when((F.get(pushes, k["key"]) == ord("(")) & (s["operand"] == ASKED), F.lit(ord("c"))).otherwise(F.get(pushes, k["key"]))
         return let(
-            F.struct(enter.alias("enter"), (leave & (symbol > 0)).alias("leave"), wrong.alias("wrong"), pushed.alias("pushed")),
+            F.struct(enter.alias("enter"), (leave & (symbol > 0)).alias("leave"), wrong.alias("wrong"), pushed.alias("pushed"), under.alias("under"), relied.alias("relied")),
             lambda e: moved(s, cls, k, e),
         )
 
@@ -151,6 +160,7 @@ def _step(jsx: Column):
         stack = (
             F.when(e["enter"], F.concat(s["stack"], F.char(e["pushed"])))
             .when(e["leave"], F.left(k["stack"], F.length(k["stack"]) - 1))
+            .when(e["under"], F.lit(""))
             .otherwise(s["stack"])
         )
         mode = (
@@ -158,8 +168,8 @@ def _step(jsx: Column):
             .when(e["leave"], F.get(back, k["top"]))
             .otherwise(s["mode"])
         )
-        state = F.when(e["leave"], F.get(after, k["top"])).otherwise(F.get(states, k["key"]))
-        new_size = F.when(e["enter"], size + 1).when(e["leave"], F.length(k["stack"]) - 1).otherwise(size)
+        state = F.when(e["leave"], F.get(after, k["top"])).when(e["under"], F.when(cls == RC, YES).otherwise(NO)).otherwise(F.get(states, k["key"]))
+        new_size = F.when(e["enter"], size + 1).when(e["leave"], F.length(k["stack"]) - 1).when(e["under"], 0).otherwise(size)
         lit = (
             F.when((s["lit"] < 0) & e["enter"] & among(e["pushed"], LITERALS), size)
             .when(e["leave"] & (s["lit"] == new_size), F.lit(-1))
@@ -176,27 +186,35 @@ def _step(jsx: Column):
         code = F.substring(F.lit(CODES), kind * DEPTHS + F.least(depth, F.lit(DEPTHS - 1)) + 1, F.lit(1))
         return F.struct(
             mode.alias("mode"), stack.alias("stack"), F.when(state == KEEP, s["operand"]).otherwise(state).alias("operand"),
-            lit.alias("lit"), (s["bad"] | e["wrong"]).alias("bad"), F.concat(s["codes"], code).alias("codes"),
-        )
+            lit.alias("lit"), (s["bad"] | e["wrong"]).alias("bad"), s["inner"].alias("inner"),
+            F.when(e["under"], F.concat(s["under"], F.substring(F.lit(")]}"), F.get(_ints(CLOSER.get(c, 1) for c in range(CLASSES)), cls), F.lit(1)))).otherwise(s["under"]).alias("under"),
+            (s["relied"] | e["relied"]).alias("relied"), F.concat(s["codes"], code).alias("codes"),
+        )
 
     return move
 
 
-def entry_state(mode=None, stack=None, operand=None, lit=None) -> Column:
-    pick = lambda v, name: (F.lit(START[name]) if v is None else v).alias(name)
-    return F.struct(pick(mode, "mode"), pick(stack, "stack"), pick(operand, "operand"), pick(lit, "lit"), F.lit(False).alias("bad"), F.lit("").alias("codes"))
+def first_literal(stack: Column) -> Column:
+    """Place of the outermost literal on a stack, -1 if there is none."""
+    return F.regexp_instr(stack, F.lit(f"[{LITERALS}]")) - 1
+
+
+def entry_state(mode: Column | None = None, stack: Column | None = None, operand: Column | None = None, inner: bool = False) -> Column:
+    """The state a text begins in: a file's start, or the given one."""
+    given = {"mode": mode, "stack": stack, "operand": operand, "lit": None if stack is None else first_literal(stack), "inner": F.lit(inner)}
+    fields = [(F.lit(START[k]) if given.get(k) is None else given[k]).alias(k) for k in STATE]
+    return F.struct(*fields, F.lit("").alias("codes"))
 
 
 def fold(classes: Column, jsx: Column, entry: Column | None = None) -> Column:
     """The automaton's state after all lexemes, with ``codes``: a character for each.
     Blocks of lexemes are folded by themselves, so codes are not copied at each step."""
     step = _step(jsx)
-    fields = ["mode", "stack", "operand", "lit", "bad"]
 
     def block(state: Column, start: Column) -> Column:
-        fresh = F.struct(*[state[f].alias(f) for f in fields], F.lit("").alias("codes"))
+        fresh = F.struct(*[state[f].alias(f) for f in STATE], F.lit("").alias("codes"))
         inner = F.aggregate(F.slice(classes, start, BLOCK_LEXEMES), fresh, step)
-        return let(inner, lambda s: F.struct(*[s[f].alias(f) for f in fields], F.concat(state["codes"], s["codes"]).alias("codes")))
+        return let(inner, lambda s: F.struct(*[s[f].alias(f) for f in STATE], F.concat(state["codes"], s["codes"]).alias("codes")))
 
     n = F.size(classes)
     starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK_LEXEMES))).otherwise(F.array().cast("array<int>"))
@@ -246,3 +264,81 @@ def lexed(text: Column, jsx: Column, entry: Column | None = None, depths: int =
 
 def is_jsx(path: Column) -> Column:
     return F.lower(path).rlike(r"\.[jt]sx$")
+
+
+# --- large texts -------------------------------------------------------------------
+#
+# A text of more than CHUNK characters is cut at line ends. What a chunk does to the
+# stack is found for every mode it may begin in, all chunks at once; following the chunks
+# of a file through these answers gives the state each begins in, and with it each chunk
+# is lexed by itself. A chunk that no answer fits (a hole opened before it is closed in
+# it, say) is folded again from its true state; the others' answers stay.
+
+CHUNK = 1 << 16
+#: States a chunk may begin in: mode and the stack's last symbol.
+VARIANTS = [(CODE, ""), (TEMPLATE, "p"), (IN_BLOCK, "k"), (TEXT, "e"), (IN_TAG, "e")]
+SUMMARY = "mode int, stack string, operand int, bad boolean, under string, relied boolean"
+ENTRY = "chunk int, mode int, stack string, operand int, open boolean"
+
+
+def cut_at_lines(text: Column) -> Column:
+    """Chunks of at least CHUNK characters, to the end of the line, in one pass."""
+    return F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{CHUNK}}}+[^\n]*+\n?+"), F.lit(0))
+
+
+def _summary(state: Column) -> Column:
+    return F.struct(*[state[c.split()[0]].alias(c.split()[0]) for c in SUMMARY.split(", ")])
+
+
+def chunk_effects(text: Column, jsx: Column) -> Column:
+    """What a chunk does, for each of VARIANTS."""
+    begun = lambda m, b: entry_state(F.lit(m), F.lit(b), F.lit(UNKNOWN), inner=True)
+    return let(F.transform(lexemes(text), lexeme_class), lambda c: F.array(*[_summary(fold(c, jsx, begun(m, b))) for m, b in VARIANTS]))
+
+
+def chunk_exit(text: Column, jsx: Column, mode: Column, stack: Column, operand: Column) -> Column:
+    """What a chunk does from its true state."""
+    return _summary(fold(F.transform(lexemes(text), lexeme_class), jsx, entry_state(mode, stack, operand)))
+
+
+def follow(state: tuple[int, str, int], effects: list) -> tuple[int, str, int] | None:
+    """The state after a chunk that begins in ``state``, from its effects for VARIANTS;
+    None if they don't tell."""
+    mode, stack, operand = state
+    for (m, base), e in zip(VARIANTS, effects):
+        if m != mode or (base and not stack):
+            continue
+        last, below = (stack[-1], stack[:-1]) if base else ("", stack)
+        kept = base and e["stack"][:1] == base and not e["under"]
+        if base and last != base and not kept:
+            continue  # it closes another literal than that it was tried with
+        if e["relied"] and operand != YES:
+            return None
+        for closer in e["under"]:
+            if closer == "}":
+                below = below.rstrip("([c")
+            if below[-1:] in ("h", "A", "H") or (closer == ")" and below[-1:] == "c"):
+                return None  # what is closed decides how the text goes on
+            if below[-1:] == {")": "(", "]": "[", "}": "{"}[closer]:
+                below = below[:-1]
+        pushed = last + e["stack"][1:] if kept else e["stack"]
+        return e["mode"], below + pushed, operand if e["operand"] == UNKNOWN else e["operand"]
+    return None
+
+
+def entry_states(chunks):
+    """Rows of one file (chunk, effects, exact exit or NULL, from which true state) ->
+    the state each chunk begins in, up to the first chunk that has to be folded from its
+    true state (``open``)."""
+    import pandas as pd
+
+    out, state = [], (CODE, "", YES)
+    for row in chunks.sort_values("chunk").itertuples(index=False):
+        exact = row.exact
+        known = exact is not None and (exact["mode"], exact["stack"], exact["operand"])
+        after = known or follow(state, list(row.effects))
+        out.append((row.chunk, *state, after is None))
+        if after is None:
+            break
+        state = after
+    return pd.DataFrame(out, columns=["chunk", "mode", "stack", "operand", "open"])

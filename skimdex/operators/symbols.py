@@ -295,34 +295,125 @@ def _body_members(kind: str, lb: Column, rb: Column) -> Column:
 
 # --- 1. declarations ---------------------------------------------------------------------
 
-def statements(files: DataFrame) -> DataFrame:
-    """Pieces of every file that may declare something: ``(target_dir, path, pos, opener,
-    d0, d1, d2, src, trivia, given, suspect)``, one row each; ``given`` are the names that
-    a list or default export of the file gives out. A file without such a piece has a
-    row of NULLs, which carries ``suspect``."""
-    keys = FILE_KEYS + [c for c in CARRIED if c in files.columns]
+def _opens(d0: Column) -> Column:
+    return d0.rlike(DECLARATION) | d0.rlike(r"^export\s")
+
+
+PIECE_TEXTS = ["d0", "d1", "d2", "src"]
+
+
+def _small_statements(files: DataFrame, keys: list[str]) -> DataFrame:
     x = files.select(*keys, "content", L.lexed(F.col("content"), L.is_jsx(F.col("path"))).alias("x"))
-    x = x.select(*keys, "content", F.col("x.src").alias("src"), *[F.col(f"x.d{k}").alias(f"d{k}") for k in range(3)], F.col("x.suspect").alias("suspect"))
+    x = x.select(*keys, "content", *[F.col(f"x.{c}").alias(c) for c in PIECE_TEXTS], F.col("x.suspect").alias("suspect"))
     x = x.withColumn("pieces", F.split("d0", HEAD, -1)).withColumn("starts", starts_of(F.col("pieces")))
 
     def piece(d0: Column, i: Column) -> Column:
         start, n = F.get("starts", i), F.length(d0)
         last = F.get("pieces", i - 1)
         gap = F.coalesce(F.length(last) - F.length(F.rtrim(last, F.lit(L.SPACES))), F.lit(0))
-        cut = lambda c: _from(F.col(c), start, n)
-        return F.struct(
-            start.alias("pos"), F.regexp_extract(d0, r"^\w+", 0).alias("opener"), d0.alias("d0"), cut("d1").alias("d1"), cut("d2").alias("d2"),
-            cut("src").alias("src"), _from(F.col("content"), start - gap, gap).alias("trivia"),
-        )
-
-    opens = lambda d0: d0.rlike(DECLARATION) | d0.rlike(r"^export\s")
-    numbered = F.transform("pieces", lambda d0, i: F.when(opens(d0), piece(d0, i)))
+        cut = [_from(F.col(c), start, n).alias(c) for c in PIECE_TEXTS[1:]]
+        return F.struct(start.cast("long").alias("pos"), d0.alias("d0"), *cut, _from(F.col("content"), start - gap, gap).alias("trivia"))
+
+    numbered = F.transform("pieces", lambda d0, i: F.when(_opens(d0), piece(d0, i)))
     x = x.select(*keys, "suspect", F.filter(numbered, lambda p: p.isNotNull()).alias("all"))
     x = x.withColumn("given", F.flatten(F.transform("all", lambda p: _given(p["d0"], p["d1"]))))
     x = x.withColumn("all", F.filter("all", lambda p: p["d0"].rlike(DECLARATION)))
     return x.select(*keys, "suspect", "given", F.explode_outer("all").alias("p")).select(*keys, "p.*", "given", "suspect")
 
 
+def lexed_chunks(files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, chunk, start, content, src, d0, d1, d2, bad, whole (the last chunk ends
+    the file well) of files cut at line ends; a file's chunks are lexed in parallel."""
+    spark = files.sparkSession
+    pieces = L.cut_at_lines(F.col("content"))
+    c = files.select(*keys, pieces.alias("texts")).withColumn("starts", starts_of(F.col("texts")))
+    c = c.select(*keys, F.size("texts").alias("chunks"), F.posexplode(F.arrays_zip("texts", "starts")).alias("chunk", "t"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = c.select(*keys, "chunks", "chunk", F.col("t.starts").alias("start"), F.col("t.texts").alias("content"))
+    c = materialize(c.repartition(n, *FILE_KEYS, "chunk"), "chunks")
+    text, jsx = F.col("content"), L.is_jsx(F.col("path"))
+    effects = materialize(c.select(*FILE_KEYS, "chunk", L.chunk_effects(text, jsx).alias("effects")), "chunk-effects")
+    file_types = ", ".join(f"{k} string" for k in FILE_KEYS)
+    exact = spark.createDataFrame([], f"{file_types}, chunk int, exact struct<{L.SUMMARY.replace(' ', ':')}>".replace(",:", ","))
+
+    def followed(key, rows):
+        out = L.entry_states(rows)
+        for name, value in zip(FILE_KEYS, key):
+            out[name] = value
+        return out
+
+    while True:
+        known = effects.join(exact, [*FILE_KEYS, "chunk"], "left").groupBy(*FILE_KEYS)
+        entries = materialize(known.applyInPandas(followed, f"{L.ENTRY}, {file_types}"), "chunk-entries")
+        again = entries.where("open")
+        if again.isEmpty():
+            break
+        redone = c.join(again, [*FILE_KEYS, "chunk"]).select(
+            *FILE_KEYS, "chunk", L.chunk_exit(text, jsx, F.col("mode"), F.col("stack"), F.col("operand")).alias("exact")
+        )
+        exact = materialize(exact.unionByName(redone), "chunk-exits")
+    begun = L.entry_state(F.col("mode"), F.col("stack"), F.col("operand"))
+    x = c.join(entries.drop("open"), [*FILE_KEYS, "chunk"]).withColumn("x", L.lexed(text, jsx, begun))
+    whole = (F.col("chunk") < F.col("chunks") - 1) | ~F.col("x.suspect")
+    return materialize(
+        x.select(*keys, "chunk", "start", "content", *[F.col(f"x.{t}").alias(t) for t in PIECE_TEXTS], F.col("x.state.bad").alias("bad"), whole.alias("whole")),
+        "lexed-chunks",
+    )
+
+
+def _large_statements(files: DataFrame, keys: list[str]) -> DataFrame:
+    """As for small files, by chunks: a statement that goes over chunk ends is put
+    together from its pieces, which are numbered by the heads before them."""
+    x = lexed_chunks(files, keys)
+    file = Window.partitionBy(*FILE_KEYS).orderBy("chunk")
+    marks = x.select(*FILE_KEYS, "chunk", F.rtrim("d0", F.lit(L.SPACES)).alias("ends")).select(*FILE_KEYS, "chunk", F.right("ends", F.lit(40)).alias("ends"))
+    after_modifier = F.coalesce(F.lag("ends").over(file).rlike(rf"(?:^|[^\w$]){_any(DECL_MODIFIERS)}$"), F.lit(False))
+    marks = marks.select(*FILE_KEYS, "chunk", after_modifier.alias("after_modifier"))
+    x = x.join(marks, [*FILE_KEYS, "chunk"])
+    x = x.withColumn("pieces", F.split("d0", HEAD, -1)).withColumn("starts", starts_of(F.col("pieces")))
+    first_head = F.get("pieces", F.lit(0)).rlike(rf"^(?:{HEAD})") & ~F.col("after_modifier")
+    x = x.withColumn("first_head", first_head).withColumn("heads", F.size("pieces") - 1 + F.col("first_head").cast("int"))
+    before = x.select(*FILE_KEYS, "chunk", "heads").withColumn(
+        "before", F.coalesce(F.sum("heads").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    x = x.drop("heads").join(before.drop("heads"), [*FILE_KEYS, "chunk"])
+
+    def piece(d0: Column, i: Column) -> Column:
+        start, n = F.get("starts", i), F.length(d0)
+        cut = [_from(F.col(c), start, n).alias(c) for c in [*PIECE_TEXTS[1:], "content"]]
+        number = F.col("before") + i + F.col("first_head").cast("int")
+        return F.struct(number.alias("number"), (F.col("start") + start).cast("long").alias("pos"), d0.alias("d0"), *cut)
+
+    p = x.select(*keys, "chunk", F.explode(F.transform("pieces", piece)).alias("p")).select(*keys, "chunk", "p.*")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pos", c))), lambda s: s[c]), "").alias(c)
+    s = p.groupBy(*keys, "number").agg(F.min("pos").alias("pos"), *[joined(c) for c in [*PIECE_TEXTS, "content"]])
+    s = materialize(s, "statements")
+    gap = F.length("d0") - F.length(F.rtrim("d0", F.lit(L.SPACES)))
+    trivia = s.select(*FILE_KEYS, (F.col("number") + 1).alias("number"), F.right("content", gap).alias("trivia"))
+    s = s.where((F.col("number") > 0) & _opens(F.col("d0"))).join(trivia, [*FILE_KEYS, "number"], "left")
+    given = s.select(*FILE_KEYS, F.explode(_given(F.col("d0"), F.col("d1"))).alias("n")).groupBy(*FILE_KEYS).agg(F.collect_set("n").alias("given"))
+    marked = x.groupBy(*keys).agg((F.max("bad") | ~F.min("whole")).alias("suspect"))
+    found = s.where(F.col("d0").rlike(DECLARATION)).select(*FILE_KEYS, "pos", *PIECE_TEXTS, F.coalesce("trivia", F.lit("")).alias("trivia"))
+    none = F.array().cast("array<string>")
+    out = marked.join(found, FILE_KEYS, "left").join(given, FILE_KEYS, "left")
+    return out.select(*keys, "pos", *PIECE_TEXTS, "trivia", F.coalesce("given", none).alias("given"), "suspect")
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """Pieces of every file that may declare something: ``(target_dir, path, pos, d0, d1,
+    d2, src, trivia, given, suspect)``, one row each; ``given`` are the names that a list
+    or default export of the file gives out. A file without such a piece has a row of
+    NULLs, which carries ``suspect``. Files beyond ``lexer.CHUNK`` characters are cut, so
+    one of any size is worked on by many tasks; the others stay in their rows."""
+    keys = FILE_KEYS + [c for c in CARRIED if c in files.columns]
+    size = F.octet_length("content") if "size_bytes" not in files.columns else F.col("size_bytes")
+    large = files.where((size > L.CHUNK) & (F.length("content") > L.CHUNK))
+    if large.limit(1).count() == 0:
+        return _small_statements(files, keys)
+    small = files.where(~((size > L.CHUNK) & (F.length("content") > L.CHUNK)))
+    return _small_statements(small, keys).unionByName(_large_statements(large, keys))
+
+
 def _given(d0: Column, d1: Column) -> Column:
     """Names that an export statement gives out; a list that ends in ``from`` names
     another file's declarations."""
@@ -343,7 +434,7 @@ def named_declarations(pieces: DataFrame, kinds: list[str] | None = None) -> Dat
     anonymous = F.when(F.col("kind") == "function", F.lit(ANON_FUNCTION)).when(F.col("kind") == "class", F.lit(ANON_CLASS))
     # No name: `export type { A } from`, `export const type = 1` declare nothing here.
     t = t.withColumn("name", F.when(F.col("own") != "", F.col("own")).otherwise(anonymous)).where(F.col("name").isNotNull())
-    return t.where((F.col("opener") == "export") | F.array_contains("given", F.col("own")))
+    return t.where(d0.rlike(rf"^export{WORD_END}") | F.array_contains("given", F.col("own")))
 
 
 def declarations(pieces: DataFrame, kinds: list[str] | None = None) -> DataFrame:

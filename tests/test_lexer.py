@@ -122,11 +122,38 @@ def test_brackets_against_a_character_loop(spark, monkeypatch):
             assert shown == {i for i, at in want.items() if k == 3 or at <= k}, row.content
 
 
-def test_files_of_many_lexemes_do_not_slow_down(spark):
-    text = "export function f(a: string): void { g(a); }\n" * 20_000
+def test_large_files_are_cut_and_give_the_same(spark, monkeypatch):
+    r = random.Random(3)
+    texts = []
+    for i in range(4):
+        parts = []
+        for k in range(14):
+            parts.append(random_source(r) + "\n")
+            parts.append(r.choice([
+                f"/** Doc\n * {k} */\nexport function f{k}(\n  a: string,\n  b = {k}\n): void {{\n  g(`x\n${{ h(\n) }}\n}}`);\n}}\n",
+                f"export class C{k} {{\n  m(x: number): string {{\n    /* }}\n */ return `\n{{`;\n  }}\n}}\n",
+                f"interface I{k} {{\n  a: number\n}}\nexport {{ I{k} }};\n",
+                f"export type T{k} =\n  | 'a'\n  | {{\n    b: number\n  }}\n",
+                f"export default\nfunction d{k}() {{}}\n",
+            ]))
+        texts.append(("\n".join(parts)) + ("}\n" if i % 4 == 3 else ""))
+    views = "".join(f"export function V{k}() {{\n  return <p\n a={{ {k} }}>\n don't {{x ? <b>\n</b> :\n null}} </p>;\n}}\n" for k in range(6))
+    files = make_files(spark, [(f"f{i}.ts", t) for i, t in enumerate(texts)] + [("views.tsx", views)])
+    whole = sorted(map(str, Y.symbols_from(Y.declarations(Y.statements(files))).collect()))
+    assert len(whole) > 40
+    monkeypatch.setattr(L, "CHUNK", 300)
+    cut = sorted(map(str, Y.symbols_from(Y.declarations(Y.statements(files))).collect()))
+    assert cut == whole
+
+
+def test_one_large_file_spreads_over_tasks(spark):
+    text = "export function f(a: string): void { g(a); }\n" * 3_000
     files = make_files(spark, [("big.ts", text)])
-    assert TK.token_stats(files).first().n_tokens == 17 * 20_000
-    assert Y.exported_declarations(files).count() == 20_000
+    pieces = Y.statements(files)
+    assert pieces.count() == 3_000 and pieces.select(F.countDistinct("pos")).first()[0] == 3_000
+    chunks = Y.lexed_chunks(files, TK.FILE_KEYS)
+    assert chunks.count() == len(text) // L.CHUNK + 1
+    assert chunks.select(F.spark_partition_id()).distinct().count() > 1
 
 
 def symbols(spark, *sources):
