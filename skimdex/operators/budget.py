@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skimdex.functions import paths as P
 from skimdex.functions import text as T
+from skimdex.operators.packages import nearest_package
 from skimdex.operators.scope import scan_naive_scope
 
 
@@ -65,3 +67,35 @@ def read_accounting(reads: DataFrame) -> DataFrame:
         F.coalesce(F.sum("token_estimate"), F.lit(0)).cast("bigint").alias("file_tokens"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
+
+
+ALL_LEVELS = 1 << 20
+
+
+def token_rollup(costs: DataFrame) -> DataFrame:
+    """Token cost by target, by package and by directory subtree: ``(target_dir,
+    package_name, dir, level, files, naive_tokens, skeleton_tokens)`` from
+    ``costs(target_dir, path, package_name, naive_tokens, skeleton_tokens)``.
+
+    One pass with grouping sets over files exploded to their ancestor directories, so a
+    directory's row covers all below it ('' is the root); ``level`` is the grouping id.
+    Targets and packages count each file once, by its row of the root. Sums are combined
+    before the shuffle, so a hot directory is one row of each task."""
+    below = F.inline(P.ancestors(P.dirname("path"), ALL_LEVELS))
+    rows = costs.select("target_dir", "package_name", "naive_tokens", "skeleton_tokens", below).drop("lvl")
+    rows = rows.withColumn("root", F.col("dir") == "")
+    sets = [["target_dir"], ["target_dir", "package_name"], ["target_dir", "dir"]]
+    of_dir = F.grouping("dir") == 0
+    measures = {"files": F.lit(1), "naive_tokens": F.col("naive_tokens"), "skeleton_tokens": F.col("skeleton_tokens")}
+    sums = [F.sum(F.when(F.col("root"), m)).alias(f"once_{k}") for k, m in measures.items()] + [F.sum(m).alias(f"all_{k}") for k, m in measures.items()]
+    g = rows.groupingSets(sets, "target_dir", "package_name", "dir").agg(F.grouping_id().alias("level"), of_dir.alias("of_dir"), *sums)
+    pick = [F.when(F.col("of_dir"), F.col(f"all_{k}")).otherwise(F.col(f"once_{k}")).cast("bigint").alias(k) for k in measures]
+    return g.select("target_dir", "package_name", "dir", F.col("level").cast("int").alias("level"), *pick)
+
+
+def file_costs(files: DataFrame, text_rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """What each file of the naive scope costs whole and in the skeleton, with its package."""
+    whole = scan_naive_scope(files).select("target_dir", "path", T.token_estimate("content").cast("bigint").alias("naive_tokens"))
+    brief = text_rows.select("target_dir", "path", T.token_estimate("text").cast("bigint").alias("skeleton_tokens"))
+    both = whole.join(brief, ["target_dir", "path"], "left").withColumn("skeleton_tokens", F.coalesce("skeleton_tokens", F.lit(0).cast("bigint")))
+    return nearest_package(both, manifests)

@@ -9,12 +9,13 @@ with a range-partitioned sort -- never one giant value in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimdex.functions import text as T
 from skimdex.operators.packages import nearest_package
 from skimdex.operators.symbols import FILE_KEYS, KIND_RANK, SYMBOL_COLUMNS, declarations, statements, without_overloads
+from skimdex.session import materialize
 
 # Fixed values of the reference's prompt format.
 CLASS_LABEL = " — methods: "
@@ -77,6 +78,30 @@ def corpus_totals(text_rows: DataFrame) -> DataFrame:
     ).withColumn("skeleton_tokens", F.round(F.col("skeleton_chars") / T.CHARS_PER_TOKEN).cast("bigint"))
 
 
+def corpus_rows(text_rows: DataFrame) -> DataFrame:
+    """The prompt text of each target as ordered rows: ``(target_dir, block_no,
+    char_offset, path, text)``. Blocks joined by a newline in the order of ``block_no``
+    are the whole text, and each starts at ``char_offset`` (UTF-16 units) in it.
+
+    Prefix sums in two levels: rows are dealt to path ranges and written, so a row's range
+    is fixed; totals of the ranges (a row each and target) give what stands before a
+    range, a window inside each range the rest. No task sees a whole target."""
+    n = int(text_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = text_rows.select("target_dir", "path", "text", (T.utf16_length("text") + 1).cast("bigint").alias("size"))
+    t = materialize(t.repartitionByRange(n, "target_dir", "path").withColumn("part", F.spark_partition_id()), "corpus-rows")
+    ranges = Window.partitionBy("target_dir").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = t.groupBy("target_dir", "part").agg(F.count("*").alias("blocks"), F.sum("size").alias("chars"))
+    before = totals.select("target_dir", "part", F.sum("blocks").over(ranges).alias("blocks"), F.sum("chars").over(ranges).alias("chars"))
+    inside = Window.partitionBy("target_dir", "part").orderBy("path")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    earlier = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.select("target_dir", "part", "path", "text", F.row_number().over(inside).alias("at"), zero(earlier).alias("earlier"))
+    return t.join(before, ["target_dir", "part"]).select(
+        "target_dir", (zero(F.col("blocks")) + F.col("at")).cast("bigint").alias("block_no"),
+        (zero(F.col("chars")) + F.col("earlier")).cast("bigint").alias("char_offset"), "path", "text",
+    )
+
+
 def write_skeleton_text(text_rows: DataFrame, out_dir: str) -> None:
     """Opt-in sink: the prompt text of each target, blocks in path order.
 

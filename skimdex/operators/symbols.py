@@ -533,3 +533,20 @@ def extract_symbols(files: DataFrame, indexable_only: bool = True) -> DataFrame:
     """``files(target_dir, path, content)`` -> ``symbols`` (SYMBOL_COLUMNS)."""
     src = source_candidates(files) if indexable_only else files.where(F.contains("content", F.lit("export")))
     return symbols_from(declarations(statements(src))).select(*SYMBOL_COLUMNS)
+
+
+def compact_types(symbols: DataFrame) -> DataFrame:
+    """Symbols whose types don't name the file they come from (``import("...").X`` -> ``X``)."""
+    short = lambda c: F.regexp_replace(c, r'import\("[^"]*"\)\.', "").alias(c)
+    return symbols.select(*[short(c) if c in ("params", "return_type") else c for c in symbols.columns])
+
+
+def capped_exports(symbols: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` symbols of each file; a limit inside the partitions comes first."""
+    w = Window.partitionBy(*FILE_KEYS).orderBy("ord")
+    return symbols.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+
+
+def minimal_index(files: DataFrame) -> DataFrame:
+    """``(target_dir, path, kind, name)``: the least that tells where something is."""
+    return exported_declarations(source_candidates(files))

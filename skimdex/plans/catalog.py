@@ -41,6 +41,20 @@ def _docs(spark, sf):
 # scans and scalar projections over the documents corpus
 # --------------------------------------------------------------------------
 
+@query(
+    "domain_scope",
+    f"WITH {S.docs_files_cte()}, langs AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), "
+    "scopes AS (SELECT 'text-' || lang AS domain, lang AS prefix FROM langs UNION ALL SELECT 'vendor-' || lang, 'node_modules/' || lang FROM langs "
+    "UNION ALL VALUES ('vendor', 'node_modules'), ('built', 'dist'), ('built', '.storybook'), ('stories', '.storybook')) "
+    "SELECT target_dir, path, size_bytes, domain FROM (SELECT f.target_dir, f.path, f.size_bytes, s.domain, row_number() OVER "
+    "(PARTITION BY f.target_dir, f.path ORDER BY length(s.prefix) DESC, s.domain) AS n FROM files f JOIN scopes s "
+    "ON starts_with(f.path, s.prefix || '/')) WHERE n = 1",
+)
+def q_domain_scope(spark, sf):
+    """Each file's domain: of overlapping scopes the one with the longest prefix."""
+    return scope.domain_scope(_docs(spark, sf), C.documents_scopes(spark, sf), ["size_bytes"])
+
+
 @query(
     "scan_indexable",
     f"WITH {S.docs_files_cte()} SELECT target_dir, path, size_bytes FROM files WHERE {S.indexable()}",
@@ -384,6 +398,18 @@ def q_symbols(spark, sf):
     return Y.symbols_from(x).select(*Y.SYMBOL_COLUMNS, "suspect")
 
 
+@query("capped_exports", f"{_G} SELECT target_dir, path, CAST(ord AS INT) AS ord, kind, name FROM expected WHERE ord <= 3")
+def q_capped_exports(spark, sf):
+    """The first three symbols of each file."""
+    x = Y.symbols_from(Y.declarations(Y.statements(Y.source_candidates(_code(spark, sf)))))
+    return Y.capped_exports(x, 3).select("target_dir", "path", "ord", "kind", "name")
+
+
+@query("minimal_index", f"{_G} SELECT target_dir, path, kind, name FROM expected")
+def q_minimal_index(spark, sf):
+    return Y.minimal_index(_code(spark, sf))
+
+
 @query("export_filter", f"{_G} SELECT target_dir, path, kind, name FROM expected")
 def q_export_filter(spark, sf):
     """Exported declarations only (non-exported helpers, commented-out and
@@ -427,6 +453,34 @@ def q_skeleton_corpus_text(spark, sf):
     return K.corpus_totals(K.skeleton_text(entries))
 
 
+@query(
+    "skeleton_corpus_rows",
+    f"{_GK} SELECT target_dir, row_number() OVER w AS block_no, CAST(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "
+    "AS char_offset, path, text FROM blk WINDOW w AS (PARTITION BY target_dir ORDER BY path)",
+)
+def q_skeleton_corpus_rows(spark, sf):
+    """Blocks of each target's prompt text, numbered and placed in the whole string."""
+    _, _, _, entries = _skeleton(spark, sf)
+    return K.corpus_rows(K.skeleton_text(entries))
+
+
+@query(
+    "token_rollup",
+    f"{_GK}, costs AS (SELECT f.target_dir, f.path, p.package_name, {S.tokens('f.content')} AS naive, coalesce({S.tokens('b.text')}, 0) AS brief "
+    "FROM files f JOIN cpkg p ON f.target_dir = p.target_dir AND f.path = p.path LEFT JOIN blk b ON f.target_dir = b.target_dir AND f.path = b.path "
+    f"WHERE {S.naive_scope('f.path')}), "
+    "dirs AS (SELECT target_dir, package_name, naive, brief, unnest(list_transform(range(len(string_split(path, '/'))), "
+    "lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir FROM costs) "
+    "SELECT target_dir, package_name, CAST(NULL AS VARCHAR) AS dir, grouping(target_dir, package_name) * 2 + 1 AS level, count(*) AS files, "
+    "CAST(sum(naive) AS BIGINT) AS naive_tokens, CAST(sum(brief) AS BIGINT) AS skeleton_tokens FROM costs "
+    "GROUP BY GROUPING SETS ((target_dir), (target_dir, package_name)) "
+    "UNION ALL SELECT target_dir, NULL, dir, 2, count(*), CAST(sum(naive) AS BIGINT), CAST(sum(brief) AS BIGINT) FROM dirs GROUP BY target_dir, dir",
+)
+def q_token_rollup(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    return budget.token_rollup(budget.file_costs(files, K.skeleton_text(entries), C.code_manifests(files)))
+
+
 @query(
     "index_summary",
     f"{_GK}, scanned AS (SELECT target_dir, count(*) AS files_scanned, count(*) FILTER (WHERE {C.SUSPECT} AND contains(content, 'export')) AS suspect_files "

@@ -97,6 +97,15 @@ def documents_manifests(files: DataFrame) -> DataFrame:
     return roots.unionByName(langs)
 
 
+def documents_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(domain, path_prefix)``: one domain for each language's directory, others for
+    pruned directories, with languages' own scopes inside ``node_modules``."""
+    langs = table(spark, sf_dir, "documents").select("lang").where(F.col("lang").isNotNull()).distinct()
+    scope = lambda name, prefix: langs.select(F.concat(F.lit(name), "lang").alias("domain"), F.concat(F.lit(prefix), "lang").alias("path_prefix"))
+    fixed = spark.createDataFrame([("vendor", "node_modules"), ("built", "dist"), ("built", ".storybook"), ("stories", ".storybook")], "domain string, path_prefix string")
+    return scope("text-", "").unionByName(scope("vendor-", "node_modules/")).unionByName(fixed)
+
+
 # ---------------------------------------------------------------------------
 # Generated TypeScript corpus (one file per part row)
 # ---------------------------------------------------------------------------
@@ -260,7 +269,10 @@ def code_manifests(files: DataFrame) -> DataFrame:
 
 def manifest_names(manifests: DataFrame) -> DataFrame:
     """``name`` of each manifest; NULL when absent or when the JSON is broken."""
-    return manifests.select("target_dir", "dir", F.get_json_object("content", "$.name").alias("name"))
+    # Spark's JSON functions stop after the first value; as the only entry of an array
+    # the text has to be one value and nothing else.
+    one = F.json_array_length(F.concat(F.lit("["), "content", F.lit("]"))) == 1
+    return manifests.select("target_dir", "dir", F.when(one, F.get_json_object("content", "$.name")).alias("name"))
 
 
 def with_abs_path(files: DataFrame) -> DataFrame:

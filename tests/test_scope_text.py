@@ -56,3 +56,41 @@ def test_normalize_and_within(spark):
     r = df.select(P.join_path("b", "p").alias("j"), P.normalize("b").alias("nb")).select(
         "j", P.within("j", "nb").alias("ok")).collect()
     assert [(x.j, x.ok) for x in r] == [("/base/b.ts", True), ("/x.ts", False), ("/base/a/c.ts", True), ("/base/a.ts", True)]
+
+
+def test_domain_scope_takes_the_longest_prefix(spark):
+    from conftest import make_files
+    from skimdex.operators import scope
+
+    files = make_files(spark, [(p, "") for p in ("src/app/a.ts", "src/application/a.ts", "src/x.ts", "lib/y.ts", "src/app/deep/er/z.ts", "top.ts")])
+    scopes = spark.createDataFrame(
+        [("web", "src"), ("app", "src/app"), ("deep", "src/app/deep"), ("b", "lib"), ("a", "lib"), ("a", "lib"), ("file", "src/app/a.ts")],
+        "domain string, path_prefix string",
+    )
+    got = scope.domain_scope(files, scopes, ["size_bytes"])
+    assert {r.path: r.domain for r in got.collect()} == {
+        "src/app/a.ts": "file", "src/application/a.ts": "web", "src/x.ts": "web", "lib/y.ts": "a", "src/app/deep/er/z.ts": "deep",
+    }
+    everything = scopes.unionByName(spark.createDataFrame([("rest", "")], scopes.schema))
+    assert {r.domain for r in scope.domain_scope(files, everything, []).where("path = 'top.ts'").collect()} == {"rest"}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_rollup_counts_each_file_once(spark):
+    from skimdex.operators import budget
+
+    costs = spark.createDataFrame(
+        [("/t", "a/b/x.ts", "p", 10, 1), ("/t", "a/y.ts", "p", 20, 2), ("/t", "z.ts", None, 40, 4), ("/u", "a/b/c/d/e/f/g/x.ts", "q", 5, 0)],
+        "target_dir string, path string, package_name string, naive_tokens long, skeleton_tokens long",
+    )
+    got = {(r.target_dir, r.package_name, r.dir, r.level): (r.files, r.naive_tokens, r.skeleton_tokens) for r in budget.token_rollup(costs).collect()}
+    assert got["/t", None, None, 3] == (3, 70, 7) and got["/t", "p", None, 1] == (2, 30, 3) and got["/t", None, None, 1] == (1, 40, 4)
+    assert got["/t", None, "", 2] == (3, 70, 7) and got["/t", None, "a", 2] == (2, 30, 3) and got["/t", None, "a/b", 2] == (1, 10, 1)
+    assert got["/u", None, "a/b/c/d/e/f/g", 2] == (1, 5, 0) and len(got) == 16
+
+
+def test_manifest_with_trailing_junk_has_no_name(spark):
+    from skimdex.sources.corpus import manifest_names
+
+    d = spark.createDataFrame([("/t", "a", '{"name":"x"} junk'), ("/t", "b", '{"name":"y"}'), ("/t", "c", None)], "target_dir string, dir string, content string")
+    assert {r.dir: r.name for r in manifest_names(d).collect()} == {"a": None, "b": "y", "c": None}

@@ -227,3 +227,24 @@ def test_export_lists_defaults_and_overloads(shapes):
         ("function", "inner", "a: string", None), ("function", "listed", "b: number", "Listed."),
         ("function", "over", "a: any", None), ("class", "Late", "", None),
     ]
+
+
+def test_corpus_rows_are_the_whole_text(spark):
+    paths = [f"d{i % 7}/f{i}.ts" for i in range(60)]
+    files = make_files(spark, [(p, f"export function f{i}(a: string): void {{}}\nexport enum É{i} {{ A }}\n") for i, p in enumerate(paths)])
+    text = K.skeleton_text(K.skeleton_entries(Y.extract_symbols(files), files))
+    whole = "\n".join(r.text for r in sorted(text.collect(), key=lambda r: r.path))
+    rows = sorted(K.corpus_rows(text).collect(), key=lambda r: r.block_no)
+    assert [r.block_no for r in rows] == list(range(1, 61)) and "\n".join(r.text for r in rows) == whole
+    assert all(whole[r.char_offset : r.char_offset + len(r.text)] == r.text for r in rows)
+    assert len(whole) == K.corpus_totals(text).first().skeleton_chars
+    assert K.corpus_rows(text.limit(0)).collect() == []
+
+
+def test_optional_indexes(spark):
+    files = make_files(spark, [("a.ts", 'export function f(a: import("/x/y").Z<import("b").W>): import("c").V {}\nexport enum A { B }\nexport enum C { D }')])
+    rows = Y.extract_symbols(files)
+    f = Y.compact_types(rows).where("name = 'f'").first()
+    assert (f.params, f.return_type) == ("a: Z<W>", "V")
+    assert [r.name for r in Y.capped_exports(rows, 2).orderBy("ord").collect()] == ["f", "A"]
+    assert {(r.kind, r.name) for r in Y.minimal_index(files).collect()} == {("function", "f"), ("enum", "A"), ("enum", "C")}
