@@ -919,10 +919,23 @@ from skimdex.sources import directory as D  # noqa: E402
 )
 def q_scan_directory(spark, sf):
     """The documents corpus written out as a real tree (one folder per target)
-    and walked back with pruning and scope rules applied during the walk."""
+    and listed with pruning and scope rules applied during the walk; no file is opened."""
     root = scratch_path(spark, "tree")
     D.write_tree(_docs(spark, sf), root)
-    tree = D.directory_corpus(spark, root, scope="indexable", targets="children")
+    tree = D.directory_listing(spark, root, scope="indexable", targets="children")
     return tree.select(
         F.concat(F.lit("/corpus/"), F.element_at(F.split("target_dir", "/"), -1)).alias("target_dir"), "path", "size_bytes"
     )
+
+
+@query(
+    "scan_binary",
+    f"WITH {S.docs_files_cte()} SELECT replace(target_dir, '/corpus/', '') || '/' || path AS path, size_bytes, {S.tokens('content')} AS token_estimate, "
+    f"CAST(NULL AS VARCHAR) AS error FROM files WHERE {S.indexable()} AND path NOT LIKE '.%'",
+)
+def q_scan_binary(spark, sf):
+    """The same tree read by Spark's ``binaryFile`` reader (hidden names are its gap)."""
+    root = scratch_path(spark, "tree")
+    D.write_tree(_docs(spark, sf), root)
+    tree = D.binary_corpus(spark, root)
+    return tree.select("path", "size_bytes", T.token_estimate("content").cast("bigint").alias("token_estimate"), "error")
