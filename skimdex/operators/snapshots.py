@@ -3,7 +3,8 @@
 Store layout under one root folder on shared storage:
 
 * ``events/``  -- append-only parquet log, one row per write or invalidation:
-  ``(target_id, target_dir, version, fingerprint, event, generated_at, seq)``.
+  ``(target_id, target_dir, version, fingerprint, event, generated_at, seq, n_files,
+  lanes)``; ``lanes`` are the sums behind the fingerprint.
   The current state of a target is its event with the highest ``seq``, so
   nothing is ever read and overwritten in the same job.
 * ``entries/`` -- the index rows (symbols plus the file stat they were built
@@ -17,7 +18,9 @@ Store layout under one root folder on shared storage:
 The fingerprint is a multiset digest: per file ``sha2(path|size|mtime)``,
 summed in four 60-bit lanes per target. Sums are algebraic, so a target with
 a third of all files is combined map-side like any other -- no ordered
-concatenation of all its files into one task.
+concatenation of all its files into one task. The sums are kept with the event, so
+a changed file's old share is taken off and its new one added, and no other file of
+the target is read for the digest (:func:`moved_fingerprints`).
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("event", T.StringType()),
         T.StructField("generated_at", T.TimestampType()),
         T.StructField("seq", T.LongType()),
+        T.StructField("n_files", T.LongType()),
+        T.StructField("lanes", T.ArrayType(T.DecimalType(38, 0))),
     ]
 )
 ENTRY_SCHEMA = (
@@ -78,17 +83,53 @@ def _lane(h: Column, i: int) -> Column:
     return F.conv(F.substring(h, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
 
 
+LANES = 4
+
+
+def _file_lanes(size: str, mtime: str) -> list[Column]:
+    h = F.sha2(F.concat_ws("|", "path", F.col(size).cast("string"), F.col(mtime).cast("string")), 256)
+    return [_lane(h, i) for i in range(LANES)]
+
+
+def _digest(sums: DataFrame) -> DataFrame:
+    """``(target_dir, n_files, fingerprint, lanes)`` of ``(target_dir, n_files, lanes)``."""
+    parts = [F.col("n_files").cast("string"), *[F.get("lanes", i).cast("string") for i in range(LANES)]]
+    fp = F.sha2(F.concat_ws("|", F.lit(f"v{INDEX_VERSION}"), "target_dir", *parts), 256)
+    return sums.select("target_dir", "n_files", fp.alias("fingerprint"), "lanes")
+
+
+def lane_sums(manifest: DataFrame) -> DataFrame:
+    """Per target: ``n_files``, ``fingerprint`` (hex sha256) and the ``lanes`` it is of."""
+    lanes = manifest.select("target_dir", *[v.alias(f"l{i}") for i, v in enumerate(_file_lanes("size_bytes", "mtime_ms"))])
+    agg = lanes.groupBy("target_dir").agg(F.count("*").alias("n_files"), *[F.sum(f"l{i}").alias(f"s{i}") for i in range(LANES)])
+    return _digest(agg.select("target_dir", "n_files", F.array(*[F.col(f"s{i}") for i in range(LANES)]).alias("lanes")))
+
+
 def fingerprints(manifest: DataFrame) -> DataFrame:
     """Per target: ``n_files`` and ``fingerprint`` (hex sha256)."""
-    h = F.sha2(F.concat_ws("|", "path", F.col("size_bytes").cast("string"), F.col("mtime_ms").cast("string")), 256)
-    lanes = manifest.select("target_dir", *[_lane(h, i).alias(f"l{i}") for i in range(4)])
-    agg = lanes.groupBy("target_dir").agg(F.count("*").alias("n_files"), *[F.sum(f"l{i}").alias(f"s{i}") for i in range(4)])
-    fp = F.sha2(
-        F.concat_ws("|", F.lit(f"v{INDEX_VERSION}"), "target_dir", F.col("n_files").cast("string"),
-                    *[F.col(f"s{i}").cast("string") for i in range(4)]),
-        256,
+    return lane_sums(manifest).drop("lanes")
+
+
+def moved_fingerprints(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """:func:`lane_sums` of the targets of ``changes`` after them, from the sums of
+    ``current`` (target_dir, n_files, lanes) and the changed files alone:
+    ``changes(target_dir, path, size_bytes, mtime_ms, deleted, stored_size, stored_mtime)``
+    holds each changed file once, with the stat it is stored with (NULL: not stored).
+    Targets without a file left have no row."""
+    live, stored = ~F.col("deleted"), F.col("stored_mtime").isNotNull()
+    zero = F.lit(0).cast("decimal(38,0)")
+    share = lambda cond, v: F.when(cond, v).otherwise(zero)
+    pairs = zip(_file_lanes("size_bytes", "mtime_ms"), _file_lanes("stored_size", "stored_mtime"))
+    moved = changes.select(
+        "target_dir", (live.cast("long") - stored.cast("long")).alias("n"),
+        *[(share(live, new) - share(stored, old)).cast("decimal(38,0)").alias(f"l{i}") for i, (new, old) in enumerate(pairs)],
+    )
+    moved = moved.groupBy("target_dir").agg(F.sum("n").alias("n"), *[F.sum(f"l{i}").alias(f"s{i}") for i in range(LANES)])
+    after = moved.join(current.select("target_dir", "n_files", "lanes"), "target_dir", "left").select(
+        "target_dir", (F.coalesce("n_files", F.lit(0)) + F.col("n")).alias("n_files"),
+        F.array(*[(F.coalesce(F.get("lanes", i), zero) + F.col(f"s{i}")).cast("decimal(38,0)") for i in range(LANES)]).alias("lanes"),
     )
-    return agg.select("target_dir", "n_files", fp.alias("fingerprint"))
+    return _digest(after.where("n_files > 0"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -198,6 +239,7 @@ class SnapshotStore:
                 target_id("target_dir").alias("target_id"), "target_dir",
                 F.lit(INDEX_VERSION).alias("version"), F.lit(None).cast("string").alias("fingerprint"),
                 F.lit(EVENT_INVALIDATE).alias("event"), as_of.cast("timestamp").alias("generated_at"),
+                F.lit(None).cast("long").alias("n_files"), F.lit(None).cast("array<decimal(38,0)>").alias("lanes"),
             )
         )
 
@@ -232,7 +274,7 @@ class SnapshotStore:
         files_reused, files_removed``. ``force`` rebuilds every target.
         """
         manifest = file_manifest(files)
-        fps = fingerprints(manifest).withColumn("target_id", target_id("target_dir"))
+        fps = lane_sums(manifest).withColumn("target_id", target_id("target_dir"))
         cur = self.current().select("target_id", F.col("fingerprint").alias("stored_fp"), F.col("version").alias("stored_version"))
         if targets is not None:
             asked = targets.select("target_dir").distinct().withColumn("target_id", target_id("target_dir"))
@@ -246,7 +288,7 @@ class SnapshotStore:
         # reads the store would otherwise be re-run against the new files.
         st = materialize(st.withColumn("hit", hit), "refresh-status")
         changed = st.where(~F.col("hit"))
-        miss = changed.where(F.col("fingerprint").isNotNull()).select("target_id", "target_dir", "fingerprint")
+        miss = changed.where(F.col("fingerprint").isNotNull()).select("target_id", "target_dir", "fingerprint", "n_files", "lanes")
         emptied = changed.where(F.col("fingerprint").isNull() & F.col("stored_fp").isNotNull())
         if changed.isEmpty():
             return self._refresh_status(st, self.spark.createDataFrame([], "target_dir string, path string, status string"))
@@ -275,12 +317,11 @@ class SnapshotStore:
             keep = changes.where(F.col("status") == "unchanged").select("target_dir", "path")
             parts.append(stored.join(keep, ["target_dir", "path"], "left_semi").select(*SYMBOL_COLUMNS, *ENTRY_STAT_COLUMNS))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        rows = rows.join(miss, "target_dir", "inner")
-        self.write_entries(rows)
+        self.write_entries(rows.join(miss.select("target_id", "target_dir", "fingerprint"), "target_dir"))
         self.append_events(
             miss.select(
                 "target_id", "target_dir", F.lit(INDEX_VERSION).alias("version"), "fingerprint",
-                F.lit(EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"),
+                F.lit(EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"), "n_files", "lanes",
             )
         )
         self.invalidate(emptied.select("target_dir"), as_of)

@@ -43,10 +43,12 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
     ).drop("deleted_ms")
     stored = store.entries(latest)
     if stored is not None:
-        stat = stored.select("target_dir", "path", F.col("mtime_ms").alias("stored_mtime")).distinct()
+        stat = stored.select("target_dir", "path", F.col("size_bytes").alias("stored_size"), F.col("mtime_ms").alias("stored_mtime")).distinct()
         latest = latest.join(stat, ["target_dir", "path"], "left").where(
             F.col("stored_mtime").isNull() | (F.col("mtime_ms") >= F.col("stored_mtime"))
-        ).drop("stored_mtime")
+        )
+    else:
+        latest = latest.withColumns({c: F.lit(None).cast("long") for c in ("stored_size", "stored_mtime")})
     latest = materialize(latest, "upkeep-latest")
     touched = latest.select("target_id").distinct()
     store.append_tombstones(latest.where("deleted").select("target_dir", "path", F.col("mtime_ms").alias("deleted_ms")))
@@ -62,12 +64,19 @@ def apply_changes(store: SN.SnapshotStore, changes: DataFrame, extract: Callable
         parts.append(kept.select(*SYMBOL_COLUMNS, *SN.ENTRY_STAT_COLUMNS))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = materialize(rows, "upkeep-rows")
-    fps = SN.fingerprints(rows.select("target_dir", "path", "size_bytes", "mtime_ms").distinct())
+    # From the sums kept with the last event and the changed files alone; events of an
+    # earlier form have no sums, and their targets are summed up anew.
+    current = store.current().join(touched, "target_id", "left_semi")
+    fps = SN.moved_fingerprints(current.where("lanes is not null"), latest)
+    bare = current.where("lanes is null").select("target_dir")
+    if not bare.isEmpty():
+        whole = SN.lane_sums(rows.select("target_dir", "path", "size_bytes", "mtime_ms").distinct().join(bare, "target_dir", "left_semi"))
+        fps = fps.join(bare, "target_dir", "left_anti").unionByName(whole)
     fps = materialize(fps.withColumn("target_id", SN.target_id("target_dir")), "upkeep-fps")
     store.write_entries(rows.join(fps.select("target_dir", "target_id", "fingerprint"), "target_dir"))
     store.append_events(
         fps.select("target_id", "target_dir", F.lit(SN.INDEX_VERSION).alias("version"), "fingerprint",
-                   F.lit(SN.EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"))
+                   F.lit(SN.EVENT_WRITE).alias("event"), as_of.cast("timestamp").alias("generated_at"), "n_files", "lanes")
     )
     # A touched target with no file left has no snapshot any more.
     emptied = latest.select("target_dir").distinct().join(fps.select("target_dir"), "target_dir", "left_anti")

@@ -8,6 +8,7 @@ from conftest import make_files
 from skimdex.operators import snapshots as SN
 from skimdex.operators import symbols as Y
 from skimdex.session import scratch_path
+from skimdex.streaming import upkeep as SU
 
 
 def _files(spark, content, mtime_s=0):
@@ -72,3 +73,49 @@ def test_emptied_target_and_late_edit(spark):
     again = ("/t", "a.ts", "export function again(): void {}\n", 33, day(6), False)
     SU.apply_changes(store, spark.createDataFrame([again], schema), Y.extract_symbols, as_of)
     assert {r.name for r in store.symbols().collect()} == {"again", "B"}
+
+
+def test_fingerprint_moves_with_the_changed_files_alone(spark):
+    """The sums of the last event and the changed files give what all files give, and
+    the plan reads no other file of the target."""
+    import random
+
+    r = random.Random(5)
+    stat = lambda: (r.randrange(10**6), r.randrange(10**12))
+    old = {(f"/t{i % 3}", f"f{i}.ts"): stat() for i in range(60)}
+    new = dict(old)
+    changed = []
+    for k in r.sample(sorted(old), 25):
+        gone = r.random() < 0.3 or k[0] == "/t2" and r.random() < 0.5
+        size, mtime = stat()
+        changed.append((*k, size, mtime, gone, *old[k]))
+        new.pop(k)
+        if not gone:
+            new[k] = (size, mtime)
+    for i in range(5):
+        size, mtime = stat()
+        changed.append((f"/t{i}", f"new{i}.ts", size, mtime, False, None, None))
+        new[f"/t{i}", f"new{i}.ts"] = (size, mtime)
+    manifest = "target_dir string, path string, size_bytes long, mtime_ms long"
+    rows = lambda d: spark.createDataFrame([(*k, *v) for k, v in d.items()], manifest)
+    changes = spark.createDataFrame(changed, manifest + ", deleted boolean, stored_size long, stored_mtime long")
+    current = SN.lane_sums(rows(old))
+    want = {tuple(x) for x in SN.fingerprints(rows(new)).collect()}
+    assert {tuple(x) for x in SN.moved_fingerprints(current, changes).drop("lanes").collect()} == want
+    out = [(*k, 1, 1, True, *v) for k, v in old.items()]
+    assert SN.moved_fingerprints(current, spark.createDataFrame(out, changes.schema)).count() == 0
+
+
+def test_streamed_change_keeps_the_fingerprint_of_all_files(spark):
+    store = SN.SnapshotStore(spark, scratch_path(spark, "test-lanes"))
+    as_of = F.timestamp_seconds(F.lit(1_700_000_000))
+    files = make_files(spark, [(f"f{i}.ts", f"export function f{i}() {{}}") for i in range(6)])
+    store.refresh(files, Y.extract_symbols, as_of).collect()
+    schema = "target_dir string, path string, content string, size_bytes bigint, mtime timestamp, deleted boolean"
+    day = dt.datetime(2024, 2, 1)
+    text = "export function g() {}"
+    batch = [("/t", "f1.ts", text, len(text), day, False), ("/t", "f2.ts", None, None, day, True), ("/t", "n.ts", text, len(text), day, False)]
+    SU.apply_changes(store, spark.createDataFrame(batch, schema), Y.extract_symbols, as_of + F.expr("INTERVAL 1 SECOND"))
+    stats = store.entries().select("target_dir", "path", *SN.ENTRY_STAT_COLUMNS).distinct()
+    event = store.current().first()
+    assert (event.n_files, event.fingerprint) == tuple(SN.fingerprints(stats).select("n_files", "fingerprint").first()) and event.n_files == 6
