@@ -607,7 +607,7 @@ FLAGSHIP = "session_budget"
 # --------------------------------------------------------------------------
 
 from skimdex.operators import snapshots as SN  # noqa: E402
-from skimdex.session import scratch_path  # noqa: E402
+from skimdex.session import materialize, scratch_path  # noqa: E402
 
 # Fixed parameters of the registered snapshot queries (explicit for determinism).
 AS_OF = "2024-01-30 23:30:00"
@@ -939,3 +939,53 @@ def q_scan_binary(spark, sf):
     D.write_tree(_docs(spark, sf), root)
     tree = D.binary_corpus(spark, root)
     return tree.select("path", "size_bytes", T.token_estimate("content").cast("bigint").alias("token_estimate"), "error")
+
+
+# --------------------------------------------------------------------------
+# index tools
+# --------------------------------------------------------------------------
+
+from skimdex.operators import index_tools as IT  # noqa: E402
+from skimdex.streaming import index_tools as SI  # noqa: E402
+
+_INDEX_CALLS_SQL = (
+    f"{_GK}, {_G_FP}, calls AS (SELECT CAST(o.o_orderkey AS BIGINT) AS request_id, o.o_custkey, CAST(o.o_orderkey % 7 AS INT) AS k, "
+    "coalesce('/repo/' || lower(p.p_type), '/repo/none') AS target_dir FROM orders o LEFT JOIN part p ON o.o_custkey = p.p_partkey), "
+    "seen AS (SELECT *, coalesce(last_value(CASE WHEN k IN (0, 1, 2) THEN true WHEN k = 3 THEN false END IGNORE NULLS) OVER "
+    "(PARTITION BY target_dir ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM calls WHERE k <> 6), "
+    "ans AS (SELECT s.request_id, CASE WHEN k < 3 THEN 'repo_index' WHEN k = 3 THEN 'index_cache_invalidate' ELSE 'index_cache_stats' END AS tool, "
+    "s.target_dir, CASE WHEN k < 3 THEN before AND k <> 1 END AS hit, "
+    "CASE WHEN k < 3 THEN CASE WHEN before AND k <> 1 THEN 'disk' ELSE 'rebuild' END END AS layer, CASE WHEN k < 3 THEN f.fingerprint END AS fingerprint, "
+    "CASE WHEN k < 3 THEN coalesce(t.files_indexed, 0) END AS files_indexed, CASE WHEN k < 3 THEN coalesce(t.skeleton_tokens, 0) END AS skeleton_tokens, "
+    "CASE WHEN k = 3 THEN true END AS index_cache_invalidated, CASE WHEN k = 3 THEN o_custkey % 2 = 0 END AS read_file_cache_cleared, "
+    "CASE WHEN k > 3 THEN left(sha256(s.target_dir), 16) END AS cache_id, CASE WHEN k > 3 THEN before END AS \"exists\", "
+    "CAST(NULL AS INT) AS error_code, CAST(NULL AS VARCHAR) AS error "
+    "FROM seen s LEFT JOIN cfp f ON f.target_dir = s.target_dir LEFT JOIN totals t ON t.target_dir = s.target_dir "
+    "UNION ALL SELECT request_id, 'repo_index', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, -32602, 'repo_index requires targetDir' FROM calls WHERE k = 6) "
+    "SELECT * FROM ans"
+)
+
+
+def _index_targets(spark, sf):
+    files, _, _, entries = _skeleton(spark, sf)
+    return materialize(IT.index_targets(SN.file_manifest(files), K.corpus_totals(K.skeleton_text(entries))), "index-targets")
+
+
+@query("index_tools", _INDEX_CALLS_SQL)
+def q_index_tools(spark, sf):
+    """Answers to repo_index (cache block included), invalidation and stats calls, each
+    after the calls before it on its target."""
+    return IT.answer(R.index_payloads(spark, sf), _index_targets(spark, sf), spark.createDataFrame([], IT.STATE_SCHEMA))[0]
+
+
+@query("stream_index_tools", _INDEX_CALLS_SQL)
+def q_stream_index_tools(spark, sf):
+    """The same calls as a stream of three micro-batches with state between them."""
+    root = scratch_path(spark, "index-tools")
+    calls = materialize(R.index_payloads(spark, sf), "index-payloads")
+    bounds = calls.approxQuantile("request_id", [1 / 3, 2 / 3], 0.01)
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        part = calls.where((F.lit(low).isNull() | (F.col("request_id") > F.lit(low))) & (F.lit(high).isNull() | (F.col("request_id") <= F.lit(high))))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    SI.start(spark, f"{root}/in", _index_targets(spark, sf), root, max_files_per_trigger=1).awaitTermination()
+    return SI.answers(spark, root)

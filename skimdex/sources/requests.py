@@ -128,3 +128,25 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o.o_custkey AS BIGINT) AS session_id",
         f"{payload_sql()} AS payload",
     )
+
+
+def index_payload_sql() -> str:
+    """Portable SQL for the payload of an index-tool call of an order; its target is that
+    of the part with the customer's number, or one without files."""
+    k = "CAST(o.o_orderkey % 7 AS INT)"
+    tool = f"(CASE WHEN {k} IN (0, 1, 2, 6) THEN 'repo_index' WHEN {k} = 3 THEN 'index_cache_invalidate' ELSE 'index_cache_stats' END)"
+    flags = (
+        f"(CASE WHEN {k} = 1 THEN ', \"forceRefresh\": true' WHEN {k} = 2 THEN ', \"forceRefresh\": \"true\"' "
+        f"WHEN {k} = 3 AND o.o_custkey % 2 = 0 THEN ', \"clearReadFileCache\": true' ELSE '' END)"
+    )
+    target = f"(CASE WHEN {k} = 6 THEN 'null' ELSE '\"' || coalesce('/repo/./' || lower(p.p_type), '/repo/none') || '\"' END)"
+    return "('{\"name\": \"' || " + tool + " || '\", \"arguments\": {\"targetDir\": ' || " + target + " || " + flags + " || '}}')"
+
+
+def index_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, session_id, payload)``: calls of the three index tools."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").alias("o")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type").alias("p")
+    return o.join(p, F.col("o.o_custkey") == F.col("p.p_partkey"), "left").selectExpr(
+        "CAST(o.o_orderkey AS BIGINT) AS request_id", "CAST(o.o_custkey AS BIGINT) AS session_id", f"{index_payload_sql()} AS payload"
+    )
