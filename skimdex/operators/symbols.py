@@ -97,6 +97,8 @@ DECLARATION = (
     rf"^((?:{_any(DECL_MODIFIERS)}\s+)*+)({_any(list(KIND_RANK))}){WORD_END}\s*(?:\*\s*)?"
     rf"(?!(?:extends|implements){WORD_END})({IDENT})?"
 )
+#: A constant; only on request, for the index does not list them.
+CONSTANT = rf"^export\s+(?:declare\s+)?const\s+(?!enum{WORD_END})(?={IDENT}\s*[:=;])"
 RETURN = rf"(?s)^\s*:(.*?)(?:{BLOCK}|;|\z)"
 ENDS_BY = rf"(?s)^.*?({BLOCK}|;|\z)"
 ALIAS = rf"(?s)^(.*?)(?:;|\z|{LINE_END})"
@@ -302,7 +304,7 @@ def _opens(d0: Column) -> Column:
 PIECE_TEXTS = ["d0", "d1", "d2", "src"]
 
 
-def _small_statements(files: DataFrame, keys: list[str]) -> DataFrame:
+def _small_statements(files: DataFrame, keys: list[str], declares: str) -> DataFrame:
     x = files.select(*keys, "content", L.lexed(F.col("content"), L.is_jsx(F.col("path"))).alias("x"))
     x = x.select(*keys, "content", *[F.col(f"x.{c}").alias(c) for c in PIECE_TEXTS], F.col("x.suspect").alias("suspect"))
     x = x.withColumn("pieces", F.split("d0", HEAD, -1)).withColumn("starts", starts_of(F.col("pieces")))
@@ -317,7 +319,7 @@ def _small_statements(files: DataFrame, keys: list[str]) -> DataFrame:
     numbered = F.transform("pieces", lambda d0, i: F.when(_opens(d0), piece(d0, i)))
     x = x.select(*keys, "suspect", F.filter(numbered, lambda p: p.isNotNull()).alias("all"))
     x = x.withColumn("given", F.flatten(F.transform("all", lambda p: _given(p["d0"], p["d1"]))))
-    x = x.withColumn("all", F.filter("all", lambda p: p["d0"].rlike(DECLARATION)))
+    x = x.withColumn("all", F.filter("all", lambda p: p["d0"].rlike(declares)))
     return x.select(*keys, "suspect", "given", F.explode_outer("all").alias("p")).select(*keys, "p.*", "given", "suspect")
 
 
@@ -361,7 +363,7 @@ def lexed_chunks(files: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _large_statements(files: DataFrame, keys: list[str]) -> DataFrame:
+def _large_statements(files: DataFrame, keys: list[str], declares: str) -> DataFrame:
     """As for small files, by chunks: a statement that goes over chunk ends is put
     together from its pieces, which are numbered by the heads before them."""
     x = lexed_chunks(files, keys)
@@ -393,13 +395,13 @@ def _large_statements(files: DataFrame, keys: list[str]) -> DataFrame:
     s = s.where((F.col("number") > 0) & _opens(F.col("d0"))).join(trivia, [*FILE_KEYS, "number"], "left")
     given = s.select(*FILE_KEYS, F.explode(_given(F.col("d0"), F.col("d1"))).alias("n")).groupBy(*FILE_KEYS).agg(F.collect_set("n").alias("given"))
     marked = x.groupBy(*keys).agg((F.max("bad") | ~F.min("whole")).alias("suspect"))
-    found = s.where(F.col("d0").rlike(DECLARATION)).select(*FILE_KEYS, "pos", *PIECE_TEXTS, F.coalesce("trivia", F.lit("")).alias("trivia"))
+    found = s.where(F.col("d0").rlike(declares)).select(*FILE_KEYS, "pos", *PIECE_TEXTS, F.coalesce("trivia", F.lit("")).alias("trivia"))
     none = F.array().cast("array<string>")
     out = marked.join(found, FILE_KEYS, "left").join(given, FILE_KEYS, "left")
     return out.select(*keys, "pos", *PIECE_TEXTS, "trivia", F.coalesce("given", none).alias("given"), "suspect")
 
 
-def statements(files: DataFrame) -> DataFrame:
+def statements(files: DataFrame, declares: str = DECLARATION) -> DataFrame:
     """Pieces of every file that may declare something: ``(target_dir, path, pos, d0, d1,
     d2, src, trivia, given, suspect)``, one row each; ``given`` are the names that a list
     or default export of the file gives out. A file without such a piece has a row of
@@ -409,9 +411,9 @@ def statements(files: DataFrame) -> DataFrame:
     size = F.octet_length("content") if "size_bytes" not in files.columns else F.col("size_bytes")
     large = files.where((size > L.CHUNK) & (F.length("content") > L.CHUNK))
     if large.limit(1).count() == 0:
-        return _small_statements(files, keys)
+        return _small_statements(files, keys, declares)
     small = files.where(~((size > L.CHUNK) & (F.length("content") > L.CHUNK)))
-    return _small_statements(small, keys).unionByName(_large_statements(large, keys))
+    return _small_statements(small, keys, declares).unionByName(_large_statements(large, keys, declares))
 
 
 def _given(d0: Column, d1: Column) -> Column:
@@ -550,3 +552,14 @@ def capped_exports(symbols: DataFrame, most: int) -> DataFrame:
 def minimal_index(files: DataFrame) -> DataFrame:
     """``(target_dir, path, kind, name)``: the least that tells where something is."""
     return exported_declarations(source_candidates(files))
+
+
+def export_constants(files: DataFrame) -> DataFrame:
+    """``(target_dir, path, pos, kind, name, params)`` of exported constants: kind
+    ``const``, and as params the declared type, else that of a literal, else ``any``."""
+    t = statements(files, CONSTANT).where("pos is not null").withColumn("head", _matched(F.col("d0"), CONSTANT))
+    b = _from(F.col("d0"), F.col("head"))
+    t = t.withColumn("b", F.regexp_extract(b, ALIAS, 1))
+    typed = parameter(F.col("b"), _from(F.col("src"), F.col("head"), F.length("b")))
+    name = F.regexp_extract("b", rf"^{IDENT}", 0)
+    return t.select(*DECL_KEYS, F.lit("const").alias("kind"), name.alias("name"), F.substring(typed, F.length(name) + 3, F.length(typed)).alias("params"))

@@ -405,6 +405,14 @@ def q_capped_exports(spark, sf):
     return Y.capped_exports(x, 3).select("target_dir", "path", "ord", "kind", "name")
 
 
+@query(
+    "export_constants",
+    f"WITH {S.code_files_cte()} SELECT target_dir, path, 'const' AS kind, 'LIMIT_' || CAST(p_partkey AS VARCHAR) AS name, 'number' AS params FROM files",
+)
+def q_export_constants(spark, sf):
+    return Y.export_constants(Y.source_candidates(_code(spark, sf))).select("target_dir", "path", "kind", "name", "params")
+
+
 @query("minimal_index", f"{_G} SELECT target_dir, path, kind, name FROM expected")
 def q_minimal_index(spark, sf):
     return Y.minimal_index(_code(spark, sf))

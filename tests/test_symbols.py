@@ -248,3 +248,20 @@ def test_optional_indexes(spark):
     assert (f.params, f.return_type) == ("a: Z<W>", "V")
     assert [r.name for r in Y.capped_exports(rows, 2).orderBy("ord").collect()] == ["f", "A"]
     assert {(r.kind, r.name) for r in Y.minimal_index(files).collect()} == {("function", "f"), ("enum", "A"), ("enum", "C")}
+
+
+def test_constants_on_request(spark):
+    src = """export const A = 5
+export const b: Map<string, number> = new Map();
+export declare const c: string
+export const f = (x: number) => { return "const z = 1"; }
+export const enum E { X }
+const hidden = 1;
+export const { d, e } = obj;
+export const s = 'a;b', t = 2;
+export function g() {}
+"""
+    files = make_files(spark, [("a.ts", src)])
+    got = {r.name: r.params for r in Y.export_constants(files).collect()}
+    assert got == {"A": "number", "b": "Map<string, number>", "c": "string", "f": "any", "s": "any"}
+    assert {r.name for r in Y.extract_symbols(files).collect()} == {"E", "g"}
