@@ -3,13 +3,16 @@
 Texts are lower-cased, runs of other characters than letters become one space, and
 each language gets a trigram model with absolute discounts: raw counts for trigrams,
 continuation counts below. A trigram is packed into 63 bits, so the model is a sorted
-array of exact keys with one log-probability for each language; lower orders are
-looked up only for trigrams that no language has seen. The prediction is the
+array of exact keys with one log-probability for each language. The prediction is the
 language with the lowest cross-entropy per character.
 
-Counts cover all texts that may be learned from. The model alone is bounded: the
-`MODEL_NGRAMS` most frequent trigrams, in equal shares for each language, go to the
-driver and to the tasks. One learned document in `CALIBRATION` is kept out of the
+Counts, continuation counts and discounts cover all texts that may be learned from,
+as tables in Spark. A task holds the log-probabilities of the trigrams most frequent in
+all texts asked about, as many as fit `HELD_CELLS` numbers; this choice is a cache and
+changes no result. All other trigrams of a text, seen in learning or not, are looked
+up in the full tables by a join of distinct keys and come back as sums. Sums are whole
+numbers (logarithms in units of 1 / `SCALE`), so entropies are the same for any
+`HELD_CELLS`. One learned document in `CALIBRATION` is kept out of the
 counts; the margin between the two best languages there gives the share of right
 answers for each margin (made monotone), which is the score, and their entropies give
 the limit beyond which a text is no language the model knows. `rejected` marks both.
@@ -17,15 +20,19 @@ the limit beyond which a text is no language the model knows. `rejected` marks b
 Defined cases: null text and texts without a letter are `und` with score 0; rows with
 null lang are predicted, not learned from; a null doc_id has remainder 0; with nothing
 to learn from all are `und`; equal entropies go to the first language by code point;
-repeated rows count and are answered each; other columns are ignored.
+repeated rows count and are answered each; no rows in, no rows out; a text of any
+length is one row, whose trigrams (8 bytes each) a task holds once, not once for each
+language; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skimdex.llm.common import ship, stage
@@ -33,7 +40,9 @@ from skimdex.llm.common import ship, stage
 ship(__name__)
 FOLDS, HELD_OUT = 3, 1
 CALIBRATION = 10
-MODEL_NGRAMS = 2_000_000
+#: Numbers (trigrams x languages, 4 bytes each) that a task holds.
+HELD_CELLS = 4_000_000
+SCALE = 1 << 24
 MIN_SCORE = 0.5
 ENTROPY_SD = 6.0
 MARGIN_BINS, BINS_PER_NAT = 64, 40
@@ -116,22 +125,6 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` trigrams of each language: whole quarter-octaves of
-    frequency from the top, by a histogram."""
-    octave = F.floor(F.log2("n") * 4).cast("int")
-    upto = Window.partitionBy("lang").orderBy(F.col("octave").desc())
-    kept = (
-        counts.groupBy("lang", octave.alias("octave"))
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("upto", F.sum("k").over(upto))
-        .filter(F.col("upto") <= limit)
-        .groupBy("lang")
-        .agg(F.min("octave").alias("least"))
-    )
-    return counts.join(kept, "lang").filter(octave >= F.col("least")).select("lang", "key", "n")
-
-
 def _discount(n: np.ndarray) -> float:
     one, two = int((n == 1).sum()), int((n == 2).sum())
     return one / (one + 2 * two) if one and two else 0.5
@@ -145,115 +138,232 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def _value(keys, values, wanted, default=0.0):
-    at, there = _at(keys, wanted)
-    return np.where(there, values[at] if len(values) else default, default)
+LOW2, LOW1 = (1 << 42) - 1, (1 << 21) - 1
 
 
-LOW2, LOW1 = (1 << 42) - 1, (1 << 21) - 1
+@dataclass(frozen=True)
+class Tables:
+    """Kneser-Ney counts of all languages. Per trigram, context and pair there is a
+    table (key, held), ``held`` with one (l, n, k) for each language that has it: the
+    count of a trigram; the tokens and types after a context; the types before a
+    pair. What goes by one letter is arrays (letter, language) on the driver, bounded
+    by the letters there are."""
+
+    langs: tuple[str, ...]
+    by_key: DataFrame
+    by_context: DataFrame
+    by_pair: DataFrame
+    d3: np.ndarray
+    d2: np.ndarray
+    middle: np.ndarray
+    total2: np.ndarray
+    types2: np.ndarray
+    last: np.ndarray
+    p1: np.ndarray
+    p1_other: np.ndarray
+
+
+HELD = "key long, logs array<long>"
+
+
+def _dense(held: pa.Array, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """n and k of a column of lists of (l, n, k), as (row, language); nulls are zero."""
+    sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+    flat = held.flatten()
+    row, lang = np.repeat(np.arange(len(held)), sizes), flat.field("l").to_numpy()
+    n, k = np.zeros((len(held), n_langs)), np.zeros((len(held), n_langs))
+    n[row, lang], k[row, lang] = flat.field("n").to_numpy(), flat.field("k").to_numpy()
+    return n, k
+
+
+def _held(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("l", "n", "k")).alias("held"))
+
+
+def _discounts(counted: DataFrame, n_langs: int) -> np.ndarray:
+    """Share of counts of one against counts of two for each language."""
+    out = np.full(n_langs, 0.5)
+    for r in counted.groupBy("l").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():
+        if r["one"] and r["two"]:
+            out[r["l"]] = r["one"] / (r["one"] + 2 * r["two"])
+    return out
+
+
+def _by_letter(rows: DataFrame, n_langs: int, *cols: str) -> tuple[np.ndarray, ...]:
+    """Sorted letters, and an array (letter, language) of each column."""
+    got = rows.toPandas()
+    letter, at = np.unique(got["letter"].to_numpy(np.int64), return_inverse=True)
+    out = [np.zeros((len(letter), n_langs)) for _ in cols]
+    for x, c in zip(out, cols):
+        x[at, got["l"].to_numpy()] = got[c].to_numpy(np.float64)
+    return letter, *out
+
+
+def tables(counts: DataFrame, langs: list[str]) -> Tables:
+    """From (lang, key, n); rows of other or no languages are left out."""
+    index = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    full = counts.filter(F.col("lang").isNotNull()).select(index[F.col("lang")].alias("l"), "key", "n", F.lit(1).cast("long").alias("k"))
+    context = full.groupBy("l", F.shiftright("key", 21).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    pairs = full.groupBy("l", F.col("key").bitwiseAND(F.lit(LOW2)).alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1).cast("long"))
+    pairs = stage(pairs, "pairs")
+    letter = F.shiftright("key", 21).alias("letter")
+    middle, total2, types2 = _by_letter(pairs.groupBy("l", letter).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")), len(langs), "n", "k")
+    last, n1 = _by_letter(pairs.groupBy("l", F.col("key").bitwiseAND(F.lit(LOW1)).alias("letter")).agg(F.count(F.lit(1)).alias("n")), len(langs), "n")
+    total1 = np.maximum(n1.sum(axis=0), 1.0)
+    d1 = np.array([_discount(x) for x in n1.T])
+    other = np.maximum(d1 * (n1 > 0).sum(axis=0) / total1, 1e-9) / (len(last) + 1)
+    return Tables(
+        tuple(langs),
+        stage(_held(full, "key"), "by_key"),
+        stage(_held(context, "key"), "by_context"),
+        stage(_held(pairs, "key"), "by_pair"),
+        _discounts(full, len(langs)),
+        _discounts(pairs, len(langs)),
+        middle,
+        total2,
+        types2,
+        last,
+        np.maximum(n1 - d1, 0) / total1 + other,
+        other,
+    )
 
 
-class KneserNey:
-    """One language, from sorted trigram keys and their counts."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, vocabulary: int):
-        self.keys, self.n, self.uniform = keys, n.astype(np.float64), 1.0 / vocabulary
-        ones = np.ones(len(keys))
-        self.d3 = _discount(n)
-        self.context, self.total = _summed(keys >> 21, self.n)
-        _, self.types = _summed(keys >> 21, ones)
-        self.two, self.n2 = _summed(keys & LOW2, ones)
-        self.d2 = _discount(self.n2)
-        self.middle, self.total2 = _summed(self.two >> 21, self.n2)
-        _, self.types2 = _summed(self.two >> 21, np.ones(len(self.two)))
-        self.one, self.n1 = _summed(self.two & LOW1, np.ones(len(self.two)))
-        self.d1 = _discount(self.n1)
-        self.total1 = max(self.n1.sum(), 1.0)
-
-    def p1(self, c):
-        rest = self.d1 * len(self.one) / self.total1
-        return np.maximum(_value(self.one, self.n1, c) - self.d1, 0) / self.total1 + max(rest, 1e-9) * self.uniform
-
-    def p2(self, bc):
-        total = _value(self.middle, self.total2, bc >> 21)
-        rest = np.where(total > 0, self.d2 * _value(self.middle, self.types2, bc >> 21) / np.maximum(total, 1), 1.0)
-        return np.maximum(_value(self.two, self.n2, bc) - self.d2, 0) / np.maximum(total, 1) + rest * self.p1(bc & LOW1)
-
-    def p3(self, abc):
-        total = _value(self.context, self.total, abc >> 21)
-        rest = np.where(total > 0, self.d3 * _value(self.context, self.types, abc >> 21) / np.maximum(total, 1), 1.0)
-        return np.maximum(_value(self.keys, self.n, abc) - self.d3, 0) / np.maximum(total, 1) + rest * self.p2(abc & LOW2)
-
-
-class Model:
-    """All languages: the sorted trigrams that any has seen, a column of log
-    probabilities for each; other trigrams go through the languages' models."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        self.keys = np.unique(np.concatenate([k for k, _ in counts.values()]))
-        vocabulary = len(np.unique(self.keys & LOW1)) + 1
-        self.models = [KneserNey(*counts[x], vocabulary) for x in self.langs]
-        self.log_p = np.stack([np.log(m.p3(self.keys)) for m in self.models], axis=1).astype(np.float32)
-
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Cross-entropy for each character, (text, language)."""
-        grams = [trigrams(letters(t)) for t in texts]
-        sizes = np.array([len(g) for g in grams])
-        keys = np.concatenate(grams) if len(grams) else np.empty(0, np.int64)
+def _logs(t: Tables):
+    """mapInArrow function: key and the three lists it was joined with come in, the
+    logarithm for each language goes out, in units of 1 / SCALE."""
+    n_langs, d3, d2, letter2, total2, types2, letter1, p1, other = len(t.langs), t.d3, t.d2, t.middle, t.total2, t.types2, t.last, t.p1, t.p1_other
+
+    def at_letter(letter, values, wanted, default):
+        at, there = _at(letter, wanted)
+        return np.where(there[:, None], values[at], default) if len(letter) else np.zeros((len(wanted), n_langs)) + default
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            n3, _ = _dense(batch.column(1), n_langs)
+            total3, types3 = _dense(batch.column(2), n_langs)
+            n2, _ = _dense(batch.column(3), n_langs)
+            low = at_letter(letter1, p1, keys & LOW1, other)
+            b = (keys >> 21) & LOW1
+            total = at_letter(letter2, total2, b, 0.0)
+            rest = np.where(total > 0, d2 * at_letter(letter2, types2, b, 0.0) / np.maximum(total, 1), 1.0)
+            low = np.maximum(n2 - d2, 0) / np.maximum(total, 1) + rest * low
+            rest = np.where(total3 > 0, d3 * types3 / np.maximum(total3, 1), 1.0)
+            p = np.maximum(n3 - d3, 0) / np.maximum(total3, 1) + rest * low
+            logs = np.rint(np.log(p) * SCALE).astype(np.int64)
+            offsets = np.arange(0, logs.size + 1, n_langs, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, logs.ravel())], names=["key", "logs"])
+
+    return run
+
+
+def log_probabilities(t: Tables, wanted: DataFrame) -> DataFrame:
+    """(key, logs) of the distinct trigrams ``wanted``, seen or not, from the full
+    tables by joins; logs has a value for each language."""
+
+    def of(table: DataFrame, on: str, name: str) -> DataFrame:
+        return table.select(F.col("key").alias(on), F.col("held").alias(name))
+
+    w = wanted.select("key", F.shiftright("key", 21).alias("context"), F.col("key").bitwiseAND(F.lit(LOW2)).alias("pair"))
+    w = w.join(of(t.by_key, "key", "n3"), "key", "left").join(of(t.by_context, "context", "t3"), "context", "left").join(of(t.by_pair, "pair", "n2"), "pair", "left")
+    return w.select("key", "n3", "t3", "n2").mapInArrow(_logs(t), HELD)
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` keys, whole quarter-octaves of frequency from the top, by a
+    histogram."""
+    total = counts.groupBy("key").agg(F.sum("n").alias("n")).withColumn("octave", F.floor(F.log2("n") * 4).cast("int"))
+    least, held = None, 0
+    for r in sorted(total.groupBy("octave").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["octave"]):
+        held += r["k"]
+        if held > limit:
+            break
+        least = r["octave"]
+    return total.filter(F.col("octave") >= least).select("key") if least is not None else total.limit(0).select("key")
+
+
+class Held:
+    """Log probabilities of the trigrams a task has at hand: sorted keys, an array
+    (language, key), and a last column of zeros for all others."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys = keys
+        self.logs = np.concatenate([logs, np.zeros((len(logs), 1), np.int32)], axis=1)
+
+    def sums(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of each text, (text, language), and which keys are not held. ``keys``
+        are those of several texts, none empty, that begin at ``starts``."""
         at, there = _at(self.keys, keys)
-        logs = self.log_p[at]
-        if not there.all():
-            other = keys[~there]
-            logs[~there] = np.stack([np.log(m.p3(other)) for m in self.models], axis=1)
-        out = np.full((len(texts), len(self.langs)), np.inf)
-        some = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[some]
-        if len(starts):
-            out[some] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / sizes[some, None]
-        return out
-
-
-def _scored(model: Model, n_other: int):
-    """mapInArrow function: columns doc_id, text and ``n_other`` more come in; doc_id,
-    the others, lang_pred, entropy and margin go out."""
-    chunk = max(1, 4 * CHUNK // len(model.langs))
-
-    def answer(texts):
-        e = model.entropies(texts)
-        best = e.argmin(axis=1)
-        low = e[np.arange(len(texts)), best]
-        rest = np.sort(e, axis=1)[:, 1] if e.shape[1] > 1 else np.full(len(texts), np.inf)
-        return [(model.langs[b], float(x), float(min(r - x, 1e3))) for b, x, r in zip(best, low, rest)]
+        at = np.where(there, at, len(self.keys))
+        return np.stack([np.add.reduceat(x[at], starts, dtype=np.int64) for x in self.logs], axis=1), ~there
+
+
+def _scored(held: Held, n_other: int):
+    """mapInArrow function: text and ``n_other`` more columns come in; the others go
+    out with n, the trigrams of the text (null if none), sums, a number for each
+    language over those held, and rest, the (key, times) that are not held."""
+    n_langs = len(held.logs)
+    pair = pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())]))
+
+    def answer(grams):
+        sizes = np.array([len(g) for g in grams])
+        ends = np.cumsum(sizes)
+        keys = np.concatenate(grams)
+        sums, missing = held.sums(keys, ends - sizes)
+        rest = [None] * len(grams)
+        if missing.any():
+            text = np.repeat(np.arange(len(grams)), sizes)[missing]
+            bounds = np.searchsorted(text, np.arange(len(grams) + 1))
+            other = keys[missing]
+            for i in np.unique(text):
+                k, n = np.unique(other[bounds[i] : bounds[i + 1]], return_counts=True)
+                rest[i] = [{"key": int(a), "times": int(b)} for a, b in zip(k, n)]
+        return list(zip(sizes.tolist(), sums.tolist(), rest))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [("und", None, None)] * len(texts)
-            rows, chars = [], 0
+            texts = batch.column(0).to_pylist()
+            out, rows, grams, size = [(None, [0] * n_langs, None)] * len(texts), [], [], 0
             for i, t in enumerate(texts):
-                if has_letter(t):
+                g = trigrams(letters(t or ""))
+                if len(g):
                     rows.append(i)
-                    chars += len(t)
-                if rows and (chars >= chunk or i == len(texts) - 1):
-                    for r, a in zip(rows, answer([texts[k] for k in rows])):
+                    grams.append(g)
+                    size += len(g)
+                if rows and (size >= CHUNK or i == len(texts) - 1):
+                    for r, a in zip(rows, answer(grams)):
                         out[r] = a
-                    rows, chars = [], 0
-            if rows:
-                for r, a in zip(rows, answer([texts[k] for k in rows])):
-                    out[r] = a
-            cols = [batch.column(0), *[batch.column(2 + i) for i in range(n_other)]]
-            cols += [pa.array([x[0] for x in out], pa.string()), *[pa.array([x[k] for x in out], pa.float64()) for k in (1, 2)]]
-            names = [batch.schema.names[0], *batch.schema.names[2 : 2 + n_other], "lang_pred", "entropy", "margin"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    rows, grams, size = [], [], 0
+            cols = [batch.column(1 + i) for i in range(n_other)]
+            cols += [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pair)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[1 : 1 + n_other], "n", "sums", "rest"])
 
     return run
 
 
-def score_rows(df: DataFrame, model: Model, id_type: str, others: tuple[str, ...] = ()) -> DataFrame:
+def score_rows(df: DataFrame, t: Tables, held: Held) -> DataFrame:
+    """The columns of ``df`` but text, with lang_pred, entropy and margin. Trigrams
+    that a task does not hold go by (row, key) to the full tables and come back as
+    sums; all sums are whole numbers, so it makes no difference which are held."""
+    others = [c for c in df.columns if c != "text"]
     types = dict(df.dtypes)
-    schema = f"doc_id {id_type}, " + "".join(f"{c} {types[c]}, " for c in others) + "lang_pred string, entropy double, margin double"
-    return df.select("doc_id", "text", *others).mapInArrow(_scored(model, len(others)), schema)
+    schema = "".join(f"`{c}` {types[c]}, " for c in others) + "n long, sums array<long>, rest array<struct<key:bigint,times:bigint>>"
+    out = df.select("text", *others).mapInArrow(_scored(held, len(others)), schema)
+    out = stage(out.withColumn("row", F.monotonically_increasing_id()), "sums")
+    asked = out.select("row", F.explode("rest").alias("r")).select("row", "r.key", "r.times")
+    if asked.limit(1).count():
+        logs = stage(log_probabilities(t, asked.select("key").distinct()), "logs")
+        back = asked.join(logs, "key").groupBy("row").agg(*[F.sum(F.col("logs")[i] * F.col("times")).alias(f"l{i}") for i in range(len(t.langs))])
+        back = back.select("row", F.array(*[F.col(f"l{i}") for i in range(len(t.langs))]).alias("more"))
+        out = out.drop("rest").join(back, "row", "left")
+        sums = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    else:
+        sums = F.col("sums")
+    entropies = F.when(F.col("n").isNotNull(), F.transform(sums, lambda x: -x / F.lit(float(SCALE)) / F.col("n")))
+    out = out.select(*others, entropies.alias("e")).withColumns({"entropy": F.array_min("e"), "two": F.slice(F.array_sort("e"), 1, 2)})
+    best = F.element_at(F.array(*[F.lit(x) for x in t.langs]), F.array_position("e", F.col("entropy")).cast("int"))
+    margin = F.when(F.size("two") > 1, F.least(F.col("two")[1] - F.col("two")[0], F.lit(1e3))).when(F.col("entropy").isNotNull(), F.lit(1e3))
+    return out.select(*others, F.when(F.col("entropy").isNull(), F.lit("und")).otherwise(best).alias("lang_pred"), "entropy", margin.alias("margin"))
 
 
 def _margin_bin(margin: Column) -> Column:
@@ -286,27 +396,31 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
-def train(labelled: DataFrame, model_ngrams: int = MODEL_NGRAMS) -> Model | None:
-    counts = stage(trigram_counts(labelled), "trigrams")
-    n_langs = counts.select("lang").distinct().count()
-    if not n_langs:
+def train(rows: DataFrame, teach: Column, cells: int = HELD_CELLS) -> tuple[Tables, Held] | None:
+    """The full tables from the rows whose language ``teach`` is not null, and the
+    trigrams most frequent in all ``rows`` for the tasks."""
+    counts = stage(trigram_counts(rows.select(teach.alias("lang"), "text")), "trigrams")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect() if r["lang"] is not None)
+    if not langs:
         return None
-    rows = most_frequent(counts, model_ngrams // n_langs).toPandas().sort_values(["lang", "key"])
-    by = {lang: (g["key"].to_numpy(), g["n"].to_numpy()) for lang, g in rows.groupby("lang")}
-    return Model(by) if by else None
+    t = tables(counts, langs)
+    got = log_probabilities(t, most_frequent(counts, cells // len(langs))).select("key", *[F.col("logs")[i].cast("int").alias(f"l{i}") for i in range(len(langs))])
+    got = got.toPandas().sort_values("key")
+    return t, Held(got["key"].to_numpy(np.int64), np.stack([got[f"l{i}"].to_numpy(np.int32) for i in range(len(langs))]))
 
 
-def language_id(docs: DataFrame) -> DataFrame:
+def language_id(docs: DataFrame, cells: int = HELD_CELLS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, margin, rejected of each row."""
     d = docs.select("doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id"), FOLDS) == HELD_OUT)
-    labelled = d.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    kept_out = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(CALIBRATION)) == 0
-    id_type = dict(d.dtypes)["doc_id"]
-    model = train(labelled.filter(~kept_out)) or train(labelled)
-    if model is None:
+    known = F.when(~F.col("held_out") & F.col("text").isNotNull(), F.col("lang"))
+    kept_out = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(CALIBRATION)) == 0, F.lit(False))
+    trained = train(d, F.when(~kept_out, known), cells) or train(d, known, cells)
+    if trained is None:
         none = F.lit(None).cast("double")
         return d.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("entropy"), none.alias("margin"), F.lit(True).alias("rejected"))
-    shares, limits = calibrate(stage(score_rows(labelled.filter(kept_out), model, id_type, ("lang",)), "calibration"))
+    rows = d.select("doc_id", "text", "held_out", F.when(kept_out, known).alias("lang"))
+    scored = stage(score_rows(rows, *trained), "scored")
+    shares, limits = calibrate(scored.filter(F.col("lang").isNotNull()))
     score = F.when(F.col("margin").isNull(), F.lit(0.0)).otherwise(
         F.element_at(F.array(*[F.lit(float(s)) for s in shares]), _margin_bin(F.col("margin")) + 1)
     )
@@ -314,8 +428,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     for lang, most in limits.items():
         limit = F.when(F.col("lang_pred") == lang, F.lit(float(most))).otherwise(limit)
     return (
-        score_rows(d, model, id_type, ("held_out",))
-        .withColumn("score", score)
+        scored.withColumn("score", score)
         .withColumn("rejected", F.col("entropy").isNull() | (F.col("score") < MIN_SCORE) | (F.col("entropy") > limit))
         .select("doc_id", "held_out", "lang_pred", "score", "entropy", "margin", "rejected")
     )

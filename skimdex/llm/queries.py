@@ -28,7 +28,7 @@ def op3_chat_format(spark, sf_dir):
 
 def op4_language_id(spark, sf_dir):
     out = lang_id.language_id(documents(spark, sf_dir, "doc_id", "text", "lang"))
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op5_mixing(spark, sf_dir):

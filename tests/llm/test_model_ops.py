@@ -3,8 +3,10 @@ accuracy, URL filters and chat formatting by rule, and the pipeline."""
 
 import hashlib
 import json
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -169,15 +171,68 @@ def test_language_id_functions_travel_whole(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={})
 
 
-def test_kneser_ney_sums_to_one():
-    import numpy as np
-
-    g = np.concatenate([lang_id.trigrams(lang_id.letters(t)) for t in ("abra kadabra", "banana band", "kraal")])
-    keys, n = np.unique(g, return_counts=True)
-    vocabulary = np.unique(keys & lang_id.LOW1)
-    m = lang_id.KneserNey(keys, n, len(vocabulary))
-    for ctx in np.unique(keys >> 21)[:10]:
-        assert abs(m.p3((ctx << 21) | vocabulary).sum() - 1) < 1e-6
+def _plain_kneser_ney(texts):
+    """P(c | a, b) of one language by the textbook sums, and its letters."""
+    tri, n2, n1 = Counter(), Counter(), Counter()
+    for t in texts:
+        s = lang_id.letters(t).tolist()
+        tri.update(zip(s, s[1:], s[2:]))
+    n2.update(g[1:] for g in tri)
+    n1.update(g[1:] for g in n2)
+
+    def discount(c):
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return one / (one + 2 * two) if one and two else 0.5
+
+    d3, d2, d1 = discount(tri), discount(n2), discount(n1)
+
+    def p(a, b, c, vocabulary):
+        low = max(n1[(c,)] - d1, 0) / sum(n1.values()) + max(d1 * len(n1) / sum(n1.values()), 1e-9) / vocabulary
+        after = [v for g, v in n2.items() if g[0] == b]
+        low = max(n2[(b, c)] - d2, 0) / sum(after) + d2 * len(after) / sum(after) * low if after else low
+        after = [v for g, v in tri.items() if g[:2] == (a, b)]
+        return max(tri[(a, b, c)] - d3, 0) / sum(after) + d3 * len(after) / sum(after) * low if after else low
+
+    return p, {g[0] for g in n1}
+
+
+LEARNED = [("x", "abra kadabra"), ("x", "banana band"), ("y", "kraal"), ("y", "zebra zoo ñu"), ("x", "abba"), ("y", "zoo")]
+
+
+def test_kneser_ney_entropies_against_plain_sums(spark):
+    asked = ["abra zebra", "qqq kadan", "zoo", "ñandú ab", "banana", "q"]
+    plain = {x: _plain_kneser_ney([t for y, t in LEARNED if y == x]) for x in "xy"}
+    vocabulary = len(set().union(*(v for _, v in plain.values()))) + 1
+    learned = spark.createDataFrame(LEARNED, "lang string, text string")
+    rows_asked = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    for cells in (1_000_000, 8, 0):  # all, a few or none of the trigrams in the task
+        t, held = lang_id.train(learned, learned.lang, cells)
+        assert len(held.keys) <= cells // 2
+        got = {x.doc_id: x for x in lang_id.score_rows(rows_asked, t, held).collect()}
+        for i, text in enumerate(asked):
+            s = lang_id.letters(text).tolist()
+            e = {x: -sum(math.log(p(*g, vocabulary)) for g in zip(s, s[1:], s[2:])) / (len(s) - 2) for x, (p, _) in plain.items()}
+            assert got[i].lang_pred == min(e, key=e.get)
+            assert abs(got[i].entropy - min(e.values())) < 1e-6 and abs(got[i].margin - abs(e["x"] - e["y"])) < 1e-6
+
+
+def test_kneser_ney_sums_to_one(spark):
+    learned = spark.createDataFrame(LEARNED, "lang string, text string")
+    t, _ = lang_id.train(learned, learned.lang)
+    contexts = [r.key for r in t.by_context.collect()][:10] + [ord("q") << 21 | ord("q")]
+    wanted = spark.createDataFrame([((c << 21) | v,) for c in contexts for v in t.last.tolist()], "key long")
+    sums = Counter()
+    for r in lang_id.log_probabilities(t, wanted).collect():
+        for i, x in enumerate(r.logs):
+            sums[r.key >> 21, i] += math.exp(x / lang_id.SCALE)
+    # One share of the uniform part is for a letter that was never seen.
+    assert len(sums) == 2 * len(contexts) and all(0.9 < v <= 1 + 1e-6 for v in sums.values())
+
+
+def test_language_id_does_not_depend_on_what_tasks_hold(spark):
+    data = [(i, t, "en" if i % 2 else "de", s) for i, t, _, s in rows(60) if i is not None] + [(None, "qüx ßß", None, None)] * 2
+    one, few = (sorted(lang_id.language_id(frame(spark, data), cells).collect(), key=str) for cells in (4_000_000, 100))
+    assert one == few and len(one) == len(data)
 
 
 def test_url_filter(spark):
