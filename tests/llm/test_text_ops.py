@@ -201,6 +201,15 @@ def test_packing(spark):
         assert sorted(r.slot for r in b) == list(range(len(b)))
 
 
+def test_packing_is_optimal_for_long_texts(spark):
+    lengths = [65_530, 65_537, 65_538, 70_001, 70_003, 99_991] * 3 + [70_001] * 20
+    docs = spark.createDataFrame([(None, n) for n in lengths], "doc_id long, n long")
+    got = packing.pack(docs, docs.n, n_buckets=3, shard_docs=4).collect()
+    best = min(sum(min(e for e in (*ends, 99_991) if e >= n) - n for n in lengths) for ends in itertools.combinations(set(lengths) - {99_991}, 2))
+    assert sum(r.padding for r in got) == best and sorted(r.n_tokens for r in got) == sorted(lengths)
+    assert len({(r.bucket, r.shard) for r in got}) > 3  # rows without doc_id are dealt
+
+
 def test_empty_tables(spark):
     e = empty(spark)
     for f in (line_dedup.line_dedup, exact_dedup.exact_dedup, quality_rules.quality_rules, mixing.mix, packing.pack):
