@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints.
 
 A layout is known by the nested field paths that carry turns (`messages[].role`,
-`prompt`, ...). The paths a record has are hashed to a fingerprint, and the
-fingerprint selects a declarative mapping to canonical turns. A typed frame has
-one fingerprint, taken from its schema; a JSON column has one per record, taken
-from its VARIANT. Canonical turns are rows (conv_id, turn, role, text) and are
+`prompt`, ...). Each record is a VARIANT; the paths it has are hashed to a fingerprint,
+and the fingerprint selects a declarative mapping to canonical turns. Rows of a typed
+frame become records and JSON texts are parsed to them, so records of all layouts go
+one way, in one frame if need be. Paths that carry no turn in a record don't count:
+`role` and `text` only if both are there, `turn`, `conv_id` and unknown fields never.
+Canonical turns are rows (conv_id, turn, role, text) and are
 rendered by one template:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
@@ -27,7 +29,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skimdex.llm.common import nonnull
 
@@ -38,30 +39,40 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 class Layout:
     """Field paths of a layout and where its turns are. ``turns``: (role, fields
     whose non-empty texts are joined by an empty line). ``items``: (array, role
-    field, text field, order field or None) for lists of messages."""
+    field, text field) for lists of messages. Neither: the record is one turn."""
 
     paths: tuple[str, ...]
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    items: tuple[str, str, str, str | None] | None = None
+    items: tuple[str, str, str] | None = None
 
     @property
     def signature(self) -> str:
         return "|".join(sorted(self.paths))
 
 
+def _asked(*turns: tuple[str, tuple[str, ...]]) -> tuple[Layout, Layout]:
+    """The layout of these turns, and the one with a system text before them."""
+    paths = tuple(p for _, fields in turns for p in fields)
+    return Layout(paths, turns), Layout(("system", *paths), (("system", ("system",)), *turns))
+
+
+FLAT = Layout(("role", "text"))
 LAYOUTS = (
-    Layout(("conv_id", "role", "text", "turn")),
-    Layout(("prompt", "response"), turns=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout(("prompt", "completion"), turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout(("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout(("input", "instruction", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout(("system", "instruction", "output"), turns=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout(("question", "answer"), turns=(("user", ("question",)), ("assistant", ("answer",)))),
-    Layout(("messages[].content", "messages[].role"), items=("messages", "role", "content", None)),
-    Layout(("messages[].role", "messages[].text", "messages[].turn"), items=("messages", "role", "text", "turn")),
-    Layout(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value", None)),
+    FLAT,
+    *_asked(("user", ("prompt",)), ("assistant", ("response",))),
+    *_asked(("user", ("prompt",)), ("assistant", ("completion",))),
+    *_asked(("user", ("instruction",)), ("assistant", ("output",))),
+    *_asked(("user", ("instruction", "input")), ("assistant", ("output",))),
+    *_asked(("user", ("question",)), ("assistant", ("answer",))),
+    Layout(("messages[].content", "messages[].role"), items=("messages", "role", "content")),
+    Layout(("messages[].role", "messages[].text"), items=("messages", "role", "text")),
+    Layout(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
 )
 VOCABULARY = tuple(sorted({p for x in LAYOUTS for p in x.paths}))
+#: The field of a record or message that orders it; without it the place does.
+ORDER = "turn"
+#: Top-level fields that a record needs of a typed frame.
+FIELDS = tuple(sorted({p.split("[]")[0] for p in VOCABULARY} | {ORDER}))
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -69,24 +80,6 @@ def fingerprint(signature: Column) -> Column:
     return F.xxhash64(signature)
 
 
-def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
-    """Nested field paths of a typed frame; array levels are written `[]`."""
-    if isinstance(schema, T.ArrayType):
-        return field_paths(schema.elementType, prefix + "[]")
-    if not isinstance(schema, T.StructType):
-        return [prefix]
-    dot = prefix + "." if prefix else ""
-    return [p for f in schema.fields for p in field_paths(f.dataType, dot + f.name)]
-
-
-def layout_of(df: DataFrame) -> Layout | None:
-    """The layout of a typed frame; fields outside the vocabulary don't count."""
-    have = set(field_paths(df.schema)) & set(VOCABULARY)
-    if not {"role", "text", "turn"} <= have:
-        have -= {"conv_id", "role", "text", "turn"}
-    return next((x for x in LAYOUTS if set(x.paths) == have), None)
-
-
 def _joined(parts: list[Column]) -> Column:
     return F.array_join(F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda x: x != ""), "\n\n")
 
@@ -98,70 +91,71 @@ def _renamed(role: Column) -> Column:
     return out
 
 
-def _turn_rows(df: DataFrame, turns: Column) -> DataFrame:
-    """One row per (turn, role, text) struct of the array ``turns``."""
-    return df.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
-
-
 def _turn(i: Column, role: Column, text: Column) -> Column:
     return F.struct(i.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
 
 
-def _list_turns(items: Column, role: str, text: str, order: str | None) -> Column:
-    return F.transform(items, lambda x, i: _turn(x[order] if order else i, _renamed(x[role].cast("string")), x[text].cast("string")))
+def records(df: DataFrame) -> DataFrame:
+    """(conv_id, v): the rows of a typed frame as VARIANT records of the fields that
+    may carry turns."""
+    have = [c for c in df.columns if c in FIELDS]
+    fields = F.struct(*[F.col(f"`{c}`") for c in have]) if have else F.struct(F.lit(None).cast("string").alias("none"))
+    return df.select("conv_id", F.to_variant_object(fields).alias("v"))
 
 
-def canonical_turns(df: DataFrame) -> DataFrame:
-    """Canonical turns of a typed frame with a `conv_id`, by its fingerprint."""
-    layout = layout_of(df)
-    if layout is None:
-        raise ValueError(f"no mapping for the layout {sorted(field_paths(df.schema))}")
-    if layout.items:
-        name, role, text, order = layout.items
-        turns = _list_turns(F.col(name), role, text, order)
-    elif layout.turns:
-        turns = F.array(
-            *[_turn(F.lit(i), F.lit(role), _joined([F.col(f).cast("string") for f in fields])) for i, (role, fields) in enumerate(layout.turns)]
-        )
-    else:
-        return df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return _turn_rows(df, turns)
+def json_records(df: DataFrame, json_col: str = "record") -> DataFrame:
+    """(conv_id, v): records given as JSON text; v is null where it isn't JSON."""
+    return df.select("conv_id", F.try_parse_json(json_col).alias("v"))
 
 
-def record_fingerprints(df: DataFrame, json_col: str = "record") -> DataFrame:
-    """Adds `v` (the record as VARIANT, null if it isn't JSON) and `layout`, the
-    hash of the known field paths the record has."""
-    v = F.col("v")
+def record_fingerprints(recs: DataFrame) -> DataFrame:
+    """Adds `layout`, the hash of the paths that carry turns in the record."""
 
     def there(path: str) -> Column:
-        return F.try_variant_get(v, "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+        return F.try_variant_get("v", F.lit("$." + path.replace("[]", "[0]")), "variant").isNotNull()
+
+    def counts(path: str) -> Column:
+        return there("role") & there("text") if path in FLAT.paths else there(path)
+
+    have = F.array_compact(F.array(*[F.when(counts(p), F.lit(p)) for p in VOCABULARY]))
+    return recs.withColumn("layout", fingerprint(F.array_join(have, "|")))
+
+
+def _mapping(x: Layout) -> Column:
+    """The turns of a record of layout ``x``."""
+    get = lambda path, kind: F.try_variant_get("v", F.lit("$." + path), kind)
+    if x.items:
+        name, role, text = x.items
+        items = get(name, f"array<struct<`{role}`:string,`{text}`:string,`{ORDER}`:bigint>>")
+        return F.transform(items, lambda m, i: _turn(F.coalesce(m[ORDER], i), _renamed(m[role]), m[text]))
+    if x.turns:
+        return F.array(*[_turn(F.lit(i), F.lit(role), _joined([get(f, "string") for f in fields])) for i, (role, fields) in enumerate(x.turns)])
+    return F.array(_turn(get(ORDER, "bigint"), get("role", "string"), get("text", "string")))
 
-    have = F.filter(F.array(*[F.when(there(p), F.lit(p)) for p in VOCABULARY]), lambda x: x.isNotNull())
-    return df.withColumn("v", F.try_parse_json(json_col)).withColumn("layout", fingerprint(F.array_join(have, "|")))
+
+def turns_of(recs: DataFrame) -> DataFrame:
+    """Canonical turns of records (conv_id, v) of mixed layouts."""
+    choice = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    for x in reversed(LAYOUTS):
+        choice = F.when(F.col("layout") == fingerprint(F.lit(x.signature)), _mapping(x)).otherwise(choice)
+    found = record_fingerprints(recs.select("conv_id", "v"))
+    return found.select("conv_id", F.explode(choice).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+
+
+def canonical_turns(df: DataFrame) -> DataFrame:
+    """Canonical turns of a typed frame with a `conv_id`."""
+    return turns_of(records(df))
 
 
 def canonical_turns_json(df: DataFrame, json_col: str = "record") -> DataFrame:
     """Canonical turns of records of mixed layouts, given as JSON text."""
-    v, choice = F.col("v"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for x in LAYOUTS:
-        if x.items:
-            name, role, text, order = x.items
-            fields = f"array<struct<`{role}`:string,`{text}`:string" + (f",`{order}`:bigint>>" if order else ">>")
-            turns = _list_turns(F.try_variant_get(v, f"$.{name}", fields), role, text, order)
-        elif x.turns:
-            turns = F.array(
-                *[_turn(F.lit(i), F.lit(r), _joined([F.try_variant_get(v, f"$.{f}", "string") for f in fields])) for i, (r, fields) in enumerate(x.turns)]
-            )
-        else:
-            continue
-        choice = F.when(F.col("layout") == fingerprint(F.lit(x.signature)), turns).otherwise(choice)
-    return _turn_rows(record_fingerprints(df.select("conv_id", json_col), json_col), choice)
+    return turns_of(json_records(df, json_col))
 
 
 def unknown_layouts(df: DataFrame, json_col: str = "record") -> DataFrame:
     """The records that no mapping fits, with their fingerprint."""
-    known = [fingerprint(F.lit(x.signature)) for x in LAYOUTS if x.items or x.turns]
-    return record_fingerprints(df, json_col).filter(~F.col("layout").isin(*known) | F.col("v").isNull()).drop("v")
+    known = [fingerprint(F.lit(x.signature)) for x in LAYOUTS]
+    return record_fingerprints(df.withColumn("v", F.try_parse_json(json_col))).filter(~F.col("layout").isin(*known) | F.col("v").isNull()).drop("v")
 
 
 def escape(col: Column) -> Column:

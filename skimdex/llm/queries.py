@@ -21,9 +21,9 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def op3_chat_format(spark, sf_dir):
-    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations"))
+    recs = chat_format.records(table(spark, sf_dir, "conversations"))
     probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(chat_format.PROBE).alias("prompt"), F.lit(chat_format.PROBE).alias("response"))
-    return chat_format.digest(chat_format.format_turns(turns.unionByName(chat_format.canonical_turns(probe))))
+    return chat_format.digest(chat_format.format_turns(chat_format.turns_of(recs.unionByName(chat_format.records(probe)))))
 
 
 def op4_language_id(spark, sf_dir):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skimdex.llm import chat_format, components, lang_id, minhash_forest, suffix_dedup, url_filter
@@ -289,6 +290,30 @@ def test_layouts(spark):
     assert [x.role for x in chat_format.canonical_turns(typed).orderBy("turn").collect()] == ["user", "assistant"]
 
 
+def test_layouts_leave_out_fields_without_turns(spark):
+    two = [("user", "q"), ("assistant", "a")]
+    records = [{"conv_id": 1, "prompt": "q", "response": "a"}, {"role": "x", "prompt": "q", "response": "a", "turn": 4}, {"system": "s", "question": "q", "answer": "a"},
+               {"messages": [{"role": "assistant", "content": "a", "turn": 2}, {"role": "user", "content": "q", "turn": 1}]},
+               {"messages": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}], "text": "t"}, {"role": "user", "text": "q", "turn": 3},
+               {"role": None, "text": None}, {"prompt": "q", "answer": "a"}, {"messages": []}]
+    want = [two, two, [("system", "s"), *two], two, two, [("user", "q")], [(None, None)], None, None]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "conv_id long, record string")
+    got = {}
+    for x in chat_format.canonical_turns_json(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(x.conv_id, []).append((x.role, x.text))
+    assert [got.get(i) for i in range(len(records))] == want
+    assert sorted(x.conv_id for x in chat_format.unknown_layouts(df).collect()) == [7, 8]
+
+
+def test_typed_rows_go_by_their_fingerprint(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, None, None), (1, None, "user", "t")], "conv_id long, turn long, role string, text string")
+    assert {tuple(x) for x in chat_format.canonical_turns(df).collect()} == {(1, 0, None, None), (1, None, "user", "t")}
+    assert chat_format.canonical_turns(df.select("conv_id", "turn")).count() == 0
+    real = chat_format.fingerprint
+    monkeypatch.setattr(chat_format, "fingerprint", lambda c: real(F.concat(c, F.uuid())))
+    assert chat_format.canonical_turns(df).count() == 0  # nothing but the hash selects a mapping
+
+
 def test_suffix_dedup_repeated_rows_around_a_copy(spark):
     r = random.Random(3)
     passage = "".join(r.choice("abcdefgh ") for _ in range(160))
