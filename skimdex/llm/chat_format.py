@@ -1,10 +1,10 @@
 """Chat formatting by schema fingerprints.
 
 A layout is known by the nested field paths that carry turns (`messages[].role`,
-`prompt`, ...). Each record is a VARIANT; the paths it has are hashed to a fingerprint,
-and the fingerprint selects a declarative mapping to canonical turns. Rows of a typed
-frame become records and JSON texts are parsed to them, so records of all layouts go
-one way, in one frame if need be. Paths that carry no turn in a record don't count:
+`prompt`, ...). The paths a record has are hashed to a fingerprint, and the fingerprint
+selects a declarative mapping to canonical turns. A JSON text becomes a VARIANT; a row
+of a typed frame gives a small VARIANT of its fields without their texts, so texts of
+any length stay in their columns. Paths that carry no turn in a record don't count:
 `role` and `text` only if both are there, `turn`, `conv_id` and unknown fields never.
 Canonical turns are rows (conv_id, turn, role, text) and are
 rendered by one template:
@@ -18,7 +18,9 @@ the step can be undone. A role also writes backslash as `\\s` and line feed as
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role,
 text) with nulls first, so ties and repeated rows have one order and all stay;
-records of an unknown layout come back by `unknown_layouts` and give no turn;
+records of an unknown layout come back by `unknown_layouts` and give no turn (an
+empty list of messages has no paths; JSON records end at Spark's 128 MiB for a VARIANT);
+no rows in, no rows out;
 other columns are ignored. A conversation is one training example and one output
 row, so its own text has to fit a task; conversations are never gathered.
 """
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skimdex.llm.common import nonnull
 
@@ -95,21 +98,28 @@ def _turn(i: Column, role: Column, text: Column) -> Column:
     return F.struct(i.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
 
 
-def records(df: DataFrame) -> DataFrame:
-    """(conv_id, v): the rows of a typed frame as VARIANT records of the fields that
-    may carry turns."""
-    have = [c for c in df.columns if c in FIELDS]
-    fields = F.struct(*[F.col(f"`{c}`") for c in have]) if have else F.struct(F.lit(None).cast("string").alias("none"))
-    return df.select("conv_id", F.to_variant_object(fields).alias("v"))
+def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
+    """Nested field paths of a typed frame; array levels are written `[]`."""
+    if isinstance(schema, T.ArrayType):
+        return field_paths(schema.elementType, prefix + "[]")
+    if not isinstance(schema, T.StructType):
+        return [prefix]
+    dot = prefix + "." if prefix else ""
+    return [p for f in schema.fields for p in field_paths(f.dataType, dot + f.name)]
 
 
-def json_records(df: DataFrame, json_col: str = "record") -> DataFrame:
-    """(conv_id, v): records given as JSON text; v is null where it isn't JSON."""
-    return df.select("conv_id", F.try_parse_json(json_col).alias("v"))
+def _shape(value: Column, kind: T.DataType) -> Column:
+    """The fields of a value with empty texts, of lists the first element: its paths
+    as a small record, however long its texts are."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_shape(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.slice(value, 1, 1), lambda x: _shape(x, kind.elementType))
+    return F.lit("")
 
 
-def record_fingerprints(recs: DataFrame) -> DataFrame:
-    """Adds `layout`, the hash of the paths that carry turns in the record."""
+def with_fingerprint(df: DataFrame) -> DataFrame:
+    """Adds `layout`, the hash of the paths that carry turns in the record `v`."""
 
     def there(path: str) -> Column:
         return F.try_variant_get("v", F.lit("$." + path.replace("[]", "[0]")), "variant").isNotNull()
@@ -118,44 +128,67 @@ def record_fingerprints(recs: DataFrame) -> DataFrame:
         return there("role") & there("text") if path in FLAT.paths else there(path)
 
     have = F.array_compact(F.array(*[F.when(counts(p), F.lit(p)) for p in VOCABULARY]))
-    return recs.withColumn("layout", fingerprint(F.array_join(have, "|")))
+    return df.withColumn("layout", fingerprint(F.array_join(have, "|")))
 
 
-def _mapping(x: Layout) -> Column:
-    """The turns of a record of layout ``x``."""
-    get = lambda path, kind: F.try_variant_get("v", F.lit("$." + path), kind)
+def _mapping(x: Layout, get, messages) -> Column:
+    """The turns of a record of layout ``x``; ``get`` takes a field and a type,
+    ``messages`` the parts of a list of messages."""
     if x.items:
-        name, role, text = x.items
-        items = get(name, f"array<struct<`{role}`:string,`{text}`:string,`{ORDER}`:bigint>>")
-        return F.transform(items, lambda m, i: _turn(F.coalesce(m[ORDER], i), _renamed(m[role]), m[text]))
+        return F.transform(messages(*x.items), lambda m, i: _turn(F.coalesce(m[ORDER], i), _renamed(m["role"]), m["text"]))
     if x.turns:
         return F.array(*[_turn(F.lit(i), F.lit(role), _joined([get(f, "string") for f in fields])) for i, (role, fields) in enumerate(x.turns)])
     return F.array(_turn(get(ORDER, "bigint"), get("role", "string"), get("text", "string")))
 
 
-def turns_of(recs: DataFrame) -> DataFrame:
-    """Canonical turns of records (conv_id, v) of mixed layouts."""
+def _turns(df: DataFrame, layouts: list[Layout], get, messages) -> DataFrame:
+    """The turns of rows with `conv_id` and `layout`, by the mapping of their hash."""
     choice = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for x in reversed(LAYOUTS):
-        choice = F.when(F.col("layout") == fingerprint(F.lit(x.signature)), _mapping(x)).otherwise(choice)
-    found = record_fingerprints(recs.select("conv_id", "v"))
-    return found.select("conv_id", F.explode(choice).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    for x in reversed(layouts):
+        choice = F.when(F.col("layout") == fingerprint(F.lit(x.signature)), _mapping(x, get, messages)).otherwise(choice)
+    return df.select("conv_id", F.explode(choice).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
     """Canonical turns of a typed frame with a `conv_id`."""
-    return turns_of(records(df))
+    fields = {f.name: f.dataType for f in df.schema.fields if f.name in FIELDS}
+    paths = set(field_paths(T.StructType([f for f in df.schema.fields if f.name in FIELDS])))
+
+    def get(field: str, kind: str) -> Column:
+        return F.col(field).cast(kind) if field in fields else F.lit(None).cast(kind)
+
+    def messages(name: str, role: str, text: str) -> Column:
+        order = f"{name}[].{ORDER}" in paths
+        part = lambda m: _turn(m[ORDER] if order else F.lit(None), m[role].cast("string"), m[text].cast("string"))
+        return F.transform(name, part)
+
+    shape = F.struct(F.lit("").alias("none"), *[_shape(F.col(c), t).alias(c) for c, t in fields.items()])
+    rows = with_fingerprint(df.select("conv_id", *fields).withColumn("v", F.to_variant_object(shape)))
+    return _turns(rows, [x for x in LAYOUTS if set(x.paths) <= paths], get, messages)
+
+
+def json_records(df: DataFrame, json_col: str = "record") -> DataFrame:
+    """Adds `v` (the record as VARIANT, null if it isn't JSON) and `layout`."""
+    return with_fingerprint(df.withColumn("v", F.try_parse_json(json_col)))
 
 
 def canonical_turns_json(df: DataFrame, json_col: str = "record") -> DataFrame:
     """Canonical turns of records of mixed layouts, given as JSON text."""
-    return turns_of(json_records(df, json_col))
+
+    def get(field: str, kind: str) -> Column:
+        return F.try_variant_get("v", F.lit("$." + field), kind)
+
+    def messages(name: str, role: str, text: str) -> Column:
+        items = get(name, f"array<struct<`{role}`:string,`{text}`:string,`{ORDER}`:bigint>>")
+        return F.transform(items, lambda m: _turn(m[ORDER], m[role], m[text]))
+
+    return _turns(json_records(df.select("conv_id", json_col), json_col), list(LAYOUTS), get, messages)
 
 
 def unknown_layouts(df: DataFrame, json_col: str = "record") -> DataFrame:
     """The records that no mapping fits, with their fingerprint."""
     known = [fingerprint(F.lit(x.signature)) for x in LAYOUTS]
-    return record_fingerprints(df.withColumn("v", F.try_parse_json(json_col))).filter(~F.col("layout").isin(*known) | F.col("v").isNull()).drop("v")
+    return json_records(df, json_col).filter(~F.col("layout").isin(*known) | F.col("v").isNull()).drop("v")
 
 
 def escape(col: Column) -> Column:

@@ -309,6 +309,8 @@ def test_typed_rows_go_by_their_fingerprint(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, None, None), (1, None, "user", "t")], "conv_id long, turn long, role string, text string")
     assert {tuple(x) for x in chat_format.canonical_turns(df).collect()} == {(1, 0, None, None), (1, None, "user", "t")}
     assert chat_format.canonical_turns(df.select("conv_id", "turn")).count() == 0
+    lists = spark.createDataFrame([(1, [("user", "a", 2), ("human", "b", 1)], "t"), (2, [], "t"), (3, None, "t")], "conv_id long, messages array<struct<role string, content string, turn int>>, text string")
+    assert [tuple(x) for x in chat_format.canonical_turns(lists).orderBy("turn").collect()] == [(1, 1, "user", "b"), (1, 2, "user", "a")]
     real = chat_format.fingerprint
     monkeypatch.setattr(chat_format, "fingerprint", lambda c: real(F.concat(c, F.uuid())))
     assert chat_format.canonical_turns(df).count() == 0  # nothing but the hash selects a mapping
