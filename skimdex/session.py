@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -68,8 +70,30 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = tempfile.mkdtemp(prefix="skimdex-shared-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    root = root.rstrip("/")
+    if not (spark.sparkContext.getCheckpointDir() or "").removeprefix("file:").startswith(root.removeprefix("file:")):
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+_SCOPE = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end the folders that this thread writes inside it, through the
+    file system that holds them. Yields their list; one taken off the list stays, for
+    instance that of a result. Results still to be computed must not leave the block."""
+    outer, made = getattr(_SCOPE, "made", None), []
+    _SCOPE.made = made
+    try:
+        yield made
+    finally:
+        _SCOPE.made = outer
+        context = spark.sparkContext
+        for path in made:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,7 +101,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = shared_dir(spark)
     if "://" not in base:
         os.makedirs(base, exist_ok=True)
-    return f"{base}/skimdex-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/skimdex-{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_SCOPE, "made", None) is not None:
+        _SCOPE.made.append(path)
+    return path
 
 
 def materialize(df, name: str = "stage"):
