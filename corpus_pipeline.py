@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skimdex.llm import exact_dedup, minhash_forest, mixing, packing, quality_rules
 from skimdex.llm.common import lookup, nonnull, stage, text_key
+from skimdex.session import scratch
 from skimdex.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -78,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    """The stages in turn. What a stage wrote on its way, and the documents it read,
+    are removed once its own documents are written."""
+    docs, read = table(spark, sf_dir, "documents").select(*COLUMNS), []
     for name, fn in STAGES[:-1]:
-        docs = stage(fn(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = stage(fn(spark, docs, sf_dir), name)
+            written = made.pop()
+            made.extend(read)
+        read = [written]
     return STAGES[-1][1](spark, docs, sf_dir)
