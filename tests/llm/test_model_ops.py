@@ -4,6 +4,7 @@ accuracy, URL filters and chat formatting by rule, and the pipeline."""
 import hashlib
 import json
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skimdex.llm import chat_format, components, lang_id, minhash_forest, suffix_dedup, url_filter
+from skimdex.session import shared_dir
 from tests.llm.helpers import empty, frame, rows
 
 
@@ -351,4 +353,17 @@ def test_pipeline(spark, tmp_path):
     near = set(seen["minhash"])
     assert len(near) == 120 and not near & {300 + i for i in range(10, 20)}
     assert set(seen["mixing"]) <= near and sorted(seen["packing"]) == sorted(seen["mixing"])
+    before = set(os.listdir(shared_dir(spark)))
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen["packing"])
+    left = set(os.listdir(shared_dir(spark))) - before  # what the last stage read, and its own
+    assert sorted(x.split("-")[1] for x in left) == ["lengths", "mixing"]
+
+
+def test_empty_tables_of_the_large_operators(spark, tmp_path):
+    e = empty(spark)
+    e.write.parquet(str(tmp_path / "documents.parquet"))
+    assert minhash_forest.near_dedup(e).count() == suffix_dedup.suffix_dedup(e).count() == corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.url_filter(pages, url_filter.campaign_list(pages)).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.canonical_turns(turns).count() == 0
