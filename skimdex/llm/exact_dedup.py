@@ -17,7 +17,8 @@ input.
 Defined cases: null text is empty, and empty texts are copies of each other; of
 equal texts the row with the most code points, then the smallest doc_id (null last)
 stays; rows that repeat a doc_id and a text are told apart by a row number, so one
-row stays; no rows in, no rows out; other columns are ignored.
+row stays; no rows in, no rows out; a text of any length is one row and
+has to fit a task; other columns are ignored.
 """
 
 from __future__ import annotations

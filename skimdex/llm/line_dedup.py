@@ -12,7 +12,8 @@ Defined cases: null text is empty, an empty text is one empty line; lines whose
 key is shorter than one code point are always kept; rows that share doc_id (null
 as well) count as one document when documents are counted, and each row is
 answered by its own text; repeated rows give repeated, equal answers; other
-columns of the input are ignored. No rows in, no rows out.
+columns of the input are ignored. No rows in, no rows out. A text of any length is
+one row in and out and has to fit a task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ budgets are nested in those of larger ones.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; null doc_id hashes
 as empty; rows that repeat a doc_id share its hash and are taken together; a source of
-size 0 has target 0; no rows in, no rows out; other columns are ignored.
+size 0 has target 0; no rows in, no rows out; a text of any
+length is counted whole in its row; other columns are ignored.
 """
 
 from __future__ import annotations

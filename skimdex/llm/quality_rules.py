@@ -15,7 +15,8 @@ parameters, and the steps see (group, vector) rows only, never texts.
 
 Defined cases: null or empty text has no words and fails the base rules; null lang
 or source counts as empty; repeated rows are judged each and count each; ties need
-no order; no rows in, no rows out; other columns are ignored.
+no order; no rows in, no rows out; a text of any length is counted whole and has to
+fit a task; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ aggregate, so no task holds them all. All answers are packed by chunk and bucket
 
 Defined cases: null text is empty; texts under 50 bytes stay whole; rows with null
 doc_id stay whole and are no source for others; rows that repeat a doc_id don't remove
-from each other; no rows in, no rows out; other columns are ignored.
+from each other; of equal passages the smallest doc_id's stays; a text of any length is
+one row in and out and has to fit a task; no rows in, no rows out; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ allows it and joined by block otherwise.
 
 Defined cases: null urls and urls without `://` have empty host and path, fit no
 rule and no list entry; repeated pages give repeated answers; an empty list lets
-everything pass; other columns are ignored.
+everything pass; no rows in, no rows out; other columns are ignored.
 """
 
 from __future__ import annotations
