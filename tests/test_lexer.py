@@ -210,3 +210,19 @@ def test_suspect_files_are_marked(spark):
     # Files whose exports are lost are in the list of suspects.
     assert {r.path for r in Y.suspects(Y.source_candidates(files)).collect()} == {"bad.ts", "lost.ts"}
     assert {(r.path, r.suspect) for r in TK.token_stats(files).collect()} == {("ok.ts", False), ("bad.ts", True), ("lost.ts", True), ("no.ts", True)}
+
+
+def test_runs_of_words_and_signs_are_one_lexeme(spark):
+    """The fold's work is a step for each lexeme: signs that change nothing have none."""
+    d = spark.createDataFrame([("  a: b.c, d = e | f ? g : h;",), ("a => b-- / c*/ ${",), ("return x",)], "t string")
+    rows = [r.x for r in d.select(L.lexemes(F.col("t")).alias("x")).collect()]
+    assert len(rows[0]) == 1
+    assert rows[1] == ["a ", "=>", " b", "--", " ", "/", " c", "*/", " ", "${"]
+    assert rows[2] == ["return", " x"]
+
+
+def test_a_step_is_a_look_up(spark):
+    """A lexeme that changes nothing takes few expressions, in whatever mode it stands."""
+    d = spark.createDataFrame([("x",)], "t string")
+    plan = d.select(L.fold(F.transform(L.lexemes(F.col("t")), L.lexeme_class), F.lit(False))["mode"].alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 25
