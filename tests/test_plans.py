@@ -58,3 +58,25 @@ def test_kinds_are_chosen_before_the_members(spark):
     assert {r.kind for r in only.select("kind").distinct().collect()} == {"enum"}
     named = Y.exported_declarations(files).where("kind = 'enum'")
     assert named.count() == only.count() > 0
+
+
+def _below_the_spread(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+
+
+def test_texts_are_read_above_the_spread(spark):
+    """A filter on a generated text is not moved into the few tasks that scan ``part``."""
+    from skimdex.operators import tokens as TK
+
+    files = C.code_corpus(spark, SF)
+    candidates = Y.source_candidates(files)
+    for df in (TK.token_stats(files), Y.suspects(candidates), Y.statements(candidates)):
+        assert "generated from part" not in _below_the_spread(df)
+    assert TK.token_stats(files).count() == files.count()
+
+
+def test_token_counts_lex_a_text_once(spark):
+    from skimdex.operators import tokens as TK
+
+    plan = TK.token_stats(C.code_corpus(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(translate(") == 1
