@@ -226,3 +226,14 @@ def test_a_step_is_a_look_up(spark):
     d = spark.createDataFrame([("x",)], "t string")
     plan = d.select(L.fold(F.transform(L.lexemes(F.col("t")), L.lexeme_class), F.lit(False))["mode"].alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") < 25
+
+
+def test_marks_come_with_the_declarations(spark, monkeypatch):
+    """With ``marks`` each file has one row without ``pos``, whether it declares something
+    or not, also where it is cut into chunks; the other rows are the same."""
+    files = make_files(spark, [("ok.ts", "export class A {}"), ("bad.ts", "export class B {}\n}"), ("lost.ts", "const x = {\nexport class C {}")])
+    for chunk in (L.CHUNK, 12):
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        x = Y.extract(files, marks=True)
+        assert sorted((r.path, r.suspect) for r in x.where("pos is null").collect()) == [("bad.ts", True), ("lost.ts", True), ("ok.ts", False)]
+        assert sorted(map(str, x.where("pos is not null").collect())) == sorted(map(str, Y.extract(files).collect()))

@@ -80,3 +80,8 @@ def test_token_counts_lex_a_text_once(spark):
 
     plan = TK.token_stats(C.code_corpus(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(translate(") == 1
+
+
+def test_the_summary_lexes_no_text_beside_the_extraction(spark):
+    plan = QUERIES["index_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(translate(" not in plan
