@@ -237,3 +237,31 @@ def test_marks_come_with_the_declarations(spark, monkeypatch):
         x = Y.extract(files, marks=True)
         assert sorted((r.path, r.suspect) for r in x.where("pos is null").collect()) == [("bad.ts", True), ("lost.ts", True), ("ok.ts", False)]
         assert sorted(map(str, x.where("pos is not null").collect())) == sorted(map(str, Y.extract(files).collect()))
+
+
+HARD = ["if", "while ", "return ", "in ", "(", ")", "[", "]", "{", "}", '"', "'", "`", "${", "//", "// c {\n", "/* { */", "/*", "*/", "/", "/ ", "/>", "</", "<>", "<b", "<p>", "*", "\\", "\\/", "\n", "\r", "\0", "\u00a0"]
+EASY = ["a", "x1 ", "é", "😀", "{ a }", "(b)", "[c]", '"s{"', "'a\\\n'", "`t`", "`x ${y} }`", "`a ${ `b ${c}` } {`", "if (x) /[{(]/.test(y)", "x = /y/g", "a / b", "x[1] / 2", "A<B<c>>", "<T,>", "=>", "++", "-", ";", ","]
+
+
+def test_patterns_tell_what_the_automaton_tells(spark):
+    """Where patterns alone give a text's depths they are those of the fold, marks and all."""
+    r = random.Random(11)
+    soup = ["".join(r.choice(EASY * 2 + HARD) + r.choice(["", " "]) for _ in range(r.randrange(9))) for _ in range(4000)]
+    sources = [c[1] for c in CASES] + ["*// c", "<bif / x", "A<b<c>>d", "for (;;) /x/return<> "] + soup + [random_source(r) for _ in range(200)]
+    d = spark.createDataFrame([(s, jsx) for s in sources for jsx in (False, True)], "content string, jsx boolean").repartition(8)
+    text, jsx = F.col("content"), F.col("jsx")
+    x = d.select("content", "jsx", L._by_patterns(text, jsx, 4).alias("told"), L._by_modes(text, jsx, None, 4).alias("folded"))
+    rows = x.where("told is not null").collect()
+    assert len(rows) > 2000 and any(w.told.suspect for w in rows)
+    assert [(w.content, w.jsx) for w in rows if w.told != w.folded] == []
+
+
+def test_most_files_are_not_folded(spark):
+    """Literals, comments, conditions before a regex, nested templates and a brace too
+    many are told by patterns; of the generated files only those with JSX are folded."""
+    from skimdex.sources import corpus as C
+
+    files = C.code_corpus(spark, "/root/testdata/sf0.001")
+    jsx = L.is_jsx(F.col("path"))
+    told = files.select(jsx.alias("jsx"), L._by_patterns(F.col("content"), jsx, 3).isNotNull().alias("told")).groupBy("jsx").agg(F.min("told"), F.max("told"))
+    assert sorted(told.collect()) == [(False, True, True), (True, False, False)]
