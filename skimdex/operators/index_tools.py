@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skimdex.functions import paths as P
 from skimdex.operators import requests as R
 from skimdex.operators.snapshots import lane_sums, target_id
-from skimdex.session import materialize
+from skimdex.session import dealt, materialize
 
 REPO_INDEX, INVALIDATE, STATS = R.TARGET_TOOLS
 HIT_LAYER, MISS_LAYER = "disk", "rebuild"
@@ -50,14 +50,23 @@ def left_state(calls: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def index_calls(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid calls of the index tools, and refused calls, of ``(request_id, payload)``."""
-    checked = R.validate_requests(R.coerce_requests(payloads))
-    calls = checked.where(F.col("error_code").isNull() & F.col("tool").isin(*R.TARGET_TOOLS)).select(
-        "request_id", "tool", P.normalize("target_dir").alias("target_dir"), "force_refresh", "clear_read_file_cache",
-        F.when(F.col("tool") == REPO_INDEX, True).when(F.col("tool") == INVALIDATE, False).alias("sets"),
+    """Valid calls of the index tools, and refused calls, of ``(request_id, payload)``.
+
+    Payloads are dealt over the cluster (a micro-batch, or a table, may be one file),
+    read once and written; both results come from what is written."""
+    checked = R.validate_requests(R.coerce_requests(dealt(payloads, "request_id")))
+    valid, ours = F.col("error_code").isNull(), F.col("tool").isin(*R.TARGET_TOOLS)
+    told = materialize(
+        checked.where(~valid | ours).select(
+            "request_id", "tool", F.when(valid, P.normalize("target_dir")).otherwise(F.col("target_dir")).alias("target_dir"),
+            "force_refresh", "clear_read_file_cache",
+            F.when(valid & (F.col("tool") == REPO_INDEX), True).when(valid & (F.col("tool") == INVALIDATE), False).alias("sets"),
+            "error_code", "error",
+        ),
+        "calls",
     )
-    refused = checked.where(F.col("error_code").isNotNull()).select("request_id", "tool", "target_dir", "error_code", "error")
-    return calls, refused
+    calls = told.where(valid).drop("error_code", "error")
+    return calls, told.where(~valid).select("request_id", "tool", "target_dir", "error_code", "error")
 
 
 def index_targets(manifest: DataFrame, totals: DataFrame) -> DataFrame:
@@ -71,7 +80,6 @@ def answer(payloads: DataFrame, targets: DataFrame, state: DataFrame) -> tuple[D
     """Answers (ANSWER_COLUMNS) and the state that the calls leave. A target without files
     has an empty index without a fingerprint."""
     calls, refused = index_calls(payloads)
-    calls = materialize(calls, "calls")
     t = carried(calls, state).join(targets, "target_dir", "left")
     of = lambda tool, v: F.when(F.col("tool") == tool, v)
     hit = F.col("before") & ~F.coalesce("force_refresh", F.lit(False))

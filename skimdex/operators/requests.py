@@ -50,11 +50,18 @@ def _as_bool(v: Column, path: str) -> Column:
     return F.when(_type(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
 
 
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with the columns ``made``, which come out of a generator: else filters on
+    them, and each expression that names one more than once, compute them again."""
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
 def coerce_requests(payloads: DataFrame) -> DataFrame:
     """``(request_id, payload, ...)`` -> typed arguments; NULL where the JSON
     type is wrong or the payload is not JSON (``valid_json`` false)."""
-    v = F.try_parse_json("payload")
-    rng = "$.arguments.lineRange"
+    keep = [c for c in payloads.columns if c != "payload"]
+    parsed = _once(payloads, _v=F.try_parse_json("payload"))
+    v, rng = F.col("_v"), "$.arguments.lineRange"
     arr = F.try_variant_get(v, rng, "array<variant>")
     pair_ok = (
         F.startswith(_type(v, rng), F.lit("ARRAY"))
@@ -62,21 +69,20 @@ def coerce_requests(payloads: DataFrame) -> DataFrame:
         & _type(v, rng + "[0]").rlike(_NUMERIC)
         & _type(v, rng + "[1]").rlike(_NUMERIC)
     )
-    keep = [c for c in payloads.columns if c not in ("payload",)]
-    return payloads.select(
-        *keep,
-        v.isNotNull().alias("valid_json"),
-        _as_string(v, "$.name").alias("tool"),
-        _as_string(v, "$.arguments.path").alias("path"),
-        _as_string(v, "$.arguments.baseDir").alias("base_dir"),
-        _as_int(v, "$.arguments.maxLines").alias("max_lines"),
-        _as_bool(v, "$.arguments.symbolsOnly").alias("symbols_only"),
-        F.when(pair_ok, _as_int(v, rng + "[0]")).alias("line_start"),
-        F.when(pair_ok, _as_int(v, rng + "[1]")).alias("line_end"),
-        _as_string(v, "$.arguments.targetDir").alias("target_dir"),
-        _as_bool(v, "$.arguments.forceRefresh").alias("force_refresh"),
-        _as_bool(v, "$.arguments.clearReadFileCache").alias("clear_read_file_cache"),
-    )
+    typed = {
+        "valid_json": v.isNotNull(),
+        "tool": _as_string(v, "$.name"),
+        "path": _as_string(v, "$.arguments.path"),
+        "base_dir": _as_string(v, "$.arguments.baseDir"),
+        "max_lines": _as_int(v, "$.arguments.maxLines"),
+        "symbols_only": _as_bool(v, "$.arguments.symbolsOnly"),
+        "line_start": F.when(pair_ok, _as_int(v, rng + "[0]")),
+        "line_end": F.when(pair_ok, _as_int(v, rng + "[1]")),
+        "target_dir": _as_string(v, "$.arguments.targetDir"),
+        "force_refresh": _as_bool(v, "$.arguments.forceRefresh"),
+        "clear_read_file_cache": _as_bool(v, "$.arguments.clearReadFileCache"),
+    }
+    return _once(parsed, **typed).select(*keep, *typed)
 
 
 def validate_requests(coerced: DataFrame) -> DataFrame:

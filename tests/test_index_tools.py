@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import make_files
 from skimdex.operators import index_tools as I
+from skimdex.operators import requests
 from skimdex.operators import skeleton as K
 from skimdex.operators import snapshots as SN
 from skimdex.operators import symbols as Y
+from skimdex.plans import catalog
 from skimdex.session import scratch_path
 from skimdex.streaming import index_tools as SI
 
@@ -98,3 +100,32 @@ def test_no_calls(spark):
     assert answers.collect() == [] and [tuple(r) for r in state.collect()] == [("/t", True)]
     one = I.answer(spark.createDataFrame([call(1, "index_cache_stats", targetDir="/t")], PAYLOADS), targets, state)[0].first()
     assert one.exists is True and one.cache_id == spark.range(1).select(SN.target_id(F.lit("/t"))).first()[0]
+
+
+def test_one_file_of_calls_is_read_once_by_many_tasks(spark):
+    rows = random_calls(random.Random(2), 400, ["/t", "/u"])
+    root = scratch_path(spark, "test-index-calls")
+    spark.createDataFrame(rows, PAYLOADS).coalesce(1).write.parquet(root)
+    payloads = spark.read.parquet(root)
+    assert payloads.rdd.getNumPartitions() == 1
+    calls, refused = I.index_calls(payloads)
+    assert calls.count() + refused.count() == len(rows)
+    # Both come from the same files, written by as many tasks as rows are dealt to.
+    assert set(calls.inputFiles()) == set(refused.inputFiles()) and len(calls.inputFiles()) > 1
+    valid = requests.validate_requests(requests.coerce_requests(payloads)).where("error_code is null and tool = 'repo_index'")
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_the_streamed_thirds_are_dealt_to_many_files(spark, monkeypatch):
+    seen_files, start = [], SI.start
+
+    def counted(spark, payload_dir, *a, **b):
+        seen_files.append(len(spark.read.parquet(payload_dir).inputFiles()))
+        return start(spark, payload_dir, *a, **b)
+
+    monkeypatch.setattr(SI, "start", counted)
+    got = catalog.QUERIES["stream_index_tools"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert got.select("request_id").distinct().count() == got.count()
+    per_batch = [b - a for a, b in zip([0, *seen_files], seen_files)]
+    assert len(per_batch) == 3 and min(per_batch) > 1
