@@ -265,3 +265,42 @@ def test_most_files_are_not_folded(spark):
     jsx = L.is_jsx(F.col("path"))
     told = files.select(jsx.alias("jsx"), L._by_patterns(F.col("content"), jsx, 3).isNotNull().alias("told")).groupBy("jsx").agg(F.min("told"), F.max("told"))
     assert sorted(told.collect()) == [(False, True, True), (True, False, False)]
+
+
+JSX_SOUP = [
+    "<b/>", '<p a="x">', "<p>", "</p>", "{", "}", "{x}", "{ok ? <b/> : null}", "{f(x)}", '{"s"}', "don't ", "text ", "= ", "(", ")", "return ", "? ", ": ", "\n", "\n  ", "// c =\n", "/* a = */",
+    "<div x={y} {...z}>", "</div>", '<li key="a">t</li>', '<A.B c="d>" e={g => h(i)}/>', ",", "=> ", "> ", "a ", "&& ", "</", ";", "`t`", "x<y>", "/>", "$", "{`a`}", "<T,>", "[", "]", "/ ", "é",
+]
+
+
+def test_plain_elements_are_told_by_patterns(spark):
+    """A JSX element after a sign is a literal to the patterns; where they tell a text it is
+    as the fold has it, and other elements are left to the fold."""
+    r = random.Random(3)
+    soup = ["".join(r.choice(JSX_SOUP * 2 + EASY + HARD) for _ in range(r.randrange(12))) for _ in range(3000)]
+    own = ["x = <p title=\"{\">don't {ready ? <b/> : null}</p>;\nexport class A {}", "f(\n  <b a='1'>{g(x)}</b>\n)", "x = <a/> / 2", "// y =\n <a/>", "x = <a b={`t`}/>;", "x = <a><></></a>;"]
+    d = spark.createDataFrame([(s,) for s in own + soup], "content string").repartition(8)
+    text, jsx = F.col("content"), F.lit(True)
+    x = d.select("content", L._by_patterns(text, jsx, 4, elements=True).alias("told"), L._by_modes(text, jsx, None, 4).alias("folded")).where("told is not null")
+    rows = x.collect()
+    assert [w.content for w in rows if w.told != w.folded] == [] and len(rows) > 500
+    told = {w.content for w in rows}
+    assert [s in told for s in own] == [True, True, False, False, False, False]
+
+
+def test_generated_elements_are_not_folded(spark):
+    from skimdex.sources import corpus as C
+
+    files = C.code_corpus(spark, "/root/testdata/sf0.001").where(L.is_jsx(F.col("path")))
+    told = files.select(L._by_patterns(F.col("content"), F.lit(True), 3, elements=True).isNotNull().alias("told"))
+    assert [tuple(r) for r in told.distinct().collect()] == [(True,)]
+
+
+def test_brackets_deeper_than_the_patterns_are_folded(spark):
+    deep = lambda n: "const x = " + "([{" * n + "1" + "}])" * n + ";\nexport class A { m(): void {} }\n"
+    cases = [deep(2), deep(4), deep(5), deep(40), "f(]", "a }", "{ a", "x = { (a }", ""]
+    d = spark.createDataFrame([(s,) for s in cases], "content string")
+    x = d.select("content", L._by_patterns(F.col("content"), F.lit(False), 4).alias("told"), L.lexed(F.col("content"), F.lit(False), depths=4).alias("x"), L._by_modes(F.col("content"), F.lit(False), None, 4).alias("folded"))
+    rows = {r.content: r for r in x.collect()}
+    assert all(r.x == r.folded for r in rows.values())
+    assert [rows[s].told is not None for s in cases] == [True, True, False, False, False, True, False, False, True]
